@@ -199,10 +199,11 @@ put("order_items_detail", "order_id:i line_no:i itmname:s price:d qty:i total:d
 HEADER = """
     select o.order_id, o.order_no, o.order_status, o.total_amount, o.handling_fee, o.delivery_fee,
         o.coupon_discount discount_amount, o.coupon_code, t."name" customer_name, t.phone customer_phone,
-        o.address_delivery address, coalesce(p.method, 'COD') pay_method, sum(i.product_amount) item_total
-    from v_orders o join v_order_items i on i.order_id = o.order_id left join v_payments p on p.order_id = o.order_id
-    join v_addresses t on t.address_id = (select max(address_id) from v_addresses where user_id = o.user_id)
-    group by all"""
+        o.address_delivery address, coalesce(g.method, 'COD') pay_method, g.item_total
+    from (select i.order_id, p.method, sum(i.product_amount) item_total
+          from v_order_items i left join v_payments p on p.order_id = i.order_id group by i.order_id, p.method) g
+    join v_orders o on o.order_id = g.order_id
+    join v_address_last t on t.user_id = o.user_id"""
 HEADER_SHAPE = ("order_id:i order_no:s order_status:s total_amount:d handling_fee:d delivery_fee:d discount_amount:d"
                 " coupon_code:s customer_name:s customer_phone:s address:s pay_method:s item_total:d")
 put("order_header_detail", HEADER_SHAPE, HEADER)

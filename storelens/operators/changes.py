@@ -49,17 +49,13 @@ def category_upsert(categories: DataFrame, changes: DataFrame) -> DataFrame:
     several changes that ask for one name the first gets it.
     """
     names = categories.select("categories_name", F.col("categories_id").alias("_holder"))
-    asked = changes.join(names, "categories_name", "left")
-    free = asked.where(
-        F.col("_holder").isNull() | ((F.col("mode") == 1) & (F.col("_holder") == F.col("categories_id")))
-    )
-    granted = first_per(free, ["categories_name"], ["mode", "categories_id", "cat_sts"])
     known = categories.select("categories_id", F.lit(True).alias("_known"))
-    applicable = (
-        granted.join(known, "categories_id", "left")
-        .where((F.col("mode") == 0) == F.col("_known").isNull())
-        .withColumn("op", F.lit("put"))
-    )
+    asked = changes.join(names, "categories_name", "left").join(known, "categories_id", "left")
+    insert = (F.col("mode") == 0) & F.col("_known").isNull() & F.col("_holder").isNull()
+    own_name = F.col("_holder").isNull() | (F.col("_holder") == F.col("categories_id"))
+    rename = (F.col("mode") == 1) & F.col("_known") & own_name
+    granted = first_per(asked.where(insert | rename), ["categories_name"], ["mode", "categories_id", "cat_sts"])
+    applicable = granted.withColumn("op", F.lit("put"))
     return merge(categories, applicable, ["categories_id"], ["categories_name", "cat_sts"])
 
 
