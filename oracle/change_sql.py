@@ -16,12 +16,12 @@ CLEAN = """select trnid, coalesce(title, '') title, coalesce(categoriesname, '')
     coalesce(quantity, 0) quantity, coalesce(unit, '') unit from v_item_sheet"""
 put("bulk_item_scan", "trnid:i title:s categoriesname:s description:s price:d mrp:d quantity:i unit:s", CLEAN)
 NEW_CATEGORIES = f"""
-    select (select max(categories_id) from v_categories) + row_number() over (order by m) categories_id,
+    select (select max(categories_id) from v_categories) + row_number() over (order by md5(m)) categories_id,
         m categories_name, 1 cat_sts
     from (select distinct trim(categoriesname) m from ({CLEAN}) s) r
     where m not in (select trim(categories_name) from v_categories)"""
 NEW_UNITS = f"""
-    select (select max(unitid) from v_units) + row_number() over (order by m) unitid, m unitshortcode, m unitname,
+    select (select max(unitid) from v_units) + row_number() over (order by md5(m)) unitid, m unitshortcode, m unitname,
         1 isbaseunit, 0 baseunitid, 100 decimalbasefactor
     from (select distinct trim(unit) m from ({CLEAN}) s) r where m not in (select trim(unitshortcode) from v_units)"""
 put("bulk_item_load_categories", "categories_id:i categories_name:s cat_sts:i", NEW_CATEGORIES)
@@ -115,7 +115,7 @@ put("category_upsert", "categories_id:i categories_name:s cat_sts:i", """
         coalesce(l.sts, c.cat_sts) cat_sts
     from v_categories c full join (select * from last where r = 1) l on l.id = c.categories_id""")
 SAVES = """
-    select event_id seq, case when event_id % 3 <> 0 then event_id % 2500 end product_id, event_id + 10000000 new_id,
+    select event_id seq, case when event_id % 3 <> 0 then nullif(event_id % 2500, 0) end product_id, event_id + 10000000 new_id,
         trim(case when event_id % 9 = 0 then 'SMALL Ring' when event_id % 3 = 0 then 'New Item ' || (event_id % 400)
             else 'Changed ' || event_id end) title, event_id % 9 categories_id,
         case when event_id % 2 = 0 then event_type else '' end description, floor(value) price,

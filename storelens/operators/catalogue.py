@@ -140,8 +140,8 @@ def super_deals(t: Tables) -> DataFrame:
     )
 
 
-def deal_price(t: Tables, products: DataFrame | None = None,
-               default_open_date: dt.date = DEFAULT_OPEN_DATE) -> DataFrame:
+def deal_price(t: Tables, products: DataFrame | None = None, default_open_date: dt.date = DEFAULT_OPEN_DATE,
+               *more: str) -> DataFrame:
     """Products as the home screen shows them: price now and before, unit, picture, stock."""
     products = t.products if products is None else products
     percent = F.coalesce("discount_per", F.lit(0).cast("decimal(5,2)"))
@@ -155,7 +155,7 @@ def deal_price(t: Tables, products: DataFrame | None = None,
             price.cast("decimal(10,2)").alias("price"), F.col("price").alias("oldPrice"),
             F.col("image_url").alias("img"), F.col("unitname").alias("weight"),
             F.col("stock").alias("current_stock"),
-            "discount_per", "discount_sts", "itm_spctyp",
+            "discount_per", "discount_sts", "itm_spctyp", *more,
         )
     )
 
@@ -194,8 +194,8 @@ def recommendations(t: Tables, categories: int = 500, size: int = 12,
 def home_feed(t: Tables, default_open_date: dt.date = DEFAULT_OPEN_DATE) -> DataFrame:
     """Sections of the home screen: deals, vegetables, fruit and recommendations.
 
-    Prices and stock are worked out once; a product then goes into each
-    section it belongs to.
+    Prices and stock are worked out once, for products of any section; a
+    product then goes into each section it belongs to.
     """
     chosen = recommended_products(t).withColumn("_reco", F.lit(True))
     kind = F.coalesce("itm_spctyp", F.lit(""))
@@ -205,10 +205,13 @@ def home_feed(t: Tables, default_open_date: dt.date = DEFAULT_OPEN_DATE) -> Data
         F.when(kind == "fruit", "fruit"),
         F.when(F.col("_reco"), "reco"),
     ))
-    return (
-        deal_price(t, default_open_date=default_open_date)
-        .join(F.broadcast(chosen), "product_id", "left")
-        .select(F.explode(sections).alias("section"), *_HOME_COLUMNS)
+    shown = (
+        t.products.join(F.broadcast(chosen), "product_id", "left")
+        .withColumn("sections", sections)
+        .where(F.size("sections") > 0)
+    )
+    return deal_price(t, shown, default_open_date, "sections").select(
+        F.explode("sections").alias("section"), *_HOME_COLUMNS
     )
 
 

@@ -15,10 +15,11 @@ from storelens.sources.tables import Tables
 FALLBACK_UNIT = 7
 
 
-def _by_name() -> dict:
-    """Names start with one of few characters each, so two of them cut names into short stretches."""
-    return {"_first": F.coalesce(F.ascii("member"), F.lit(0)),
-            "_second": F.coalesce(F.ascii(F.substring("member", 2, 1)), F.lit(0))}
+def _keys_by_digest(members: DataFrame, existing: DataFrame, key: str) -> DataFrame:
+    """Keys for new names in the order of their digests, which spread evenly whatever the names are."""
+    digest = F.md5(F.coalesce("member", F.lit("")).cast("binary"))
+    order = [digest, F.col("member").asc_nulls_first()]
+    return next_keys(members, existing, key, order, {"_digest": F.substring(digest, 1, 4)})
 
 
 def bulk_item_load(t: Tables, sheet: DataFrame) -> dict[str, DataFrame]:
@@ -28,14 +29,12 @@ def bulk_item_load(t: Tables, sheet: DataFrame) -> dict[str, DataFrame]:
     trimmed title is known are not loaded; repeats within the sheet all are.
     """
     staged = clean_sheet(sheet)
-    name_order = [F.col("member").asc_nulls_first()]
-
     members = missing_members(staged, "categoriesname", t.categories, "categories_name")
-    categories = next_keys(members, t.categories, "categories_id", name_order, _by_name()).select(
+    categories = _keys_by_digest(members, t.categories, "categories_id").select(
         "categories_id", F.col("member").alias("categories_name"), F.lit(1).alias("cat_sts")
     )
     members = missing_members(staged, "unit", t.units, "unitshortcode")
-    units = next_keys(members, t.units, "unitid", name_order, _by_name()).select(
+    units = _keys_by_digest(members, t.units, "unitid").select(
         "unitid", F.col("member").alias("unitshortcode"), F.col("member").alias("unitname"),
         F.lit(1).alias("isbaseunit"), F.lit(0).alias("baseunitid"), F.lit(100).alias("decimalbasefactor"),
     )

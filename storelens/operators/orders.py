@@ -108,17 +108,25 @@ def order_items_detail(t: Tables) -> DataFrame:
     )
 
 
-def order_header_detail(t: Tables, role: str = "user") -> DataFrame:
-    """Order header with customer, payment method and item total.
+def _payment_methods(payments: DataFrame) -> DataFrame:
+    """Methods of each order with the number of payments made by them."""
+    return payments.groupBy("order_id", "method").agg(F.count(F.lit(1)).alias("_same"))
+
+
+def order_header_detail(t: Tables, role: str = "user", one_method: bool = False) -> DataFrame:
+    """Order header with customer, payment method and item total, one row per method.
 
     Orders without lines or without an address are left out, and payments of
     one method multiply the item total, as in the per-order query.
+    ``one_method`` keeps the first method by name only.
     """
     orders = t.orders
     if role == "delivery_partner":
         orders = orders.where(F.col("order_status") == "out_for_delivery")
     totals = t.order_items.groupBy("order_id").agg(F.sum("product_amount").alias("_amount"))
-    methods = t.payments.groupBy("order_id", "method").agg(F.count(F.lit(1)).alias("_same"))
+    methods = _payment_methods(t.payments)
+    if one_method:
+        methods = methods.groupBy("order_id").agg(F.min(F.struct("method", "_same")).alias("m")).select("order_id", "m.*")
     customer = latest_address_per_user(
         t.addresses, F.col("name").alias("customer_name"), F.col("phone").alias("customer_phone")
     )
@@ -157,23 +165,20 @@ def order_document(t: Tables, page_rows: int = 1000) -> DataFrame:
         F.col("product_qty").alias("qty"), F.col("product_amount").alias("total"), F.col("unitname").alias("unit"),
     )
     lines = pages(numbered_lines(known), ["order_id"], item, page_rows, "itmdetails")
-    header = order_header_detail(t).groupBy("order_id").agg(
-        F.min_by(F.struct("*"), "pay_method").alias("h")
-    )
+    header = order_header_detail(t, one_method=True)
     zero = F.lit(0).cast("decimal(10,2)")
     return header.join(lines, "order_id", "left").select(
-        "order_id", F.coalesce("page_no", F.lit(0)).alias("page_no"), F.col("h.order_no").alias("order_no"),
-        F.col("h.address").alias("address"),
-        F.struct(F.col("h.customer_name").alias("name"), F.col("h.customer_phone").alias("phone")).alias("customer"),
+        "order_id", F.coalesce("page_no", F.lit(0)).alias("page_no"), "order_no", "address",
+        F.struct(F.col("customer_name").alias("name"), F.col("customer_phone").alias("phone")).alias("customer"),
         F.struct(
-            F.coalesce("h.item_total", zero).alias("item_total"),
-            F.coalesce("h.handling_fee", zero).alias("handling_fee"),
-            F.coalesce("h.delivery_fee", zero).alias("delivery_fee"),
-            F.coalesce("h.discount_amount", zero).alias("discount"),
-            F.coalesce("h.total_amount", zero).alias("total_amount"),
-            F.nullif("h.coupon_code", F.lit("")).alias("coupon_code"),
+            F.coalesce("item_total", zero).alias("item_total"),
+            F.coalesce("handling_fee", zero).alias("handling_fee"),
+            F.coalesce("delivery_fee", zero).alias("delivery_fee"),
+            F.coalesce("discount_amount", zero).alias("discount"),
+            F.coalesce("total_amount", zero).alias("total_amount"),
+            F.nullif("coupon_code", F.lit("")).alias("coupon_code"),
         ).alias("billdetails"),
-        F.struct(F.col("h.pay_method").alias("pay_mode")).alias("paydetails"),
+        F.struct(F.col("pay_method").alias("pay_mode")).alias("paydetails"),
         "itmdetails",
     )
 

@@ -123,16 +123,18 @@ def delivery_slots(requests: DataFrame) -> DataFrame:
     today = F.when(first <= last, F.sequence(first, last, step))
     tomorrow = F.sequence(day + F.expr("interval 34 hours"), day + F.expr("interval 43 hours"), step)
 
-    def slots(name: str, starts: Column) -> DataFrame:
-        rows = requests.select("request_id", F.lit(name).alias("day"), F.explode(starts).alias("slot_start"))
-        end = F.col("slot_start") + step
-        clock = lambda c: F.lower(F.date_format(c, "h:mm a"))
-        return rows.select(
-            "request_id", "day", "slot_start", end.alias("slot_end"),
-            F.concat(F.lit(f"{name}, "), clock("slot_start"), F.lit(" - "), clock(end)).alias("label"),
-        )
+    def named(day_name: str, starts: Column) -> Column:
+        return F.transform(starts, lambda start: F.struct(F.lit(day_name).alias("day"), start.alias("slot_start")))
+
+    def clock(moment: Column) -> Column:
+        return F.lower(F.date_format(moment, "h:mm a"))
 
-    return slots("Today", today).unionByName(slots("Tomorrow", tomorrow))
+    slots = F.concat(F.coalesce(named("Today", today), F.array()), named("Tomorrow", tomorrow))
+    start, end = F.col("slot_start"), F.col("slot_start") + step
+    return requests.select("request_id", F.inline(slots)).select(
+        "request_id", "day", "slot_start", end.alias("slot_end"),
+        F.concat(F.col("day"), F.lit(", "), clock(start), F.lit(" - "), clock(end)).alias("label"),
+    )
 
 
 def payment_signature_audit(payments: DataFrame, secret: str) -> DataFrame:

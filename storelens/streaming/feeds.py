@@ -19,6 +19,11 @@ from storelens.operators.stock import is_live, signed_quantity
 
 NOW = {"availableNow": True}
 
+CART_KEYS = ["user_id", "product_id"]
+CART_COLUMNS = ["quantity", "status"]
+# Number of cart batches from one written out whole to the next.
+WHOLE_EVERY = 32
+
 
 def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
     """A table file, or files of a folder whose names match, as a stream of new files."""
@@ -94,29 +99,31 @@ def stream_cart_state(actions: DataFrame, target: str, trigger: dict | None = No
     """Cart lines kept up to date from a stream of cart actions.
 
     Every micro-batch is folded with the batch operator, by stretches of the
-    action number, so a busy line does not end up in one task. Only lines the
-    batch touches are written; the last written row of a line is its state.
+    action number, so a busy line does not end up in one task. A batch writes
+    the lines of the users it touches, and every ``WHOLE_EVERY`` batches all
+    lines, so that no reader goes back further than that.
     """
     spark = actions.sparkSession
-    keys = ["user_id", "product_id"]
 
     def step(rows: DataFrame, batch: int) -> DataFrame:
-        before = _cart_before(spark, target, batch)
-        after = cart_merge(before, rows)
-        touched = rows.select("user_id").distinct()
-        return after.join(touched, "user_id", "left_semi").select(*keys, "quantity", "status")
+        after = cart_merge(cart_state(spark, target, batch), rows).select(*CART_KEYS, *CART_COLUMNS)
+        if batch % WHOLE_EVERY == 0:
+            return after
+        return after.join(rows.select("user_id").distinct(), "user_id", "left_semi").select(*CART_KEYS, *CART_COLUMNS)
 
     return write_batches(actions, target, "append", trigger, step)
 
 
-def _cart_before(spark: SparkSession, target: str, batch: int) -> DataFrame:
-    """Cart state written by earlier batches."""
-    columns = ["quantity", "status"]
-    if batch == 0:
+def cart_state(spark: SparkSession, target: str, before: int) -> DataFrame:
+    """Cart lines as written by the batches before the given one."""
+    if before == 0:
         return spark.createDataFrame([], "user_id bigint, product_id bigint, quantity bigint, status string")
-    rows = spark.read.parquet(f"{target}/rows").where(F.col("batch") < batch)
-    return latest(rows, ["user_id", "product_id"], ["batch"], columns)
+    whole = (before - 1) // WHOLE_EVERY * WHOLE_EVERY
+    rows = spark.read.parquet(f"{target}/rows").where(F.col("batch").between(whole, before - 1))
+    return latest(rows, CART_KEYS, ["batch"], CART_COLUMNS)
 
 
 def read_cart(spark: SparkSession, target: str) -> DataFrame:
-    return read_latest(spark, target, ["user_id", "product_id"], ["quantity", "status"])
+    """Cart lines after the last finished batch."""
+    written = spark.read.parquet(f"{target}/rows").agg(F.max("batch")).first()[0]
+    return cart_state(spark, target, written + 1)
