@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+# Rows of one key that one task may take; the session setting ``storelens.hotKeyRows`` overrides it.
+HOT_KEY_ROWS = 2_000_000
+
+
 def newest_first(column: str | Column) -> list[Column]:
     """Order parts under which a missing value counts as the newest one."""
     col = F.col(column) if isinstance(column, str) else column
@@ -26,28 +30,71 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return df.groupBy(*keys).agg(row).select(*keys, "_row.*")
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys with more rows than one task should take, and in how many shares to cut them.
+
+    Rows are counted before the shuffle, and at most one key per ``hotKeyRows``
+    rows of the table comes out, so the result is small enough to be sent to
+    all tasks.
+    """
+    limit = int(df.sparkSession.conf.get("storelens.hotKeyRows", str(HOT_KEY_ROWS)))
+    return (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > limit)
+        .select(*keys, F.ceil(F.col("_rows") / limit).alias("_shares"))
+    )
+
+
+def _with_shares(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with ``_shares``, NULL unless their key is hot; a missing key is a key like any other."""
+    marks = F.broadcast(hot.withColumnsRenamed({key: f"_hot_{key}" for key in keys}))
+    same = [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in keys]
+    return df.join(marks, same, "left").drop(*[f"_hot_{key}" for key in keys])
+
+
+def spread_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], by: Sequence[str],
+                how: str = "left") -> DataFrame:
+    """Join where a key may hold much of ``df``: its rows are cut into shares.
+
+    The shares of a hot key go to different tasks by the columns ``by``, and
+    its lookup rows are repeated once per share. Other keys join as they are.
+    AQE does not cut such a key where the lookup is itself grouped by it.
+    """
+    hot = hot_keys(df, keys)
+    share = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_shares")), F.lit(0).cast("long"))
+    left = _with_shares(df, hot, keys).withColumn("_share", share).drop("_shares")
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_shares"), F.lit(1).cast("long")) - 1)
+    right = _with_shares(lookup, hot, keys).withColumn("_share", F.explode(copies)).drop("_shares")
+    return left.join(right, [*keys, "_share"], how).drop("_share")
+
+
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Mapping[str, Column],
            name: str = "position") -> DataFrame:
-    """Number the rows of each key from 1, without one task seeing a whole key.
+    """Number the rows of each key from 1, without one task seeing a whole hot key.
 
     ``bucket`` cuts the order into stretches: its columns are never NULL and,
-    read in turn, rise with ``order``. Rows are numbered inside a stretch, and
-    the lengths of the earlier stretches are added, so the task size is set by
-    the stretch and not by the key.
+    read in turn, rise with ``order``. Rows of a hot key are numbered inside
+    their stretch and the lengths of the earlier stretches are added; other
+    keys are one stretch. Without ``by`` the whole table is one key.
     """
-    marked = df.withColumns(dict(bucket))
     keys = [*by, *bucket]
+    if by:
+        hot = F.col("_shares").isNotNull()
+        marked = _with_shares(df, hot_keys(df, by), by).withColumns({b: F.when(hot, c) for b, c in bucket.items()})
+        split, marked = marked.where(hot), marked.drop("_shares")
+    else:
+        split = marked = df.withColumns(dict(bucket))
     earlier = W.partitionBy(*by).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)
     starts = (
-        marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_start", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+        split.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        .withColumn("_start", F.sum("_rows").over(earlier))
         .drop("_rows")
     )
     inside = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return (
         marked.withColumn("_inside", inside)
-        .join(starts, keys)
-        .withColumn(name, F.col("_start") + F.col("_inside"))
+        .join(starts, keys, "left")
+        .withColumn(name, F.coalesce("_start", F.lit(0)) + F.col("_inside"))
         .drop("_inside", "_start", *bucket)
     )
 
@@ -65,15 +112,27 @@ def pages(df: DataFrame, keys: Sequence[str], item: Column, page_rows: int, name
     A short key gives one list; a long one gives as many as it needs, so no
     list grows with the table.
     """
-    page = F.floor((F.col(position) - 1) / page_rows).cast("int").alias("page_no")
+    page_no = F.floor((F.col(position) - 1) / page_rows).cast("int").alias("page_no")
     sorted_rows = F.array_sort(F.collect_list(F.struct(F.col(position).alias("_at"), item.alias("_item"))))
     return (
-        df.groupBy(*keys, page).agg(sorted_rows.alias("_rows"))
+        df.groupBy(*keys, page_no).agg(sorted_rows.alias("_rows"))
         .withColumn(name, F.transform("_rows", lambda row: row["_item"]))
         .drop("_rows")
     )
 
 
+def with_pages(headers: DataFrame, rows: DataFrame, lists: DataFrame, key: str, page_rows: int) -> DataFrame:
+    """Headers joined to their lists, page by page; a header without rows is page 0 with no list.
+
+    ``rows`` are the rows the lists were made of. The headers are repeated per
+    page before the join, so the pages of a long key are spread over tasks.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    last = F.floor((F.coalesce("_rows", F.lit(1)) - 1) / page_rows).cast("int")
+    paged = headers.join(counts, key, "left").withColumn("page_no", F.explode(F.sequence(F.lit(0), last))).drop("_rows")
+    return paged.join(lists, [key, "page_no"], "left")
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int | None = None,
          after: Column | None = None) -> DataFrame:
     """One page of a sorted listing; the whole relation, unsorted, if no size is given.

@@ -7,12 +7,12 @@ the last one counts unless said otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.keyed import latest, ranked, stretch
+from storelens.functions.keyed import latest, spread_join, stretch
 
 
 def merge(current: DataFrame, changes: DataFrame, keys: Sequence[str], columns: Sequence[str],
@@ -84,8 +84,8 @@ def item_upsert(products: DataFrame, images: DataFrame, changes: DataFrame) -> t
 
     titles = products.select(F.lower("title").alias("_title")).distinct()
     asked = saves.where(insert).withColumn("_title", F.lower("title"))
-    new = asked.join(titles, "_title", "left_anti")
-    winners = first_per(new, ["_title"], [c for c in new.columns if c not in ("seq", "_title")]).drop("_title")
+    first = first_per(asked, ["_title"], [c for c in asked.columns if c not in ("seq", "_title")])
+    winners = first.join(titles, "_title", "left_anti").drop("_title")
     inserts = winners.withColumn("product_id", F.col("new_id"))
 
     known = products.select("product_id").withColumn("_known", F.lit(True))
@@ -139,13 +139,14 @@ def purchase_replace(purchases: DataFrame, ledger: DataFrame, headers: DataFrame
         "purchasedate", F.coalesce("_date", "purchasedate")
     ).drop("_date")
     changed = last.select(F.col("purchaseid").alias("purchase_id"), "_date")
-    kept = ledger.join(changed, "purchase_id", "left_anti")
+    marks = changed.select("purchase_id", F.lit(True).alias("_changed"))
+    kept = spread_join(ledger, marks, ["purchase_id"], ["orderid", "itmid"]).where("_changed is null").drop("_changed")
     fresh = (
-        lines.join(changed, "purchase_id")
+        spread_join(lines, changed, ["purchase_id"], ["itmid"], "inner")
         .withColumns({"purchase_date": F.col("_date"), "itmcandel": F.lit(0), "canordersts": F.lit(0)})
         .select(*ledger.columns)
     )
-    return moved, kept.unionByName(fresh)
+    return moved, kept.select(*ledger.columns).unionByName(fresh)
 
 
 def purchase_item_cancel(ledger: DataFrame, cancels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +158,7 @@ def purchase_item_cancel(ledger: DataFrame, cancels: DataFrame) -> tuple[DataFra
     active = ledger.where(F.col("itmcandel") == 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("_active"))
     wanted = cancels.select(*keys).distinct()
     granted = wanted.join(active, keys, "left_semi").withColumn("_cancel", F.lit(True))
-    result = ledger.join(granted, keys, "left").withColumn(
+    result = spread_join(ledger, granted, keys, ["orderid"]).withColumn(
         "itmcandel", F.when(F.col("_cancel"), 1).otherwise(F.col("itmcandel"))
     ).drop("_cancel")
     return result.select(*ledger.columns), wanted.join(active, keys, "left_anti")
@@ -178,7 +179,8 @@ def purchase_cancel(purchases: DataFrame, ledger: DataFrame, cancels: DataFrame)
         "cansts", F.when(F.col("_cancel"), 1).otherwise(F.col("cansts"))
     ).drop("_cancel")
     hit = F.col("_cancel") & (F.col("itmcandel") == 0)
-    lines = ledger.join(granted.withColumnRenamed("purchaseid", "purchase_id"), "purchase_id", "left").withColumn(
+    marks = granted.withColumnRenamed("purchaseid", "purchase_id")
+    lines = spread_join(ledger, marks, ["purchase_id"], ["orderid", "itmid"]).withColumn(
         "itmcandel", F.when(hit, 1).otherwise(F.col("itmcandel"))
     ).drop("_cancel")
     return headers.select(*purchases.columns), lines.select(*ledger.columns)
@@ -190,7 +192,7 @@ def order_cancel(orders: DataFrame, ledger: DataFrame, cancels: DataFrame) -> tu
     after = orders.join(keys, "order_id", "left").withColumn(
         "order_status", F.when(F.col("_cancel"), "cancelled").otherwise(F.col("order_status"))
     )
-    lines = ledger.join(keys.withColumnRenamed("order_id", "orderid"), "orderid", "left").withColumn(
+    lines = spread_join(ledger, keys.withColumnRenamed("order_id", "orderid"), ["orderid"], ["itmid"]).withColumn(
         "canordersts", F.when(F.col("_cancel"), 1).otherwise(F.col("canordersts"))
     )
     return after.select(*orders.columns), lines.select(*ledger.columns)
@@ -214,7 +216,7 @@ def order_state_apply(orders: DataFrame, payments: DataFrame,
         "payment_status": F.when(F.col("_paid"), "complete").otherwise(F.col("payment_status")),
     })
     cod = F.col("_paid") & (F.lower("method") == "cod")
-    settled = payments.join(paid, "order_id", "left").withColumn(
+    settled = spread_join(payments, paid, ["order_id"], ["method"]).withColumn(
         "status", F.when(cod, "complete").otherwise(F.col("status"))
     )
     tracking = events.where(~partner).select("order_id", F.col("state").alias("status"), "seq")
@@ -237,8 +239,8 @@ def coupon_apply_changes(coupons: DataFrame, changes: DataFrame) -> DataFrame:
         F.nullif("max_discount", F.lit(0)).alias("max_discount"), "expiry_date",
         F.lit(True).alias("is_active"),
     )
-    free = made.join(coupons.select("coupon_code"), "coupon_code", "left_anti")
-    created = first_per(free, ["coupon_code"], ["coupon_id", *columns[1:]])
+    first = first_per(made, ["coupon_code"], ["coupon_id", *columns[1:]])
+    created = first.join(coupons.select("coupon_code"), "coupon_code", "left_anti")
     deleted = changes.where(F.col("op") == "delete").select("coupon_id").distinct()
     kept = coupons.select("coupon_id", *columns).join(deleted, "coupon_id", "left_anti")
     return kept.unionByName(created.select("coupon_id", *columns))
@@ -251,8 +253,9 @@ def coupon_usage_append(usage: DataFrame, coupons: DataFrame, orders: DataFrame)
     """
     used = (
         orders.where("coupon_code is not null and coupon_code <> ''")
+        .groupBy("coupon_code", "user_id").agg(F.min("order_id").alias("order_id"))
         .join(coupons.select("coupon_id", "coupon_code"), "coupon_code")
-        .groupBy("coupon_id", "user_id").agg(F.min("order_id").alias("order_id"))
+        .select("coupon_id", "user_id", "order_id")
     )
     new = used.join(usage, ["coupon_id", "user_id"], "left_anti")
     return usage.select("coupon_id", "user_id", "order_id").unionByName(new)
@@ -279,16 +282,16 @@ def address_apply_changes(addresses: DataFrame, changes: DataFrame, editable: Se
     All updates of an address take part: each column takes its last sent value.
     """
     columns = list(editable)
-    owner = addresses.select("address_id", F.col("user_id").alias("_owner"))
-    own = changes.where(F.col("op") != "insert").join(owner, "address_id").where(F.col("user_id") == F.col("_owner"))
+    keys = ["address_id", "user_id"]
     sent = {
         c: F.max(F.when((F.col("op") == "update") & F.array_contains("given", c), F.struct("seq", F.col(c).alias("v"))))
         for c in columns
     }
-    effect = own.groupBy("address_id").agg(
+    effect = changes.where(F.col("op") != "insert").groupBy(*keys).agg(
         F.max(F.col("op") == "delete").alias("_gone"), *[agg.alias(f"_{c}") for c, agg in sent.items()]
     )
-    kept = addresses.join(effect, "address_id", "left").where(~F.coalesce("_gone", F.lit(False)))
+    # Joined on address and user, a change by anyone but the owner meets nothing.
+    kept = addresses.join(effect, keys, "left").where(~F.coalesce("_gone", F.lit(False)))
     updated = kept.select(
         *[F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.v")).otherwise(F.col(c)).alias(c) if c in columns
           else F.col(c) for c in addresses.columns]
@@ -308,7 +311,7 @@ def default_address_set(addresses: DataFrame, choices: DataFrame) -> DataFrame:
     own = choices.join(addresses.select("address_id", "user_id"), ["address_id", "user_id"], "left_semi")
     last = latest(own, ["user_id"], ["seq"], [F.col("address_id").alias("_chosen")])
     chosen = F.col("_chosen")
-    return addresses.join(last, "user_id", "left").withColumn(
+    return spread_join(addresses, last, ["user_id"], ["address_id"]).withColumn(
         "is_default", F.when(chosen.isNull(), F.col("is_default")).otherwise(F.col("address_id") == chosen)
     ).select(*addresses.columns)
 
@@ -317,7 +320,7 @@ def profile_update(addresses: DataFrame, changes: DataFrame) -> DataFrame:
     """Name and phone of the default addresses of users who edited their profile."""
     last = latest(changes, ["user_id"], ["seq"], [F.col("name").alias("_name"), F.col("phone").alias("_phone")])
     edited = F.col("_hit") & F.col("is_default")
-    return addresses.join(last.withColumn("_hit", F.lit(True)), "user_id", "left").withColumns({
+    return spread_join(addresses, last.withColumn("_hit", F.lit(True)), ["user_id"], ["address_id"]).withColumns({
         "name": F.when(edited, F.col("_name")).otherwise(F.col("name")),
         "phone": F.when(edited, F.col("_phone")).otherwise(F.col("phone")),
     }).select(*addresses.columns)
@@ -325,9 +328,9 @@ def profile_update(addresses: DataFrame, changes: DataFrame) -> DataFrame:
 
 def review_insert_once(reviews: DataFrame, submitted: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Reviews with the first submitted review of each user who had none."""
-    fresh = submitted.join(reviews.select("user_id"), "user_id", "left_anti")
-    first = first_per(fresh, ["user_id"], columns)
-    return reviews.select("user_id", *columns).unionByName(first.select("user_id", *columns))
+    first = first_per(submitted, ["user_id"], columns)
+    fresh = first.join(reviews.select("user_id"), "user_id", "left_anti")
+    return reviews.select("user_id", *columns).unionByName(fresh.select("user_id", *columns))
 
 
 def partner_apply_changes(partners: DataFrame, changes: DataFrame) -> DataFrame:
@@ -338,9 +341,10 @@ def partner_apply_changes(partners: DataFrame, changes: DataFrame) -> DataFrame:
     use refuses a creation; a new partner is active.
     """
     columns = ["full_name", "mobile", "status"]
-    asked = changes.where(F.col("op") == "create").join(partners.select("mobile"), "mobile", "left_anti")
+    asked = changes.where(F.col("op") == "create")
     created = (
         first_per(asked, ["mobile"], ["driver_id", "full_name"])
+        .join(partners.select("mobile"), "mobile", "left_anti")
         .withColumns({"status": F.lit(1), "op": F.lit("put")})
     )
     edits = changes.where(F.col("op") != "create").withColumn(
@@ -459,7 +463,7 @@ def cart_merge(cart: DataFrame, actions: DataFrame) -> DataFrame:
     )
     steps = cart_steps(actions.where((F.col("op") != "clear") & F.col("product_id").isNotNull()))
     # What a user did before the last clear leaves closed lines only.
-    mine = steps.join(cleared, "user_id", "left")
+    mine = spread_join(steps, cleared, ["user_id"], ["seq"])
     live = mine.where(F.col("_cleared").isNull() | (F.col("seq") > F.col("_cleared")))
     folded = fold_cart(live.drop("_cleared"))
     opened = steps.where(F.col("op").isin("add", "reorder")).select(*keys).distinct()

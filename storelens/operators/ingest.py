@@ -89,15 +89,15 @@ def purchase_post(documents: DataFrame, register_id: str = "register_id", prefix
 
     ``documents``: seq, the store column and ``document``, JSON text.
     """
-    headers, items = nested_scan(documents, PURCHASE_DOCUMENT, "purchase_items")
+    headers, items = nested_scan(documents, PURCHASE_DOCUMENT, "purchase_items",
+                                 carry={"purchase_date": "purchase_header.purchase_date"})
     numbered = document_number(headers, "seq", prefix, last, digits, by=[register_id], count_from_last=True,
                                name="purchase_no")
     header_rows = numbered.select(
         "seq", F.col(register_id).alias("storeid"), "purchase_no",
         F.col("purchase_header.purchase_date").alias("purchasedate"),
     )
-    dates = headers.select("seq", F.col("purchase_header.purchase_date").alias("purchase_date"))
-    lines = items.where("item_no is not null").join(dates, "seq").select(
+    lines = items.where("item_no is not null").select(
         "seq", "item_no", "purchase_date", F.col("instore_id").alias("instoreid"),
         F.col("outstore_id").alias("outstoreid"), F.col("item_id").alias("itmid"),
         F.col("item_name").alias("itmname"), F.col("unit_id").alias("unitid"), F.col("quantity").alias("stockqty"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.keyed import pages
+from storelens.functions.keyed import pages, spread_join, with_pages
 from storelens.operators.orders import numbered_lines
 from storelens.operators.people import latest_address_per_user
 from storelens.sources.tables import Tables
@@ -17,7 +17,7 @@ def invoice_header(t: Tables) -> DataFrame:
     """Order with the customer of its latest address, ``N/A`` where something is missing."""
     customer = latest_address_per_user(t.addresses, "name", "phone", "full_address")
     missing = F.lit("N/A")
-    return t.orders.join(customer, "user_id", "left").select(
+    return spread_join(t.orders, customer, ["user_id"], ["order_id"]).select(
         "order_id", "order_no", "total_amount", "created_at",
         F.coalesce("name", missing).alias("customer_name"),
         F.coalesce("phone", missing).alias("phone"),
@@ -29,7 +29,7 @@ def invoice_document(t: Tables, page_rows: int = 1000) -> DataFrame:
     """Invoice header with its lines, in lists of at most ``page_rows``."""
     item = F.struct("position", "product_name", "product_qty", "product_amount")
     lines = pages(numbered_lines(t.order_items), ["order_id"], item, page_rows, "items")
-    return invoice_header(t).join(lines, "order_id", "left").withColumn("page_no", F.coalesce("page_no", F.lit(0)))
+    return with_pages(invoice_header(t), t.order_items, lines, "order_id", page_rows)
 
 
 def _link_text(text: Column) -> Column:
@@ -49,8 +49,8 @@ def invoice_text(t: Tables, page_rows: int = 1000, tracking_link: str = TRACKING
     lines = pages(numbered_lines(t.order_items), ["order_id"], line, page_rows, "lines")
     delivery = F.col("full_address") != "N/A"
     map_link = F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), _link_text(F.col("full_address")))
-    return invoice_header(t).join(lines, "order_id", "left").select(
-        "order_id", F.coalesce("page_no", F.lit(0)).alias("page_no"),
+    return with_pages(invoice_header(t), t.order_items, lines, "order_id", page_rows).select(
+        "order_id", "page_no",
         F.when(delivery, "delivery").otherwise("pickup").alias("kind"),
         F.array_join("lines", "\n").alias("items_text"),
         F.when(delivery, map_link).otherwise(F.concat(F.lit(tracking_link), F.col("order_no"))).alias("link"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import order_bucket
-from storelens.functions.keyed import latest, page, pages, ranked, stretch
+from storelens.functions.keyed import latest, page, pages, ranked, spread_join, stretch, with_pages
 from storelens.operators.people import latest_address_per_user
 from storelens.sources.tables import Tables
 
@@ -20,6 +20,11 @@ def _newest() -> list[Column]:
     return [F.col("created_at").desc_nulls_first(), F.col("order_id").desc()]
 
 
+def _lookup(df: DataFrame, lookup: DataFrame, key: str, by: str, size: int | None) -> DataFrame:
+    """Lookup for a page, or for a whole table in which a key may be hot."""
+    return df.join(lookup, key, "left") if size is not None else spread_join(df, lookup, [key], [by])
+
+
 def _only(df: DataFrame, shown: DataFrame, key: str, size: int | None) -> DataFrame:
     """Rows that belong to a page; the page has at most ``size`` rows, so it is sent to all tasks."""
     if size is None:
@@ -45,7 +50,8 @@ def admin_order_list(t: Tables, number: int = 1, size: int | None = None) -> Dat
     shown = page(orders, _newest(), number, size)
     names = latest_address_per_user(_only(t.addresses, shown, "user_id", size), "name")
     counts = _quantities(_only(t.order_items, shown, "order_id", size))
-    return shown.join(names, "user_id", "left").join(counts, "order_id", "left").select(
+    named = _lookup(shown, names, "user_id", "order_id", size)
+    return named.join(counts, "order_id", "left").select(
         "order_id", "order_no", "total_amount", "order_status", "payment_status", "delivery_mode", "name",
         F.date_format("delivery_start", stamp).alias("delivery_start"),
         F.date_format("delivery_end", stamp).alias("delivery_end"),
@@ -60,9 +66,9 @@ def customer_order_list(t: Tables, number: int = 1, size: int | None = None) ->
         _only(t.addresses, shown, "user_id", size), F.col("name").alias("customer_name")
     )
     counts = _quantities(_only(t.order_items, shown, "order_id", size))
+    ratings = _only(t.reviews, shown, "user_id", size).select("user_id", "rating")
     return (
-        shown.join(names, "user_id", "left")
-        .join(t.reviews.select("user_id", "rating"), "user_id", "left")
+        _lookup(shown, names.join(ratings, "user_id", "full"), "user_id", "order_id", size)
         .join(counts, "order_id", "left")
         .select(
             "order_id", "order_no", "total_amount", "order_status", "payment_status", "rating",
@@ -77,11 +83,10 @@ def user_orders(t: Tables, case_sensitive: bool = False) -> DataFrame:
     The item count is multiplied by the number of addresses of that name.
     """
     names = t.addresses.groupBy("user_id", "name").agg(F.count(F.lit(1)).alias("_same"))
+    shown = t.orders.withColumn("bucket", order_bucket("order_status", case_sensitive)).where(F.col("bucket").isNotNull())
     return (
-        t.orders.withColumn("bucket", order_bucket("order_status", case_sensitive))
-        .where(F.col("bucket").isNotNull())
+        spread_join(shown, names, ["user_id"], ["order_id"])
         .join(_quantities(t.order_items), "order_id", "left")
-        .join(names, "user_id", "left")
         .select(
             "order_id", "user_id", "order_no", "total_amount", "order_status", "payment_status", "bucket", "name",
             (F.coalesce("item_count", F.lit(0)) * F.coalesce("_same", F.lit(1))).alias("item_count"),
@@ -131,9 +136,9 @@ def order_header_detail(t: Tables, role: str = "user", one_method: bool = False)
         t.addresses, F.col("name").alias("customer_name"), F.col("phone").alias("customer_phone")
     )
     return (
-        orders.join(totals, "order_id")
+        spread_join(orders, customer, ["user_id"], ["order_id"], "inner")
+        .join(totals, "order_id")
         .join(methods, "order_id", "left")
-        .join(customer, "user_id")
         .select(
             "order_id", "order_no", "order_status", "total_amount", "handling_fee", "delivery_fee",
             F.col("coupon_discount").alias("discount_amount"), "coupon_code", "customer_name", "customer_phone",
@@ -160,15 +165,15 @@ def order_document(t: Tables, page_rows: int = 1000) -> DataFrame:
     documents, told apart by ``page_no``.
     """
     known = t.order_items.join(t.units, F.col("product_unit") == F.col("unitid"))
+    header = order_header_detail(t, one_method=True)
     item = F.struct(
         F.col("product_name").alias("itmname"), F.col("product_rate").alias("price"),
         F.col("product_qty").alias("qty"), F.col("product_amount").alias("total"), F.col("unitname").alias("unit"),
     )
     lines = pages(numbered_lines(known), ["order_id"], item, page_rows, "itmdetails")
-    header = order_header_detail(t, one_method=True)
     zero = F.lit(0).cast("decimal(10,2)")
-    return header.join(lines, "order_id", "left").select(
-        "order_id", F.coalesce("page_no", F.lit(0)).alias("page_no"), "order_no", "address",
+    return with_pages(header, known, lines, "order_id", page_rows).select(
+        "order_id", "page_no", "order_no", "address",
         F.struct(F.col("customer_name").alias("name"), F.col("customer_phone").alias("phone")).alias("customer"),
         F.struct(
             F.coalesce("item_total", zero).alias("item_total"),
@@ -220,11 +225,13 @@ def user_order_history(t: Tables) -> DataFrame:
         t.tracking.groupBy("order_id", F.col("created_at").alias("tracked_at"))
         .agg(F.count(F.lit(1)).alias("_tracked"))
     )
-    return (
+    ordered = (
         t.orders.select("order_id", "order_no", "user_id", "total_amount", "order_status")
         .join(paid, "order_id")
-        .join(tracked, "order_id")
         .join(_quantities(t.order_items), "order_id", "left")
+    )
+    return (
+        spread_join(tracked, ordered, ["order_id"], ["tracked_at"], "inner")
         .select(
             "order_id", "order_no", "user_id", "total_amount", "method", "order_status", "tracked_at",
             (F.coalesce("item_count", F.lit(0)) * F.col("_paid") * F.col("_tracked")).alias("items"),
@@ -236,10 +243,10 @@ def delivery_order_detail(t: Tables) -> DataFrame:
     """What a delivery partner sees of an order: latest address, payment method."""
     customer = latest_address_per_user(t.addresses, "name", "phone", F.col("full_address").alias("address"))
     method = t.payments.groupBy("order_id").agg(F.min("method").alias("method"))
+    orders = t.orders.select("order_id", "order_no", "user_id")
     return (
-        t.orders.select("order_id", "order_no", "user_id")
+        spread_join(orders, customer, ["user_id"], ["order_id"], "inner")
         .join(method, "order_id")
-        .join(customer, "user_id")
         .select("order_id", "order_no", "name", "phone", "address", "method")
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import all_of, contains_text, status_label
-from storelens.functions.keyed import page, pages, ranked, stretch
+from storelens.functions.keyed import page, pages, ranked, stretch, with_pages
 from storelens.operators.stock import is_live
 from storelens.sources.tables import Tables
 
@@ -50,11 +50,15 @@ def purchase_list(t: Tables, search: str = "", from_date: dt.date | None = None,
 
 
 def purchase_lines(t: Tables) -> DataFrame:
-    """Lines of known unit that are not cancelled (a NULL flag excludes), with their place."""
-    lines = t.ledger.where(F.col("itmcandel") == 0).join(t.units, "unitid").select(
+    """Lines of known unit that are not cancelled; a NULL flag excludes."""
+    return t.ledger.where(F.col("itmcandel") == 0).join(t.units, "unitid").select(
         "purchase_id", "orderid", "line_no", F.col("itmid").alias("item_id"), "unitid", "unitname",
         F.col("stockqty").alias("quantity"), "value",
     )
+
+
+def numbered_purchase_lines(lines: DataFrame) -> DataFrame:
+    """Purchase lines with their place in the purchase."""
     return ranked(
         lines, by=["purchase_id"],
         order=[F.col(c) for c in ("orderid", "line_no", "item_id", "quantity", "value")],
@@ -66,9 +70,10 @@ def purchase_document(t: Tables, page_rows: int = 1000) -> DataFrame:
     """Purchase with its lines, in lists of at most ``page_rows``."""
     item = F.struct("item_id", F.col("unitid").alias("unit_id"), F.col("unitname").alias("unit_name"),
                     "quantity", "value")
-    lists = pages(purchase_lines(t), ["purchase_id"], item, page_rows, "purchase_items")
+    lines = purchase_lines(t)
+    lists = pages(numbered_purchase_lines(lines), ["purchase_id"], item, page_rows, "purchase_items")
     header = t.purchases.select(
         F.col("purchaseid").alias("purchase_id"), "purchase_no",
         F.col("purchasedate").alias("purchase_date"), F.coalesce("refrence", F.lit("")).alias("reference"),
     )
-    return header.join(lists, "purchase_id", "left").withColumn("page_no", F.coalesce("page_no", F.lit(0)))
+    return with_pages(header, lines, lists, "purchase_id", page_rows)

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.keyed import pages
+from storelens.functions.keyed import pages, with_pages
 from storelens.operators import changes, ingest, stock
 from storelens.operators.numbering import document_number
 from storelens.operators.orders import numbered_lines
@@ -25,6 +25,8 @@ from storelens.sources.tables import Tables
 from storelens.streaming import feeds
 
 E = F.col("event_id")
+# Lines to one submitted order document.
+DOCUMENT_ROWS = 1000
 
 
 def money(column: Column) -> Column:
@@ -56,26 +58,28 @@ for _part in ("categories", "products", "images"):
 
 
 def order_documents(t: Tables) -> DataFrame:
-    """Orders as submitted JSON; a long order is several documents, the first with the header."""
+    """Orders as submitted JSON; a long order is several documents."""
     item = F.struct(
         "product_id", "product_name", "product_unit", "product_qty", "product_rate", "product_amount")
-    lists = pages(numbered_lines(t.order_items), ["order_id"], item, 1000, "items_details")
+    lists = pages(numbered_lines(t.order_items), ["order_id"], item, DOCUMENT_ROWS, "items_details")
     header = t.orders.withColumns({
         "payment_method": F.when(F.col("order_id") % 3 == 0, "COD").otherwise("UPI"),
         "transaction_id": F.when(F.col("order_id") % 3 == 0, "").otherwise(F.concat(F.lit("tx"), "order_id")),
         "delivery_start": F.date_format("delivery_start", "yyyy-MM-dd HH:mm:ss"),
     })
     document = F.struct(
-        "order_id", "user_id", "address_delivery", "total_amount", "order_status", "payment_status",
+        "order_id", F.col("page_no").alias("part_no"), "user_id", "address_delivery", "total_amount", "order_status", "payment_status",
         "payment_method", "delivery_id", "delivery_start", "coupon_code", "transaction_id", "items_details")
-    return header.join(lists, "order_id", "left").select(F.to_json(document).alias("document"))
+    return with_pages(header, t.order_items, lists, "order_id", DOCUMENT_ROWS).select(
+        F.to_json(document).alias("document"))
 
 
 @star_query("nested_order_scan")
 def _nested(star: StarSchema) -> DataFrame:
-    headers, lines = nested_order_scan(order_documents(star.tables()))
-    return lines.join(headers.select("order_id", "user_id", "total_amount"), "order_id").select(
-        "order_id", "user_id", "total_amount", "item_no", "product_id", "product_qty", "product_amount")
+    _, lines = nested_order_scan(order_documents(star.tables()))
+    item_no = F.col("item_no") + F.coalesce("part_no", F.lit(0)) * DOCUMENT_ROWS
+    return lines.select(
+        "order_id", "user_id", "total_amount", item_no.alias("item_no"), "product_id", "product_qty", "product_amount")
 
 
 for _part in ("orders", "order_items", "ledger", "payments", "tracking", "coupon_usage"):

@@ -13,7 +13,7 @@ ITEM_SHEET = (
 )
 
 ORDER_DOCUMENT = (
-    "order_id bigint, user_id bigint, address_delivery string, total_amount decimal(12,2),"
+    "order_id bigint, part_no int, user_id bigint, address_delivery string, total_amount decimal(12,2),"
     " order_status string, payment_status string, payment_method string, delivery_id int,"
     " delivery_start string, coupon_code string, transaction_id string,"
     " items_details array<struct<product_id: bigint, product_name: string, product_unit: int,"
@@ -57,22 +57,29 @@ def clean_sheet(sheet: DataFrame) -> DataFrame:
     })
 
 
-def nested_scan(documents: DataFrame, schema: str, items: str, column: str = "document") -> tuple[DataFrame, DataFrame]:
-    """Header rows and item rows of JSON documents; a document without items keeps one empty item row."""
+def nested_scan(documents: DataFrame, schema: str, items: str, column: str = "document",
+                carry: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Header rows and item rows of JSON documents; a document without items keeps one empty item row.
+
+    ``carry`` names header values that the item rows take along.
+    """
     parsed = documents.withColumn("_d", F.from_json(column, schema)).drop(column)
     kept = [c for c in parsed.columns if c != "_d"]
     wide = parsed.select(*kept, "_d.*")
     headers = wide.drop(items)
+    kept += list(carry or {})
+    parsed = parsed.withColumns({name: F.col(f"_d.{path}") for name, path in (carry or {}).items()})
     rows = parsed.select(*kept, F.posexplode_outer(F.col(f"_d.{items}")).alias("item_no", "_item"))
     return headers, rows.select(*kept, "item_no", "_item.*")
 
 
 def nested_order_scan(documents: DataFrame, column: str = "document") -> tuple[DataFrame, DataFrame]:
-    """Headers and lines of submitted orders."""
-    parsed = documents.withColumn("_d", F.from_json(column, ORDER_DOCUMENT))
-    headers = parsed.select("_d.*").drop("items_details")
-    lines = parsed.select(
-        F.col("_d.order_id").alias("order_id"),
-        F.posexplode_outer("_d.items_details").alias("item_no", "_item"),
-    )
-    return headers, lines.select("order_id", "item_no", "_item.*")
+    """Headers and lines of submitted orders.
+
+    A long order may come in several documents numbered by ``part_no``; the
+    first one (0 or no number) gives the header.
+    """
+    headers, lines = nested_scan(documents.select(column), ORDER_DOCUMENT, "items_details", column, {
+        "order_id": "order_id", "part_no": "part_no", "user_id": "user_id", "total_amount": "total_amount"})
+    first = F.coalesce("part_no", F.lit(0)) == 0
+    return headers.where(first).drop("part_no"), lines
