@@ -80,7 +80,9 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Ma
     keys = [*by, *bucket]
     if by:
         hot = F.col("_shares").isNotNull()
-        marked = _with_shares(df, hot_keys(df, by), by).withColumns({b: F.when(hot, c) for b, c in bucket.items()})
+        # Rows without a key are no listing of anything and stay in one stretch.
+        keyed = hot_keys(df, by).dropna(subset=list(by))
+        marked = _with_shares(df, keyed, by).withColumns({b: F.when(hot, c) for b, c in bucket.items()})
         split, marked = marked.where(hot), marked.drop("_shares")
     else:
         split = marked = df.withColumns(dict(bucket))

@@ -24,11 +24,14 @@ from storelens.sources.sinks import order_fanout
 from storelens.sources.tables import Tables
 from storelens.streaming import feeds
 
-E = F.col("event_id")
 # Lines to one submitted order document.
 DOCUMENT_ROWS = 1000
 
 
+def event_no() -> Column:
+    return F.col("event_id")
+
+
 def money(column: Column) -> Column:
     return column.cast("decimal(10,2)")
 
@@ -151,17 +154,17 @@ def _category_upsert(star: StarSchema) -> DataFrame:
 
 def item_saves(star: StarSchema) -> DataFrame:
     value = F.floor("value")
-    insert = E % 3 == 0
+    insert = event_no() % 3 == 0
     return star.raw("events").select(
-        E.alias("seq"), F.when(~insert, E % 2500).alias("product_id"), (E + 10000000).alias("new_id"),
-        F.when(E % 9 == 0, F.lit(" SMALL Ring")).when(insert, F.concat(F.lit(" New Item "), (E % 400).cast("string")))
-        .otherwise(F.concat(F.lit("Changed "), E.cast("string"))).alias("name"),
-        (E % 9).cast("int").alias("category"), F.when(E % 2 == 0, F.col("event_type")).alias("description"),
-        money(value).alias("base_price"), F.when(E % 5 != 0, money(value + 1)).alias("mrp"),
-        (E % 4).cast("int").alias("unit"), F.when(E % 7 != 0, (E % 30).cast("int")).alias("stock_qty"),
-        F.when(E % 6 != 0, (E % 20).cast("int")).alias("open_qty"), F.lit(None).cast("date").alias("open_date"),
-        F.when(E % 10 == 0, 0).alias("sts"),
-        F.when(E % 4 == 0, F.concat(F.lit("new/"), E.cast("string"))).alias("image"))
+        event_no().alias("seq"), F.when(~insert, event_no() % 2500).alias("product_id"), (event_no() + 10000000).alias("new_id"),
+        F.when(event_no() % 9 == 0, F.lit(" SMALL Ring")).when(insert, F.concat(F.lit(" New Item "), (event_no() % 400).cast("string")))
+        .otherwise(F.concat(F.lit("Changed "), event_no().cast("string"))).alias("name"),
+        (event_no() % 9).cast("int").alias("category"), F.when(event_no() % 2 == 0, F.col("event_type")).alias("description"),
+        money(value).alias("base_price"), F.when(event_no() % 5 != 0, money(value + 1)).alias("mrp"),
+        (event_no() % 4).cast("int").alias("unit"), F.when(event_no() % 7 != 0, (event_no() % 30).cast("int")).alias("stock_qty"),
+        F.when(event_no() % 6 != 0, (event_no() % 20).cast("int")).alias("open_qty"), F.lit(None).cast("date").alias("open_date"),
+        F.when(event_no() % 10 == 0, 0).alias("sts"),
+        F.when(event_no() % 4 == 0, F.concat(F.lit("new/"), event_no().cast("string"))).alias("image"))
 
 
 for _no, _name in enumerate(("item_upsert", "item_upsert_images", "item_upsert_refused")):
@@ -174,8 +177,8 @@ for _no, _name in enumerate(("item_upsert", "item_upsert_images", "item_upsert_r
 @star_query("discount_update")
 def _discount_update(star: StarSchema) -> DataFrame:
     batch = star.raw("events").select(
-        E.alias("seq"), (E % 2500).alias("product_id"), (E % 4).cast("int").alias("mode"),
-        (E % 60).cast("decimal(5,2)").alias("percent"))
+        event_no().alias("seq"), (event_no() % 2500).alias("product_id"), (event_no() % 4).cast("int").alias("mode"),
+        (event_no() % 60).cast("decimal(5,2)").alias("percent"))
     products = star.tables().products.select("product_id", "title", "discount_per", "discount_sts")
     return changes.discount_update(products, batch)
 
@@ -212,7 +215,7 @@ star_query("purchase_replace_lines")(lambda star: _by_purchase(purchase_replacem
 
 
 def item_cancels(star: StarSchema) -> DataFrame:
-    return star.raw("events").select((E % 100).alias("purchase_id"), (E * 7 % 2000).alias("itmid"))
+    return star.raw("events").select((event_no() % 100).alias("purchase_id"), (event_no() * 7 % 2000).alias("itmid"))
 
 
 star_query("purchase_item_cancel")(
@@ -234,7 +237,7 @@ star_query("purchase_cancel_lines")(lambda star: _by_purchase(purchase_cancels(s
 
 def order_cancels(star: StarSchema) -> tuple[DataFrame, DataFrame]:
     t = star.tables()
-    return changes.order_cancel(t.orders, t.ledger, star.raw("events").select((E * 3).alias("order_id")))
+    return changes.order_cancel(t.orders, t.ledger, star.raw("events").select((event_no() * 3).alias("order_id")))
 
 
 star_query("order_cancel_orders")(lambda star: order_cancels(star)[0].select("order_id", "order_status"))
@@ -243,9 +246,9 @@ star_query("order_cancel_ledger")(lambda star: _by_purchase(order_cancels(star)[
 
 def delivery_events(star: StarSchema) -> DataFrame:
     return star.raw("events").where(F.col("event_type").isin("view", "click")).select(
-        E.alias("seq"), (E % 900).alias("order_id"),
+        event_no().alias("seq"), (event_no() % 900).alias("order_id"),
         F.when(F.col("event_type") == "view", "out_for_delivery").otherwise("delivered").alias("state"),
-        (E % 2 == 0).alias("by_partner"))
+        (event_no() % 2 == 0).alias("by_partner"))
 
 
 for _no, _part in enumerate(("orders", "payments", "tracking")):
@@ -261,12 +264,12 @@ for _no, _part in enumerate(("orders", "payments", "tracking")):
 def _coupon_changes(star: StarSchema) -> DataFrame:
     kind = F.col("event_type")
     batch = star.raw("events").where(kind.isin("view", "click", "error")).select(
-        E.alias("seq"), F.when(kind == "error", "delete").otherwise("create").alias("op"),
-        F.when(kind == "error", E % 150).otherwise(E + 1000000).alias("coupon_id"),
-        F.concat(F.when(E % 2 == 0, "gift").otherwise("save"), (E % 300).cast("string")).alias("coupon_code"),
-        F.when(E % 3 == 0, "FLAT").otherwise("PERCENT").alias("discount_type"), money(E % 50 + 1).alias("discount_value"),
-        F.when(E % 5 != 0, money(E % 700)).alias("min_order_value"), money(E % 4 * 100).alias("max_discount"),
-        F.when(E % 6 != 0, F.lit("2003-03-03").cast("date")).alias("expiry_date"))
+        event_no().alias("seq"), F.when(kind == "error", "delete").otherwise("create").alias("op"),
+        F.when(kind == "error", event_no() % 150).otherwise(event_no() + 1000000).alias("coupon_id"),
+        F.concat(F.when(event_no() % 2 == 0, "gift").otherwise("save"), (event_no() % 300).cast("string")).alias("coupon_code"),
+        F.when(event_no() % 3 == 0, "FLAT").otherwise("PERCENT").alias("discount_type"), money(event_no() % 50 + 1).alias("discount_value"),
+        F.when(event_no() % 5 != 0, money(event_no() % 700)).alias("min_order_value"), money(event_no() % 4 * 100).alias("max_discount"),
+        F.when(event_no() % 6 != 0, F.lit("2003-03-03").cast("date")).alias("expiry_date"))
     return changes.coupon_apply_changes(star.tables().coupons, batch)
 
 
@@ -286,8 +289,8 @@ def cart_actions(events: DataFrame) -> DataFrame:
     op = (F.when(kind == "view", "add").when(kind == "click", "set").when(kind == "error", "remove")
           .when(kind == "purchase", "reorder").otherwise("clear"))
     return events.select(
-        E.alias("seq"), "user_id", F.when(kind != "signup", E % 5).alias("product_id"), op.alias("op"),
-        F.when(E % 4 != 0, F.floor("value").cast("long") + 1).when(kind == "purchase", F.lit(2).cast("long")).alias("qty"))
+        event_no().alias("seq"), "user_id", F.when(kind != "signup", event_no() % 5).alias("product_id"), op.alias("op"),
+        F.when(event_no() % 4 != 0, F.floor("value").cast("long") + 1).when(kind == "purchase", F.lit(2).cast("long")).alias("qty"))
 
 
 def carts_before(star: StarSchema) -> DataFrame:
@@ -302,20 +305,20 @@ star_query("cart_merge")(lambda star: changes.cart_merge(carts_before(star), car
 
 @star_query("favourite_toggle")
 def _toggle(star: StarSchema) -> DataFrame:
-    batch = star.raw("events").where(F.col("event_type").isin("click", "view")).select("user_id", (E % 200).alias("product_id"))
+    batch = star.raw("events").where(F.col("event_type").isin("click", "view")).select("user_id", (event_no() % 200).alias("product_id"))
     return changes.favourite_toggle(star.tables().favourites, batch)
 
 
 @star_query("address_apply_changes")
 def _address_changes(star: StarSchema) -> DataFrame:
     kind, insert = F.col("event_type"), F.col("event_type") == "signup"
-    given = F.array_compact(F.array(F.when(E % 2 == 0, "name"), F.when(E % 3 == 0, "full_address")))
+    given = F.array_compact(F.array(F.when(event_no() % 2 == 0, "name"), F.when(event_no() % 3 == 0, "full_address")))
     first = star.raw("events").where(kind != "purchase").select(
-        E.alias("seq"), F.when(insert, "insert").when(kind == "error", "delete").otherwise("update").alias("op"),
-        F.when(insert, E + 10000000).otherwise(E).alias("address_id"),
-        F.when((E % 4 == 0) & ~insert, 99999).otherwise(F.col("user_id")).alias("user_id"), given.alias("given"),
-        F.when(E % 8 != 6, F.concat(F.lit("Name "), E.cast("string"))).alias("name"),
-        F.concat(F.lit("Street "), E.cast("string")).alias("full_address"), F.col("ts").alias("created_at"))
+        event_no().alias("seq"), F.when(insert, "insert").when(kind == "error", "delete").otherwise("update").alias("op"),
+        F.when(insert, event_no() + 10000000).otherwise(event_no()).alias("address_id"),
+        F.when((event_no() % 4 == 0) & ~insert, 99999).otherwise(F.col("user_id")).alias("user_id"), given.alias("given"),
+        F.when(event_no() % 8 != 6, F.concat(F.lit("Name "), event_no().cast("string"))).alias("name"),
+        F.concat(F.lit("Street "), event_no().cast("string")).alias("full_address"), F.col("ts").alias("created_at"))
     second = first.where((F.col("op") == "update") & (F.col("seq") % 5 == 1)).withColumns({
         "seq": F.col("seq") + 20000000, "given": F.array(F.lit("full_address")), "full_address": F.lit("Second")})
     current = star.tables().addresses.select("address_id", "user_id", "name", "full_address", "created_at")
@@ -324,8 +327,8 @@ def _address_changes(star: StarSchema) -> DataFrame:
 
 @star_query("default_address_set")
 def _default(star: StarSchema) -> DataFrame:
-    batch = star.raw("events").where(E % 3 == 0).select(
-        E.alias("seq"), F.when(E % 4 == 0, 99999).otherwise(F.col("user_id")).alias("user_id"), E.alias("address_id"))
+    batch = star.raw("events").where(event_no() % 3 == 0).select(
+        event_no().alias("seq"), F.when(event_no() % 4 == 0, 99999).otherwise(F.col("user_id")).alias("user_id"), event_no().alias("address_id"))
     current = star.tables().addresses.select("address_id", "user_id", "is_default")
     return changes.default_address_set(current, batch)
 
@@ -339,7 +342,7 @@ def _profile(star: StarSchema) -> DataFrame:
 
 @star_query("review_insert_once")
 def _review(star: StarSchema) -> DataFrame:
-    batch = star.raw("events").select(E.alias("seq"), (E % 1700).alias("user_id"), (E % 5 + 1).cast("int").alias("rating"))
+    batch = star.raw("events").select(event_no().alias("seq"), (event_no() % 1700).alias("user_id"), (event_no() % 5 + 1).cast("int").alias("rating"))
     return changes.review_insert_once(star.tables().reviews, batch, ["rating"])
 
 
