@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 # Rows of one key that one task may take; the session setting ``storelens.hotKeyRows`` overrides it.
 HOT_KEY_ROWS = 2_000_000
+# Rows of one key that one task may hold as a list; ``storelens.documentRows`` overrides it.
+DOCUMENT_KEY_ROWS = 100_000
+
+
+def _setting(df: DataFrame, name: str, default: int) -> int:
+    return int(df.sparkSession.conf.get(name, str(default)))
 
 
 def newest_first(column: str | Column) -> list[Column]:
@@ -37,7 +43,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     rows of the table comes out, so the result is small enough to be sent to
     all tasks.
     """
-    limit = int(df.sparkSession.conf.get("storelens.hotKeyRows", str(HOT_KEY_ROWS)))
+    limit = _setting(df, "storelens.hotKeyRows", HOT_KEY_ROWS)
     return (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > limit)
@@ -107,32 +113,48 @@ def stretch(column: str | Column, bits: int = 16) -> Column:
     return F.shiftright(col.cast("long"), bits)
 
 
-def pages(df: DataFrame, keys: Sequence[str], item: Column, page_rows: int, name: str,
-          position: str = "position") -> DataFrame:
-    """Lists of items in position order, at most ``page_rows`` to a list.
+def documents(headers: DataFrame, rows: DataFrame, key: str, order: Sequence[str], bucket: Mapping[str, Column],
+              item: Callable[[Column, Column], Column], page_rows: int, name: str) -> DataFrame:
+    """Headers with the list of their rows, in pages of at most ``page_rows`` told apart by ``page_no``.
 
-    A short key gives one list; a long one gives as many as it needs, so no
-    list grows with the table.
+    ``item`` makes a list entry out of a row and its place. The rows of a key
+    are grouped, sorted and cut into pages together with its header, in one
+    shuffle. Keys with more than ``documentRows`` rows are numbered by
+    stretches instead (see ``ranked``), so no list grows with the table. A
+    header without rows is one page with no list.
     """
-    page_no = F.floor((F.col(position) - 1) / page_rows).cast("int").alias("page_no")
-    sorted_rows = F.array_sort(F.collect_list(F.struct(F.col(position).alias("_at"), item.alias("_item"))))
-    return (
-        df.groupBy(*keys, page_no).agg(sorted_rows.alias("_rows"))
-        .withColumn(name, F.transform("_rows", lambda row: row["_item"]))
-        .drop("_rows")
+    limit = _setting(rows, "storelens.documentRows", DOCUMENT_KEY_ROWS)
+    long_keys = (
+        rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+        .where((F.col("_rows") > limit) & F.col(key).isNotNull()).select(key)
     )
+    # At most one key per `limit` rows of the table.
+    long_keys = F.broadcast(long_keys)
+    columns = [*order, *[c for c in rows.columns if c != key and c not in order]]
 
+    lists = (
+        rows.join(long_keys, key, "left_anti").groupBy(key)
+        .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows"))
+    )
+    last = F.floor((F.coalesce(F.size("_rows"), F.lit(1)) - 1) / page_rows).cast("int")
+    start = F.col("page_no") * page_rows
+    short = (
+        headers.join(long_keys, key, "left_anti").join(lists, key, "left")
+        .withColumn("page_no", F.explode(F.sequence(F.lit(0), last)))
+        .withColumn(name, F.transform(F.slice("_rows", start + 1, page_rows),
+                                      lambda row, i: item(row, (start + i + 1).cast("long"))))
+        .drop("_rows")
+    )
 
-def with_pages(headers: DataFrame, rows: DataFrame, lists: DataFrame, key: str, page_rows: int) -> DataFrame:
-    """Headers joined to their lists, page by page; a header without rows is page 0 with no list.
-
-    ``rows`` are the rows the lists were made of. The headers are repeated per
-    page before the join, so the pages of a long key are spread over tasks.
-    """
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    last = F.floor((F.coalesce("_rows", F.lit(1)) - 1) / page_rows).cast("int")
-    paged = headers.join(counts, key, "left").withColumn("page_no", F.explode(F.sequence(F.lit(0), last))).drop("_rows")
-    return paged.join(lists, [key, "page_no"], "left")
+    numbered = ranked(rows.join(long_keys, key, "left_semi"), [key], [F.col(c) for c in order], bucket, "_at")
+    entry = F.struct("_at", item(F.struct(*columns), F.col("_at").cast("long")).alias("_item"))
+    page_no = F.floor((F.col("_at") - 1) / page_rows).cast("int").alias("page_no")
+    long = (
+        numbered.groupBy(key, page_no).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+        .withColumn(name, F.transform("_rows", lambda row: row["_item"])).drop("_rows")
+        .join(F.broadcast(headers.join(long_keys, key, "left_semi")), key)
+    )
+    return short.unionByName(long)
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int | None = None,

@@ -428,7 +428,7 @@ def _then(first: Column, second: Column) -> Column:
 
 def _fold_steps(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """One step per key, folded in order. Callers see to it that a key has few rows."""
-    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), F.col("step").alias("_step"))))
+    steps = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), F.col("step").alias("_step"))))
     nothing = _cart_step(F.lit(False), F.lit(0), F.lit("add"), F.lit(0))
     return (
         rows.groupBy(*keys).agg(steps.alias("_steps"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.keyed import pages, spread_join, with_pages
-from storelens.operators.orders import numbered_lines
+from storelens.functions.keyed import spread_join
+from storelens.operators.orders import line_documents
 from storelens.operators.people import latest_address_per_user
 from storelens.sources.tables import Tables
 
@@ -25,11 +25,17 @@ def invoice_header(t: Tables) -> DataFrame:
     )
 
 
+def _invoice_lines(t: Tables) -> DataFrame:
+    return t.order_items.select("order_id", "line_no", "product_id", "product_qty", "product_amount", "product_name")
+
+
 def invoice_document(t: Tables, page_rows: int = 1000) -> DataFrame:
     """Invoice header with its lines, in lists of at most ``page_rows``."""
-    item = F.struct("position", "product_name", "product_qty", "product_amount")
-    lines = pages(numbered_lines(t.order_items), ["order_id"], item, page_rows, "items")
-    return with_pages(invoice_header(t), t.order_items, lines, "order_id", page_rows)
+    def item(row: Column, position: Column) -> Column:
+        return F.struct(position.alias("position"), row["product_name"].alias("product_name"),
+                        row["product_qty"].alias("product_qty"), row["product_amount"].alias("product_amount"))
+
+    return line_documents(invoice_header(t), _invoice_lines(t), item, page_rows, "items")
 
 
 def _link_text(text: Column) -> Column:
@@ -42,14 +48,15 @@ def _link_text(text: Column) -> Column:
 
 def invoice_text(t: Tables, page_rows: int = 1000, tracking_link: str = TRACKING_LINK) -> DataFrame:
     """Lines of each invoice page, and the link for delivery or pickup."""
-    line = F.concat(
-        F.col("position").cast("string"), F.lit(". "), F.col("product_name"),
-        F.lit("  x"), F.col("product_qty").cast("string"), F.lit("  ₹"), F.col("product_amount").cast("string"),
-    )
-    lines = pages(numbered_lines(t.order_items), ["order_id"], line, page_rows, "lines")
+    def line(row: Column, position: Column) -> Column:
+        return F.concat(
+            position.cast("string"), F.lit(". "), row["product_name"],
+            F.lit("  x"), row["product_qty"].cast("string"), F.lit("  ₹"), row["product_amount"].cast("string"),
+        )
+
     delivery = F.col("full_address") != "N/A"
     map_link = F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), _link_text(F.col("full_address")))
-    return with_pages(invoice_header(t), t.order_items, lines, "order_id", page_rows).select(
+    return line_documents(invoice_header(t), _invoice_lines(t), line, page_rows, "lines").select(
         "order_id", "page_no",
         F.when(delivery, "delivery").otherwise("pickup").alias("kind"),
         F.array_join("lines", "\n").alias("items_text"),

@@ -8,11 +8,13 @@ result row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import order_bucket
-from storelens.functions.keyed import latest, page, pages, ranked, spread_join, stretch, with_pages
+from storelens.functions.keyed import documents, latest, page, ranked, spread_join, stretch
 from storelens.operators.people import latest_address_per_user
 from storelens.sources.tables import Tables
 
@@ -149,12 +151,13 @@ def order_header_detail(t: Tables, role: str = "user", one_method: bool = False)
     )
 
 
-def numbered_lines(lines: DataFrame) -> DataFrame:
-    """Order lines with their place in the order."""
-    return ranked(
-        lines, by=["order_id"],
-        order=[F.col("line_no"), F.col("product_id"), F.col("product_qty"), F.col("product_amount")],
-        bucket={"_line": F.coalesce("line_no", F.lit(2 ** 31 - 1)), "_product": stretch("product_id", 10)},
+def line_documents(headers: DataFrame, lines: DataFrame, item: Callable[[Column, Column], Column], page_rows: int,
+                   name: str) -> DataFrame:
+    """Order headers with the list of their lines, page by page."""
+    return documents(
+        headers, lines, "order_id", ["line_no", "product_id", "product_qty", "product_amount"],
+        {"_line": F.coalesce("line_no", F.lit(-1)), "_product": F.coalesce(stretch("product_id", 10), F.lit(-1))},
+        item, page_rows, name,
     )
 
 
@@ -164,15 +167,19 @@ def order_document(t: Tables, page_rows: int = 1000) -> DataFrame:
     Lines come in lists of at most ``page_rows``; a longer order is several
     documents, told apart by ``page_no``.
     """
-    known = t.order_items.join(t.units, F.col("product_unit") == F.col("unitid"))
-    header = order_header_detail(t, one_method=True)
-    item = F.struct(
-        F.col("product_name").alias("itmname"), F.col("product_rate").alias("price"),
-        F.col("product_qty").alias("qty"), F.col("product_amount").alias("total"), F.col("unitname").alias("unit"),
+    lines = t.order_items.join(t.units, F.col("product_unit") == F.col("unitid")).select(
+        "order_id", "line_no", "product_id", "product_name", "product_rate", "product_qty", "product_amount", "unitname"
     )
-    lines = pages(numbered_lines(known), ["order_id"], item, page_rows, "itmdetails")
+
+    def item(row: Column, _: Column) -> Column:
+        return F.struct(
+            row["product_name"].alias("itmname"), row["product_rate"].alias("price"), row["product_qty"].alias("qty"),
+            row["product_amount"].alias("total"), row["unitname"].alias("unit"),
+        )
+
     zero = F.lit(0).cast("decimal(10,2)")
-    return with_pages(header, known, lines, "order_id", page_rows).select(
+    header = order_header_detail(t, one_method=True)
+    return line_documents(header, lines, item, page_rows, "itmdetails").select(
         "order_id", "page_no", "order_no", "address",
         F.struct(F.col("customer_name").alias("name"), F.col("customer_phone").alias("phone")).alias("customer"),
         F.struct(

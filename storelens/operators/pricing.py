@@ -115,25 +115,28 @@ def delivery_slots(requests: DataFrame) -> DataFrame:
     ``requests`` has request_id and requested_at. Today runs from the next
     half hour to 20:30, tomorrow from 10:00 to 20:00.
     """
-    at = F.col("requested_at")
-    hour, day = F.date_trunc("hour", at), F.date_trunc("day", at)
-    first = F.when(F.minute(at) <= 30, hour + F.expr("interval 30 minutes")).otherwise(hour + F.expr("interval 1 hour"))
-    last = day + F.expr("interval 19 hours 30 minutes")
-    step = F.expr("interval 1 hour")
-    today = F.when(first <= last, F.sequence(first, last, step))
-    tomorrow = F.sequence(day + F.expr("interval 34 hours"), day + F.expr("interval 43 hours"), step)
-
-    def named(day_name: str, starts: Column) -> Column:
-        return F.transform(starts, lambda start: F.struct(F.lit(day_name).alias("day"), start.alias("slot_start")))
-
-    def clock(moment: Column) -> Column:
-        return F.lower(F.date_format(moment, "h:mm a"))
-
-    slots = F.concat(F.coalesce(named("Today", today), F.array()), named("Tomorrow", tomorrow))
-    start, end = F.col("slot_start"), F.col("slot_start") + step
-    return requests.select("request_id", F.inline(slots)).select(
-        "request_id", "day", "slot_start", end.alias("slot_end"),
-        F.concat(F.col("day"), F.lit(", "), clock(start), F.lit(" - "), clock(end)).alias("label"),
+    at, day = F.col("requested_at"), F.date_trunc("day", "requested_at")
+    # Slots are minutes of the day asked on; tomorrow starts at 1440.
+    first = F.hour(at) * 60 + F.when(F.minute(at) <= 30, 30).otherwise(60)
+    last = 20 * 60 + 30 - 60
+    today = F.when(first <= last, F.sequence(first, F.lit(last), F.lit(60))).otherwise(F.array().cast("array<int>"))
+    tomorrow = F.array(*[F.lit(1440 + hour * 60) for hour in range(10, 20)])
+
+    def moment(minutes: Column) -> Column:
+        return F.col("day") + F.make_dt_interval(mins=minutes)
+
+    def clock(minutes: Column) -> Column:
+        hour, minute = F.pmod(F.floor(minutes / 60), F.lit(24)), minutes % 60
+        return F.concat(
+            (F.pmod(hour + 11, F.lit(12)) + 1).cast("string"), F.when(minute == 0, ":00").otherwise(":30"),
+            F.when(hour < 12, " am").otherwise(" pm"),
+        )
+
+    begins, ends = F.col("begins"), F.col("begins") + 60
+    named = F.when(begins < 1440, "Today").otherwise("Tomorrow")
+    return requests.select("request_id", day.alias("day"), F.explode(F.concat(today, tomorrow)).alias("begins")).select(
+        "request_id", named.alias("day"), moment(begins).alias("slot_start"), moment(ends).alias("slot_end"),
+        F.concat(named, F.lit(", "), clock(begins), F.lit(" - "), clock(ends)).alias("label"),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import all_of, contains_text, status_label
-from storelens.functions.keyed import page, pages, ranked, stretch, with_pages
+from storelens.functions.keyed import documents, page, stretch
 from storelens.operators.stock import is_live
 from storelens.sources.tables import Tables
 
@@ -57,23 +57,18 @@ def purchase_lines(t: Tables) -> DataFrame:
     )
 
 
-def numbered_purchase_lines(lines: DataFrame) -> DataFrame:
-    """Purchase lines with their place in the purchase."""
-    return ranked(
-        lines, by=["purchase_id"],
-        order=[F.col(c) for c in ("orderid", "line_no", "item_id", "quantity", "value")],
-        bucket={"_stretch": stretch("orderid", 10)},
-    )
-
-
 def purchase_document(t: Tables, page_rows: int = 1000) -> DataFrame:
     """Purchase with its lines, in lists of at most ``page_rows``."""
-    item = F.struct("item_id", F.col("unitid").alias("unit_id"), F.col("unitname").alias("unit_name"),
-                    "quantity", "value")
-    lines = purchase_lines(t)
-    lists = pages(numbered_purchase_lines(lines), ["purchase_id"], item, page_rows, "purchase_items")
+    def item(row: Column, _: Column) -> Column:
+        return F.struct(row["item_id"].alias("item_id"), row["unitid"].alias("unit_id"),
+                        row["unitname"].alias("unit_name"), row["quantity"].alias("quantity"),
+                        row["value"].alias("value"))
+
     header = t.purchases.select(
         F.col("purchaseid").alias("purchase_id"), "purchase_no",
         F.col("purchasedate").alias("purchase_date"), F.coalesce("refrence", F.lit("")).alias("reference"),
     )
-    return with_pages(header, lines, lists, "purchase_id", page_rows)
+    return documents(
+        header, purchase_lines(t), "purchase_id", ["orderid", "line_no", "item_id", "quantity", "value"],
+        {"_stretch": F.coalesce(stretch("orderid", 10), F.lit(-1))}, item, page_rows, "purchase_items",
+    )

@@ -12,13 +12,12 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.keyed import pages, with_pages
 from storelens.operators import changes, ingest, stock
 from storelens.operators.numbering import document_number
-from storelens.operators.orders import numbered_lines
+from storelens.operators.orders import line_documents
 from storelens.plans.registered import OPEN_DATE, QUERIES, plain, star_query
 from storelens.plans.session import shared_folder
-from storelens.sources.binding import StarSchema
+from storelens.sources.binding import SCHEMAS, StarSchema
 from storelens.sources.readers import clean_sheet, nested_order_scan
 from storelens.sources.sinks import order_fanout
 from storelens.sources.tables import Tables
@@ -62,9 +61,8 @@ for _part in ("categories", "products", "images"):
 
 def order_documents(t: Tables) -> DataFrame:
     """Orders as submitted JSON; a long order is several documents."""
-    item = F.struct(
-        "product_id", "product_name", "product_unit", "product_qty", "product_rate", "product_amount")
-    lists = pages(numbered_lines(t.order_items), ["order_id"], item, DOCUMENT_ROWS, "items_details")
+    names = ("product_id", "product_name", "product_unit", "product_qty", "product_rate", "product_amount")
+    lines = t.order_items.select("order_id", "line_no", *names)
     header = t.orders.withColumns({
         "payment_method": F.when(F.col("order_id") % 3 == 0, "COD").otherwise("UPI"),
         "transaction_id": F.when(F.col("order_id") % 3 == 0, "").otherwise(F.concat(F.lit("tx"), "order_id")),
@@ -73,7 +71,8 @@ def order_documents(t: Tables) -> DataFrame:
     document = F.struct(
         "order_id", F.col("page_no").alias("part_no"), "user_id", "address_delivery", "total_amount", "order_status", "payment_status",
         "payment_method", "delivery_id", "delivery_start", "coupon_code", "transaction_id", "items_details")
-    return with_pages(header, t.order_items, lists, "order_id", DOCUMENT_ROWS).select(
+    item = lambda row, _: F.struct(*[row[name].alias(name) for name in names])
+    return line_documents(header, lines, item, DOCUMENT_ROWS, "items_details").select(
         F.to_json(document).alias("document"))
 
 
@@ -388,7 +387,7 @@ class StreamedSchema(StarSchema):
 
     def raw(self, name: str) -> DataFrame:
         if name == self.streamed:
-            return feeds.file_stream(self.spark, self.folder, f"{name}.parquet")
+            return feeds.file_stream(self.spark, self.folder, f"{name}.parquet", SCHEMAS[name])
         return super().raw(name)
 
 

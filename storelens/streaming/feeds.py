@@ -25,9 +25,8 @@ CART_COLUMNS = ["quantity", "status"]
 WHOLE_EVERY = 32
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, name: str, schema: str, files_per_batch: int = 64) -> DataFrame:
     """A table file, or files of a folder whose names match, as a stream of new files."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch)

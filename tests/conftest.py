@@ -35,10 +35,12 @@ def duck():
 
 @pytest.fixture
 def hot_at_five(spark):
-    """Keys of more than five rows count as hot."""
+    """Keys of more than five rows count as hot, and documents of more than three rows as long."""
     spark.conf.set("storelens.hotKeyRows", "5")
+    spark.conf.set("storelens.documentRows", "3")
     yield
     spark.conf.unset("storelens.hotKeyRows")
+    spark.conf.unset("storelens.documentRows")
 
 
 def rows(df, *columns):
