@@ -155,6 +155,32 @@ put("dashboard_bundle", "part:s name:s value:d", f"""
     union all select 'chart', 'Week ' || ((extract(day from created_at) - 1) // 7 + 1), cast(sum(total_amount) as double)
         from v_orders where date_trunc('month', created_at) = date '2001-07-01' and {PAID} group by 2""")
 
+SOLD = f"(select * from v_orders join v_users using (user_id) where {PAID})"
+put("sales_year_by_store", "register_id:i name:s sales:d month:D", f"""
+    select register_id, strftime(m, '%b') "name", sales, cast(m as date) "month"
+    from (select register_id, date_trunc('month', created_at) m, sum(total_amount) sales from {SOLD} s
+          where created_at >= timestamp '2000-01-01' and created_at < timestamp '2001-01-01' group by 1, 2) r""")
+put("chart_gap_fill_by_store", "register_id:i position:i name:s sales:d", f"""
+    select r.register_id, n "position", strftime(date '2001-07-23' + n, '%a') "name",
+        coalesce((select sum(total_amount) from {SOLD} s where s.register_id = r.register_id
+            and cast(created_at as date) between date '2001-07-25' and date '2001-07-31'
+            and strftime(created_at, '%a') = strftime(date '2001-07-23' + n, '%a')), 0) sales
+    from (select distinct register_id from v_users where user_id in (select user_id from v_orders)) r,
+        (values (0), (1), (2), (3), (4), (5), (6)) d(n)""")
+put("revenue_graph_by_store", "register_id:i label:s value:d first_at:t", """
+    select register_id, strftime(created_at, '%d %b') label, sum(total_amount) "value", min(created_at) first_at
+    from v_orders join v_users using (user_id)
+    where created_at >= timestamp '2001-08-01 09:30:00' - interval 7 day group by 1, 2""")
+put("dashboard_totals_by_store", "register_id:i total_orders:i total_revenue:d pending_orders:i", """
+    select register_id, count(*) total_orders,
+        coalesce(sum(total_amount) filter (where payment_status = 'complete'), 0) total_revenue,
+        count(*) filter (where order_status in ('Pending', 'Process')) pending_orders
+    from v_orders join v_users using (user_id) group by 1""")
+put("today_vs_yesterday_by_store", "register_id:i today_orders:i today_revenue:d today_pending:i"
+    " yesterday_orders:i yesterday_revenue:d yesterday_pending:i", summary("2001-07-15", "2001-07-14").replace(
+        "select ", "select register_id, ", 1).replace("from v_orders", """from v_orders join v_users using (user_id)
+    where cast(created_at as date) between date '2001-07-14' and date '2001-07-15' group by register_id"""))
+
 # --- orders and people
 
 ADMIN = """
@@ -226,10 +252,10 @@ put("recent_orders", "order_id:i order_no:s total_amount:d order_status:s custom
         left join v_addresses u on u.user_id = o.user_id group by all
         order by o.created_at desc, o.order_id desc, u."name" nulls first limit 5) r""")
 put("user_order_history", "order_id:i order_no:s user_id:i total_amount:d method:s order_status:s tracked_at:t items:i", """
-    select o.order_id, o.order_no, o.user_id, o.total_amount, p.method, o.order_status, t.created_at tracked_at,
-        coalesce(sum(oi.product_qty), 0) items
-    from v_orders o join v_payments p on p.order_id = o.order_id join v_tracking t on t.order_id = o.order_id
-    left join v_order_items oi on oi.order_id = o.order_id group by all""")
+    select order_id, order_no, user_id, total_amount, pay.method, order_status, step.created_at tracked_at,
+        coalesce(sum(line.product_qty), 0) items
+    from v_tracking step join v_orders using (order_id) join v_payments pay using (order_id)
+    left join v_order_items line using (order_id) group by all""")
 put("order_item_count", "order_id:i item_count:i", """
     select o.order_id, coalesce(sum(i.product_qty), 0) item_count
     from v_orders o left join v_order_items i on i.order_id = o.order_id group by 1""")
@@ -297,17 +323,15 @@ put("row_totals", "listing:s total:i", """
 # --- purchases and invoices
 
 PURCHASES = """
-    select ph.purchaseid, strftime(ph.purchasedate, '%d-%m-%Y') "date", ph.purchase_no,
-        coalesce(ph.refrence, '') refrence, case when ph.cansts = 1 then 'Cancelled' else 'Active' end status,
-        sum(st."value") totamt
-    from v_purchases ph left join v_ledger st on ph.purchaseid = st.purchase_id
-        and coalesce(st.itmcandel, 0) = 0 and coalesce(st.canordersts, 0) = 0
-    {0} group by all"""
+    select p.purchaseid, strftime(p.purchasedate, '%d-%m-%Y') "date", p.purchase_no, coalesce(p.refrence, '') refrence,
+        case p.cansts when 1 then 'Cancelled' else 'Active' end status,
+        (select sum(l."value") from v_ledger l where l.purchase_id = p.purchaseid
+            and (l.itmcandel is null or l.itmcandel = 0) and (l.canordersts is null or l.canordersts = 0)) totamt
+    from v_purchases p {0}"""
 PURCHASES_SHAPE = "purchaseid:i date:s purchase_no:s refrence:s status:s totamt:d"
 put("purchase_list", PURCHASES_SHAPE, PURCHASES.format(""))
 put("purchase_page", PURCHASES_SHAPE, "select * from (" + PURCHASES.format(
-    "where (ph.purchase_no ilike '%ref-%' or coalesce(ph.refrence, '') ilike '%ref-%')"
-    " and ph.purchasedate >= date '1997-01-05'") + ") r order by purchaseid desc limit 15")
+    "where (p.purchase_no ilike '%ref-%' or p.refrence ilike '%ref-%') and p.purchasedate >= date '1997-01-05'") + ") r order by purchaseid desc limit 15")
 put("purchase_document", "purchase_id:i page_no:i purchase_no:s purchase_date:D reference:s items:s", """
     select p.purchaseid purchase_id, coalesce(l.page_no, 0) page_no, p.purchase_no, p.purchasedate purchase_date,
         coalesce(p.refrence, '') reference, l.items

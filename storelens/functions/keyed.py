@@ -107,6 +107,11 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Ma
     )
 
 
+def minute_of(column: str) -> Column:
+    """Whole minutes of a time column, a fine enough stretch for a key that is busy all the time."""
+    return F.floor(F.unix_timestamp(F.col(column).cast("timestamp")) / 60)
+
+
 def stretch(column: str | Column, bits: int = 16) -> Column:
     """Stretch of a whole-number column: at most ``2 ** bits`` distinct values each."""
     col = F.col(column) if isinstance(column, str) else column

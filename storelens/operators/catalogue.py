@@ -14,6 +14,15 @@ from storelens.operators.stock import DEFAULT_OPEN_DATE, with_movement, with_sto
 from storelens.sources.tables import Tables
 
 
+# Sizes of the reports that list the first so many rows, and the
+# product kinds of the home screen as they are stored.
+SEARCH_ROWS = 30
+POPULAR_TAGS = 10
+RECOMMENDED_CATEGORIES = 500
+RECOMMENDED_PRODUCTS = 12
+VEGETABLE, FRUIT = "vegitable", "fruit"
+
+
 def tenant_scan(t: Tables, table: str, register_id: int | None = None) -> DataFrame:
     """Rows of a table that belong to registered stores, or to one store.
 
@@ -102,12 +111,12 @@ def search_items(t: Tables, search: str = "", default_open_date: dt.date = DEFAU
     )
 
 
-def popular_tags(t: Tables, size: int = 10) -> DataFrame:
+def popular_tags(t: Tables, size: int = POPULAR_TAGS) -> DataFrame:
     """Category names offered next to a search."""
     return t.categories.orderBy("categories_id").limit(size).select("categories_name")
 
 
-def global_search(t: Tables, text: str, size: int = 30) -> DataFrame:
+def global_search(t: Tables, text: str, size: int = SEARCH_ROWS) -> DataFrame:
     """Products, then categories, whose name contains the text: at most ``size`` of each."""
 
     def branch(found: DataFrame, key: str, name: str, label: str, url: str, nav: str) -> DataFrame:
@@ -169,9 +178,10 @@ def ordered_categories(t: Tables) -> DataFrame:
     )
 
 
-def recommended_products(t: Tables, categories: int = 500, size: int = 12) -> DataFrame:
+def recommended_products(t: Tables, categories: int = RECOMMENDED_CATEGORIES,
+                         size: int = RECOMMENDED_PRODUCTS) -> DataFrame:
     """First products, of a known unit, whose category was ever ordered."""
-    sold = t.products.join(t.order_items.select("product_id"), "product_id", "left_semi")
+    sold = t.products.join(t.order_items.select("product_id").distinct(), "product_id", "left_semi")
     chosen = sold.select("categories_id").distinct().orderBy("categories_id").limit(categories)
     return (
         t.products.join(F.broadcast(chosen), "categories_id", "left_semi")
@@ -183,7 +193,7 @@ def recommended_products(t: Tables, categories: int = 500, size: int = 12) -> Da
 _HOME_COLUMNS = ("product_id", "name", "discount", "price", "oldPrice", "img", "weight", "current_stock")
 
 
-def recommendations(t: Tables, categories: int = 500, size: int = 12,
+def recommendations(t: Tables, categories: int = RECOMMENDED_CATEGORIES, size: int = RECOMMENDED_PRODUCTS,
                     default_open_date: dt.date = DEFAULT_OPEN_DATE) -> DataFrame:
     """The recommended products as the home screen shows them."""
     chosen = recommended_products(t, categories, size)
@@ -201,8 +211,8 @@ def home_feed(t: Tables, default_open_date: dt.date = DEFAULT_OPEN_DATE) -> Data
     kind = F.coalesce("itm_spctyp", F.lit(""))
     sections = F.array_compact(F.array(
         F.when(_on_offer(), "deals"),
-        F.when(kind == "vegitable", "veg"),
-        F.when(kind == "fruit", "fruit"),
+        F.when(kind == VEGETABLE, "veg"),
+        F.when(kind == FRUIT, "fruit"),
         F.when(F.col("_reco"), "reco"),
     ))
     shown = (

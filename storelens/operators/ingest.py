@@ -11,7 +11,7 @@ from storelens.operators.numbering import document_number, next_keys
 from storelens.sources.readers import FLASH_SALE_DOCUMENT, PURCHASE_DOCUMENT, clean_sheet, nested_scan
 from storelens.sources.tables import Tables
 
-# Unit of a sheet row whose unit text matches nothing.
+# Fixed value: unit of a sheet row whose unit text matches nothing.
 FALLBACK_UNIT = 7
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import order_bucket
-from storelens.functions.keyed import documents, latest, page, ranked, spread_join, stretch
+from storelens.functions.keyed import documents, latest, minute_of, page, ranked, spread_join, stretch
 from storelens.operators.people import latest_address_per_user
 from storelens.sources.tables import Tables
 
@@ -267,11 +267,10 @@ def user_delivery_detail(t: Tables) -> DataFrame:
 
 def tracking_timeline(t: Tables) -> DataFrame:
     """Status steps of each order in time order."""
-    hour = F.floor(F.unix_timestamp(F.col("created_at").cast("timestamp")) / 3600)
     steps = t.tracking.select("order_id", "id", F.lower("status").alias("status"), "created_at")
     return ranked(
         steps, by=["order_id"], order=[F.col("created_at").asc_nulls_last(), F.col("id")],
-        bucket={"_hour": F.coalesce(hour, F.lit(2 ** 62))},
+        bucket={"_minute": F.coalesce(minute_of("created_at"), F.lit(2 ** 62))},
     ).drop("id")
 
 

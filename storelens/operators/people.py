@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import contains_text
-from storelens.functions.keyed import latest, newest_first, page, ranked
+from storelens.functions.keyed import latest, minute_of, newest_first, page, ranked
 from storelens.sources.tables import Tables
 
 
@@ -27,14 +27,13 @@ def address_book(t: Tables) -> DataFrame:
     A missing flag or time sorts before all others.
     """
     flag = F.when(F.col("is_default").isNull(), 0).when(F.col("is_default"), 1).otherwise(2)
-    hour = F.unix_timestamp(F.col("created_at").cast("timestamp")) / 3600
     long_past = F.lit(-(2 ** 62))
     return ranked(
         t.addresses.select("user_id", "address_id", "name", "is_default", "created_at"),
         by=["user_id"],
         order=[F.col("is_default").desc_nulls_first(), F.col("created_at").desc_nulls_first(),
                F.col("address_id").desc()],
-        bucket={"_flag": flag, "_hour": F.coalesce(-F.floor(hour), long_past)},
+        bucket={"_flag": flag, "_minute": F.coalesce(-minute_of("created_at"), long_past)},
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import hmac_sha256, order_number
+from storelens.functions.keyed import spread_join
 from storelens.sources.tables import Tables
 
 
@@ -43,7 +44,7 @@ def apply_coupon(t: Tables, carts: DataFrame, as_of: dt.date) -> DataFrame:
         "coupon_id", F.col("coupon_code").alias("_code"), "discount_type", "discount_value",
         "min_order_value", F.nullif("max_discount", F.lit(0)).alias("_cap"),
     )
-    used = t.coupon_usage.select("coupon_id", "user_id", F.lit(True).alias("_used")).distinct()
+    used = t.coupon_usage.select("coupon_id", "user_id").distinct().withColumn("_used", F.lit(True))
     reason = (
         F.when(F.col("coupon_id").isNull(), "invalid")
         .when(F.col("cart_total") < F.col("min_order_value"), "below_minimum")
@@ -51,9 +52,9 @@ def apply_coupon(t: Tables, carts: DataFrame, as_of: dt.date) -> DataFrame:
     )
     percent = F.col("cart_total") * F.col("discount_value") * F.lit("0.01").cast("decimal(3,2)")
     discount = F.when(F.col("discount_type") == "PERCENT", F.least(percent, F.coalesce("_cap", percent)))
+    entered = carts.join(offered, F.upper("coupon_code") == F.col("_code"), "left")
     return (
-        carts.join(offered, F.upper("coupon_code") == F.col("_code"), "left")
-        .join(used, ["coupon_id", "user_id"], "left")
+        spread_join(entered, used, ["coupon_id", "user_id"], ["cart_id"])
         .withColumn("reason", reason)
         .select(
             "cart_id", "user_id", "cart_total", "reason",
@@ -74,9 +75,9 @@ def checkout_price(t: Tables, carts: DataFrame, as_of: dt.date, first_order: int
     ordered = orders.select("user_id").distinct().withColumn("_ordered", F.lit(True))
     total, zero = F.col("cart_total"), F.lit(0).cast("decimal(18,4)")
     welcome = F.when(F.col("_ordered"), zero).otherwise(F.lit(first_order).cast("decimal(18,4)"))
+    granted = apply_coupon(t, carts, as_of).where(F.col("reason").isNull())
     return (
-        apply_coupon(t, carts, as_of).where(F.col("reason").isNull())
-        .join(ordered, "user_id", "left")
+        spread_join(granted, ordered, ["user_id"], ["cart_id"])
         .withColumn("first_order_discount", F.least(welcome, total))
         .withColumn("coupon_discount",
                     F.least(F.coalesce("discount", zero), total - F.col("first_order_discount")))
@@ -117,6 +118,7 @@ def delivery_slots(requests: DataFrame) -> DataFrame:
     """
     at, day = F.col("requested_at"), F.date_trunc("day", "requested_at")
     # Slots are minutes of the day asked on; tomorrow starts at 1440.
+    # Half past eight as the end of today, ten to twenty hours for tomorrow.
     first = F.hour(at) * 60 + F.when(F.minute(at) <= 30, 30).otherwise(60)
     last = 20 * 60 + 30 - 60
     today = F.when(first <= last, F.sequence(first, F.lit(last), F.lit(60))).otherwise(F.array().cast("array<int>"))
@@ -154,24 +156,24 @@ def otp_match(issues: DataFrame, attempts: DataFrame,
 
     Both inputs have user_id, at, seq and code. A code holds for ``valid_for``
     (None: for ever) and for one success. The latest code is looked up within
-    the hour of the attempt, and across hours through one row per user and
-    hour, so a user with very many rows is spread over many tasks.
+    the minute of the attempt, and across minutes through one row per user and
+    minute, so a user with very many rows is spread over many tasks.
     """
     columns = ("user_id", "at", "seq", "code")
     rows = (
         issues.select(*columns, F.lit(True).alias("_issue"))
         .unionByName(attempts.select(*columns, F.lit(False).alias("_issue")))
-        .withColumn("_hour", F.date_trunc("hour", "at"))
+        .withColumn("_minute", F.date_trunc("minute", "at"))
     )
     issued = F.when(F.col("_issue"), F.struct("at", "seq", "code"))
-    hourly = rows.groupBy("user_id", "_hour").agg(F.max(issued).alias("_last"))
-    earlier = W.partitionBy("user_id").orderBy("_hour").rowsBetween(W.unboundedPreceding, -1)
-    carried = hourly.select("user_id", "_hour", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
-    before = W.partitionBy("user_id", "_hour").orderBy("at", "seq").rowsBetween(W.unboundedPreceding, -1)
+    by_minute = rows.groupBy("user_id", "_minute").agg(F.max(issued).alias("_last"))
+    earlier = W.partitionBy("user_id").orderBy("_minute").rowsBetween(W.unboundedPreceding, -1)
+    carried = by_minute.select("user_id", "_minute", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    before = W.partitionBy("user_id", "_minute").orderBy("at", "seq").rowsBetween(W.unboundedPreceding, -1)
     seen = (
         rows.withColumn("_recent", F.last(issued, ignorenulls=True).over(before))
         .where(~F.col("_issue"))
-        .join(carried, ["user_id", "_hour"])
+        .join(carried, ["user_id", "_minute"])
         .withColumn("_code", F.coalesce("_recent", "_carried"))
     )
     in_time = F.lit(True)

@@ -1,8 +1,13 @@
-"""Sales charts and dashboard figures over orders."""
+"""Sales charts and dashboard figures over orders.
+
+Each takes ``by``, the columns that tell stores apart, to answer for all
+stores in one pass.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,83 +40,87 @@ def _sales() -> Column:
     return F.sum("total_amount").cast("decimal(18,2)").alias("sales")
 
 
-def sales_week(t: Tables, as_of: dt.date, paid_status: str = "complete") -> DataFrame:
+def sales_week(t: Tables, as_of: dt.date, paid_status: str = "complete", by: Sequence[str] = ()) -> DataFrame:
     """Sales of the seven days up to ``as_of``, by weekday."""
     days = _between(as_of - dt.timedelta(days=6), as_of + dt.timedelta(days=1))
     return (
         t.orders.where(days & _paid(paid_status))
-        .groupBy(F.to_date("created_at").alias("day"))
+        .groupBy(*by, F.to_date("created_at").alias("day"))
         .agg(_sales())
-        .select(F.date_format("day", "E").alias("name"), "sales", "day")
+        .select(*by, F.date_format("day", "E").alias("name"), "sales", "day")
     )
 
 
-def sales_month(t: Tables, as_of: dt.date, paid_status: str = "complete") -> DataFrame:
+def sales_month(t: Tables, as_of: dt.date, paid_status: str = "complete", by: Sequence[str] = ()) -> DataFrame:
     """Sales of the month of ``as_of``, by week of the month."""
     first = as_of.replace(day=1)
     following = (first + dt.timedelta(days=31)).replace(day=1)
     week = F.floor((F.dayofmonth("created_at") - 1) / 7).cast("int") + 1
     return (
         t.orders.where(_between(first, following) & _paid(paid_status))
-        .groupBy(F.concat(F.lit("Week "), week.cast("string")).alias("name"))
+        .groupBy(*by, F.concat(F.lit("Week "), week.cast("string")).alias("name"))
         .agg(_sales())
     )
 
 
-def sales_year(t: Tables, as_of: dt.date, paid_status: str = "complete") -> DataFrame:
+def sales_year(t: Tables, as_of: dt.date, paid_status: str = "complete", by: Sequence[str] = ()) -> DataFrame:
     """Sales of the year of ``as_of``, by month."""
     year = _between(dt.date(as_of.year, 1, 1), dt.date(as_of.year + 1, 1, 1))
     return (
         t.orders.where(year & _paid(paid_status))
-        .groupBy(F.date_trunc("month", "created_at").alias("month"))
+        .groupBy(*by, F.date_trunc("month", "created_at").alias("month"))
         .agg(_sales())
-        .select(F.date_format("month", "MMM").alias("name"), "sales", F.to_date("month").alias("month"))
+        .select(*by, F.date_format("month", "MMM").alias("name"), "sales", F.to_date("month").alias("month"))
     )
 
 
-def sales_chart(t: Tables, mode: str, as_of: dt.date, paid_status: str = "complete") -> DataFrame | None:
+def sales_chart(t: Tables, mode: str, as_of: dt.date, paid_status: str = "complete",
+                by: Sequence[str] = ()) -> DataFrame | None:
     """Chart of a mode (``Week``, ``Month`` or ``Year``, case matters); None for any other."""
     chart = {"Week": sales_week, "Month": sales_month, "Year": sales_year}.get(mode)
-    return chart(t, as_of, paid_status) if chart else None
+    return chart(t, as_of, paid_status, by) if chart else None
+
 
+def chart_gap_fill(t: Tables, mode: str, as_of: dt.date, paid_status: str = "complete",
+                   by: Sequence[str] = ()) -> DataFrame | None:
+    """Chart with a row for every label of the mode, zero where nothing was sold.
 
-def chart_gap_fill(t: Tables, mode: str, as_of: dt.date, paid_status: str = "complete") -> DataFrame | None:
-    """Chart with a row for every label of the mode, zero where nothing was sold."""
-    chart = sales_chart(t, mode, as_of, paid_status)
+    ``by`` gives one chart to each store that has orders.
+    """
+    chart = sales_chart(t, mode, as_of, paid_status, by)
     if chart is None:
         return None
     labels = F.array(*[F.lit(label) for label in CHART_LABELS[mode]])
-    spine = t.orders.sparkSession.range(1).select(F.posexplode(labels).alias("position", "name"))
-    # A chart has at most one row per label, so its size is fixed.
-    return (
-        spine.join(F.broadcast(chart.select("name", "sales")), "name", "left")
-        .select("position", "name", F.coalesce("sales", F.lit(0).cast("decimal(18,2)")).alias("sales"))
+    owners = t.orders.select(*by).distinct() if by else t.orders.sparkSession.range(1)
+    spine = owners.select(*by, F.posexplode(labels).alias("position", "name"))
+    return spine.join(chart.select(*by, "name", "sales"), [*by, "name"], "left").select(
+        *by, "position", "name", F.coalesce("sales", F.lit(0).cast("decimal(18,2)")).alias("sales")
     )
 
 
-def revenue_graph(t: Tables, now: dt.datetime) -> DataFrame:
+def revenue_graph(t: Tables, now: dt.datetime, by: Sequence[str] = ()) -> DataFrame:
     """Order value per day of the last seven days, whatever the state of the order."""
     start = F.lit((now - dt.timedelta(days=7)).isoformat(sep=" ")).cast("timestamp_ntz")
     return (
         t.orders.where(F.col("created_at") >= start)
-        .groupBy(F.date_format("created_at", "dd MMM").alias("label"))
+        .groupBy(*by, F.date_format("created_at", "dd MMM").alias("label"))
         .agg(F.sum("total_amount").alias("value"), F.min("created_at").alias("first_at"))
     )
 
 
-def dashboard_totals(t: Tables, paid_status: str = "SUCCESS",
-                     pending: tuple[str, ...] = ("Pending", "Process")) -> DataFrame:
+def dashboard_totals(t: Tables, paid_status: str = "SUCCESS", pending: Sequence[str] = ("Pending", "Process"),
+                     by: Sequence[str] = ()) -> DataFrame:
     """Order count, paid value and open orders, in one pass."""
     paid = F.when(F.col("payment_status") == paid_status, F.col("total_amount"))
-    return t.orders.agg(
+    return t.orders.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.coalesce(F.sum(paid), F.lit(0)).alias("total_revenue"),
         F.count_if(F.col("order_status").isin(*pending)).alias("pending_orders"),
     )
 
 
-def today_vs_yesterday(t: Tables, day: dt.date, paid_status: str = "complete",
-                       pending: str = "Pending") -> DataFrame:
+def today_vs_yesterday(t: Tables, day: dt.date, paid_status: str = "complete", pending: str = "Pending",
+                       by: Sequence[str] = ()) -> DataFrame:
     """Orders, revenue and pending orders of a day and of the day before it."""
     tomorrow, yesterday = day + dt.timedelta(days=1), day - dt.timedelta(days=1)
     kept = F.col("order_status") != "cancelled"
@@ -124,6 +133,6 @@ def today_vs_yesterday(t: Tables, day: dt.date, paid_status: str = "complete",
             F.count_if(within & (F.col("order_status") == pending)).alias(f"{name}_pending"),
         ]
 
-    return t.orders.where(_between(yesterday, tomorrow)).agg(
+    return t.orders.where(_between(yesterday, tomorrow)).groupBy(*by).agg(
         *figures("today", day, tomorrow), *figures("yesterday", yesterday, day)
     )

@@ -12,7 +12,7 @@ from storelens.functions.keyed import page
 from storelens.operators.images import first_image_per_product
 from storelens.sources.tables import Tables
 
-# Opening date taken for products that have none.
+# Fixed value: opening date taken for products that have none.
 DEFAULT_OPEN_DATE = dt.date(2020, 1, 1)
 
 

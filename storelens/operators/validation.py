@@ -29,6 +29,9 @@ def _empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")) == ""
 
 
+# The reasons below are the messages a client is shown.
+
+
 def check_addresses(rows: DataFrame) -> DataFrame:
     return validated(rows, [
         (_blank("name"), "Name is required"),

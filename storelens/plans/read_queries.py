@@ -100,6 +100,20 @@ query("dashboard_totals")(lambda t: sales.dashboard_totals(t, "complete"))
 query("today_vs_yesterday")(lambda t: sales.today_vs_yesterday(t, dt.date(2001, 7, 15)))
 query("dashboard_bundle")(lambda t: dashboard_rows(t, "Month", AS_OF, OPEN_DATE))
 
+
+
+def _stores(t: Tables) -> Tables:
+    """Orders with the store of their user."""
+    return t.replace(orders=t.orders.join(t.users.select("user_id", "register_id"), "user_id"))
+
+
+STORE = ("register_id",)
+query("sales_year_by_store")(lambda t: sales.sales_year(_stores(t), dt.date(2000, 7, 31), by=STORE))
+query("chart_gap_fill_by_store")(lambda t: sales.chart_gap_fill(_stores(t), "Week", AS_OF, by=STORE))
+query("revenue_graph_by_store")(lambda t: sales.revenue_graph(_stores(t), dt.datetime(2001, 8, 1, 9, 30), STORE))
+query("dashboard_totals_by_store")(lambda t: sales.dashboard_totals(_stores(t), "complete", by=STORE))
+query("today_vs_yesterday_by_store")(lambda t: sales.today_vs_yesterday(_stores(t), dt.date(2001, 7, 15), by=STORE))
+
 # --- orders and people --------------------------------------------------------
 
 query("admin_order_list")(lambda t: orders.admin_order_list(t))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from storelens.sources.readers import nested_order_scan
 
-# Store that sold goods leave from.
+# The store that sold goods leave from, and the first tracking row.
 SALES_STORE = 2
+FIRST_STATUS, FIRST_MESSAGE = "pending", "Order placed successfully"
 
 
 def order_fanout(documents: DataFrame, coupons: DataFrame, today: dt.date) -> dict[str, DataFrame]:
@@ -37,7 +38,7 @@ def order_fanout(documents: DataFrame, coupons: DataFrame, today: dt.date) -> di
         F.nullif("transaction_id", F.lit("")).alias("transaction_id"),
     )
     tracking = headers.select(
-        "order_id", F.lit("pending").alias("status"), F.lit("Order placed successfully").alias("message")
+        "order_id", F.lit(FIRST_STATUS).alias("status"), F.lit(FIRST_MESSAGE).alias("message")
     )
     usage = (
         headers.where("coupon_code is not null and coupon_code <> ''")
