@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import hmac_sha256, order_number
-from storelens.functions.keyed import spread_join
+from storelens.functions.keyed import minute_of, spread_join
 from storelens.sources.tables import Tables
 
 
@@ -116,7 +116,7 @@ def delivery_slots(requests: DataFrame) -> DataFrame:
     ``requests`` has request_id and requested_at. Today runs from the next
     half hour to 20:30, tomorrow from 10:00 to 20:00.
     """
-    at, day = F.col("requested_at"), F.date_trunc("day", "requested_at")
+    at, day = F.col("requested_at"), F.to_date("requested_at").cast("timestamp_ntz")
     # Slots are minutes of the day asked on; tomorrow starts at 1440.
     # Half past eight as the end of today, ten to twenty hours for tomorrow.
     first = F.hour(at) * 60 + F.when(F.minute(at) <= 30, 30).otherwise(60)
@@ -163,7 +163,7 @@ def otp_match(issues: DataFrame, attempts: DataFrame,
     rows = (
         issues.select(*columns, F.lit(True).alias("_issue"))
         .unionByName(attempts.select(*columns, F.lit(False).alias("_issue")))
-        .withColumn("_minute", F.date_trunc("minute", "at"))
+        .withColumn("_minute", minute_of("at"))
     )
     issued = F.when(F.col("_issue"), F.struct("at", "seq", "code"))
     by_minute = rows.groupBy("user_id", "_minute").agg(F.max(issued).alias("_last"))

@@ -68,9 +68,9 @@ def sales_year(t: Tables, as_of: dt.date, paid_status: str = "complete", by: Seq
     year = _between(dt.date(as_of.year, 1, 1), dt.date(as_of.year + 1, 1, 1))
     return (
         t.orders.where(year & _paid(paid_status))
-        .groupBy(*by, F.date_trunc("month", "created_at").alias("month"))
+        .groupBy(*by, F.trunc(F.to_date("created_at"), "month").alias("month"))
         .agg(_sales())
-        .select(*by, F.date_format("month", "MMM").alias("name"), "sales", F.to_date("month").alias("month"))
+        .select(*by, F.date_format("month", "MMM").alias("name"), "sales", "month")
     )
 
 
