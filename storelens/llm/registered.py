@@ -31,3 +31,11 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from storelens.llm import simhash
 
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases, labels and score of every document."""
+    from storelens.llm import licenses
+
+    return licenses.summary(licenses.scan_licenses(table(spark, folder, "documents")))
