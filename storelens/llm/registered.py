@@ -39,3 +39,11 @@ def op7_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     from storelens.llm import licenses
 
     return licenses.summary(licenses.scan_licenses(table(spark, folder, "documents")))
+
+
+@query
+def op3_quality_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learnt from preference pairs."""
+    from storelens.llm import quality
+
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))

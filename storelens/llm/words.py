@@ -42,8 +42,9 @@ class Words:
     """Words of a part: ``data`` the bytes (A-Z lower), word i at ``starts[i]:ends[i]``, text d's words from
     ``first[d]`` to ``first[d + 1]``."""
 
-    def __init__(self, texts: list[bytes], kind: np.ndarray = SPACED, lower: bool = True) -> None:
-        raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    def __init__(self, texts: list[bytes], kind: np.ndarray = SPACED, lower: bool = True,
+                 between: bytes = b" ") -> None:
+        raw = np.frombuffer(between.join(texts) + between, dtype=np.uint8)
         self.data = LOWER[raw] if lower else raw
         is_word = kind[self.data]
         turns = np.flatnonzero(np.diff(np.concatenate(([False], is_word))))
