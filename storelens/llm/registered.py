@@ -47,3 +47,11 @@ def op3_quality_pairs(spark: SparkSession, folder: str) -> DataFrame:
     from storelens.llm import quality
 
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op4_bounded_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    from storelens.llm import packing
+
+    return packing.packed(table(spark, folder, "documents"), packing.public_tokenizer("word_bpe_49k.json"))
