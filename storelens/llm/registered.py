@@ -55,3 +55,25 @@ def op4_bounded_packing(spark: SparkSession, folder: str) -> DataFrame:
     from storelens.llm import packing
 
     return packing.packed(table(spark, folder, "documents"), packing.public_tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op1_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written as a WARC record and read back."""
+    from storelens.llm import warc
+
+    return warc.archived(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "status")
+
+
+SQL["op1_warc_segments"] = """
+with p as (
+    select page_id, coalesce(html, '') as payload, octet_length(encode(coalesce(html, ''))) as bytes,
+           max(page_id) over (partition by coalesce(html, '')) as keeper
+    from pages
+)
+select page_id, cast(bytes as bigint) as payload_bytes, sha1(payload) as payload_digest,
+       case when bytes >= 1000 and page_id < keeper then 'revisit' else 'response' end as record_type,
+       case when bytes >= 1000 and page_id < keeper then keeper end as refers_to, 'ok' as status
+from p
+"""
