@@ -77,3 +77,29 @@ select page_id, cast(bytes as bigint) as payload_bytes, sha1(payload) as payload
        case when bytes >= 1000 and page_id < keeper then keeper end as refers_to, 'ok' as status
 from p
 """
+
+
+@query
+def op5_uniform_threshold_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest other vectors of every hundredth one."""
+    from pyspark.sql import functions as F
+
+    from storelens.llm import topk
+
+    return topk.top_k(topk.whole_vectors(table(spark, folder, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
+SQL["op5_uniform_threshold_top_k"] = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+    from embeddings
+), s as (
+    select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.v) + 1),
+           lambda i: q.v[i] * c.v[i])) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id
+    where q.vec_id % 100 = 0
+), r as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
+"""
