@@ -103,3 +103,16 @@ with v as (
 )
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10
 """
+
+
+@query
+def op9_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every document under a bigram model of those that are not held out."""
+    from pyspark.sql import functions as F
+
+    from storelens.llm import kneser_ney
+    from storelens.llm.quality import remainder
+
+    out = remainder("doc_id", 7) == 2
+    scored = kneser_ney.language_model(table(spark, folder, "documents"), out)
+    return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), *scored.columns[1:])
