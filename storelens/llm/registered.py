@@ -116,3 +116,11 @@ def op9_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
     out = remainder("doc_id", 7) == 2
     scored = kneser_ney.language_model(table(spark, folder, "documents"), out)
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), *scored.columns[1:])
+
+
+@query
+def op8_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of at least fifty words that repeat those of a smaller document."""
+    from storelens.llm import passages
+
+    return passages.repeated_passages(table(spark, folder, "documents"))
