@@ -124,3 +124,11 @@ def op8_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
     from storelens.llm import passages
 
     return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+@query
+def op6_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, also with other numbers or names."""
+    from storelens.llm import templates
+
+    return templates.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
