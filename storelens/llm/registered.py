@@ -132,3 +132,19 @@ def op6_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from storelens.llm import templates
 
     return templates.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op2_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every page and every document."""
+    from pyspark.sql import functions as F
+
+    from storelens.llm import languages
+
+    docs = table(spark, folder, "documents")
+    rows = languages.of_pages(table(spark, folder, "pages")).unionByName(languages.of_documents(docs))
+    found = languages.identify(rows, docs.select("text", "lang"))
+    return found.select(
+        F.when(F.col("kind") == "page", F.col("id")).alias("page_id"),
+        F.when(F.col("kind") == "document", F.col("id")).alias("doc_id"),
+        "lang", "probability", "text_lang", "declared")
