@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates, in DataFrame operations only.
 
-Words are made canonical: a number, a unit of measure after a number and a capital name inside a sentence become typed
+Words are made canonical: a number, a unit of measure after a number and a capitalised name inside a sentence become typed
 placeholders, other words lose case and closing punctuation. Every run of ``WINDOW`` canonical words of a document is
 hashed and joined with the runs of the benchmark items, so a question that was asked anew with other numbers or names
 still meets its item. What fills the slots is then compared: laid over an item at one place, each filling of the item
@@ -54,7 +54,7 @@ def canonical(words: Column) -> Column:
         last = F.get(words, i - 1)
         low = F.lower(F.rtrim(word, F.lit(CLOSING)))
         after_number = F.coalesce(_is_number(last), F.lit(False))
-        capital = F.substring(word, 1, 1) != F.lower(F.substring(word, 1, 1))
+        capital = (F.substring(word, 1, 1) != F.lower(F.substring(word, 1, 1))) & (low != word) & (F.upper(word) != word)
         inside = F.coalesce(F.length(F.rtrim(last, F.lit(CLOSING))) == F.length(last), F.lit(False))
         units = F.array(*[F.lit(u) for u in UNITS])
         return (
