@@ -409,20 +409,23 @@ def stream_query(name: str, streamed: str):
 def _feed(star: StreamedSchema, target: str) -> DataFrame:
     stores = star.users().select("user_id", "register_id")
     accepted = feeds.new_order_feed(star.orders().join(stores, "user_id"))
-    feeds.write_batches(accepted, target, "append").awaitTermination()
-    return star.spark.read.parquet(f"{target}/rows").drop("batch")
+    feeds.write_batches(accepted, target).awaitTermination()
+    return feeds.read_batches(star.spark, target, accepted.schema)
+
+
+def _folded(rows: DataFrame, target: str, fold: feeds.Fold) -> DataFrame:
+    feeds.fold_stream(rows, target, fold).awaitTermination()
+    return feeds.read_folded(rows.sparkSession, target, fold, rows.schema)
 
 
 @stream_query("stream_daily_revenue", "orders")
 def _revenue(star: StreamedSchema, target: str) -> DataFrame:
-    feeds.write_batches(feeds.stream_daily_revenue(star.orders()), target, "update").awaitTermination()
-    return feeds.read_latest(star.spark, target, ["day"], ["orders", "revenue"])
+    return _folded(feeds.daily_revenue_rows(star.orders()), target, feeds.daily_revenue)
 
 
 @stream_query("stream_stock_level", "lineitem")
 def _stock(star: StreamedSchema, target: str) -> DataFrame:
-    feeds.write_batches(feeds.stream_stock_level(star.ledger()), target, "update").awaitTermination()
-    daily = feeds.read_latest(star.spark, target, ["itmid", "purchase_date"], ["moved"])
+    daily = _folded(feeds.stock_movement_rows(star.ledger()), target, feeds.stock_movements)
     t = Tables(products=star.products())
     moved = stock.since_opening(t, daily, OPEN_DATE, "moved")
     return t.products.select("product_id", "openbalqty").join(moved, "product_id", "left").select(
@@ -431,11 +434,12 @@ def _stock(star: StreamedSchema, target: str) -> DataFrame:
 
 @stream_query("stream_order_status", "events")
 def _status(star: StreamedSchema, target: str) -> DataFrame:
-    feeds.write_batches(feeds.stream_order_status(star.tracking()), target, "update").awaitTermination()
-    return feeds.read_latest(star.spark, target, ["order_id"], ["status", "status_at"])
+    states = _folded(feeds.order_status_rows(star.tracking()), target, feeds.order_statuses)
+    return states.select("order_id", "last.status", F.col("last.created_at").alias("status_at"))
 
 
 @stream_query("stream_cart_state", "events")
 def _cart(star: StreamedSchema, target: str) -> DataFrame:
-    feeds.stream_cart_state(cart_actions(star.raw("events")), target).awaitTermination()
-    return feeds.read_cart(star.spark, target)
+    actions = cart_actions(star.raw("events"))
+    feeds.write_batches(actions, target).awaitTermination()
+    return feeds.read_cart(feeds.read_batches(star.spark, target, actions.schema))

@@ -1,40 +1,53 @@
 """Streaming forms of the order feed, revenue, stock, order status and cart.
 
 Each job runs over whatever has arrived and stops (``availableNow``), or keeps
-running with the trigger it is given. State and sinks lie in a shared folder,
-so a lost executor or a restart resumes from the last finished batch.
+running with the trigger it is given. No job depends on the order of arrival:
+sums and latest rows fold in any order, and cart actions are kept and applied
+by their number, so a stream gives what its batch form gives over the finished
+input. State and sinks lie in a shared folder, so a lost executor or a restart
+resumes from the last finished batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from storelens.functions.keyed import latest
 from storelens.operators.changes import cart_merge
 from storelens.operators.stock import is_live, signed_quantity
 
 NOW = {"availableNow": True}
 
-CART_KEYS = ["user_id", "product_id"]
-CART_COLUMNS = ["quantity", "status"]
-# Number of cart batches from one written out whole to the next.
+CART = "user_id bigint, product_id bigint, quantity bigint, status string"
+# Number of batches from one state written out whole to the next.
 WHOLE_EVERY = 32
 
+Fold = Callable[[DataFrame], DataFrame]
+
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: str, files_per_batch: int = 64) -> DataFrame:
-    """A table file, or files of a folder whose names match, as a stream of new files."""
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name).option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+    """A table as a stream of its files, be it one file or a folder of them."""
+    # As a pattern, the path may name a file: the source takes a plain path for a folder.
+    path = f"{folder}/{name[:-1]}[{name[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def write_batches(stream: DataFrame, target: str, mode: str, trigger: dict | None = None,
+def _batches(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the batches written so far."""
+    fs, at = _folder(spark, f"{target}/rows")
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def write_batches(stream: DataFrame, target: str, trigger: dict | None = None,
                   change: Callable[[DataFrame, int], DataFrame] | None = None) -> StreamingQuery:
     """Write each micro-batch to its own folder; a batch that is run again replaces itself."""
 
@@ -43,16 +56,46 @@ def write_batches(stream: DataFrame, target: str, mode: str, trigger: dict | Non
         rows.write.mode("overwrite").parquet(f"{target}/rows/batch={batch}")
 
     return (
-        stream.writeStream.outputMode(mode).foreachBatch(write)
+        stream.writeStream.outputMode("append").foreachBatch(write)
         .option("checkpointLocation", f"{target}/checkpoint")
         .trigger(**(trigger or NOW)).start()
     )
 
 
-def read_latest(spark: SparkSession, target: str, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The last written row of each key of an update stream."""
-    rows = spark.read.parquet(f"{target}/rows")
-    return latest(rows, list(keys), ["batch"], list(columns))
+def read_batches(spark: SparkSession, target: str, schema, since: int = 0, before: int | None = None) -> DataFrame:
+    """Rows of the batches in a range; none if no batch was written."""
+    chosen = [b for b in _batches(spark, target) if b >= since and (before is None or b < before)]
+    if not chosen:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{target}/rows/batch={b}" for b in chosen])
+
+
+def fold_stream(stream: DataFrame, target: str, fold: Fold, trigger: dict | None = None) -> StreamingQuery:
+    """Keep a folded state up to date: each batch writes what it folds to, every ``WHOLE_EVERY`` batches the whole state.
+
+    ``fold`` brings rows down to fewer rows of the same columns and may be
+    applied in any order and to its own results. Batches that no reader and no
+    repeated batch needs any more are removed.
+    """
+    spark, schema = stream.sparkSession, stream.schema
+
+    def step(rows: DataFrame, batch: int) -> DataFrame:
+        if batch % WHOLE_EVERY:
+            return fold(rows)
+        for old in [b for b in _batches(spark, target) if b < batch - WHOLE_EVERY]:
+            fs, at = _folder(spark, f"{target}/rows/batch={old}")
+            fs.delete(at, True)
+        return fold(fold(rows).select(*schema.names).unionByName(
+            read_batches(spark, target, schema, max(0, batch - WHOLE_EVERY), batch)))
+
+    return write_batches(stream, target, trigger, lambda rows, batch: step(rows, batch).select(*schema.names))
+
+
+def read_folded(spark: SparkSession, target: str, fold: Fold, schema) -> DataFrame:
+    """The state after the last finished batch."""
+    written = _batches(spark, target)
+    whole = written[-1] // WHOLE_EVERY * WHOLE_EVERY if written else 0
+    return fold(read_batches(spark, target, schema, whole))
 
 
 def new_order_feed(orders: DataFrame) -> DataFrame:
@@ -60,69 +103,48 @@ def new_order_feed(orders: DataFrame) -> DataFrame:
     return orders.select("order_id", "register_id", "total_amount")
 
 
-def stream_daily_revenue(orders: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Order count and value per day of order, late orders accepted for ``delay``."""
-    return (
-        orders.withColumn("ts", F.col("created_at").cast("timestamp"))
-        .withWatermark("ts", delay)
-        .groupBy(F.window("ts", "1 day"))
-        .agg(F.count(F.lit(1)).alias("orders"), F.sum("total_amount").alias("revenue"))
-        .select(F.to_date("window.start").alias("day"), "orders", "revenue")
-    )
-
+def daily_revenue_rows(orders: DataFrame) -> DataFrame:
+    """Each order's share in the revenue of its day."""
+    return orders.select(F.to_date("created_at").alias("day"), F.lit(1).cast("long").alias("orders"),
+                         F.col("total_amount").cast("decimal(38,2)").alias("revenue"))
 
-def stream_stock_level(ledger: DataFrame) -> DataFrame:
-    """Running net movement per item and day.
 
-    The state is the pre-reduced ledger of the batch operator: products and
-    opening dates meet it when it is read, so no busy item is ever joined row
-    by row.
-    """
-    return (
-        ledger.where(is_live())
-        .groupBy("itmid", "purchase_date")
-        .agg(F.sum(signed_quantity()).alias("moved"))
-    )
+def daily_revenue(rows: DataFrame) -> DataFrame:
+    """Order count and value per day. Sums of batches add up, so no order comes too late."""
+    return rows.groupBy("day").agg(F.sum("orders").alias("orders"), F.sum("revenue").cast("decimal(38,2)").alias("revenue"))
 
 
-def stream_order_status(tracking: DataFrame) -> DataFrame:
-    """Latest status of each order."""
-    return (
-        tracking.groupBy("order_id")
-        .agg(F.max(F.struct("created_at", "id", F.lower("status").alias("status"))).alias("last"))
-        .select("order_id", "last.status", F.col("last.created_at").alias("status_at"))
-    )
+def stock_movement_rows(ledger: DataFrame) -> DataFrame:
+    """Each ledger line's signed quantity."""
+    return ledger.where(is_live()).select("itmid", "purchase_date", signed_quantity().cast("long").alias("moved"))
 
 
-def stream_cart_state(actions: DataFrame, target: str, trigger: dict | None = None) -> StreamingQuery:
-    """Cart lines kept up to date from a stream of cart actions.
+def stock_movements(rows: DataFrame) -> DataFrame:
+    """Net movement per item and day.
 
-    Every micro-batch is folded with the batch operator, by stretches of the
-    action number, so a busy line does not end up in one task. A batch writes
-    the lines of the users it touches, and every ``WHOLE_EVERY`` batches all
-    lines, so that no reader goes back further than that.
+    The state is the pre-reduced ledger of the batch operator: products and
+    opening dates meet it when it is read, so no busy item is ever joined row
+    by row.
     """
-    spark = actions.sparkSession
+    return rows.groupBy("itmid", "purchase_date").agg(F.sum("moved").alias("moved"))
 
-    def step(rows: DataFrame, batch: int) -> DataFrame:
-        after = cart_merge(cart_state(spark, target, batch), rows).select(*CART_KEYS, *CART_COLUMNS)
-        if batch % WHOLE_EVERY == 0:
-            return after
-        return after.join(rows.select("user_id").distinct(), "user_id", "left_semi").select(*CART_KEYS, *CART_COLUMNS)
 
-    return write_batches(actions, target, "append", trigger, step)
+def order_status_rows(tracking: DataFrame) -> DataFrame:
+    """Each tracking row as a candidate for its order's status."""
+    return tracking.select("order_id", F.struct("created_at", "id", F.lower("status").alias("status")).alias("last"))
 
 
-def cart_state(spark: SparkSession, target: str, before: int) -> DataFrame:
-    """Cart lines as written by the batches before the given one."""
-    if before == 0:
-        return spark.createDataFrame([], "user_id bigint, product_id bigint, quantity bigint, status string")
-    whole = (before - 1) // WHOLE_EVERY * WHOLE_EVERY
-    rows = spark.read.parquet(f"{target}/rows").where(F.col("batch").between(whole, before - 1))
-    return latest(rows, CART_KEYS, ["batch"], CART_COLUMNS)
+def order_statuses(rows: DataFrame) -> DataFrame:
+    """The latest candidate of each order, whenever it arrived."""
+    return rows.groupBy("order_id").agg(F.max("last").alias("last"))
 
 
-def read_cart(spark: SparkSession, target: str) -> DataFrame:
-    """Cart lines after the last finished batch."""
-    written = spark.read.parquet(f"{target}/rows").agg(F.max("batch")).first()[0]
-    return cart_state(spark, target, written + 1)
+def read_cart(actions: DataFrame, users: DataFrame | None = None) -> DataFrame:
+    """Cart lines after all actions that have arrived, or those of some users (``user_id``).
+
+    The sink keeps the actions themselves: one that arrives late is applied in
+    its place, which a folded line couldn't do.
+    """
+    if users is not None:
+        actions = actions.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    return cart_merge(actions.sparkSession.createDataFrame([], CART), actions)

@@ -8,13 +8,14 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from storelens.operators.changes import cart_merge
+import __spark_entry__ as entry
 from storelens.operators.ingest import flash_sale_post, purchase_post
 from storelens.plans import session
 from storelens.sources.readers import bulk_item_scan, nested_order_scan, table_source
 from storelens.sources.sinks import order_fanout, write_fanout
 from storelens.streaming import feeds
 
+from test_answers import compare
 from test_folds import ACTIONS, random_case, step_by_step
 
 ORDER = {
@@ -86,44 +87,61 @@ def test_purchase_and_flash_documents(spark):
     assert [r[0] for r in lines.orderBy("item_no").select("product_rate").collect()][1] is None
 
 
-def test_cart_stream_over_many_batches(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(feeds, "WHOLE_EVERY", 3)
-    _, actions = random_case(11, 1)
-    folder, target = tmp_path / "in", str(tmp_path / "out")
-    for i in range(0, 300, 40):
-        spark.createDataFrame(actions[i:i + 40], ACTIONS).coalesce(1).write.mode("append").parquet(str(folder))
-        stream = spark.readStream.schema(ACTIONS).parquet(str(folder))
-        feeds.stream_cart_state(stream, target).awaitTermination()
-    got = rows(feeds.read_cart(spark, target), "user_id", "product_id", "quantity", "status")
-    assert got == step_by_step([], actions)
-    empty = spark.createDataFrame([], "user_id long, product_id long, quantity long, status string")
-    whole = cart_merge(empty, spark.createDataFrame(actions, ACTIONS))
-    assert got == rows(whole, "user_id", "product_id", "quantity", "status")
-
-
-def test_update_stream_keeps_the_last_state(spark, tmp_path):
-    schema = "id long, order_id long, status string, created_at timestamp_ntz"
-    folder, target = str(tmp_path / "in"), str(tmp_path / "out")
-    at = lambda n: dt.datetime(2024, 1, n)
-    for batch in ([(1, 1, "PENDING", at(1)), (2, 2, "PENDING", at(1))], [(3, 1, "DELIVERED", at(3))], [(4, 1, "Late", at(2))]):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(schema).parquet(folder)
-        feeds.write_batches(feeds.stream_order_status(stream), target, "update").awaitTermination()
-    got = feeds.read_latest(spark, target, ["order_id"], ["status"])
-    assert rows(got) == [(1, "delivered"), (2, "pending")]
+STREAMS = ["new_order_feed", "stream_daily_revenue", "stream_stock_level", "stream_order_status", "stream_cart_state"]
+
+
+@pytest.fixture(scope="module")
+def scattered(spark, data, tmp_path_factory):
+    """The tables as folders of six files of rows in no order."""
+    folder = tmp_path_factory.mktemp("scattered")
+    for name in ("customer", "orders", "lineitem", "events", "part"):
+        df = spark.read.parquet(f"{data}/{name}.parquet")
+        df.repartition(6, F.xxhash64(*df.columns)).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
 
+@pytest.mark.parametrize("whole_every", [2, 32])
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_over_six_batches_give_the_batch_answer(spark, duck, data, scattered, monkeypatch, name, whole_every):
+    monkeypatch.setattr(feeds, "WHOLE_EVERY", whole_every)
+    plain_stream = feeds.file_stream
+    monkeypatch.setattr(feeds, "file_stream", lambda *a: plain_stream(*a, files_per_batch=1))
+    compare(spark, duck, scattered, name)
 
-def test_late_orders_are_dropped_after_the_delay(spark, tmp_path):
-    schema = "order_id long, total_amount decimal(12,2), created_at timestamp_ntz"
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_over_nothing_give_nothing(spark, data, tmp_path, name):
+    for table in ("customer", "orders", "lineitem", "events", "part"):
+        df = spark.read.parquet(f"{data}/{table}.parquet")
+        (df if table == "part" else df.limit(0)).write.parquet(f"{tmp_path}/{table}.parquet")
+    got = entry.queries()[name](spark, str(tmp_path))
+    if name == "stream_stock_level":
+        assert got.count() == spark.read.parquet(f"{data}/part.parquet").count()
+    else:
+        assert got.collect() == []
+
+
+def test_old_batches_are_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "WHOLE_EVERY", 3)
+    schema = "id long, order_id long, status string, created_at timestamp_ntz"
     folder, target = str(tmp_path / "in"), str(tmp_path / "out")
-    for batch in ([(1, 5, dt.datetime(2024, 1, 1, 5))], [(2, 6, dt.datetime(2024, 1, 1, 9)), (3, 7, dt.datetime(2024, 2, 1))],
-                  [(4, 100, dt.datetime(2024, 1, 1, 10))]):
-        rows_in = spark.createDataFrame(batch, "order_id long, total_amount long, created_at timestamp_ntz")
-        rows_in.select("order_id", F.col("total_amount").cast("decimal(12,2)"), "created_at").coalesce(1).write.mode("append").parquet(folder)
-        stream = spark.readStream.schema(schema).parquet(folder)
-        feeds.write_batches(feeds.stream_daily_revenue(stream), target, "update").awaitTermination()
-    got = feeds.read_latest(spark, target, ["day"], ["orders"])
-    assert rows(got) == [(dt.date(2024, 1, 1), 2), (dt.date(2024, 2, 1), 1)]
+    for n in range(11):
+        # Later batches bring earlier rows.
+        rows_in = [(20 - n, 1, f"S{20 - n}", dt.datetime(2024, 1, 20 - n)), (100 + n, 2, f"T{n}", dt.datetime(2024, 2, 1 + n))]
+        spark.createDataFrame(rows_in, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = feeds.order_status_rows(spark.readStream.schema(schema).parquet(folder))
+        feeds.fold_stream(stream, target, feeds.order_statuses).awaitTermination()
+    got = feeds.read_folded(spark, target, feeds.order_statuses, stream.schema)
+    assert rows(got.select("order_id", "last.status")) == [(1, "s20"), (2, "t10")]
+    assert feeds._batches(spark, target) == [6, 7, 8, 9, 10]
+
+
+def test_cart_of_some_users(spark):
+    _, actions = random_case(11, 1)
+    whole = feeds.read_cart(spark.createDataFrame(actions, ACTIONS))
+    assert rows(whole, "user_id", "product_id", "quantity", "status") == step_by_step([], actions)
+    some = feeds.read_cart(spark.createDataFrame(actions, ACTIONS), spark.createDataFrame([(1,)], "user_id long"))
+    assert rows(some) == rows(whole.where("user_id = 1"))
 
 
 def test_shared_folder_comes_from_the_cluster():
