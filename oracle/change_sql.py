@@ -46,7 +46,8 @@ put("category_product_load_categories", "categories_id:i categories_name:s", f""
 put("category_product_load_products", "product_id:i categories_id:i title:s description:s price:d mrp:d quantity:i"
     " thumbnail:s", f"""
     select (select max(product_id) from v_products) + k product_id,
-        (select max(categories_id) from v_categories) + k categories_id, p_name title, p_type description,
+        (select max(categories_id) from v_categories) + k categories_id,
+        case when p_partkey % 11 = 0 then '0' else p_name end title, p_type description,
         p_retailprice price, p_retailprice mrp, p_size % 5 quantity, 't.png' thumbnail from ({DOCS}) d""")
 put("category_product_load_images", "product_id:i image_url:s", f"""
     select (select max(product_id) from v_products) + k product_id, 'doc/' || p_partkey || '-' || n || '.png' image_url
@@ -199,8 +200,13 @@ put("order_cancel_ledger", LEDGER_SHAPE, grouped(f"""
     select purchase_id, itmid, stockqty, itmcandel, case when orderid in ({GONE}) then 1 else canordersts end canordersts,
         purchase_date from v_ledger"""))
 STEPS = """select event_id seq, event_id % 900 order_id,
-    case event_type when 'view' then 'out_for_delivery' else 'delivered' end "state", event_id % 2 = 0 by_partner
+    case event_type when 'view' then 'out_for_delivery' else 'delivered' end "state",
+    coalesce(event_id % 7 <> 0 and event_id % 2 = 0, false) by_partner
     from events where event_type in ('view', 'click')"""
+STEPS = f"""
+    select * from (select s.*, o.order_status = 'out_for_delivery' was_out,
+        lag("state") over (partition by s.order_id order by seq) prev from ({STEPS}) s join v_orders o using (order_id)) e
+    where "state" = 'out_for_delivery' or by_partner or coalesce(prev = 'out_for_delivery', was_out)"""
 SETTLED = f"select order_id from ({STEPS}) s where by_partner and \"state\" = 'delivered'"
 put("order_state_apply_orders", "order_id:i order_status:s payment_status:s", f"""
     select o.order_id, coalesce(e."state", o.order_status) order_status,
@@ -214,7 +220,9 @@ put("order_state_apply_tracking", "order_id:i status:s seq:i", f"""
     select order_id, "state" status, seq from ({STEPS}) s where "state" = 'out_for_delivery' or not by_partner""")
 put("coupon_apply_changes", "coupon_id:i coupon_code:s discount_type:s discount_value:d min_order_value:d"
     " max_discount:d expiry_date:D is_active:b", """
-    select * from v_coupons where coupon_id not in (select event_id % 150 from events where event_type = 'error')
+    with gone as (select event_id seq, case when event_id % 2 = 0 then event_id + 999999
+        when event_id % 5 = 0 then event_id + 1000001 else event_id % 150 end id from events where event_type = 'error')
+    select * from v_coupons where coupon_id not in (select id from gone)
     union all
     select event_id + 1000000, code, case when event_id % 3 = 0 then 'FLAT' else 'PERCENT' end, event_id % 50 + 1,
         case when event_id % 5 <> 0 then event_id % 700 else 0 end, nullif(event_id % 4 * 100, 0),
@@ -222,7 +230,8 @@ put("coupon_apply_changes", "coupon_id:i coupon_code:s discount_type:s discount_
     from (select *, row_number() over (partition by code order by event_id) k from (
             select *, case when event_id % 2 = 0 then 'GIFT' else 'SAVE' end || (event_id % 300) code from events
             where event_type in ('view', 'click')) a
-          where code not in (select coupon_code from v_coupons)) b where k = 1""")
+          where code not in (select coupon_code from v_coupons)) b
+    where k = 1 and not exists (select 1 from gone where id = event_id + 1000000 and seq > event_id)""")
 put("coupon_usage_append", "coupon_id:i user_id:i order_id:i", """
     select coupon_id, user_id, order_id from v_coupon_usage
     union all
@@ -287,7 +296,8 @@ put("address_apply_changes", "address_id:i user_id:i name:s full_address:s creat
     where not (event_type = 'error' and event_id % 4 <> 0)
     union all
     select event_id + 10000000, user_id, case when event_id % 8 <> 6 then 'Name ' || event_id end,
-        'Street ' || event_id, ts from events where event_type = 'signup'""")
+        case when event_id % 3 = 0 then 'Third' else 'Street ' || event_id end, ts from events
+    where event_type = 'signup' and not (event_id % 5 = 0 and event_id % 2 = 0)""")
 put("default_address_set", "address_id:i user_id:i is_default:b", """
     select a.address_id, a.user_id, case when c.chosen is null then a.is_default else a.address_id = c.chosen end is_default
     from v_addresses a left join (select user_id, max(event_id) chosen from events
@@ -304,16 +314,20 @@ put("review_insert_once", "user_id:i rating:i", """
     where k = 1 and user_id not in (select user_id from v_reviews)""")
 put("partner_apply_changes", "driver_id:i full_name:s mobile:s status:i", """
     with batch as (select c_custkey seq, c_custkey % 3 op,
-        case when c_custkey % 3 = 0 then c_custkey + 100000 else c_custkey % 130 end id, c_name,
-        '7' || lpad(cast(c_custkey % 400 as varchar), 9, '0') mobile, c_custkey % 2 status from customer)
+        case when c_custkey % 3 = 0 then c_custkey + 100000 when c_custkey % 3 = 1 and c_custkey % 4 = 1 then c_custkey + 99999
+            when c_custkey % 3 = 2 and c_custkey % 8 = 2 then c_custkey + 99998
+            when c_custkey % 3 = 2 and c_custkey % 8 = 5 then c_custkey + 100001 else c_custkey % 130 end id, c_name,
+        '7' || lpad(cast(c_custkey % 400 as varchar), 9, '0') mobile, c_custkey % 2 status from customer),
+    made as (select id, c_name, mobile, seq from (
+        select *, row_number() over (partition by mobile order by seq) k from batch
+        where op = 0 and mobile not in (select mobile from v_partners)) n where k = 1),
+    everyone as (select driver_id, full_name, mobile, status, -1 since from v_partners
+        union all select id, c_name, mobile, 1, seq from made)
     select p.driver_id, coalesce(b.c_name, p.full_name) full_name, coalesce(b.mobile, p.mobile) mobile,
         coalesce(b.status, p.status) status
-    from v_partners p left join (select *, row_number() over (partition by id order by seq desc) k from batch
-        where op <> 0) b on b.id = p.driver_id and b.k = 1
-    where b.op is null or b.op = 1
-    union all
-    select id, c_name, mobile, 1 from (select *, row_number() over (partition by mobile order by seq) k from batch
-        where op = 0 and mobile not in (select mobile from v_partners)) n where k = 1""")
+    from everyone p left join batch b on b.seq = (
+        select max(seq) from batch x where x.op <> 0 and x.id = p.driver_id and x.seq > p.since)
+    where b.op is null or b.op = 1""")
 put("walkin_customer_append", "user_id:i name:s phone:s email:s added_by:s user_role:s", """
     select user_id, "name", phone, email, added_by, user_role from v_users
     union all select s_suppkey + 1000000, s_name, cast(s_suppkey as varchar), s_suppkey || '@example.com', 'admin', 'user'

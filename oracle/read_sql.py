@@ -271,12 +271,11 @@ put("tracking_timeline", "order_id:i status:s created_at:t position:i", """
     select order_id, lower(status) status, created_at,
         row_number() over (partition by order_id order by created_at, id) "position" from v_tracking""")
 put("reorder_items", "order_id:i added:i skipped:i", """
-    select order_id, count(*) filter (where product_id in (select product_id from v_products where itmsts = 1)) added,
-        count(*) filter (where product_id not in (select product_id from v_products where itmsts = 1)) skipped
+    select order_id, count(*) filter (where product_id % 10 <> 0) added, count(*) filter (where product_id % 10 = 0) skipped
     from v_order_items group by 1""")
 put("split_by_existence", "half:s order_id:i qty:i", """
-    select case when p.itmsts = 1 then 'added' else 'skipped' end half, order_id, sum(product_qty) qty
-    from v_order_items left join v_products p using (product_id) group by 1, 2""")
+    select case when product_id % 10 <> 0 then 'added' else 'skipped' end half, order_id, sum(product_qty) qty
+    from v_order_items group by 1, 2""")
 SUMMARY = "count(o.order_id) total_orders, coalesce(sum(o.total_amount), 0) total_spent, max(o.created_at) last_order"
 put("customer_order_summary", "user_id:i total_orders:i total_spent:d last_order:t",
     f"select o.user_id, {SUMMARY} from v_orders o group by 1")
@@ -312,8 +311,8 @@ put("tag_counts", "tag:s reviews:i", """
     union all select 'rude', count(*) filter (where rude) from v_reviews
     union all select 'late', count(*) filter (where late) from v_reviews) r where n > 0""")
 put("first_order_discount", "user_id:i discount:i", """
-    select user_id, case when exists (select 1 from v_orders o where o.user_id = u.user_id
-        and o.created_at < timestamp '1995-06-01') then 0 else 100 end discount from v_users u""")
+    select user_id, case when exists (select 1 from v_orders o where o.user_id = u.user_id) then 0 else 100 end discount
+    from (select user_id from v_users union all select user_id + 10000000 from v_users) u""")
 put("driver_list", "driver_id:i full_name:s mobile:s status:i created_at:D",
     "select driver_id, full_name, mobile, status, created_at from v_partners")
 put("row_totals", "listing:s total:i", """
@@ -444,7 +443,11 @@ put("distinct_members", "member:s", "select distinct trim(categoriesname) \"memb
 # --- prices
 
 CARTS = "select order_id cart_id, user_id, 'save' || (order_id % 95) coupon_code, total_amount cart_total from v_orders"
-APPLY = f"""
+GUEST_CARTS = CARTS.replace("user_id,", "case when order_id % 4 = 0 then user_id + 10000000 else user_id end user_id,", 1)
+
+
+def applied(carts: str) -> str:
+    return f"""
     select c.cart_id, c.user_id, c.cart_total, case
         when k.coupon_id is null then 'invalid'
         when c.cart_total < k.min_order_value then 'below_minimum'
@@ -453,16 +456,18 @@ APPLY = f"""
         case when k.discount_type = 'FLAT' then k.discount_value
             when k.max_discount is not null and c.cart_total * k.discount_value > k.max_discount * 100 then k.max_discount
             else c.cart_total * k.discount_value * cast(0.01 as decimal(3,2)) end discount
-    from ({CARTS}) c left join v_coupons k on k.coupon_code = upper(c.coupon_code) and k.is_active
+    from ({carts}) c left join v_coupons k on k.coupon_code = upper(c.coupon_code) and k.is_active
         and (k.expiry_date is null or k.expiry_date >= date '2000-06-01')"""
+
+
 put("apply_coupon", "cart_id:i user_id:i cart_total:d reason:s coupon_id:i discount:d", f"""
     select cart_id, user_id, cart_total, reason, case when reason is null then coupon_id end coupon_id,
-        case when reason is null then discount end discount from ({APPLY}) a""")
+        case when reason is null then discount end discount from ({applied(CARTS)}) a""")
 put("checkout_price", "cart_id:i coupon_id:i cart_total:d first_order_discount:d coupon_discount:d to_pay:d", f"""
     select cart_id, coupon_id, cart_total, w first_order_discount, least(discount, cart_total - w) coupon_discount,
         greatest(cart_total - w - least(discount, cart_total - w), 0) to_pay
-    from (select *, least(case when exists (select 1 from v_orders o where o.user_id = a.user_id
-            and o.created_at < timestamp '1995-06-01') then 0 else 100 end, cart_total) w from ({APPLY}) a
+    from (select *, least(case when exists (select 1 from v_orders o where o.user_id = a.user_id)
+            then 0 else 100 end, cart_total) w from ({applied(GUEST_CARTS)}) a
           where reason is null) r""")
 put("coupon_list_with_usage", "coupon_id:i coupon_code:s discount_type:s discount_value:d min_order_value:d"
     " max_discount:d expiry_date:D is_active:b is_used:b", """
@@ -496,20 +501,22 @@ OUTER = bytes(b ^ 0x5C for b in b"test-secret".ljust(64, b"\0")).hex()
 put("payment_signature_audit", "order_id:i expected:s is_valid:b", f"""
     select order_id, sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || encode(
         'order_' || order_id || '|pay_' || method || lpad(cast(order_id as varchar), 8, '0'))))) expected,
-        false is_valid from v_payments""")
+        order_id % 3 = 1 is_valid from v_payments""")
 
 
 def otp(valid: str) -> str:
     return f"""
-    select user_id, seq, "at", issue_seq, case when issue_seq is null then 'no_code' when code <> issue_code then 'wrong_code'
+    select user_id, seq, "at", issue_seq, case when issue_seq is null then 'no_code' when code is null or issue_code is null or code <> issue_code then 'wrong_code'
         when not in_time then 'expired'
-        when row_number() over (partition by issue_seq, code = issue_code, in_time order by "at", seq) = 1 then 'matched'
+        when row_number() over (partition by issue_seq, coalesce(code = issue_code, false), in_time order by "at", seq) = 1 then 'matched'
         else 'used' end outcome
     from (select a.*, i.seq issue_seq, i.code issue_code, {valid} in_time
-        from (select user_id, event_id seq, ts "at", cast(floor("value") as bigint) % 3 code from events
+        from (select case when event_id % 40 <> 0 then user_id end user_id, event_id seq, ts "at",
+                nullif(cast(floor("value") as bigint) % 4, 3) code from events
               where event_type = 'purchase') a
-        left join (select user_id, event_id seq, ts "at", cast(floor("value") as bigint) % 3 code,
-                   lead(ts) over (partition by user_id order by ts, event_id) until_at from events
+        left join (select case when event_id % 40 <> 0 then user_id end user_id, event_id seq, ts "at",
+                nullif(cast(floor("value") as bigint) % 4, 3) code,
+                   lead(ts) over (partition by case when event_id % 40 <> 0 then user_id end order by ts, event_id) until_at from events
                    where event_type = 'signup') i
         on i.user_id = a.user_id and i."at" <= a."at" and (i.until_at is null or i.until_at > a."at")) r"""
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storelens.functions.keyed import latest, spread_join, stretch
@@ -203,13 +204,25 @@ def order_state_apply(orders: DataFrame, payments: DataFrame,
     """Orders, payments and new tracking rows after delivery events.
 
     ``events``: seq, order_id, state (``out_for_delivery`` or ``delivered``),
-    by_partner. The last event of an order sets its status. A delivery that a
-    partner reports also completes the payment (and a COD payment row) and
-    leaves no tracking row.
+    by_partner. Events count one after the other: a delivery that a partner
+    reports always does; it also completes the payment (and a COD payment row)
+    and leaves no tracking row. Any other delivery counts only if the order is
+    out for delivery by then. Events of unknown orders are ignored.
     """
-    last = latest(events, ["order_id"], ["seq"], [F.col("state").alias("_state")])
-    partner = F.col("by_partner") & (F.col("state") == "delivered")
-    paid = events.where(partner).select("order_id").distinct().withColumn("_paid", F.lit(True))
+    known = orders.select("order_id", (F.col("order_status") == "out_for_delivery").alias("_was_out"))
+    rows = spread_join(events, known, ["order_id"], ["seq"], "inner").withColumns({
+        "_partner": F.coalesce("by_partner", F.lit(False)) & (F.col("state") == "delivered"), "_stretch": stretch("seq")})
+    # The state before an event: after a delivery, counted or not, an order is not out. It is looked up within a
+    # stretch of numbers, and across stretches through one row each.
+    within = W.partitionBy("order_id", "_stretch").orderBy("seq")
+    ends = rows.groupBy("order_id", "_stretch").agg(F.max_by("state", "seq").alias("_end"))
+    carried = ends.select("order_id", "_stretch", F.lag("_end").over(W.partitionBy("order_id").orderBy("_stretch")).alias("_carried"))
+    before = F.coalesce(F.col("_before"), F.col("_carried"))
+    out = F.coalesce(before == "out_for_delivery", F.col("_was_out"), F.lit(False))
+    counted = rows.withColumn("_before", F.lag("state").over(within)).join(carried, ["order_id", "_stretch"]).where(
+        (F.col("state") != "delivered") | F.col("_partner") | out)
+    last = latest(counted, ["order_id"], ["seq"], [F.col("state").alias("_state")])
+    paid = counted.where("_partner").select("order_id").distinct().withColumn("_paid", F.lit(True))
     effect = last.join(paid, "order_id", "left")
     after = orders.join(effect, "order_id", "left").withColumns({
         "order_status": F.coalesce("_state", "order_status"),
@@ -219,7 +232,7 @@ def order_state_apply(orders: DataFrame, payments: DataFrame,
     settled = spread_join(payments, paid, ["order_id"], ["method"]).withColumn(
         "status", F.when(cod, "complete").otherwise(F.col("status"))
     )
-    tracking = events.where(~partner).select("order_id", F.col("state").alias("status"), "seq")
+    tracking = counted.where("not _partner").select("order_id", F.col("state").alias("status"), "seq")
     return after.select(*orders.columns), settled.select(*payments.columns), tracking
 
 
@@ -229,7 +242,8 @@ def coupon_apply_changes(coupons: DataFrame, changes: DataFrame) -> DataFrame:
     ``changes``: seq, op (``create``/``delete``), coupon_id, coupon_code,
     discount_type, discount_value, min_order_value, max_discount, expiry_date.
     A code in use is refused, and of several creations of one code the first
-    counts; codes are kept in upper case.
+    counts; codes are kept in upper case. A deletion also removes a coupon that
+    was created before it in the same batch.
     """
     columns = ["coupon_code", "discount_type", "discount_value", "min_order_value", "max_discount",
                "expiry_date", "is_active"]
@@ -241,9 +255,10 @@ def coupon_apply_changes(coupons: DataFrame, changes: DataFrame) -> DataFrame:
     )
     first = first_per(made, ["coupon_code"], ["coupon_id", *columns[1:]])
     created = first.join(coupons.select("coupon_code"), "coupon_code", "left_anti")
-    deleted = changes.where(F.col("op") == "delete").select("coupon_id").distinct()
+    deleted = changes.where(F.col("op") == "delete").groupBy("coupon_id").agg(F.max("seq").alias("_gone"))
     kept = coupons.select("coupon_id", *columns).join(deleted, "coupon_id", "left_anti")
-    return kept.unionByName(created.select("coupon_id", *columns))
+    stayed = created.join(deleted, "coupon_id", "left").where(F.col("_gone").isNull() | (F.col("_gone") < F.col("seq")))
+    return kept.unionByName(stayed.select("coupon_id", *columns))
 
 
 def coupon_usage_append(usage: DataFrame, coupons: DataFrame, orders: DataFrame) -> DataFrame:
@@ -280,27 +295,30 @@ def address_apply_changes(addresses: DataFrame, changes: DataFrame, editable: Se
     user_id, ``given`` (names of the columns sent) and the columns. A column
     that was not sent keeps its value, one that was sent as NULL becomes NULL.
     All updates of an address take part: each column takes its last sent value.
+    Changes to an address that the batch inserts count if they come after that.
     """
     columns = list(editable)
     keys = ["address_id", "user_id"]
+    inserted = changes.where(F.col("op") == "insert").select(
+        *[F.col(c) if c in changes.columns else F.lit(None).cast(addresses.schema[c].dataType).alias(c)
+          for c in addresses.columns]
+    )
+    made = changes.where(F.col("op") == "insert").groupBy(*keys).agg(F.max("seq").alias("_made"))
+    later = changes.where(F.col("op") != "insert").join(made, keys, "left").where(
+        F.col("_made").isNull() | (F.col("_made") < F.col("seq")))
     sent = {
         c: F.max(F.when((F.col("op") == "update") & F.array_contains("given", c), F.struct("seq", F.col(c).alias("v"))))
         for c in columns
     }
-    effect = changes.where(F.col("op") != "insert").groupBy(*keys).agg(
+    effect = later.groupBy(*keys).agg(
         F.max(F.col("op") == "delete").alias("_gone"), *[agg.alias(f"_{c}") for c, agg in sent.items()]
     )
     # Joined on address and user, a change by anyone but the owner meets nothing.
-    kept = addresses.join(effect, keys, "left").where(~F.coalesce("_gone", F.lit(False)))
-    updated = kept.select(
+    kept = addresses.unionByName(inserted).join(effect, keys, "left").where(~F.coalesce("_gone", F.lit(False)))
+    return kept.select(
         *[F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.v")).otherwise(F.col(c)).alias(c) if c in columns
           else F.col(c) for c in addresses.columns]
     )
-    inserted = changes.where(F.col("op") == "insert").select(
-        *[F.col(c) if c in changes.columns else F.lit(None).cast(addresses.schema[c].dataType).alias(c)
-          for c in addresses.columns]
-    )
-    return updated.unionByName(inserted)
 
 
 def default_address_set(addresses: DataFrame, choices: DataFrame) -> DataFrame:
@@ -338,20 +356,23 @@ def partner_apply_changes(partners: DataFrame, changes: DataFrame) -> DataFrame:
 
     ``changes``: seq, op (``create``/``update``/``delete``), driver_id (the
     new key for a creation), full_name, mobile, status. A mobile number in
-    use refuses a creation; a new partner is active.
+    use refuses a creation; a new partner is active. Changes to a partner that
+    the batch creates count if they come after that.
     """
     columns = ["full_name", "mobile", "status"]
     asked = changes.where(F.col("op") == "create")
     created = (
         first_per(asked, ["mobile"], ["driver_id", "full_name"])
         .join(partners.select("mobile"), "mobile", "left_anti")
-        .withColumns({"status": F.lit(1), "op": F.lit("put")})
+        .withColumn("status", F.lit(1))
     )
-    edits = changes.where(F.col("op") != "create").withColumn(
-        "op", F.when(F.col("op") == "delete", "delete").otherwise("put")
+    made = created.select("driver_id", F.col("seq").alias("_made"))
+    edits = (
+        changes.where(F.col("op") != "create").withColumn("op", F.when(F.col("op") == "delete", "delete").otherwise("put"))
+        .join(made, "driver_id", "left").where(F.col("_made").isNull() | (F.col("_made") < F.col("seq"))).drop("_made")
     )
-    edited = merge(partners.select("driver_id", *columns), edits, ["driver_id"], columns, upsert=False)
-    return edited.unionByName(created.select("driver_id", *columns))
+    everyone = partners.select("driver_id", *columns).unionByName(created.select("driver_id", *columns))
+    return merge(everyone, edits, ["driver_id"], columns, upsert=False)
 
 
 def walkin_customer_append(users: DataFrame, customers: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelens.functions.keyed import stretch
 from storelens.operators.catalogue import missing_members
@@ -70,8 +71,9 @@ def category_product_load(t: Tables, documents: DataFrame) -> dict[str, DataFram
     required = ("category_name", "title", "price", "mrp", "quantity", "thumbnail")
     complete = documents
     for column in required:
-        text = F.col(column).cast("string")
-        complete = complete.where(text.isNotNull() & (text != "") & ~text.rlike(r"^0(\.0+)?$"))
+        # A number must not be zero, a text not empty; the text "0" is one.
+        missing = "" if isinstance(documents.schema[column].dataType, T.StringType) else 0
+        complete = complete.where(F.col(column) != missing)
     order, bucket = [F.col("seq")], {"_stretch": stretch("seq")}
     keyed = next_keys(complete, t.categories, "categories_id", order, bucket)
     keyed = next_keys(keyed, t.products, "product_id", order, bucket)

@@ -155,7 +155,8 @@ def otp_match(issues: DataFrame, attempts: DataFrame,
     """Check each code attempt against the latest code issued before it.
 
     Both inputs have user_id, at, seq and code. A code holds for ``valid_for``
-    (None: for ever) and for one success. The latest code is looked up within
+    (None: for ever) and for one success. An attempt without a code fits none,
+    one without a user has no code. The latest code is looked up within
     the minute of the attempt, and across minutes through one row per user and
     minute, so a user with very many rows is spread over many tasks.
     """
@@ -163,6 +164,7 @@ def otp_match(issues: DataFrame, attempts: DataFrame,
     rows = (
         issues.select(*columns, F.lit(True).alias("_issue"))
         .unionByName(attempts.select(*columns, F.lit(False).alias("_issue")))
+        .where(F.col("user_id").isNotNull())
         .withColumn("_minute", minute_of("at"))
     )
     issued = F.when(F.col("_issue"), F.struct("at", "seq", "code"))
@@ -181,7 +183,7 @@ def otp_match(issues: DataFrame, attempts: DataFrame,
         in_time = F.col("_code.at") + F.lit(valid_for) > F.col("at")
     first_reason = (
         F.when(F.col("_code").isNull(), "no_code")
-        .when(~(F.col("_code.code") == F.col("code")), "wrong_code")
+        .when(~F.coalesce(F.col("_code.code") == F.col("code"), F.lit(False)), "wrong_code")
         .when(~in_time, "expired")
     )
     checked = seen.withColumn("_reason", first_reason).withColumn("issue_seq", F.col("_code.seq"))
@@ -191,10 +193,12 @@ def otp_match(issues: DataFrame, attempts: DataFrame,
         .groupBy("user_id", "issue_seq").agg(F.min(F.struct("at", "seq")).alias("_first"))
         .select(F.col("_first.seq").alias("seq"), F.lit(True).alias("_won"))
     )
+    nobody = attempts.where(F.col("user_id").isNull()).select(
+        "user_id", "seq", "at", F.lit(None).cast(issues.schema["seq"].dataType).alias("issue_seq"), F.lit("no_code").alias("outcome"))
     return checked.join(winners, "seq", "left").select(
         "user_id", "seq", "at", "issue_seq",
         F.when(F.col("_won"), "matched").otherwise(F.coalesce("_reason", F.lit("used"))).alias("outcome"),
-    )
+    ).unionByName(nobody)
 
 
 def normalize_order_id(t: Tables) -> DataFrame:

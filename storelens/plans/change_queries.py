@@ -48,7 +48,7 @@ def catalogue_documents(star: StarSchema) -> DataFrame:
     picture = lambda k: F.concat(F.lit("doc/"), key.cast("string"), F.lit(f"-{k}.png"))
     return star.raw("part").select(
         key.alias("seq"), F.when(key % 6 != 0, F.col("p_brand")).otherwise("").alias("category_name"),
-        F.col("p_name").alias("title"), F.col("p_type").alias("description"),
+        F.when(key % 11 == 0, "0").otherwise(F.col("p_name")).alias("title"), F.col("p_type").alias("description"),
         money(F.col("p_retailprice")).alias("price"), money(F.col("p_retailprice")).alias("mrp"),
         (size % 5).alias("quantity"), F.when(key % 7 != 0, F.lit("t.png")).alias("thumbnail"),
         F.when(size % 2 == 0, F.array(picture(1), picture(2))).alias("images"))
@@ -247,7 +247,7 @@ def delivery_events(star: StarSchema) -> DataFrame:
     return star.raw("events").where(F.col("event_type").isin("view", "click")).select(
         event_no().alias("seq"), (event_no() % 900).alias("order_id"),
         F.when(F.col("event_type") == "view", "out_for_delivery").otherwise("delivered").alias("state"),
-        (event_no() % 2 == 0).alias("by_partner"))
+        F.when(event_no() % 7 != 0, event_no() % 2 == 0).alias("by_partner"))
 
 
 for _no, _part in enumerate(("orders", "payments", "tracking")):
@@ -264,7 +264,9 @@ def _coupon_changes(star: StarSchema) -> DataFrame:
     kind = F.col("event_type")
     batch = star.raw("events").where(kind.isin("view", "click", "error")).select(
         event_no().alias("seq"), F.when(kind == "error", "delete").otherwise("create").alias("op"),
-        F.when(kind == "error", event_no() % 150).otherwise(event_no() + 1000000).alias("coupon_id"),
+        # Some deletions are of coupons that the batch creates just before or after.
+        F.when(kind != "error", event_no() + 1000000).when(event_no() % 2 == 0, event_no() + 999999)
+        .when(event_no() % 5 == 0, event_no() + 1000001).otherwise(event_no() % 150).alias("coupon_id"),
         F.concat(F.when(event_no() % 2 == 0, "gift").otherwise("save"), (event_no() % 300).cast("string")).alias("coupon_code"),
         F.when(event_no() % 3 == 0, "FLAT").otherwise("PERCENT").alias("discount_type"), money(event_no() % 50 + 1).alias("discount_value"),
         F.when(event_no() % 5 != 0, money(event_no() % 700)).alias("min_order_value"), money(event_no() % 4 * 100).alias("max_discount"),
@@ -320,8 +322,15 @@ def _address_changes(star: StarSchema) -> DataFrame:
         F.concat(F.lit("Street "), event_no().cast("string")).alias("full_address"), F.col("ts").alias("created_at"))
     second = first.where((F.col("op") == "update") & (F.col("seq") % 5 == 1)).withColumns({
         "seq": F.col("seq") + 20000000, "given": F.array(F.lit("full_address")), "full_address": F.lit("Second")})
+    # Changes to addresses that the batch inserts: after that, and before it.
+    made = first.where(F.col("op") == "insert")
+    third = made.where(F.col("seq") % 3 == 0).withColumns({
+        "op": F.lit("update"), "seq": F.col("seq") + 30000000, "given": F.array(F.lit("full_address")), "full_address": F.lit("Third")})
+    fourth = made.where(F.col("seq") % 5 == 0).withColumns({
+        "op": F.lit("delete"), "seq": F.when(F.col("seq") % 2 == 0, F.col("seq") + 40000000).otherwise(-F.col("seq"))})
     current = star.tables().addresses.select("address_id", "user_id", "name", "full_address", "created_at")
-    return changes.address_apply_changes(current, first.unionByName(second), ["name", "full_address"])
+    batch = first.unionByName(second).unionByName(third).unionByName(fourth)
+    return changes.address_apply_changes(current, batch, ["name", "full_address"])
 
 
 @star_query("default_address_set")
@@ -350,7 +359,11 @@ def _partner(star: StarSchema) -> DataFrame:
     key = F.col("c_custkey")
     op = F.when(key % 3 == 0, "create").when(key % 3 == 1, "update").otherwise("delete")
     batch = star.raw("customer").select(
-        key.alias("seq"), op.alias("op"), F.when(key % 3 == 0, key + 100000).otherwise(key % 130).alias("driver_id"),
+        key.alias("seq"), op.alias("op"),
+        # Some changes are to partners that the batch creates before or after.
+        F.when(key % 3 == 0, key + 100000).when((key % 3 == 1) & (key % 4 == 1), key + 99999)
+        .when((key % 3 == 2) & (key % 8 == 2), key + 99998).when((key % 3 == 2) & (key % 8 == 5), key + 100001)
+        .otherwise(key % 130).alias("driver_id"),
         F.col("c_name").alias("full_name"),
         F.concat(F.lit("7"), F.lpad((key % 400).cast("string"), 9, "0")).alias("mobile"),
         (key % 2).cast("int").alias("status"))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelens.functions.columns import order_bucket, pad_number
+from storelens.functions.columns import hmac_sha256, order_bucket, pad_number
 from storelens.operators import catalogue, invoices, orders, people, pricing, purchases, sales, stock, validation
 from storelens.plans.dashboard import dashboard_rows
 from storelens.plans.registered import AS_OF, OPEN_DATE, query, star_query
@@ -131,7 +131,14 @@ query("order_item_count")(lambda t: orders.order_item_count(t))
 query("delivery_order_detail")(lambda t: orders.delivery_order_detail(t))
 query("user_delivery_detail")(lambda t: orders.user_delivery_detail(t))
 query("tracking_timeline")(lambda t: orders.tracking_timeline(t))
-query("reorder_items")(lambda t: orders.reorder_items(t.replace(products=t.products.where("itmsts = 1"))))
+
+def some_gone(t: Tables) -> Tables:
+    """Orders some of whose products have left the catalogue."""
+    gone = F.when(F.col("product_id") % 10 == 0, F.col("product_id") + 10000000).otherwise(F.col("product_id"))
+    return t.replace(order_items=t.order_items.withColumn("product_id", gone))
+
+
+query("reorder_items")(lambda t: orders.reorder_items(some_gone(t)))
 query("customer_order_summary")(lambda t: people.order_summary(t.orders))
 query("customer_list")(lambda t: people.customer_list(t, "i"))
 query("customer_page")(lambda t: people.customer_list(t, "", 2, 10))
@@ -142,15 +149,22 @@ query("newest_address_by_time")(lambda t: people.newest_address_by_time(t.addres
 query("address_book")(lambda t: people.address_book(t))
 query("review_status")(lambda t: people.review_status(t))
 query("tag_counts")(lambda t: people.tag_counts(t.reviews))
-query("first_order_discount")(lambda t: people.first_order_discount(
-    t, F.lit("1995-06-01 00:00:00").cast("timestamp_ntz")))
+
+
+@query("first_order_discount")
+def _first_order(t: Tables) -> DataFrame:
+    # Sign-ups without an order beside the customers.
+    users = t.users.select(F.explode(F.array("user_id", F.col("user_id") + 10000000)).alias("user_id"))
+    return people.first_order_discount(t.replace(users=users))
+
+
 query("driver_list")(lambda t: people.driver_list(t))
 query("row_totals")(lambda t: catalogue.row_totals(t))
 
 
 @query("split_by_existence")
 def _split(t: Tables) -> DataFrame:
-    added, skipped = orders.reorder_split(t.replace(products=t.products.where("itmsts = 1")))
+    added, skipped = orders.reorder_split(some_gone(t))
     return added.select("*", F.lit("added").alias("half")).unionByName(
         skipped.select("*", F.lit("skipped").alias("half"))
     ).groupBy("half", "order_id").agg(F.sum("product_qty").alias("qty"))
@@ -241,8 +255,15 @@ def carts(t: Tables) -> DataFrame:
 COUPON_DAY = dt.date(2000, 6, 1)
 
 query("apply_coupon")(lambda t: pricing.apply_coupon(t, carts(t), COUPON_DAY))
-query("checkout_price")(lambda t: pricing.checkout_price(
-    t, carts(t), COUPON_DAY, history=t.orders.where(F.col("created_at") < F.lit("1995-06-01").cast("timestamp_ntz"))))
+
+
+@query("checkout_price")
+def _checkout(t: Tables) -> DataFrame:
+    # Every fourth cart is a guest's, who has never ordered.
+    user = F.when(F.col("cart_id") % 4 == 0, F.col("user_id") + 10000000).otherwise(F.col("user_id"))
+    return pricing.checkout_price(t, carts(t).withColumn("user_id", user), COUPON_DAY)
+
+
 query("coupon_list_with_usage")(lambda t: pricing.coupon_list_with_usage(t, 20))
 query("coupon_uses")(lambda t: pricing.coupon_uses(t))
 query("cart_bill")(lambda t: pricing.cart_bill(t, 5, 25))
@@ -256,26 +277,24 @@ def _signatures(t: Tables) -> DataFrame:
     rows = t.payments.select(
         "order_id", F.concat(F.lit("order_"), key.cast("string")).alias(refs[0]),
         F.concat(F.lit("pay_"), F.col("method"), pad_number(key, 8)).alias(refs[1]))
-    # A received signature is the digest of the plain message, which only a keyless sender would use.
-    rows = rows.withColumn("signature", F.sha2(F.concat_ws("|", *refs), 256))
+    # A third is signed with the key, a third with another one, the rest not at all.
+    message = F.concat_ws("|", *refs)
+    rows = rows.withColumn("signature", F.when(key % 3 == 1, hmac_sha256(message, "test-secret"))
+                           .when(key % 3 == 2, hmac_sha256(message, "other-secret")))
     return pricing.payment_signature_audit(rows, "test-secret").select("order_id", "expected", "is_valid")
 
 
-@star_query("otp_match")
-def _otp(star: StarSchema) -> DataFrame:
+def codes(star: StarSchema) -> tuple[DataFrame, DataFrame]:
+    """Codes issued and entered; some have no code and some attempts no user."""
     events = star.raw("events").select(
-        "user_id", F.col("ts").alias("at"), F.col("event_id").alias("seq"),
-        F.floor("value").cast("long") % 3, "event_type").toDF("user_id", "at", "seq", "code", "kind")
-    return pricing.otp_match(
-        events.where("kind = 'signup'"), events.where("kind = 'purchase'"), dt.timedelta(days=2))
+        F.when(F.col("event_id") % 40 != 0, F.col("user_id")).alias("user_id"), F.col("ts").alias("at"),
+        F.col("event_id").alias("seq"), F.nullif(F.floor("value").cast("long") % 4, F.lit(3)).alias("code"), "event_type")
+    columns = ("user_id", "at", "seq", "code")
+    return (events.where("event_type = 'signup'").select(*columns), events.where("event_type = 'purchase'").select(*columns))
 
 
-@star_query("otp_match_delivery")
-def _otp_delivery(star: StarSchema) -> DataFrame:
-    events = star.raw("events").select(
-        "user_id", F.col("ts").alias("at"), F.col("event_id").alias("seq"),
-        F.floor("value").cast("long") % 3, "event_type").toDF("user_id", "at", "seq", "code", "kind")
-    return pricing.otp_match(events.where("kind = 'signup'"), events.where("kind = 'purchase'"), None)
+star_query("otp_match")(lambda star: pricing.otp_match(*codes(star), dt.timedelta(days=2)))
+star_query("otp_match_delivery")(lambda star: pricing.otp_match(*codes(star), None))
 
 
 @query("address_components")

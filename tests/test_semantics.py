@@ -316,9 +316,25 @@ def test_partner_delivery_settles_cash_only(spark):
     events = spark.createDataFrame([(1, 1, "out_for_delivery", False), (2, 1, "delivered", True), (3, 2, "delivered", False)],
                                    "seq long, order_id long, state string, by_partner boolean")
     after, settled, steps = changes.order_state_apply(placed, paid, events)
-    assert rows(after) == [(1, "delivered", "complete"), (2, "delivered", "pending")]
+    # The second order was not out, so its user's word for the delivery doesn't count.
+    assert rows(after) == [(1, "delivered", "complete"), (2, "Pending", "pending")]
     assert rows(settled) == [(1, "cod", "complete"), (2, "UPI", "x")]
-    assert rows(steps, "order_id", "status") == [(1, "out_for_delivery"), (2, "delivered")]
+    assert rows(steps, "order_id", "status") == [(1, "out_for_delivery")]
+    more = spark.createDataFrame([(1, 1, "out_for_delivery", None), (2, 1, "delivered", None), (3, 1, "delivered", False),
+                                  (70_000_000, 2, "out_for_delivery", False), (90_000_000, 2, "delivered", False),
+                                  (5, 99, "delivered", None)], "seq long, order_id long, state string, by_partner boolean")
+    after, _, steps = changes.order_state_apply(placed, paid, more)
+    assert rows(after, "order_id", "order_status") == [(1, "delivered"), (2, "delivered")]
+    assert rows(steps, "seq") == [(1,), (2,), (70_000_000,), (90_000_000,)]
+
+
+def test_attempts_without_code_or_user(spark):
+    form = "user_id long, at timestamp_ntz, seq long, code long"
+    at = lambda n: dt.datetime(2024, 1, 1, 0, n)
+    issued = spark.createDataFrame([(1, at(0), 1, 7), (2, at(0), 2, None)], form)
+    tried = spark.createDataFrame([(1, at(1), 3, None), (1, at(2), 4, 7), (2, at(1), 5, None), (None, at(1), 6, 7)], form)
+    got = pricing.otp_match(issued, tried)
+    assert rows(got, "seq", "outcome") == [(3, "wrong_code"), (4, "matched"), (5, "wrong_code"), (6, "no_code")]
 
 
 def test_partial_address_update_tells_absent_from_null(spark):
