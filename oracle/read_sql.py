@@ -165,21 +165,23 @@ put("chart_gap_fill_by_store", "register_id:i position:i name:s sales:d", f"""
         coalesce((select sum(total_amount) from {SOLD} s where s.register_id = r.register_id
             and cast(created_at as date) between date '2001-07-25' and date '2001-07-31'
             and strftime(created_at, '%a') = strftime(date '2001-07-23' + n, '%a')), 0) sales
-    from (select distinct register_id from v_users where user_id in (select user_id from v_orders)) r,
+    from v_tenants r,
         (values (0), (1), (2), (3), (4), (5), (6)) d(n)""")
 put("revenue_graph_by_store", "register_id:i label:s value:d first_at:t", """
     select register_id, strftime(created_at, '%d %b') label, sum(total_amount) "value", min(created_at) first_at
     from v_orders join v_users using (user_id)
     where created_at >= timestamp '2001-08-01 09:30:00' - interval 7 day group by 1, 2""")
 put("dashboard_totals_by_store", "register_id:i total_orders:i total_revenue:d pending_orders:i", """
-    select register_id, count(*) total_orders,
+    select s.register_id, count(order_id) total_orders,
         coalesce(sum(total_amount) filter (where payment_status = 'complete'), 0) total_revenue,
         count(*) filter (where order_status in ('Pending', 'Process')) pending_orders
-    from v_orders join v_users using (user_id) group by 1""")
+    from v_tenants s left join (select * from v_orders join v_users using (user_id)) o on o.register_id = s.register_id
+    group by 1""")
 put("today_vs_yesterday_by_store", "register_id:i today_orders:i today_revenue:d today_pending:i"
-    " yesterday_orders:i yesterday_revenue:d yesterday_pending:i", summary("2001-07-15", "2001-07-14").replace(
-        "select ", "select register_id, ", 1).replace("from v_orders", """from v_orders join v_users using (user_id)
-    where cast(created_at as date) between date '2001-07-14' and date '2001-07-15' group by register_id"""))
+    " yesterday_orders:i yesterday_revenue:d yesterday_pending:i", "select s.register_id, " + ", ".join(
+        f"coalesce({c}, 0) {c}" for c in SUMMARY_COLUMNS) + " from v_tenants s left join ("
+    + summary("2001-07-15", "2001-07-14").replace("select ", "select register_id, ", 1).replace(
+        "from v_orders", "from v_orders join v_users using (user_id) group by register_id") + ") f on f.register_id = s.register_id")
 
 # --- orders and people
 
@@ -428,7 +430,11 @@ put("flash_sale_items", "register_id:i flsh_trnid:i product_id:i title:s product
 put("flash_sale_orders", "flsh_trnid:i product_id:i sold_qty:i", """
     select flsh_trnid, product_id, sum(product_qty) sold_qty
     from v_orders join v_order_items using (order_id) join v_flash_sale_lines using (product_id)
-    join v_flash_sales using (flsh_trnid) where v_orders.created_at between from_datetime and to_datetime group by 1, 2""")
+    join v_flash_sales using (flsh_trnid)
+    where v_orders.created_at + to_hours(cast(order_id % 24 as int)) + to_minutes(cast(order_id % 60 as int))
+        between from_datetime + to_hours(cast(flsh_trnid % 24 as int)) + to_minutes(cast(flsh_trnid % 60 as int))
+        and to_datetime + to_hours(cast(flsh_trnid * 7 % 24 as int)) + to_minutes(cast(flsh_trnid * 7 % 60 as int))
+    group by 1, 2""")
 put("dedupe_any", "product_id:i title:s image:s",
     "select product_id, title, image_url image from v_products join v_item_image using (product_id)")
 put("missing_dimension_members", "kind:s member:s", """

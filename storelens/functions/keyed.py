@@ -152,7 +152,8 @@ def documents(headers: DataFrame, rows: DataFrame, key: str, order: Sequence[str
         .drop("_rows")
     )
 
-    numbered = ranked(rows.join(long_keys, key, "left_semi"), [key], [F.col(c) for c in order], bucket, "_at")
+    # The same full order as in the lists, so that ties stand alike on both ways.
+    numbered = ranked(rows.join(long_keys, key, "left_semi"), [key], [F.col(c) for c in columns], bucket, "_at")
     entry = F.struct("_at", item(F.struct(*columns), F.col("_at").cast("long")).alias("_item"))
     page_no = F.floor((F.col("_at") - 1) / page_rows).cast("int").alias("page_no")
     long = (

@@ -18,7 +18,6 @@ from storelens.sources.tables import Tables
 # product kinds of the home screen as they are stored.
 SEARCH_ROWS = 30
 POPULAR_TAGS = 10
-RECOMMENDED_CATEGORIES = 500
 RECOMMENDED_PRODUCTS = 12
 VEGETABLE, FRUIT = "vegitable", "fruit"
 
@@ -87,7 +86,7 @@ def category_items(t: Tables, category_id: int | None = None,
     products = t.products if category_id is None else t.products.where(F.col("categories_id") == category_id)
     products = products.join(t.units, F.col("unit") == F.col("unitid"))
     return (
-        with_stock(t, products, default_open_date)
+        with_stock(t, products, default_open_date, category_id is not None)
         .join(first_image_per_product(t.images), "product_id", "left")
         .select("product_id", "categories_id", "title", "price", "mrp", "description",
                 F.col("unitname").alias("unit"), F.col("stock").alias("current_stock"),
@@ -100,7 +99,7 @@ def search_items(t: Tables, search: str = "", default_open_date: dt.date = DEFAU
     products = t.products.where(contains_text("title", search)) if search else t.products
     names = t.categories.select("categories_id", F.col("categories_name").alias("category_name"))
     return (
-        with_movement(t, products.join(names, "categories_id"), default_open_date)
+        with_movement(t, products.join(names, "categories_id"), default_open_date, bool(search))
         .join(first_image_per_product(t.images), "product_id", "left")
         .select(
             F.col("product_id").alias("id"), F.col("title").alias("name"), F.col("category_name").alias("category"),
@@ -152,12 +151,13 @@ def super_deals(t: Tables) -> DataFrame:
 def deal_price(t: Tables, products: DataFrame | None = None, default_open_date: dt.date = DEFAULT_OPEN_DATE,
                *more: str) -> DataFrame:
     """Products as the home screen shows them: price now and before, unit, picture, stock."""
-    products = t.products if products is None else products
+    chosen = products is not None
+    products = products if chosen else t.products
     percent = F.coalesce("discount_per", F.lit(0).cast("decimal(5,2)"))
     price = F.when(F.coalesce("discount_sts", F.lit(0)) == 1, percent_off(F.col("price"), percent)).otherwise(F.col("price"))
     known = products.join(t.units, F.col("unit") == F.col("unitid"))
     return (
-        with_stock(t, known, default_open_date)
+        with_stock(t, known, default_open_date, chosen)
         .join(first_image_per_product(t.images), "product_id", "left")
         .select(
             "product_id", F.col("title").alias("name"), percent.alias("discount"),
@@ -178,13 +178,14 @@ def ordered_categories(t: Tables) -> DataFrame:
     )
 
 
-def recommended_products(t: Tables, categories: int = RECOMMENDED_CATEGORIES,
-                         size: int = RECOMMENDED_PRODUCTS) -> DataFrame:
-    """First products, of a known unit, whose category was ever ordered."""
+def recommended_products(t: Tables, categories: int | None = None, size: int = RECOMMENDED_PRODUCTS) -> DataFrame:
+    """First products, of a known unit, whose category was ever ordered; of the first ``categories`` only if given."""
     sold = t.products.join(t.order_items.select("product_id").distinct(), "product_id", "left_semi")
-    chosen = sold.select("categories_id").distinct().orderBy("categories_id").limit(categories)
+    chosen = sold.select("categories_id").distinct()
+    if categories is not None:
+        chosen = chosen.orderBy("categories_id").limit(categories)
     return (
-        t.products.join(F.broadcast(chosen), "categories_id", "left_semi")
+        t.products.join(chosen, "categories_id", "left_semi")
         .join(t.units.select(F.col("unitid").alias("unit")), "unit", "left_semi")
         .orderBy("product_id").limit(size).select("product_id")
     )
@@ -193,7 +194,7 @@ def recommended_products(t: Tables, categories: int = RECOMMENDED_CATEGORIES,
 _HOME_COLUMNS = ("product_id", "name", "discount", "price", "oldPrice", "img", "weight", "current_stock")
 
 
-def recommendations(t: Tables, categories: int = RECOMMENDED_CATEGORIES, size: int = RECOMMENDED_PRODUCTS,
+def recommendations(t: Tables, categories: int | None = None, size: int = RECOMMENDED_PRODUCTS,
                     default_open_date: dt.date = DEFAULT_OPEN_DATE) -> DataFrame:
     """The recommended products as the home screen shows them."""
     chosen = recommended_products(t, categories, size)
@@ -254,23 +255,30 @@ def flash_sale_items(t: Tables, register_id: int | None, as_of: dt.datetime) ->
 def flash_sale_orders(t: Tables) -> DataFrame:
     """Quantity ordered of each flash-sale product while its sale was on.
 
-    Order lines are summed per product and day before they meet the sale
-    periods, so a product in many orders meets them once a day.
+    Order lines are summed per product and day before they meet the sales that
+    cover the whole day. Only on the days on which a sale begins or ends do
+    they meet it one by one.
     """
-    days = t.orders.select("order_id", F.col("created_at").alias("ordered_at"))
-    sold = (
-        t.order_items.select("order_id", "product_id", "product_qty").join(days, "order_id")
-        .groupBy("product_id", "ordered_at").agg(F.sum("product_qty").alias("qty"))
+    times = t.orders.select("order_id", F.col("created_at").alias("ordered_at"))
+    lines = (
+        t.order_items.select("order_id", "product_id", "product_qty").join(times, "order_id")
+        .withColumn("_day", F.to_date("ordered_at"))
     )
     offers = t.flash_sales.join(t.flash_sale_lines, "flsh_trnid").select(
-        "flsh_trnid", "product_id", "product_rate", "from_datetime", "to_datetime"
-    )
-    return (
-        sold.join(offers, "product_id")
+        "flsh_trnid", "product_id", "from_datetime", "to_datetime")
+    midnight = F.col("_day").cast("timestamp_ntz")
+    covered = (F.col("from_datetime") <= midnight) & (F.col("to_datetime") >= midnight + F.expr("interval 1 day"))
+    daily = lines.groupBy("product_id", "_day").agg(F.sum("product_qty").alias("qty"))
+    whole = daily.join(offers, "product_id").where(covered).groupBy("flsh_trnid", "product_id").agg(F.sum("qty").alias("qty"))
+    # The days on which a sale begins or ends, unless it covers them.
+    edges = offers.withColumn("_day", F.explode(F.array_distinct(F.array(
+        F.to_date("from_datetime"), F.to_date("to_datetime"))))).where(~covered)
+    part = (
+        lines.join(edges, ["product_id", "_day"])
         .where(F.col("ordered_at").between(F.col("from_datetime"), F.col("to_datetime")))
-        .groupBy("flsh_trnid", "product_id")
-        .agg(F.sum("qty").alias("sold_qty"))
+        .groupBy("flsh_trnid", "product_id").agg(F.sum("product_qty").alias("qty"))
     )
+    return whole.unionByName(part).groupBy("flsh_trnid", "product_id").agg(F.sum("qty").alias("sold_qty"))
 
 
 def row_totals(t: Tables) -> DataFrame:

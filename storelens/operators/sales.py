@@ -1,7 +1,8 @@
 """Sales charts and dashboard figures over orders.
 
 Each takes ``by``, the columns that tell stores apart, to answer for all
-stores in one pass.
+stores in one pass. Figures and gap-filled charts have every store of
+``tenants``, with zeros for one that sold nothing.
 """
 
 from __future__ import annotations
@@ -83,15 +84,12 @@ def sales_chart(t: Tables, mode: str, as_of: dt.date, paid_status: str = "comple
 
 def chart_gap_fill(t: Tables, mode: str, as_of: dt.date, paid_status: str = "complete",
                    by: Sequence[str] = ()) -> DataFrame | None:
-    """Chart with a row for every label of the mode, zero where nothing was sold.
-
-    ``by`` gives one chart to each store that has orders.
-    """
+    """Chart with a row for every label of the mode, zero where nothing was sold."""
     chart = sales_chart(t, mode, as_of, paid_status, by)
     if chart is None:
         return None
     labels = F.array(*[F.lit(label) for label in CHART_LABELS[mode]])
-    owners = t.orders.select(*by).distinct() if by else t.orders.sparkSession.range(1)
+    owners = t.tenants.select(*by) if by else t.orders.sparkSession.range(1)
     spine = owners.select(*by, F.posexplode(labels).alias("position", "name"))
     return spine.join(chart.select(*by, "name", "sales"), [*by, "name"], "left").select(
         *by, "position", "name", F.coalesce("sales", F.lit(0).cast("decimal(18,2)")).alias("sales")
@@ -108,15 +106,23 @@ def revenue_graph(t: Tables, now: dt.datetime, by: Sequence[str] = ()) -> DataFr
     )
 
 
+def _every_store(t: Tables, figures: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Figures of every store, zeros for those without orders."""
+    if not by:
+        return figures
+    return t.tenants.select(*by).join(figures, list(by), "left").select(
+        *by, *[F.coalesce(c, F.lit(0).cast(figures.schema[c].dataType)).alias(c) for c in figures.columns if c not in by])
+
+
 def dashboard_totals(t: Tables, paid_status: str = "SUCCESS", pending: Sequence[str] = ("Pending", "Process"),
                      by: Sequence[str] = ()) -> DataFrame:
     """Order count, paid value and open orders, in one pass."""
     paid = F.when(F.col("payment_status") == paid_status, F.col("total_amount"))
-    return t.orders.groupBy(*by).agg(
+    return _every_store(t, t.orders.groupBy(*by).agg(
         F.count(F.lit(1)).alias("total_orders"),
         F.coalesce(F.sum(paid), F.lit(0)).alias("total_revenue"),
         F.count_if(F.col("order_status").isin(*pending)).alias("pending_orders"),
-    )
+    ), by)
 
 
 def today_vs_yesterday(t: Tables, day: dt.date, paid_status: str = "complete", pending: str = "Pending",
@@ -133,6 +139,6 @@ def today_vs_yesterday(t: Tables, day: dt.date, paid_status: str = "complete", p
             F.count_if(within & (F.col("order_status") == pending)).alias(f"{name}_pending"),
         ]
 
-    return t.orders.where(_between(yesterday, tomorrow)).groupBy(*by).agg(
+    return _every_store(t, t.orders.where(_between(yesterday, tomorrow)).groupBy(*by).agg(
         *figures("today", day, tomorrow), *figures("yesterday", yesterday, day)
-    )
+    ), by)

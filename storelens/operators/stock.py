@@ -54,15 +54,24 @@ def since_opening(t: Tables, daily: DataFrame, default_open_date: dt.date, *sums
     )
 
 
-def with_movement(t: Tables, products: DataFrame, default_open_date: dt.date = DEFAULT_OPEN_DATE) -> DataFrame:
-    """Products with ``moved``, the net live movement since their opening date (NULL if none)."""
-    moved = since_opening(t, daily_movements(t.ledger), default_open_date, "moved")
+def with_movement(t: Tables, products: DataFrame, default_open_date: dt.date = DEFAULT_OPEN_DATE,
+                  chosen: bool = False) -> DataFrame:
+    """Products with ``moved``, the net live movement since their opening date (NULL if none).
+
+    ``chosen`` says that the products are a selection: then only their rows of
+    the ledger are summed up.
+    """
+    ledger = t.ledger
+    if chosen:
+        ledger = ledger.join(products.select(F.col("product_id").alias("itmid")), "itmid", "left_semi")
+    moved = since_opening(t, daily_movements(ledger), default_open_date, "moved")
     return products.join(moved, "product_id", "left")
 
 
-def with_stock(t: Tables, products: DataFrame, default_open_date: dt.date = DEFAULT_OPEN_DATE) -> DataFrame:
+def with_stock(t: Tables, products: DataFrame, default_open_date: dt.date = DEFAULT_OPEN_DATE,
+               chosen: bool = False) -> DataFrame:
     """Products with ``stock``: opening balance plus movement, nothing missing counted as zero."""
-    return with_movement(t, products, default_open_date).withColumn(
+    return with_movement(t, products, default_open_date, chosen).withColumn(
         "stock", F.coalesce("openbalqty", F.lit(0)) + F.coalesce("moved", F.lit(0))
     ).drop("moved")
 
@@ -89,7 +98,7 @@ def low_stock_list(t: Tables, state: str = "low", search: str = "", number: int
     products = t.products.select("product_id", "title", "lowstqty", "itmsts", "openbalqty")
     if search.strip():
         products = products.where(contains_text("title", search))
-    found = stock_state_filter(with_stock(t, products, default_open_date), state)
+    found = stock_state_filter(with_stock(t, products, default_open_date, bool(search.strip())), state)
     shown = page(found, [F.col("product_id").desc()], number, size)
     return (
         shown.join(first_image_per_product(t.images), "product_id", "left")
@@ -106,7 +115,7 @@ def low_stock_total(t: Tables, state: str = "low", search: str = "",
     products = t.products.select("product_id", "title", "lowstqty", "itmsts", "openbalqty")
     if search.strip():
         products = products.where(contains_text("title", search))
-    found = stock_state_filter(with_stock(t, products, default_open_date), state)
+    found = stock_state_filter(with_stock(t, products, default_open_date, bool(search.strip())), state)
     return found.agg(F.count(F.lit(1)).alias("total"))
 
 

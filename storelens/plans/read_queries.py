@@ -225,7 +225,19 @@ query("home_feed")(lambda t: catalogue.home_feed(t, OPEN_DATE))
 query("favourites_list")(lambda t: catalogue.favourites_list(t))
 query("cart_list")(lambda t: catalogue.cart_list(t))
 query("flash_sale_items")(lambda t: catalogue.flash_sale_items(t, None, dt.datetime(1998, 2, 1)))
-query("flash_sale_orders")(lambda t: catalogue.flash_sale_orders(t))
+
+
+@query("flash_sale_orders")
+def _flash_sale_orders(t: Tables) -> DataFrame:
+    # Times within the day for orders and sales.
+    hours = lambda column: F.make_dt_interval(hours=(column % 24).cast("int"), mins=(column % 60).cast("int"))
+    timed = t.orders.withColumn("created_at", F.col("created_at") + hours(F.col("order_id")))
+    sales = t.flash_sales.withColumns({
+        "from_datetime": F.col("from_datetime") + hours(F.col("flsh_trnid")),
+        "to_datetime": F.col("to_datetime") + hours(F.col("flsh_trnid") * 7)})
+    return catalogue.flash_sale_orders(t.replace(orders=timed, flash_sales=sales))
+
+
 query("dedupe_any")(lambda t: t.products.join(t.images, "product_id").groupBy("product_id", "title").agg(
     F.min("image_url").alias("image")))
 
