@@ -12,8 +12,8 @@ total length that the last one states, and the chunks are decoded. ``status`` te
 payload is then null.
 
 Defined results: no payload counts as an empty one; pages with the same largest id and payload all keep it; pages
-without an id are written, and revisit a page with an id if there is one; repeated rows are records of their own; an
-empty table gives an empty result; other columns are left out. A payload may be as long as Spark's largest value.
+without an id are written, and revisit a page with an id if there is one; repeated rows are records of their own; when
+read, records with the same record id count as one; an empty table gives an empty result; other columns are left out. A payload may be as long as Spark's largest value.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ LINE = "\r\n"
 RECORD = pa.schema([
     ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()),
     ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("stated_bytes", pa.int64()),
-    ("stated_digest", pa.string()), ("block", pa.binary()),
+    ("stated_digest", pa.string()), ("block", pa.binary()), ("payload_bytes", pa.int64()),
+    ("payload_digest", pa.string()), ("status", pa.string()), ("payload", pa.binary()),
 ])
 READ = pa.schema([
     ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
@@ -146,8 +147,9 @@ def _fields(head: bytes) -> dict[str, str]:
     return {name.strip().lower(): value.strip() for name, _, value in pairs}
 
 
-def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of archive files, given as (file, value): what stands between two marks, in order."""
+def records(batches: Iterator[pa.RecordBatch], payloads: bool = True) -> Iterator[pa.RecordBatch]:
+    """Records of archive files, given as (file, value): what stands between two marks, in order. A record that is no
+    segment of a longer one is decoded at once."""
     whole = lambda v: int(v) if v and v.isdigit() else None
     out: list[tuple] = []
     size = 0
@@ -179,15 +181,19 @@ def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             stated = _fields(block[: block.find(b"\r\n\r\n")]) if kind == "revisit" else {}
             continued = kind == "continuation"
+            digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+            number, total = whole(fields.get("warc-segment-number")), whole(fields.get("warc-segment-total-length"))
+            length_of = whole(stated.get("content-length"))
+            done = (None,) * 4
+            if number is None and not continued:
+                done = assembled(kind, [{"number": 1, "total": total, "block": block}], length_of, digest)
+                done, block = (*done[:3], done[3] if payloads else None), None
             out.append((
                 fields.get("warc-segment-origin-id") if continued else fields.get("warc-record-id"),
-                whole(fields.get("warc-segment-number")) or 1, whole(fields.get("warc-segment-total-length")),
-                whole(fields.get("x-page-id")), None if continued else fields.get("warc-target-uri"),
-                None if continued else kind, whole(fields.get("x-refers-to-page-id")),
-                whole(stated.get("content-length")), fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                block,
+                number or 1, total, whole(fields.get("x-page-id")), None if continued else fields.get("warc-target-uri"),
+                None if continued else kind, whole(fields.get("x-refers-to-page-id")), length_of, digest, block, *done,
             ))
-            size += len(block)
+            size += len(block or done[3] or b"")
             if size > 1 << 22 or len(out) > 2000:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), RECORD, strict=True)], schema=RECORD)
@@ -219,10 +225,11 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
     """One row for each response and revisit of the archives in a folder, with the decoded payload if asked for."""
     lines = spark.read.option("lineSep", MARK.decode()).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
-    parts = lines.mapInArrow(records, _ddl(RECORD))
+    parts = lines.mapInArrow(lambda batches: records(batches, payloads), _ddl(RECORD))
     first = lambda name: F.max(name).alias(name)
     whole = parts.groupBy("origin").agg(
-        *[first(c) for c in ("page_id", "url", "record_type", "refers_to", "stated_bytes", "stated_digest")],
+        *[first(c) for c in ("page_id", "url", "record_type", "refers_to", "stated_bytes", "stated_digest",
+                             "payload_bytes", "payload_digest", "status", "payload")],
         F.array_sort(F.collect_list(F.struct("number", "total", "block"))).alias("segments"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +239,8 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataF
                 out = []
                 for r in batch.slice(low, 256).to_pylist():
                     size, digest, status, payload = assembled(
-                        r["record_type"], r["segments"], r["stated_bytes"], r["stated_digest"])
+                        r["record_type"], r["segments"], r["stated_bytes"], r["stated_digest"]
+                    ) if r["status"] is None else (r["payload_bytes"], r["payload_digest"], r["status"], r["payload"])
                     out.append((r["page_id"], r["url"], r["record_type"], r["refers_to"], size, digest,
                                 len(r["segments"]), status, payload if payloads else None))
                 yield pa.RecordBatch.from_arrays(
