@@ -7,12 +7,15 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # Rows of one key that one task may take; the session setting ``storelens.hotKeyRows`` overrides it.
 HOT_KEY_ROWS = 2_000_000
 # Rows of one key that one task may hold as a list; ``storelens.documentRows`` overrides it.
 DOCUMENT_KEY_ROWS = 100_000
+# Hot keys that are sent to all tasks; more are joined like any table.
+MOST_MARKS = 100_000
 
 
 def _setting(df: DataFrame, name: str, default: int) -> int:
@@ -36,24 +39,34 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return df.groupBy(*keys).agg(row).select(*keys, "_row.*")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys with more rows than one task should take, and in how many shares to cut them.
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Keys with more rows than one task should take, and in how many shares to cut them; None if there are none.
 
-    Rows are counted before the shuffle, and at most one key per ``hotKeyRows``
-    rows of the table comes out, so the result is small enough to be sent to
-    all tasks.
+    The keys are counted when the plan is built, from their own column alone,
+    so that a table without hot keys is joined and grouped without a detour.
     """
     limit = _setting(df, "storelens.hotKeyRows", HOT_KEY_ROWS)
-    return (
+    counted = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > limit)
         .select(*keys, F.ceil(F.col("_rows") / limit).alias("_shares"))
     )
+    return _marks(counted)
+
+
+def _marks(found: DataFrame) -> DataFrame | None:
+    """Marked keys as a small table of their own while there are at most ``MOST_MARKS``, else as they are."""
+    rows = found.limit(MOST_MARKS + 1).collect()
+    if not rows:
+        return None
+    if len(rows) > MOST_MARKS:
+        return found
+    return F.broadcast(found.sparkSession.createDataFrame(rows, found.schema))
 
 
 def _with_shares(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with ``_shares``, NULL unless their key is hot; a missing key is a key like any other."""
-    marks = F.broadcast(hot.withColumnsRenamed({key: f"_hot_{key}" for key in keys}))
+    marks = hot.withColumnsRenamed({key: f"_hot_{key}" for key in keys})
     same = [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in keys]
     return df.join(marks, same, "left").drop(*[f"_hot_{key}" for key in keys])
 
@@ -67,6 +80,8 @@ def spread_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], by: Seque
     AQE does not cut such a key where the lookup is itself grouped by it.
     """
     hot = hot_keys(df, keys)
+    if hot is None:
+        return df.join(lookup, list(keys), how)
     share = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_shares")), F.lit(0).cast("long"))
     left = _with_shares(df, hot, keys).withColumn("_share", share).drop("_shares")
     copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_shares"), F.lit(1).cast("long")) - 1)
@@ -85,34 +100,63 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Ma
     """
     keys = [*by, *bucket]
     if by:
+        keyed = hot_keys(df, by)
+        if keyed is None:
+            return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
+        marked = _with_shares(df, keyed, by)
         hot = F.col("_shares").isNotNull()
-        # Rows without a key are no listing of anything and stay in one stretch.
-        keyed = hot_keys(df, by).dropna(subset=list(by))
-        marked = _with_shares(df, keyed, by).withColumns({b: F.when(hot, c) for b, c in bucket.items()})
+        marked = marked.withColumns({b: F.when(hot, c) for b, c in bucket.items()})
         split, marked = marked.where(hot), marked.drop("_shares")
     else:
         split = marked = df.withColumns(dict(bucket))
-    earlier = W.partitionBy(*by).orderBy(*bucket).rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        split.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_start", F.sum("_rows").over(earlier))
-        .drop("_rows")
-    )
+    lengths = split.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    starts = _starts(lengths, list(by), list(bucket))
     inside = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
     return (
         marked.withColumn("_inside", inside)
-        .join(starts, keys, "left")
+        .join(starts.withColumnsRenamed({k: f"_of_{k}" for k in keys}), same, "left")
         .withColumn(name, F.coalesce("_start", F.lit(0)) + F.col("_inside"))
-        .drop("_inside", "_start", *bucket)
+        .drop("_inside", "_start", *bucket, *[f"_of_{k}" for k in keys])
     )
 
 
+def _starts(lengths: DataFrame, by: list[str], bucket: list[str]) -> DataFrame:
+    """Rows before each stretch of its key.
+
+    Whole-number stretches are added up level by level, 16 bits at a time, so
+    that no window sees more than 65,536 of them, however they are spread.
+    """
+    rows, path, levels = lengths, list(by), []
+    for b in bucket:
+        if isinstance(lengths.schema[b].dataType, T.IntegralType):
+            for bits in (48, 32, 16):
+                rows = rows.withColumn(f"_{bits}_{b}", F.shiftright(F.col(b).cast("long"), bits))
+                levels.append(f"_{bits}_{b}")
+        levels.append(b)
+    out = rows.withColumn("_start", F.lit(0).cast("long"))
+    for level in levels:
+        sums = rows.groupBy(*path, level).agg(F.sum("_rows").alias("_sum"))
+        earlier = W.partitionBy(*path).orderBy(level).rowsBetween(W.unboundedPreceding, -1)
+        before = sums.select(*[F.col(c).alias(f"_at_{c}") for c in [*path, level]],
+                             F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+        path.append(level)
+        out = out.join(before, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in path]).withColumn(
+            "_start", F.col("_start") + F.col("_before")).drop("_before", *[f"_at_{c}" for c in path])
+    return out.select(*by, *bucket, "_start")
+
+
 def minute_of(column: str) -> Column:
     """Whole minutes of a time column, a fine enough stretch for a key that is busy all the time."""
     # Read off the calendar fields, so that it rises with the column in any session time zone.
     return F.unix_date(F.to_date(column)).cast("long") * 1440 + F.hour(column) * 60 + F.minute(column)
 
 
+def moment_of(column: str) -> Column:
+    """A time column as whole microseconds, a stretch that only equal times share."""
+    return minute_of(column) * 60_000_000 + F.floor(F.date_part(F.lit("SECOND"), column) * 1_000_000).cast("long")
+
+
 def stretch(column: str | Column, bits: int = 16) -> Column:
     """Stretch of a whole-number column: at most ``2 ** bits`` distinct values each."""
     col = F.col(column) if isinstance(column, str) else column
@@ -130,28 +174,31 @@ def documents(headers: DataFrame, rows: DataFrame, key: str, order: Sequence[str
     header without rows is one page with no list.
     """
     limit = _setting(rows, "storelens.documentRows", DOCUMENT_KEY_ROWS)
-    long_keys = (
+    long_keys = _marks(
         rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
         .where((F.col("_rows") > limit) & F.col(key).isNotNull()).select(key)
     )
-    # At most one key per `limit` rows of the table.
-    long_keys = F.broadcast(long_keys)
     columns = [*order, *[c for c in rows.columns if c != key and c not in order]]
 
+    def shorter(df: DataFrame) -> DataFrame:
+        return df if long_keys is None else df.join(long_keys, key, "left_anti")
+
     lists = (
-        rows.join(long_keys, key, "left_anti").groupBy(key)
+        shorter(rows).groupBy(key)
         .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows"))
     )
     last = F.floor((F.coalesce(F.size("_rows"), F.lit(1)) - 1) / page_rows).cast("int")
     start = F.col("page_no") * page_rows
     short = (
-        headers.join(long_keys, key, "left_anti").join(lists, key, "left")
+        shorter(headers).join(lists, key, "left")
         .withColumn("page_no", F.explode(F.sequence(F.lit(0), last)))
         .withColumn(name, F.transform(F.slice("_rows", start + 1, page_rows),
                                       lambda row, i: item(row, (start + i + 1).cast("long"))))
         .drop("_rows")
     )
 
+    if long_keys is None:
+        return short
     # The same full order as in the lists, so that ties stand alike on both ways.
     numbered = ranked(rows.join(long_keys, key, "left_semi"), [key], [F.col(c) for c in columns], bucket, "_at")
     entry = F.struct("_at", item(F.struct(*columns), F.col("_at").cast("long")).alias("_item"))
@@ -159,7 +206,7 @@ def documents(headers: DataFrame, rows: DataFrame, key: str, order: Sequence[str
     long = (
         numbered.groupBy(key, page_no).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
         .withColumn(name, F.transform("_rows", lambda row: row["_item"])).drop("_rows")
-        .join(F.broadcast(headers.join(long_keys, key, "left_semi")), key)
+        .join(headers.join(long_keys, key, "left_semi"), key)
     )
     return short.unionByName(long)
 

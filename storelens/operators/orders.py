@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import order_bucket
-from storelens.functions.keyed import documents, latest, minute_of, page, ranked, spread_join, stretch
+from storelens.functions.keyed import documents, latest, moment_of, page, ranked, spread_join, stretch
 from storelens.operators.people import latest_address_per_user
 from storelens.sources.tables import Tables
 
@@ -270,7 +270,7 @@ def tracking_timeline(t: Tables) -> DataFrame:
     steps = t.tracking.select("order_id", "id", F.lower("status").alias("status"), "created_at")
     return ranked(
         steps, by=["order_id"], order=[F.col("created_at").asc_nulls_last(), F.col("id")],
-        bucket={"_minute": F.coalesce(minute_of("created_at"), F.lit(2 ** 62))},
+        bucket={"_moment": F.coalesce(moment_of("created_at"), F.lit(2 ** 62)), "_stretch": stretch("id")},
     ).drop("id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import contains_text
-from storelens.functions.keyed import latest, minute_of, newest_first, page, ranked
+from storelens.functions.keyed import latest, moment_of, newest_first, page, ranked, stretch
 from storelens.sources.tables import Tables
 
 
@@ -33,7 +33,8 @@ def address_book(t: Tables) -> DataFrame:
         by=["user_id"],
         order=[F.col("is_default").desc_nulls_first(), F.col("created_at").desc_nulls_first(),
                F.col("address_id").desc()],
-        bucket={"_flag": flag, "_minute": F.coalesce(-minute_of("created_at"), long_past)},
+        bucket={"_flag": flag, "_moment": F.coalesce(-moment_of("created_at"), long_past),
+                "_stretch": -stretch("address_id")},
     )
 
 

@@ -76,6 +76,27 @@ def test_ranked_is_row_number(spark, hot_at_five, data, bits):
     assert rows(got, "k", "n", "position") == sorted(want, key=repr)
 
 
+def test_ranked_splits_equal_times_missing_keys_and_wide_numbers(spark, hot_at_five):
+    """A third of the rows at one time, a third without a time, a third without a key, and numbers far apart."""
+    from storelens.functions.keyed import moment_of
+
+    rng = random.Random(5)
+    data = []
+    for n in range(90):
+        at = dt.datetime(2024, 1, 1) if n % 3 == 0 else None if n % 3 == 1 else dt.datetime(2024, 1, 2) + dt.timedelta(seconds=rng.randrange(9))
+        data.append((None if n % 3 == 2 else 1, at, rng.getrandbits(62) - 2**61))
+    df = spark.createDataFrame(data, "k long, at timestamp_ntz, id long")
+    order = [F.col("at").asc_nulls_last(), F.col("id")]
+    got = ranked(df, ["k"], order, {"_m": F.coalesce(moment_of("at"), F.lit(2**62)), "_s": stretch("id")})
+    want = []
+    for key in (1, None):
+        mine = sorted((at is None, at or dt.datetime.max, i) for k, at, i in data if k == key)
+        want += [(key, i, place) for place, (_, _, i) in enumerate(mine, 1)]
+    assert rows(got, "k", "id", "position") == sorted(want, key=repr)
+    whole = ranked(df, [], [F.col("id")], {"_s": stretch("id")})
+    assert [r[0] for r in whole.orderBy("position").select("id").collect()] == sorted(i for *_, i in data)
+
+
 def test_spread_join_keeps_every_row(spark, hot_at_five):
     big = spark.range(100).select(F.col("id"), F.when(F.col("id") < 80, 1).when(F.col("id") < 90, None)
                                   .otherwise(F.col("id")).alias("k"))
