@@ -110,35 +110,40 @@ def cart_bill(t: Tables, handling_fee: int = 0, delivery_fee: int = 0) -> DataFr
     )
 
 
+def _slot_table() -> list[tuple[int, list[tuple[int, str, str]]]]:
+    """For each half hour from which slots may start, the slots as minute of the day asked on, day and label."""
+    def clock(minutes: int) -> str:
+        hour, minute = minutes // 60 % 24, minutes % 60
+        return f"{(hour + 11) % 12 + 1}:{minute:02d} {'am' if hour < 12 else 'pm'}"
+
+    def named(begins: int) -> tuple[int, str, str]:
+        day = "Today" if begins < 1440 else "Tomorrow"
+        return begins, day, f"{day}, {clock(begins)} - {clock(begins + 60)}"
+
+    # Half past eight as the end of today, ten to twenty hours for tomorrow.
+    tomorrow = [1440 + hour * 60 for hour in range(10, 20)]
+    return [(first, [named(m) for m in [*range(first, 20 * 60 + 30 - 60 + 1, 60), *tomorrow]])
+            for first in range(30, 24 * 60 + 1, 30)]
+
+
 def delivery_slots(requests: DataFrame) -> DataFrame:
     """One-hour delivery slots offered at the time of each request.
 
     ``requests`` has request_id and requested_at. Today runs from the next
-    half hour to 20:30, tomorrow from 10:00 to 20:00.
+    half hour to 20:30, tomorrow from 10:00 to 20:00. Slots depend on the half
+    hour alone, so they come from a table of 48 rows.
     """
-    at, day = F.col("requested_at"), F.to_date("requested_at").cast("timestamp_ntz")
-    # Slots are minutes of the day asked on; tomorrow starts at 1440.
-    # Half past eight as the end of today, ten to twenty hours for tomorrow.
+    at = F.col("requested_at")
     first = F.hour(at) * 60 + F.when(F.minute(at) <= 30, 30).otherwise(60)
-    last = 20 * 60 + 30 - 60
-    today = F.when(first <= last, F.sequence(first, F.lit(last), F.lit(60))).otherwise(F.array().cast("array<int>"))
-    tomorrow = F.array(*[F.lit(1440 + hour * 60) for hour in range(10, 20)])
-
-    def moment(minutes: Column) -> Column:
-        return F.col("day") + F.make_dt_interval(mins=minutes)
-
-    def clock(minutes: Column) -> Column:
-        hour, minute = F.pmod(F.floor(minutes / 60), F.lit(24)), minutes % 60
-        return F.concat(
-            (F.pmod(hour + 11, F.lit(12)) + 1).cast("string"), F.when(minute == 0, ":00").otherwise(":30"),
-            F.when(hour < 12, " am").otherwise(" pm"),
-        )
-
-    begins, ends = F.col("begins"), F.col("begins") + 60
-    named = F.when(begins < 1440, "Today").otherwise("Tomorrow")
-    return requests.select("request_id", day.alias("day"), F.explode(F.concat(today, tomorrow)).alias("begins")).select(
-        "request_id", named.alias("day"), moment(begins).alias("slot_start"), moment(ends).alias("slot_end"),
-        F.concat(named, F.lit(", "), clock(begins), F.lit(" - "), clock(ends)).alias("label"),
+    table = requests.sparkSession.createDataFrame(
+        _slot_table(), "_first int, _slots array<struct<begins: int, day: string, label: string>>")
+    return (
+        requests.select("request_id", F.to_date(at).cast("timestamp_ntz").alias("_day"), first.alias("_first"))
+        .join(F.broadcast(table), "_first")
+        .select("request_id", "_day", F.inline("_slots"))
+        .select(
+            "request_id", "day", (F.col("_day") + F.make_dt_interval(mins=F.col("begins"))).alias("slot_start"),
+            (F.col("_day") + F.make_dt_interval(mins=F.col("begins") + 60)).alias("slot_end"), "label")
     )
 
 
