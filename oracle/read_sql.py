@@ -538,3 +538,27 @@ put("address_components", "document_id:i street:s area:s city:s pincode:s", """
         case when address_id % 6 <> 0 then phone else '' end pincode
     from (select *, case when address_id % 2 = 0 then 'Road ' || address_id else '' end street,
         case when address_id % 7 <> 0 then coalesce(city, '') else '' end locality from v_addresses) r""")
+
+# --- one store's tables
+
+OWN_USERS = "user_id in (select user_id from v_users where register_id = 7)"
+put("tenant_scan_orders", "order_id:i user_id:i", f"select order_id, user_id from v_orders where {OWN_USERS}")
+put("tenant_scan_ledger", "itmid:i rows:i qty:i", """
+    select itmid, count(*) "rows", sum(stockqty) qty from v_ledger
+    where purchase_id in (select purchaseid from v_purchases where storeid = 7) group by 1""")
+put("tenant_stock_ledger", "product_id:i title:s lowstqty:i itmsts:i openbalqty:i stock:i", """
+    select p.product_id, p.title, p.lowstqty, p.itmsts, p.openbalqty, coalesce(p.openbalqty, 0) + coalesce((
+        select sum(case when s.instoreid > 0 then s.stockqty when s.outstoreid > 0 then -s.stockqty else 0 end)
+        from v_ledger s where s.itmid = p.product_id and coalesce(s.itmcandel, 0) = 0 and coalesce(s.canordersts, 0) = 0
+        and s.purchase_id in (select purchaseid from v_purchases where storeid = 7)
+        and s.purchase_date >= coalesce(p.openbaldate, date '1995-01-01')), 0) stock from v_products p""")
+put("tenant_admin_order_list", ADMIN_SHAPE, ADMIN.replace("from v_orders r", f"from (select * from v_orders where {OWN_USERS}) r"))
+put("tenant_customer_list", CUSTOMERS_SHAPE, CUSTOMERS.format("%%").replace(
+    "where a.", "where a.user_id in (select user_id from v_users where register_id = 7) and a."))
+put("tenant_cart_bill", "user_id:i item_total:d handling_fee:i delivery_fee:i to_pay:d", """
+    select u.user_id, coalesce(sum(p.price * c.quantity), 0) item_total, 5 * least(count(c.cart_id), 1) handling_fee,
+        25 * least(count(c.cart_id), 1) delivery_fee,
+        coalesce(sum(p.price * c.quantity), 0) + 30 * least(count(c.cart_id), 1) to_pay
+    from (select * from v_users where register_id = 7) u
+    left join v_cart c on c.user_id = u.user_id and c.status = 'active'
+    left join v_products p on p.product_id = c.product_id group by 1""")

@@ -12,6 +12,7 @@ from storelens.functions.keyed import page
 from storelens.operators.images import first_image_per_product
 from storelens.operators.stock import DEFAULT_OPEN_DATE, with_movement, with_stock
 from storelens.sources.tables import Tables
+from storelens.sources.tenancy import register, rows_of
 
 
 # Sizes of the reports that list the first so many rows, and the
@@ -23,14 +24,13 @@ VEGETABLE, FRUIT = "vegitable", "fruit"
 
 
 def tenant_scan(t: Tables, table: str, register_id: int | None = None) -> DataFrame:
-    """Rows of a table that belong to registered stores, or to one store.
+    """Rows of a table that belong to one store, or, for a table that names the store, to any registered one.
 
-    A store that is not registered is an error.
+    A store that is not registered is an error. ``tenancy.store_tables`` gives
+    all tables of a store to any operator.
     """
     if register_id is not None:
-        if t.tenants.where(F.col("register_id") == register_id).isEmpty():
-            raise LookupError(f"store {register_id} is not registered")
-        return getattr(t, table).where(F.col("register_id") == register_id)
+        return rows_of(t, table, register(t, register_id))
     return getattr(t, table).join(t.tenants, "register_id")
 
 

@@ -14,9 +14,18 @@ from storelens.plans.registered import AS_OF, OPEN_DATE, query, star_query
 from storelens.sources.binding import StarSchema
 from storelens.sources.readers import table_source
 from storelens.sources.tables import Tables
+from storelens.sources.tenancy import store_tables
 
 # --- sources and predicates -------------------------------------------------
 
+STORE_NO = 7
+query("tenant_scan_orders")(lambda t: catalogue.tenant_scan(t, "orders", STORE_NO).select("order_id", "user_id"))
+query("tenant_scan_ledger")(lambda t: catalogue.tenant_scan(t, "ledger", STORE_NO).groupBy("itmid").agg(
+    F.count(F.lit(1)).alias("rows"), F.sum("stockqty").alias("qty")))
+query("tenant_stock_ledger")(lambda t: stock.stock_ledger(store_tables(t, STORE_NO), OPEN_DATE))
+query("tenant_admin_order_list")(lambda t: orders.admin_order_list(store_tables(t, STORE_NO)))
+query("tenant_customer_list")(lambda t: people.customer_list(store_tables(t, STORE_NO)))
+query("tenant_cart_bill")(lambda t: pricing.cart_bill(store_tables(t, STORE_NO), 5, 25))
 query("tenant_scan")(lambda t: catalogue.tenant_scan(t, "users").select("user_id", "register_id", "store_name"))
 query("title_search")(lambda t: catalogue.title_search(t, "re_ "))
 query("purchase_search")(lambda t: purchases.purchase_search(

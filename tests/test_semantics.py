@@ -299,6 +299,24 @@ def test_tenants(spark):
         Tables(nothing=None)
 
 
+def test_tables_of_one_store(spark, data):
+    from storelens.sources.binding import bind
+    from storelens.sources.tables import TABLE_NAMES
+    from storelens.sources.tenancy import store_tables
+
+    t = bind(spark, data)
+    stores = [r[0] for r in t.tenants.select("register_id").collect()]
+    cut = [store_tables(t, n) for n in stores[:3]]
+    for name in TABLE_NAMES:
+        whole = getattr(t, name)
+        parts = [getattr(c, name) for c in cut]
+        assert all(p.columns == whole.columns for p in parts)
+        if name in ("orders", "order_items", "payments", "addresses", "cart", "users"):
+            assert 0 < sum(p.count() for p in parts) < whole.count()
+    with pytest.raises(LookupError):
+        store_tables(t, 999)
+
+
 def test_flash_sale_bounds_count(spark):
     noon = dt.datetime(2024, 1, 1, 12)
     t = Tables(
