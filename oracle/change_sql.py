@@ -14,7 +14,7 @@ def put(name: str, shape: str, body: str) -> None:
 CLEAN = """select trnid, coalesce(title, '') title, coalesce(categoriesname, '') categoriesname,
     coalesce(description, '') description, coalesce(price, 0) price, coalesce(mrp, 0) mrp,
     coalesce(quantity, 0) quantity, coalesce(unit, '') unit from v_item_sheet"""
-put("bulk_item_scan", "trnid:i title:s categoriesname:s description:s price:d mrp:d quantity:i unit:s", CLEAN)
+put("bulk_item_scan", "title:s categoriesname:s description:s price:d mrp:d quantity:i unit:s", CLEAN)
 NEW_CATEGORIES = f"""
     select (select max(categories_id) from v_categories) + row_number() over (order by md5(m)) categories_id,
         m categories_name, 1 cat_sts

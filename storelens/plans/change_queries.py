@@ -18,7 +18,7 @@ from storelens.operators.orders import line_documents
 from storelens.plans.registered import OPEN_DATE, QUERIES, plain, star_query
 from storelens.plans.session import shared_folder
 from storelens.sources.binding import SCHEMAS, StarSchema
-from storelens.sources.readers import clean_sheet, nested_order_scan
+from storelens.sources.readers import bulk_item_scan, nested_order_scan
 from storelens.sources.sinks import order_fanout
 from storelens.sources.tables import Tables
 from storelens.streaming import feeds
@@ -37,7 +37,17 @@ def money(column: Column) -> Column:
 
 # --- loading ----------------------------------------------------------------
 
-star_query("bulk_item_scan")(lambda star: clean_sheet(star.item_sheet()))
+
+@star_query("bulk_item_scan")
+def _sheet(star: StarSchema) -> DataFrame:
+    """The item sheet saved as CSV files and scanned from there."""
+    path = f"{shared_folder(star.spark)}/item-sheet-{uuid.uuid4().hex}"
+    star.item_sheet().drop("trnid").select(
+        "title", "categoriesname", "description", "price", "mrp", "quantity", "unit"
+    ).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return bulk_item_scan(star.spark, path)
+
+
 for _part in ("categories", "units", "products"):
     star_query(f"bulk_item_load_{_part}")(
         lambda star, part=_part: ingest.bulk_item_load(star.tables(), star.item_sheet())[part])
