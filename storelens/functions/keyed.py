@@ -211,6 +211,18 @@ def documents(headers: DataFrame, rows: DataFrame, key: str, order: Sequence[str
     return short.unionByName(long)
 
 
+# Largest page that is sent to all tasks; a larger one is joined like any table.
+PAGE_ROWS = 10_000
+
+
+def only_shown(df: DataFrame, shown: DataFrame, key: str, size: int | None) -> DataFrame:
+    """Rows whose key stands on a page of at most ``size`` rows; all rows without a page."""
+    if size is None:
+        return df
+    keys = shown.select(key)
+    return df.join(F.broadcast(keys) if size <= PAGE_ROWS else keys, key, "left_semi")
+
+
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int | None = None,
          after: Column | None = None) -> DataFrame:
     """One page of a sorted listing; the whole relation, unsorted, if no size is given.

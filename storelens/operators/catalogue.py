@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import contains_text, percent_off, status_label
-from storelens.functions.keyed import page
+from storelens.functions.keyed import only_shown, page
 from storelens.operators.images import first_image_per_product
 from storelens.operators.stock import DEFAULT_OPEN_DATE, with_movement, with_stock
 from storelens.sources.tables import Tables
@@ -71,7 +71,8 @@ def catalogue_list(t: Tables, search: str = "", number: int = 1, size: int | Non
     products = t.products.where(contains_text("title", search)) if search else t.products
     names = t.categories.select("categories_id", F.col("categories_name").alias("category_name"))
     shown = page(products.join(names, "categories_id"), [F.col("product_id")], number, size)
-    return shown.join(first_image_per_product(t.images), "product_id", "left").select(
+    images = only_shown(t.images, shown, "product_id", size)
+    return shown.join(first_image_per_product(images), "product_id", "left").select(
         F.col("product_id").alias("id"), F.col("title").alias("name"), F.col("category_name").alias("category"),
         "categories_id", "price", "mrp", "description", "itmsts", "unit",
         status_label("itmsts", 1, "Active", "In-Active").alias("status"),
@@ -198,7 +199,7 @@ def recommendations(t: Tables, categories: int | None = None, size: int = RECOMM
                     default_open_date: dt.date = DEFAULT_OPEN_DATE) -> DataFrame:
     """The recommended products as the home screen shows them."""
     chosen = recommended_products(t, categories, size)
-    products = t.products.join(F.broadcast(chosen), "product_id", "left_semi")
+    products = t.products.join(chosen, "product_id", "left_semi")
     return deal_price(t, products, default_open_date).select(*_HOME_COLUMNS)
 
 
@@ -217,7 +218,7 @@ def home_feed(t: Tables, default_open_date: dt.date = DEFAULT_OPEN_DATE) -> Data
         F.when(F.col("_reco"), "reco"),
     ))
     shown = (
-        t.products.join(F.broadcast(chosen), "product_id", "left")
+        t.products.join(chosen, "product_id", "left")
         .withColumn("sections", sections)
         .where(F.size("sections") > 0)
     )

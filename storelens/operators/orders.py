@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import order_bucket
-from storelens.functions.keyed import documents, latest, moment_of, page, ranked, spread_join, stretch
+from storelens.functions.keyed import documents, latest, moment_of, only_shown, page, ranked, spread_join, stretch
 from storelens.operators.people import latest_address_per_user
 from storelens.sources.tables import Tables
 
@@ -27,13 +27,6 @@ def _lookup(df: DataFrame, lookup: DataFrame, key: str, by: str, size: int | Non
     return df.join(lookup, key, "left") if size is not None else spread_join(df, lookup, [key], [by])
 
 
-def _only(df: DataFrame, shown: DataFrame, key: str, size: int | None) -> DataFrame:
-    """Rows that belong to a page; the page has at most ``size`` rows, so it is sent to all tasks."""
-    if size is None:
-        return df
-    return df.join(F.broadcast(shown.select(key)), key, "left_semi")
-
-
 def order_item_count(t: Tables) -> DataFrame:
     """Quantity ordered per order, zero for an order without lines."""
     return t.orders.select("order_id").join(_quantities(t.order_items), "order_id", "left").select(
@@ -50,8 +43,8 @@ def admin_order_list(t: Tables, number: int = 1, size: int | None = None) -> Dat
     stamp = "yyyy-MM-dd HH:mm:ss"
     orders = t.orders.join(t.delivery_modes, "delivery_id")
     shown = page(orders, _newest(), number, size)
-    names = latest_address_per_user(_only(t.addresses, shown, "user_id", size), "name")
-    counts = _quantities(_only(t.order_items, shown, "order_id", size))
+    names = latest_address_per_user(only_shown(t.addresses, shown, "user_id", size), "name")
+    counts = _quantities(only_shown(t.order_items, shown, "order_id", size))
     named = _lookup(shown, names, "user_id", "order_id", size)
     return named.join(counts, "order_id", "left").select(
         "order_id", "order_no", "total_amount", "order_status", "payment_status", "delivery_mode", "name",
@@ -65,10 +58,10 @@ def customer_order_list(t: Tables, number: int = 1, size: int | None = None) ->
     """Orders with customer name, review rating and item count, newest first."""
     shown = page(t.orders, _newest(), number, size)
     names = latest_address_per_user(
-        _only(t.addresses, shown, "user_id", size), F.col("name").alias("customer_name")
+        only_shown(t.addresses, shown, "user_id", size), F.col("name").alias("customer_name")
     )
-    counts = _quantities(_only(t.order_items, shown, "order_id", size))
-    ratings = _only(t.reviews, shown, "user_id", size).select("user_id", "rating")
+    counts = _quantities(only_shown(t.order_items, shown, "order_id", size))
+    ratings = only_shown(t.reviews, shown, "user_id", size).select("user_id", "rating")
     return (
         _lookup(shown, names.join(ratings, "user_id", "full"), "user_id", "order_id", size)
         .join(counts, "order_id", "left")
@@ -203,11 +196,11 @@ def recent_orders(t: Tables, size: int = 5) -> DataFrame:
     """
     newest = t.orders.orderBy(*_newest()).limit(size)
     names = (
-        _only(t.addresses, newest, "user_id", size)
+        only_shown(t.addresses, newest, "user_id", size)
         .groupBy("user_id", "name").agg(F.count(F.lit(1)).alias("_same"))
     )
     counts = (
-        _only(t.order_items, newest, "order_id", size)
+        only_shown(t.order_items, newest, "order_id", size)
         .groupBy("order_id").agg(F.count("product_id").alias("_lines"))
     )
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import contains_text
-from storelens.functions.keyed import latest, moment_of, newest_first, page, ranked, stretch
+from storelens.functions.keyed import latest, moment_of, newest_first, only_shown, page, ranked, stretch
 from storelens.sources.tables import Tables
 
 
@@ -52,7 +52,7 @@ def customer_list(t: Tables, search: str = "", number: int = 1, size: int | None
     people = latest_address_per_user(t.addresses, "name", "phone", "full_address")
     people = people.where(contains_text("name", search))
     people = page(people, [F.col("user_id").desc()], number, size)
-    orders = t.orders.groupBy("user_id").agg(
+    orders = only_shown(t.orders, people, "user_id", size).groupBy("user_id").agg(
         F.count("order_id").alias("total_orders"), F.max("created_at").alias("last_order")
     )
     return people.join(orders, "user_id", "left").select(

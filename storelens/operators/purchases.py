@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import all_of, contains_text, status_label
-from storelens.functions.keyed import documents, page, stretch
+from storelens.functions.keyed import documents, only_shown, page, stretch
 from storelens.operators.stock import is_live
 from storelens.sources.tables import Tables
 
@@ -36,11 +36,8 @@ def purchase_list(t: Tables, search: str = "", from_date: dt.date | None = None,
                   number: int = 1, size: int | None = None) -> DataFrame:
     """Purchases with the value of their live lines; NULL for one without any."""
     shown = page(purchase_search(t, search, from_date, to_date), [F.col("purchaseid").desc()], number, size)
-    lines = t.ledger.where(is_live())
-    if size is not None:
-        # A page has at most `size` headers.
-        keys = F.broadcast(shown.select(F.col("purchaseid").alias("purchase_id")))
-        lines = lines.join(keys, "purchase_id", "left_semi")
+    keys = shown.select(F.col("purchaseid").alias("purchase_id"))
+    lines = only_shown(t.ledger.where(is_live()), keys, "purchase_id", size)
     totals = lines.groupBy(F.col("purchase_id").alias("purchaseid")).agg(F.sum("value").alias("totamt"))
     return shown.join(totals, "purchaseid", "left").select(
         "purchaseid", F.date_format("purchasedate", "dd-MM-yyyy").alias("date"), "purchase_no",

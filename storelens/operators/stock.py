@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import contains_text
-from storelens.functions.keyed import page
+from storelens.functions.keyed import only_shown, page
 from storelens.operators.images import first_image_per_product
 from storelens.sources.tables import Tables
 
@@ -100,8 +100,9 @@ def low_stock_list(t: Tables, state: str = "low", search: str = "", number: int
         products = products.where(contains_text("title", search))
     found = stock_state_filter(with_stock(t, products, default_open_date, bool(search.strip())), state)
     shown = page(found, [F.col("product_id").desc()], number, size)
+    images = only_shown(t.images, shown, "product_id", size)
     return (
-        shown.join(first_image_per_product(t.images), "product_id", "left")
+        shown.join(first_image_per_product(images), "product_id", "left")
         .select(
             F.col("product_id").alias("id"), F.col("title").alias("name"), "lowstqty", "itmsts", "stock",
             F.coalesce("image_url", F.lit("")).alias("image"),
