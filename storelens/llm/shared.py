@@ -29,15 +29,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read again, so that later steps don't compute them anew."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
 
 
 def dropped(df: DataFrame) -> None:
     """Remove a table of ``written`` that no later step reads."""
     spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: str, how: str = "inner",
