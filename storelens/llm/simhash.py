@@ -157,7 +157,8 @@ def linked(values: np.ndarray, radius: int = RADIUS) -> np.ndarray:
 def links(prints: DataFrame, radius: int = RADIUS, pieces: int = PIECES) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that connect all that are within the radius."""
     keyed = prints.select("fp", F.explode(piece_keys("fp", radius, pieces)).alias("key"))
-    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written, so that the join meets it as a plain table and Spark can split the rows of a key with many.
+    many = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     mine = F.pmod(F.xxhash64("fp", F.lit(1)), "blocks")
     dealt = (
