@@ -124,13 +124,25 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Ma
 def _starts(lengths: DataFrame, by: list[str], bucket: list[str]) -> DataFrame:
     """Rows before each stretch of its key.
 
-    Whole-number stretches are added up level by level, 16 bits at a time, so
-    that no window sees more than 65,536 of them, however they are spread.
+    Up to ``MOST_MARKS`` stretches are counted up when the plan is built. More
+    are added up by Spark: whole-number stretches level by level, 16 bits at a time, so
+    that windows stay small however the stretches are spread: 65,536 of them,
+    and at the top, for numbers of 48 bits as ``stretch`` gives them, as many.
     """
+    few = lengths.limit(MOST_MARKS + 1).collect()
+    if len(few) <= MOST_MARKS:
+        totals: dict[tuple, int] = {}
+        starts = []
+        for r in sorted(few, key=lambda r: tuple(r[b] for b in bucket)):
+            key = tuple(r[k] for k in by)
+            starts.append((*key, *(r[b] for b in bucket), totals.get(key, 0)))
+            totals[key] = totals.get(key, 0) + r["_rows"]
+        schema = T.StructType([*[lengths.schema[c] for c in [*by, *bucket]], T.StructField("_start", T.LongType())])
+        return F.broadcast(lengths.sparkSession.createDataFrame(starts, schema))
     rows, path, levels = lengths, list(by), []
     for b in bucket:
         if isinstance(lengths.schema[b].dataType, T.IntegralType):
-            for bits in (48, 32, 16):
+            for bits in (32, 16):
                 rows = rows.withColumn(f"_{bits}_{b}", F.shiftright(F.col(b).cast("long"), bits))
                 levels.append(f"_{bits}_{b}")
         levels.append(b)
