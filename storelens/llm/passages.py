@@ -1,16 +1,16 @@
 """Passages that repeat across documents, by compact windows of min-hashes.
 
-A text is a row of 5-word shingles. For one hash function, all its stretches of at least ``MIN_WORDS`` words that have
-the same smallest shingle form a compact window: the smallest shingle's place and the furthest stretch to both sides
-over which it stays the smallest. The windows are the nodes of a Cartesian tree over the hashes; a window is kept if it
-is wide enough, which leaves about two for each ``MIN_WORDS`` words, however many stretches there are. Two texts with a
-common passage of that length have, for every hash function, windows with the same smallest shingle that both hold the
-passage; near-copies have them for most.
-
-Windows meet by (smallest shingle, min-hash of the ``SIDE`` shingles on one side of it): a passage of the length covers
-at least one side. Within a task, and then for each key, windows are joined to the one of the smallest document, so a
-key that stands in many documents sends a row for each task and never makes pairs. The interval that the two windows
-share, laid at the common shingle, is a link; links of a document pair at the same distance are merged. Links are
+A text is a row of 5-word shingles. A passage of ``MIN_WORDS`` words that counts holds 21 unchanged shingles in a row
+(25 words) at least: at most five shingles of 46 are changed, so one of the two halves beside a changed word has 21.
+Runs of 15 words are hashed, and all stretches of at least 11 such runs that have the same smallest hash form a compact
+window: the smallest one's place and the furthest stretch to both sides over which it stays the smallest. The windows
+are the nodes of a Cartesian tree over the hashes; a window is kept if it is wide enough, which leaves about one for
+six words, however many stretches there are. Any 25 words that two texts share hold a smallest run that both keep, so
+no passage depends on chance.
+
+Windows meet by their smallest run. Within a task, and then for each key, windows are joined to the one of the smallest
+document, so a key that stands in many documents sends a row for each task and never makes pairs. ``REACH`` shingles
+around the common run are a link; links of a document pair at the same distance are merged. Links are
 verified: shingles at the same distance are compared one by one, and a stretch counts as a repeated passage if it has
 ``MIN_WORDS`` words and a Jaccard similarity of ``SIMILARITY``, a changed word being five changed shingles. A word put
 in or left out splits a passage in two, each of which counts by itself.
@@ -34,11 +34,11 @@ from storelens.llm.words import SPACED, Words, mixed, parts, shingles
 
 MIN_WORDS = 50
 SHINGLE = 5
-HASHES = 3
-SIDE = 23
 SIMILARITY = 0.8
 # Changed shingles in a row that a passage may hold: two changed words side by side, or near each other.
 BRIDGE = 10
+# Shingles on both sides of a common run that a link takes in: an end without a common run of its own, and a bridge.
+REACH = 64
 # Windows that a task joins to one another before it sends them.
 HELD = 500_000
 # Slices of a document that others refer to begin and end at multiples of this.
@@ -100,9 +100,12 @@ def compact_windows(values: np.ndarray, first: np.ndarray, last: np.ndarray, wid
             close(end, -1)
             now, begin, end = t, int(first[t]), int(last[t]) - 1
         close(place - 1, value)
-        if stack and stack[-1][0] == value:
-            continue
         left = stack[-1] if stack else None
+        if left and left[0] == value:
+            # The same window at another place; of equal values in a row, the first.
+            if values[place - 1] != value:
+                stack.append((value, place, left[2]))
+            continue
         # A smaller value on the stack bounds the window; its last place is the latest pushed or merged one.
         stack.append((value, place, begin if left is None else nearest(values, left[0], left[1], place)))
     close(end, -1)
@@ -115,11 +118,11 @@ def nearest(values: np.ndarray, value: int, low: int, place: int) -> int:
     return low + 1 if not len(again) else low + 2 + int(again[-1])
 
 
-def laid_out(texts: list[bytes], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shingles of the texts with ``gap`` places between two, and where each text's begin and end."""
+def laid_out(texts: list[bytes], gap: int, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ``size`` words of the texts with ``gap`` places between two, and where each text's begin and end."""
     words = Words(texts, SPACED)
-    every = shingles(words.hashes(), SHINGLE)
-    counts = np.maximum(words.counts - SHINGLE + 1, 0)
+    every = shingles(words.hashes(), size)
+    counts = np.maximum(words.counts - size + 1, 0)
     first = np.concatenate(([0], np.cumsum(counts + gap)))[:-1]
     out = np.full(int((counts + gap).sum()), LARGEST, dtype=np.uint64)
     inner = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -127,24 +130,32 @@ def laid_out(texts: list[bytes], gap: int) -> tuple[np.ndarray, np.ndarray, np.n
     return out, first, first + counts
 
 
-def keyed_windows(texts: list[bytes], hashes: int = HASHES, width: int = MIN_WORDS - SHINGLE + 1):
-    """For each text with windows: (text, key, place, left, right), places counted from the text's first shingle."""
-    values, first, last = laid_out(texts, width)
+def seed(min_words: int) -> tuple[int, int]:
+    """(words of a run, runs of a window): any unchanged stretch that a passage must hold has a whole window."""
+    half = max(1, (min_words - 2 * SHINGLE + 2) // 2)
+    return half // 2 + SHINGLE, half - half // 2
+
+
+def keyed_windows(texts: list[bytes], min_words: int = MIN_WORDS):
+    """For each text with windows: (text, key, place, left, right), places counted from the text's first shingle;
+    left and right are the shingles on both sides that a link takes in."""
+    size, width = seed(min_words)
+    values, first, last = laid_out(texts, width, size)
     gap = values == LARGEST
-    side = mixed(values ^ np.uint64(0x5155_D1DE))
-    side[gap] = LARGEST
-    around = np.concatenate((np.full(SIDE, LARGEST), side, np.full(SIDE + 1, LARGEST)))
-    before = sliding(around, SIDE)  # at place p: the smallest of the SIDE before p
-    out = []
-    for j in range(hashes):
-        own = mixed(values ^ np.uint64(0xA0761D6478BD642F * (j + 1) & 0xFFFFFFFFFFFFFFFF))
-        own[gap] = LARGEST
-        place, left, right = compact_windows(own, first, last, width)
-        text = np.searchsorted(first, place, side="right") - 1
-        for number, near in ((0, before[place]), (1, before[place + SIDE + 1])):
-            key = mixed(own[place] + mixed(near + np.uint64(2 * j + number + 1)))
-            out.append((text, key.view(np.int64), place - first[text], place - left, right - place))
-    return [np.concatenate(c) for c in zip(*out, strict=True)]
+    own = mixed(values ^ np.uint64(0xA0761D6478BD642F))
+    own[gap] = LARGEST
+    place, begin, end = compact_windows(own, first, last, width)
+    text = np.searchsorted(first, place, side="right") - 1
+    # A text of fewer words can't hold a passage.
+    long = last[text] - first[text] + size - 1 >= min_words
+    place, begin, end, text = place[long], begin[long], end[long], text[long]
+    at, count = place - first[text], last[text] - first[text] + size - SHINGLE
+    # A text that repeats itself has its smallest run more than once; the link takes in the whole window.
+    _, same, times = np.unique(begin * len(values) + end, return_inverse=True, return_counts=True)
+    again = (times[same] > 1) | (own[place] == own[np.minimum(place + 1, len(own) - 1)])
+    left = np.minimum(at, REACH + np.where(again, place - begin, 0))
+    right = np.minimum(count - 1 - at, size - SHINGLE + REACH + np.where(again, end - place, 0))
+    return text, own[place].view(np.int64), at, left, right
 
 
 def joined(key, doc, place, left, right):
@@ -154,10 +165,9 @@ def joined(key, doc, place, left, right):
     new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=bool)
     at = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, dtype=int)
     link = ~new & (doc != doc[at])
-    a, b = np.minimum(left, left[at])[link], np.minimum(right, right[at])[link]
     return (
         [x[new] for x in (key, doc, place, left, right)],
-        (doc[link], place[link], a, b, doc[at][link], (place - place[at])[link]),
+        (doc[link], place[link], left[link], right[link], doc[at][link], (place - place[at])[link]),
     )
 
 
@@ -181,10 +191,9 @@ def _links(found) -> pa.RecordBatch:
 FORM = "key long, doc_id long, place int, left int, right int, other long, shift int"
 
 
-def links(docs: DataFrame, hashes: int = HASHES, min_words: int = MIN_WORDS) -> DataFrame:
+def links(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, other, shift, low, high): shingles low to high of a document that may repeat those of a smaller one,
     ``shift`` places before."""
-    width = min_words - SHINGLE + 1
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -195,7 +204,7 @@ def links(docs: DataFrame, hashes: int = HASHES, min_words: int = MIN_WORDS) ->
             yield _links(found)
 
         for rows, texts in parts(batches):
-            text, key, place, left, right = keyed_windows(texts, hashes, width)
+            text, key, place, left, right = keyed_windows(texts, min_words)
             ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
             held.append((key, ids[text], place, left, right))
             size += len(key)
@@ -284,7 +293,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     """(doc_id, start_word, end_word, kept_doc_id, kept_start, similarity): words of a document that repeat those of
     one with a smaller id. Words are counted from 0, the end is not included."""
     width = min_words - SHINGLE + 1
-    found = written(links(docs, HASHES, min_words), "passages-links")
+    found = written(links(docs, min_words), "passages-links")
     grain = lambda c: F.floor(c / GRAIN) * GRAIN
     found = found.withColumn("other_low", F.greatest(grain(F.col("low") - F.col("shift")), F.lit(0)).cast("int")).withColumn(
         "other_high", (grain(F.col("high") - F.col("shift")) + GRAIN - 1).cast("int"))
@@ -303,7 +312,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
             out = []
             for doc, other, shift, low, other_low, a, b in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
                 x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-                y = y[low - shift - other_low :][: len(x)]
+                # The smaller document's region may begin later or end earlier.
+                at = low - shift - other_low
+                skip = max(0, -at)
+                x, y, low = x[skip:], y[max(at, 0) :][: len(x) - skip], low + skip
                 for i, j, alike in repeated(x[: len(y)] == y, width, similarity):
                     out.append((doc, low + i, low + j + SHINGLE - 1, other, low + i - shift, alike))
             if out:

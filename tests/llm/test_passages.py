@@ -94,3 +94,14 @@ def test_awkward_rows(awkward, nothing):
     assert out.columns == awkward.columns and out.count() == awkward.count()
     assert out.where(F.col("doc_id") == 8).first().text == "" and out.where("doc_id = 0").first().text is None
     assert passages.without_repeats(nothing).collect() == []
+
+
+def test_one_changed_word_at_every_place(spark):
+    base = [prose(5000 + k, 50).split() for k in range(50)]
+    texts = [prose(6000 + k, 20) + " " + " ".join(w) for k, w in enumerate(base)]
+    for k, w in enumerate(base):
+        texts.append(prose(7000 + k, 30) + " " + " ".join([*w[:k], "changed", *w[k + 1 :]]) + " " + prose(8000 + k, 25))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.kept_doc_id) for r in passages.repeated_passages(docs).collect()}
+    # Beside a changed word among the first or last five no shingle is left, and fewer than fifty words repeat.
+    assert got == {(50 + k, k) for k in range(5, 45)}
