@@ -11,9 +11,10 @@ no passage depends on chance.
 Windows meet by their smallest run. Within a task, and then for each key, windows are joined to the one of the smallest
 document, so a key that stands in many documents sends a row for each task and never makes pairs. ``REACH`` shingles
 around the common run are a link; links of a document pair at the same distance are merged. Links are
-verified: shingles at the same distance are compared one by one, and a stretch counts as a repeated passage if it has
-``MIN_WORDS`` words and a Jaccard similarity of ``SIMILARITY``, a changed word being five changed shingles. A word put
-in or left out splits a passage in two, each of which counts by itself.
+verified: shingles at the same distance, and at ``STEPS`` distances on both sides of it, are compared one by one, and
+runs of equal ones are chained over changed words and over words put in or left out. A chain counts as a repeated
+passage if it has ``MIN_WORDS`` words and a Jaccard similarity of ``SIMILARITY``, a changed word being five changed
+shingles; it begins and ends with equal shingles.
 
 Defined results: no text counts as empty; rows without an id are left out (they can't be named); of rows with the same
 id only other documents' repeats are found, not those between the rows; repeats within one document don't count; texts of
@@ -37,6 +38,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 # Changed shingles in a row that a passage may hold: two changed words side by side, or near each other.
 BRIDGE = 10
+# Words that may be put in or left out between two runs of a passage.
+STEPS = 5
 # Shingles on both sides of a common run that a link takes in: an end without a common run of its own, and a bridge.
 REACH = 64
 # Windows that a task joins to one another before it sends them.
@@ -264,28 +267,58 @@ def slices(docs: DataFrame, regions: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "doc_id long, low int, high int, hashes binary")
 
 
-def repeated(equal: np.ndarray, width: int, similarity: float) -> list[tuple[int, int, float]]:
-    """(first, after the last, similarity) of the stretches that count as one passage."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], equal.view(np.int8), [0]))))
-    runs = list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+def equal_runs(x: np.ndarray, y: np.ndarray, at: int) -> list[tuple[int, int, int]]:
+    """(first, after the last, step) of the runs of ``x`` that equal those of ``y`` at ``at`` places and up to
+    ``STEPS`` more or less on."""
     out = []
-    i = 0
-    while i < len(runs):
-        # As many runs, with short gaps, as keep the stretch similar enough.
-        low, high, same, good = runs[i][0], runs[i][1], 0, None
-        j = i
-        while j < len(runs) and (j == i or runs[j][0] - runs[j - 1][1] <= BRIDGE):
-            high = runs[j][1]
-            same += high - runs[j][0]
-            alike = same / (2 * (high - low) - same)
+    for step in sorted(range(-STEPS, STEPS + 1), key=abs):
+        low, high = max(0, -(at + step)), min(len(x), len(y) - at - step)
+        if high <= low:
+            continue
+        equal = x[low:high] == y[low + at + step : high + at + step]
+        if not equal.any():
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], equal.view(np.int8), [0])))) + low
+        out += zip(edges[::2].tolist(), edges[1::2].tolist(), [step] * (len(edges) // 2), strict=True)
+        if not step and out == [(0, len(x), 0)]:
+            break
+    return sorted(out)
+
+
+def repeated(runs: list[tuple[int, int, int]], width: int, similarity: float) -> list[tuple[int, int, int, float]]:
+    """(first, after the last, step, similarity) of the stretches that count as one passage."""
+    out = []
+    at, k = 0, 0
+    while k < len(runs):
+        low, high, step = runs[k]
+        low = max(low, at)
+        if high <= low:
+            k += 1
+            continue
+        first, same, good, n = step, 0, None, k
+        new = low
+        # As many runs, with short gaps in both texts, as keep the stretch similar enough.
+        while True:
+            same += high - new
+            alike = same / ((high - low) + (high + step - low - first) - same)
             if alike >= similarity and high - low >= width:
-                good = (j, high, alike)
-            j += 1
+                good = (low, high, first, alike)
+            best = None
+            for m in range(n + 1, len(runs)):
+                i, j, other = runs[m]
+                if i > high + BRIDGE:
+                    break
+                i = max(i, high, high + step - other)
+                gap, theirs = i - high, i + other - high - step
+                if j > i and max(gap, theirs) <= BRIDGE:
+                    best = max(best or (-2 * BRIDGE, 0, 0, 0, 0), (j - i - gap - theirs, m, i, j, other))
+            if not best:
+                break
+            _, n, new, high, step = best
         if good:
-            out.append((low, good[1], good[2]))
-            i = good[0] + 1
-        else:
-            i += 1
+            out.append(good)
+            at = good[1]
+        k += 1
     return out
 
 
@@ -295,8 +328,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     width = min_words - SHINGLE + 1
     found = written(links(docs, min_words), "passages-links")
     grain = lambda c: F.floor(c / GRAIN) * GRAIN
-    found = found.withColumn("other_low", F.greatest(grain(F.col("low") - F.col("shift")), F.lit(0)).cast("int")).withColumn(
-        "other_high", (grain(F.col("high") - F.col("shift")) + GRAIN - 1).cast("int"))
+    found = found.withColumn("other_low", F.greatest(grain(F.col("low") - F.col("shift") - STEPS), F.lit(0)).cast("int")).withColumn(
+        "other_high", (grain(F.col("high") - F.col("shift") + STEPS) + GRAIN - 1).cast("int"))
     regions = found.select("doc_id", "low", "high").union(
         found.select(F.col("other").alias("doc_id"), F.col("other_low").alias("low"), F.col("other_high").alias("high")))
     cut = written(slices(docs, regions.distinct()), "passages-slices").dropDuplicates(["doc_id", "low", "high"])
@@ -312,12 +345,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
             out = []
             for doc, other, shift, low, other_low, a, b in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
                 x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
-                # The smaller document's region may begin later or end earlier.
-                at = low - shift - other_low
-                skip = max(0, -at)
-                x, y, low = x[skip:], y[max(at, 0) :][: len(x) - skip], low + skip
-                for i, j, alike in repeated(x[: len(y)] == y, width, similarity):
-                    out.append((doc, low + i, low + j + SHINGLE - 1, other, low + i - shift, alike))
+                runs = equal_runs(x, y, low - shift - other_low)
+                for i, j, step, alike in repeated(runs, width, similarity):
+                    out.append((doc, low + i, low + j + SHINGLE - 1, other, low + i - shift + step, alike))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],

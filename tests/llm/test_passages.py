@@ -105,3 +105,19 @@ def test_one_changed_word_at_every_place(spark):
     got = {(r.doc_id, r.kept_doc_id) for r in passages.repeated_passages(docs).collect()}
     # Beside a changed word among the first or last five no shingle is left, and fewer than fifty words repeat.
     assert got == {(50 + k, k) for k in range(5, 45)}
+
+
+def test_words_put_in_and_left_out(spark):
+    base = [prose(5000 + k, 52 + 2 * (k % 24)).split() for k in range(72)]
+    texts = [prose(6000 + k, 20) + " " + " ".join(w) for k, w in enumerate(base)]
+    need = {}
+    for k, w in enumerate(base):
+        cut = [len(w) // 2, 10, len(w) - 12][k // 24]
+        copy = [*w[:cut], "new", *w[cut:]] if k % 4 < 2 else [*w[:cut], *w[cut + 1 :]]
+        before = prose(7000 + k, 30).split()
+        need[72 + k] = (30, 30 + len(copy))
+        texts.append(" ".join([*before, *copy]) + " " + prose(8000 + k, 25))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = passages.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.start_word, r.end_word) for r in rows} == {(d, *span) for d, span in need.items()}
+    assert all((r.kept_doc_id, r.kept_start) == (r.doc_id - 72, 20) and r.similarity >= 0.8 for r in rows)
