@@ -16,6 +16,12 @@ runs of equal ones are chained over changed words and over words put in or left
 passage if it has ``MIN_WORDS`` words and a Jaccard similarity of ``SIMILARITY``, a changed word being five changed
 shingles; it begins and ends with equal shingles.
 
+The smallest document of a key need not be the one that a passage repeats. Windows that no verified passage covers stay
+open, and every key with an open one that has a smaller document is looked at again: the windows' surroundings (``AROUND``
+shingles, which hold the shortest passage with any bridge) are laid over those of all smaller documents in turn, until one
+passes. Windows that are settled don't look for others but are looked at. Keys with more than ``BLOCK`` windows are cut
+into blocks, and each pair of blocks is a group of its own.
+
 Defined results: no text counts as empty; rows without an id are left out (they can't be named); of rows with the same
 id only other documents' repeats are found, not those between the rows; repeats within one document don't count; texts of
 any length are taken whole; other columns are left out; an empty table gives an empty result.
@@ -42,6 +48,9 @@ BRIDGE = 10
 STEPS = 5
 # Shingles on both sides of a common run that a link takes in: an end without a common run of its own, and a bridge.
 REACH = 64
+# Shingles on both sides of a common run that hold a passage, and windows of a key in one group.
+AROUND = 80
+BLOCK = 1000
 # Windows that a task joins to one another before it sends them.
 HELD = 500_000
 # Slices of a document that others refer to begin and end at multiples of this.
@@ -322,11 +331,8 @@ def repeated(runs: list[tuple[int, int, int]], width: int, similarity: float) ->
     return out
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, start_word, end_word, kept_doc_id, kept_start, similarity): words of a document that repeat those of
-    one with a smaller id. Words are counted from 0, the end is not included."""
-    width = min_words - SHINGLE + 1
-    found = written(links(docs, min_words), "passages-links")
+def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The passages that links hold."""
     grain = lambda c: F.floor(c / GRAIN) * GRAIN
     found = found.withColumn("other_low", F.greatest(grain(F.col("low") - F.col("shift") - STEPS), F.lit(0)).cast("int")).withColumn(
         "other_high", (grain(F.col("high") - F.col("shift") + STEPS) + GRAIN - 1).cast("int"))
@@ -358,6 +364,144 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     ).distinct()
 
 
+def open_windows(docs: DataFrame, found: DataFrame, passed: DataFrame, min_words: int) -> DataFrame:
+    """(key, doc_id, place, open) of the keys that have a window in no passage, of a document that isn't their first."""
+    met = found.select("doc_id").union(found.select("other")).distinct()
+    spans = passed.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    size, _ = seed(min_words)
+    rows = (
+        docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+        .join(met, "doc_id", "left_semi").join(spans, "doc_id", "left")
+    )
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in parts(batches):
+            text, key, place, _, _ = keyed_windows(texts, min_words)
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            still = np.ones(len(key), dtype=bool)
+            for i, spans in enumerate(part.column("spans").to_pylist()):
+                own = text == i if spans else None
+                for s in spans or []:
+                    still &= ~(own & (place >= s["start_word"]) & (place + size <= s["end_word"]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(ids[text]), pa.array(place.astype(np.int32)), pa.array(still)],
+                ["key", "doc_id", "place", "open"])
+
+    every = written(rows.mapInArrow(marked, "key long, doc_id long, place int, open boolean"), "passages-open")
+    keys = every.groupBy("key").agg(F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("most"),
+                                    F.count(F.lit(1)).alias("n")).where("most > least")
+    return every.join(keys, "key").where("doc_id <= most").select("key", "doc_id", "place", "open", "n")
+
+
+def matched(doc, still, block, around, width: int, similarity: float) -> list[tuple[int, int]]:
+    """(window, earlier window): each open window of a key with the first of smaller documents whose surroundings
+    hold a passage with it. Windows come in order of document."""
+    wide = around.shape[1]
+    padded = np.pad(around, ((0, 0), (STEPS, STEPS)))
+    here = around != 0
+    still = still.copy()
+    out = []
+    for head in range(len(doc) - 1):
+        rest = np.flatnonzero(still[head + 1 :] & (doc[head + 1 :] > doc[head])) + head + 1
+        if block is not None:
+            rest = rest[block[rest] != block[head]]
+        if not len(rest):
+            continue
+        equal = np.zeros((len(rest), wide), dtype=bool)
+        for step in range(2 * STEPS + 1):
+            equal |= around[rest] == padded[head, step : step + wide]
+        # Equal shingles that any passage has, whatever their order.
+        least = int(np.ceil(2 * similarity * width / (1 + similarity))) - STEPS
+        for w in rest[(equal & here[rest]).sum(axis=1) >= least].tolist():
+            x, y = around[w], around[head]
+            if repeated(equal_runs(np.where(x == 0, 1, x), y, 0), width, similarity):
+                still[w] = False
+                out.append((w, head))
+    return out
+
+
+def late_links(docs: DataFrame, windows: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Links as those of ``links``, of open windows with the first smaller document that they share a passage with."""
+    width = min_words - SHINGLE + 1
+    size, _ = seed(min_words)
+    span = 2 * AROUND + size - SHINGLE + 1
+    asked = windows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "open", "n")).alias("asked"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in parts(batches):
+            values, first, last = laid_out(texts, 1)
+            # Two bytes of each; 0 stands for what lies beyond the text.
+            small = np.maximum((values & np.uint64(0xFFFF)).astype(np.uint16), 2)
+            for i, (doc, wanted) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("asked").to_pylist(),
+                                                  strict=True)):
+                own = np.pad(small[first[i] : last[i]], (AROUND, span))
+                for at in range(0, len(wanted), 1000):
+                    some = wanted[at : at + 1000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([w["key"] for w in some], type=pa.int64()), pa.array([doc] * len(some), type=pa.int64()),
+                         pa.array([w["place"] for w in some], type=pa.int32()), pa.array([w["open"] for w in some]),
+                         pa.array([w["n"] for w in some], type=pa.int64()),
+                         pa.array([own[w["place"] : w["place"] + span].tobytes() for w in some], type=pa.binary())],
+                        ["key", "doc_id", "place", "open", "n", "around"])
+
+    blocks = F.ceil(F.col("n") / BLOCK)
+    pairs = (
+        rows.mapInArrow(cut, "key long, doc_id long, place int, open boolean, n long, around binary")
+        .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", "place"), "blocks"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
+        .repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id", "place")
+        .select("key", "low", "high", "block", "doc_id", "place", "open", "around")
+    )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(group):
+            rows = pa.Table.from_batches(group)
+            column = lambda c: rows.column(c).to_numpy()
+            doc, place = column("doc_id"), column("place")
+            around = np.frombuffer(b"".join(rows.column("around").to_pylist()), dtype=np.uint16).reshape(len(doc), span)
+            apart = column("low")[0] != column("high")[0]
+            out = matched(doc, column("open"), column("block") if apart else None, around, width, similarity)
+            if out:
+                w, head = np.array(out).T
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc[w]), pa.array(doc[head]), pa.array((place[w] - place[head]).astype(np.int32)),
+                     pa.array(np.maximum(place[w] - AROUND, 0).astype(np.int32)),
+                     pa.array((place[w] + size - SHINGLE + AROUND).astype(np.int32))],
+                    ["doc_id", "other", "shift", "low", "high"])
+
+        held, last = [], None
+        for batch in batches:
+            group = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "low", "high")]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in group], axis=0)) + 1
+            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
+                if b <= a:
+                    continue
+                now = tuple(int(c[a]) for c in group)
+                if now != last and held:
+                    yield from done(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = now
+        if held:
+            yield from done(held)
+
+    return pairs.mapInArrow(meet, "doc_id long, other long, shift int, low int, high int").groupBy(
+        "doc_id", "other", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, start_word, end_word, kept_doc_id, kept_start, similarity): words of a document that repeat those of
+    one with a smaller id. Words are counted from 0, the end is not included."""
+    width = min_words - SHINGLE + 1
+    found = written(links(docs, min_words), "passages-links")
+    passed = written(verified(docs, found, width, similarity), "passages-found")
+    windows = open_windows(docs, found, passed, min_words)
+    late = written(late_links(docs, windows, min_words, similarity), "passages-late")
+    return passed.union(verified(docs, late, width, similarity)).distinct()
+
+
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The documents without the passages that a smaller document has; ``n_chars`` is counted anew. Every document
     stays, one that is all repeats with an empty text."""

@@ -121,3 +121,20 @@ def test_words_put_in_and_left_out(spark):
     rows = passages.repeated_passages(docs).collect()
     assert {(r.doc_id, r.start_word, r.end_word) for r in rows} == {(d, *span) for d, span in need.items()}
     assert all((r.kept_doc_id, r.kept_start) == (r.doc_id - 72, 20) and r.similarity >= 0.8 for r in rows)
+
+
+@pytest.mark.parametrize("parts, block", [(1, 1000), (4, 1000), (40, 3)])
+def test_the_smallest_document_of_a_key_need_not_hold_the_passage(spark, monkeypatch, parts, block):
+    monkeypatch.setattr(passages, "BLOCK", block)
+    rows, need = [], set()
+    for k in range(20):
+        w = prose(9000 + k, 55).split()
+        # Some smaller documents hold 45 of its words, each others next to them.
+        for part in range(1 + k % 3):
+            rows.append((100 * part + k, " ".join([*w[:45], *prose(9100 + 100 * part + k, 40).split()])))
+        for d in (600, 700, 800):
+            rows.append((d + k, prose(d + 9000 + k, 20) + " " + " ".join(w) + " " + prose(d + 9500 + k, 20)))
+        need |= {(700 + k, 20, 75), (800 + k, 20, 75)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = {(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(docs).collect()}
+    assert got == need
