@@ -3,7 +3,8 @@
 Words are made canonical: a number, a unit of measure after a number and a capitalised name inside a sentence become typed
 placeholders, other words lose case and closing punctuation. Every run of ``WINDOW`` canonical words of a document is
 hashed and joined with the runs of the benchmark items, so a question that was asked anew with other numbers or names
-still meets its item. What fills the slots is then compared: laid over an item at one place, each filling of the item
+still meets its item. A capitalised word that begins a sentence may be a name or not, on both sides: a run with such words
+is hashed in every form, each of them plain or a name. What fills the slots is then compared: laid over an item at one place, each filling of the item
 must stand for one and the same filling in the document, or the place doesn't count. A document is contaminated by an
 item if the places that count hold at least ``CONTAINED`` of the item's runs.
 
@@ -47,6 +48,16 @@ def _is_number(word: Column) -> Column:
     return F.ascii(F.ltrim(word, F.lit(SIGNS))).between(48, 57)
 
 
+def _capital(word: Column) -> Column:
+    low = F.lower(F.rtrim(word, F.lit(CLOSING)))
+    return (F.substring(word, 1, 1) != F.lower(F.substring(word, 1, 1))) & (low != word) & (F.upper(word) != word)
+
+
+def _inside(last: Column) -> Column:
+    """Whether a word after ``last`` stands inside a sentence."""
+    return F.coalesce(F.length(F.rtrim(last, F.lit(CLOSING))) == F.length(last), F.lit(False))
+
+
 def canonical(words: Column) -> Column:
     """The canonical form of each word of an array."""
 
@@ -54,14 +65,12 @@ def canonical(words: Column) -> Column:
         last = F.get(words, i - 1)
         low = F.lower(F.rtrim(word, F.lit(CLOSING)))
         after_number = F.coalesce(_is_number(last), F.lit(False))
-        capital = (F.substring(word, 1, 1) != F.lower(F.substring(word, 1, 1))) & (low != word) & (F.upper(word) != word)
-        inside = F.coalesce(F.length(F.rtrim(last, F.lit(CLOSING))) == F.length(last), F.lit(False))
         units = F.array(*[F.lit(u) for u in UNITS])
         return (
             F.when(_is_number(word), NUMBER)
             .when(after_number & F.array_contains(units, low), UNIT)
             .when(F.ascii(word).between(97, 122), low)
-            .when(capital & inside, NAME)
+            .when(_capital(word) & _inside(last), NAME)
             .otherwise(low)
         )
 
@@ -69,25 +78,38 @@ def canonical(words: Column) -> Column:
 
 
 def runs(rows: DataFrame, key: str, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, pos, run, fillings, forms): each run's hash, and what fills its slots, in order."""
+    """(id, words, forms, pos, named, run): each run's hash, ``named`` the words at sentence starts (bit k for the
+    run's word k) that it takes as names."""
     n = F.size("forms")
     rows = (
         rows.where(F.col(key).isNotNull())
         .select(F.col(key).cast("long").alias("id"), F.split(F.coalesce(F.col(text), F.lit("")), BREAKS).alias("words"))
         .withColumn("forms", canonical(F.col("words")))
-        .withColumn("slots", F.filter(
-            F.transform("forms", lambda f, i: F.when(F.ascii(f) == 1, i)), lambda i: i.isNotNull()))
         .withColumn("hashes", F.transform("forms", lambda f: F.xxhash64(f)))
+        # Capitalised words at sentence starts; a number or unit is one whatever its case.
+        .withColumn("starts", F.transform("words", lambda w, i: (
+            _capital(w) & ~_inside(F.get(F.col("words"), i - 1)) & (F.ascii(F.get("forms", i)) != 1)).cast("int")))
     )
     at = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
-    run = F.transform(at, lambda i: F.xxhash64(*[F.get("hashes", i + k) for k in range(window)]))
-    return rows.select("id", "words", "forms", "slots", F.posexplode(run).alias("pos", "run"))
+    bits = lambda i: sum((F.get("starts", i + k) * F.lit(1 << k) for k in range(window)), F.lit(0))
+    masks = lambda b: F.when(b == 0, F.array(F.lit(0))).otherwise(
+        F.filter(F.array(*[F.lit(m) for m in range(1 << window)]), lambda m: m.bitwiseAND(b) == m))
+    word = lambda k: F.when(
+        F.col("named").bitwiseAND(F.lit(1 << k)) != 0, F.xxhash64(F.lit(NAME))).otherwise(F.get("hashes", F.col("pos") + k))
+    return (
+        rows.select("id", "words", "forms", "hashes", F.posexplode(F.transform(at, bits)).alias("pos", "bits"))
+        .select("id", "words", "forms", "hashes", "pos", F.explode(masks(F.col("bits"))).alias("named"))
+        .select("id", "words", "forms", "pos", "named", F.xxhash64(*[word(k) for k in range(window)]).alias("run"))
+    )
 
 
 def _fillings(window: int) -> Column:
     """What fills the slots of a run, in order."""
-    inside = F.filter("slots", lambda s: (s >= F.col("pos")) & (s < F.col("pos") + window))
-    return F.transform(inside, lambda s: F.lower(F.rtrim(F.get("words", s), F.lit(CLOSING))))
+    places = F.array(*[
+        F.when((F.ascii(F.get("forms", F.col("pos") + k)) == 1) | (F.col("named").bitwiseAND(F.lit(1 << k)) != 0),
+               F.col("pos") + k) for k in range(window)])
+    return F.transform(F.filter(places, lambda s: s.isNotNull()),
+                       lambda s: F.lower(F.rtrim(F.get("words", s), F.lit(CLOSING))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id",
@@ -97,7 +119,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     plain = F.size(F.filter(F.slice("forms", F.col("pos") + 1, F.lit(window)), lambda f: F.ascii(f) != 1))
     wanted = written(
         runs(benchmark, item, window=window).where(plain >= PLAIN).select(
-            F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "run", _fillings(window).alias("item_fillings")
+            F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "run",
+            _fillings(window).alias("item_fillings")
         ).distinct(), "templates")
     count = wanted.count()
     totals = wanted.groupBy("item_id").agg(F.countDistinct("item_pos").alias("total"))

@@ -52,3 +52,20 @@ def test_empty_tables(spark, items, awkward, nothing):
 def test_no_python_in_the_plan(spark, items, awkward):
     plan = templates.contaminated(awkward, items)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_capitals_at_sentence_starts(spark):
+    items = spark.createDataFrame([
+        (1, "What is the capital of France?", 0),
+        (2, "Alice bought seven red apples. Bob sold nine green pears. Alice was glad about it.", 0)], ITEMS)
+    texts = {
+        1: "Question: What is the capital of France?", 2: "1) What is the capital of France? Answer", 3: "what is the capital of France?",
+        4: "Carol bought seven red apples. Dave sold nine green pears. Carol was glad about it.",
+        5: "Then Carol bought seven red apples. Dave sold nine green pears. Carol was glad about it.",
+        6: "What is the colour of France?", 7: prose(1, 30) + ". Alice was glad about it.",
+    }
+    docs = spark.createDataFrame([(i, t, 9, 9) for i, t in texts.items()], DOCS)
+    found = {(r.doc_id, r.item_id): r for r in templates.contaminated(docs, items).collect()}
+    assert found.keys() == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
+    assert [found[d, i].changed for d, i in sorted(found)] == [False, False, False, True, True]
+    assert all(r.contained == 1 for r in found.values())
