@@ -4,7 +4,7 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
-from conftest import rows
+from tests.conftest import rows
 from pyspark.sql import functions as F
 
 from storelens import Tables

@@ -5,7 +5,7 @@ import json
 from types import SimpleNamespace
 
 import pytest
-from conftest import rows
+from tests.conftest import rows
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
