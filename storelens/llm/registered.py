@@ -148,3 +148,14 @@ def op2_language_fusion(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("kind") == "page", F.col("id")).alias("page_id"),
         F.when(F.col("kind") == "document", F.col("id")).alias("doc_id"),
         "lang", "probability", "text_lang", "declared")
+
+
+@query
+def op12_pivoted_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding on the first four components of the distinct ones; a deviation beyond 64 bits is null."""
+    from pyspark.sql import functions as F
+
+    from storelens.llm import whitening
+
+    rows = whitening.whitened(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
