@@ -159,3 +159,19 @@ def op12_pivoted_whitening(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = whitening.whitened(table(spark, folder, "embeddings"))
     return rows.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of at least three places with the spelling that it is a variant of."""
+    from storelens.llm import spelling
+
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+@query
+def op11_weak_supervision_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    from storelens.llm import personal
+
+    return personal.summary(personal.personal_data(table(spark, folder, "documents")))
