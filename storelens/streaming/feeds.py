@@ -1,10 +1,9 @@
-"""Streaming forms of the order feed, revenue, stock, order status and cart.
+"""Streaming forms of the order feed, revenue, stock and order status; ``carts`` has that of the cart.
 
 Each job runs over whatever has arrived and stops (``availableNow``), or keeps
 running with the trigger it is given. No job depends on the order of arrival:
-sums and latest rows fold in any order, and cart actions are kept and applied
-by their number, so a stream gives what its batch form gives over the finished
-input. State and sinks lie in a shared folder, so a lost executor or a restart
+sums and latest rows fold in any order, so a stream gives what its batch form
+gives over the finished input. State and sinks lie in a shared folder, so a lost executor or a restart
 resumes from the last finished batch.
 """
 
@@ -16,12 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from storelens.operators.changes import cart_merge
 from storelens.operators.stock import is_live, signed_quantity
 
 NOW = {"availableNow": True}
 
-CART = "user_id bigint, product_id bigint, quantity bigint, status string"
 # Number of batches from one state written out whole to the next.
 WHOLE_EVERY = 32
 
@@ -35,14 +32,15 @@ def file_stream(spark: SparkSession, folder: str, name: str, schema: str, files_
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def _folder(spark: SparkSession, path: str):
+def folder_of(spark: SparkSession, path: str):
+    """(file system, path) of a path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _batches(spark: SparkSession, target: str) -> list[int]:
+def batch_numbers(spark: SparkSession, target: str) -> list[int]:
     """Numbers of the batches written so far."""
-    fs, at = _folder(spark, f"{target}/rows")
+    fs, at = folder_of(spark, f"{target}/rows")
     names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
     return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
 
@@ -64,7 +62,7 @@ def write_batches(stream: DataFrame, target: str, trigger: dict | None = None,
 
 def read_batches(spark: SparkSession, target: str, schema, since: int = 0, before: int | None = None) -> DataFrame:
     """Rows of the batches in a range; none if no batch was written."""
-    chosen = [b for b in _batches(spark, target) if b >= since and (before is None or b < before)]
+    chosen = [b for b in batch_numbers(spark, target) if b >= since and (before is None or b < before)]
     if not chosen:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*[f"{target}/rows/batch={b}" for b in chosen])
@@ -82,8 +80,8 @@ def fold_stream(stream: DataFrame, target: str, fold: Fold, trigger: dict | None
     def step(rows: DataFrame, batch: int) -> DataFrame:
         if batch % WHOLE_EVERY:
             return fold(rows)
-        for old in [b for b in _batches(spark, target) if b < batch - WHOLE_EVERY]:
-            fs, at = _folder(spark, f"{target}/rows/batch={old}")
+        for old in [b for b in batch_numbers(spark, target) if b < batch - WHOLE_EVERY]:
+            fs, at = folder_of(spark, f"{target}/rows/batch={old}")
             fs.delete(at, True)
         return fold(fold(rows).select(*schema.names).unionByName(
             read_batches(spark, target, schema, max(0, batch - WHOLE_EVERY), batch)))
@@ -93,7 +91,7 @@ def fold_stream(stream: DataFrame, target: str, fold: Fold, trigger: dict | None
 
 def read_folded(spark: SparkSession, target: str, fold: Fold, schema) -> DataFrame:
     """The state after the last finished batch."""
-    written = _batches(spark, target)
+    written = batch_numbers(spark, target)
     whole = written[-1] // WHOLE_EVERY * WHOLE_EVERY if written else 0
     return fold(read_batches(spark, target, schema, whole))
 
@@ -137,14 +135,3 @@ def order_status_rows(tracking: DataFrame) -> DataFrame:
 def order_statuses(rows: DataFrame) -> DataFrame:
     """The latest candidate of each order, whenever it arrived."""
     return rows.groupBy("order_id").agg(F.max("last").alias("last"))
-
-
-def read_cart(actions: DataFrame, users: DataFrame | None = None) -> DataFrame:
-    """Cart lines after all actions that have arrived, or those of some users (``user_id``).
-
-    The sink keeps the actions themselves: one that arrives late is applied in
-    its place, which a folded line couldn't do.
-    """
-    if users is not None:
-        actions = actions.join(users.select("user_id").distinct(), "user_id", "left_semi")
-    return cart_merge(actions.sparkSession.createDataFrame([], CART), actions)
