@@ -198,6 +198,9 @@ ADMIN_SHAPE = ("order_id:i order_no:s total_amount:d order_status:s payment_stat
                " delivery_start:s delivery_end:s item_count:i")
 put("admin_order_list", ADMIN_SHAPE, ADMIN)
 put("paged_sort", ADMIN_SHAPE, f"select * from ({ADMIN}) r order by created_at desc, order_id desc limit 20 offset 40")
+LAST_SEEN = "(created_at < timestamp '1994-03-05' or (created_at = timestamp '1994-03-05' and order_id < 3000))"
+put("paged_sort_after", ADMIN_SHAPE,
+    f"select * from ({ADMIN}) r where {LAST_SEEN} order by created_at desc, order_id desc limit 20")
 CUSTOMER_ORDERS = """
     select o.order_id, o.order_no, o.total_amount, o.order_status, o.payment_status, r.rating, o.created_at,
         a."name" customer_name, coalesce(sum(i.product_qty), 0) item_count
@@ -208,6 +211,8 @@ CUSTOMER_ORDERS_SHAPE = ("order_id:i order_no:s total_amount:d order_status:s pa
 put("customer_order_list", CUSTOMER_ORDERS_SHAPE, CUSTOMER_ORDERS)
 put("customer_order_page", CUSTOMER_ORDERS_SHAPE,
     f"select * from ({CUSTOMER_ORDERS}) r order by created_at desc, order_id desc limit 20")
+put("customer_order_after", CUSTOMER_ORDERS_SHAPE,
+    f"select * from ({CUSTOMER_ORDERS}) r where {LAST_SEEN} order by created_at desc, order_id desc limit 20")
 put("user_orders", "order_id:i user_id:i order_no:s total_amount:d order_status:s payment_status:s bucket:s name:s"
     " item_count:i", """
     select o.order_id, o.user_id, o.order_no, o.total_amount, o.order_status, o.payment_status,
@@ -288,6 +293,8 @@ CUSTOMERS = """
 CUSTOMERS_SHAPE = "id:i name:s phone:s full_address:s total_orders:i last_order:s"
 put("customer_list", CUSTOMERS_SHAPE, CUSTOMERS.format("%i%"))
 put("customer_page", CUSTOMERS_SHAPE, f"select * from ({CUSTOMERS.format('%%')}) r order by id desc limit 10 offset 10")
+put("customer_page_after", CUSTOMERS_SHAPE,
+    f"select * from ({CUSTOMERS.format('%%')}) r where id < 40 order by id desc limit 10")
 put("customer_directory", "user_id:i name:s phone:s email:s added_by:s city:s total_orders:i total_spent:d"
     " last_order:t", f"""
     select u.user_id, case when u.added_by = 'app' and coalesce(a."name", '') <> '' then a."name" else u."name" end "name",
@@ -375,6 +382,8 @@ CATALOGUE_SHAPE = ("id:i name:s category:s categories_id:i price:d mrp:d descrip
 put("catalogue_list", CATALOGUE_SHAPE, CATALOGUE)
 put("catalogue_page", CATALOGUE_SHAPE,
     f"select * from ({CATALOGUE}) r where \"name\" ilike '%widget%' order by id limit 15 offset 15")
+put("catalogue_page_after", CATALOGUE_SHAPE,
+    f"select * from ({CATALOGUE}) r where \"name\" ilike '%widget%' and id > 60 order by id limit 15")
 put("category_items", "product_id:i categories_id:i title:s price:d mrp:d description:s unit:s current_stock:i"
     " image:s", """
     select p.product_id, p.categories_id, p.title, p.price, p.mrp, p.description, u.unitname unit,

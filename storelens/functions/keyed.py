@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -235,18 +236,74 @@ def only_shown(df: DataFrame, shown: DataFrame, key: str, size: int | None) -> D
     return df.join(F.broadcast(keys) if size <= PAGE_ROWS else keys, key, "left_semi")
 
 
-def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int | None = None,
-         after: Column | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class By:
+    """One column of a listing's order. Missing values come first in a falling order and last in a rising one,
+    unless told otherwise."""
+
+    column: str
+    falling: bool = False
+    missing_first: bool | None = None
+
+    @property
+    def first(self) -> bool:
+        return self.falling if self.missing_first is None else self.missing_first
+
+    def order(self) -> Column:
+        col = F.col(self.column)
+        if self.falling:
+            return col.desc_nulls_first() if self.first else col.desc_nulls_last()
+        return col.asc_nulls_first() if self.first else col.asc_nulls_last()
+
+    def same(self, value: Column | None) -> Column:
+        return F.col(self.column).isNull() if value is None else F.col(self.column) == value
+
+    def later(self, value: Column | None) -> Column:
+        """Rows that come after those with this value."""
+        col = F.col(self.column)
+        if value is None:
+            return col.isNotNull() if self.first else F.lit(False)
+        beyond = col < value if self.falling else col > value
+        return beyond if self.first else beyond | col.isNull()
+
+
+def cursor(rows: DataFrame, order: Sequence[By]) -> tuple | None:
+    """Where a listing goes on after a row: its values in the order's columns. Of several rows the last one counts;
+    None if there is none."""
+    last = rows.select(*[b.column for b in order]).orderBy(*[b.order() for b in order]).tail(1)
+    return tuple(last[0]) if last else None
+
+
+def beyond(df: DataFrame, order: Sequence[By], after: Sequence) -> Column:
+    """Condition for the rows that come after a cursor.
+
+    Values are literals of the column's own type, and the range of the first
+    column stands beside the full condition, so that both reach the scan.
+    """
+    if len(after) != len(order):
+        raise ValueError(f"a cursor of {len(order)} values is needed, not of {len(after)}")
+    values = [None if v is None else F.lit(v if isinstance(v, str) else str(v)).cast(df.schema[b.column].dataType)
+              for b, v in zip(order, after, strict=True)]
+    found = None
+    for b, v in reversed(list(zip(order, values, strict=True))):
+        found = b.later(v) if found is None else b.later(v) | (b.same(v) & found)
+    return (order[0].later(values[0]) | order[0].same(values[0])) & found
+
+
+def page(df: DataFrame, order: Sequence[By], number: int = 1, size: int | None = None,
+         after: Sequence | None = None) -> DataFrame:
     """One page of a sorted listing; the whole relation, unsorted, if no size is given.
 
-    ``after`` is a key condition ("later in the order than the last row seen")
-    for pages far into a listing, where an offset would carry all rows before.
+    ``after`` is the cursor of the last row seen, for pages far into a listing: rows up to it are left out where they
+    are read, while an offset would sort and carry them all.
     """
     if after is not None:
-        df = df.where(after)
+        if number > 1:
+            raise ValueError("a page is told by its number or by the row before it")
+        df = df.where(beyond(df, order, after))
     if size is None:
         return df
-    listing = df.orderBy(*order)
-    if after is None and number > 1:
+    listing = df.orderBy(*[b.order() for b in order])
+    if number > 1:
         listing = listing.offset((number - 1) * size)
     return listing.limit(size)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import contains_text, percent_off, status_label
-from storelens.functions.keyed import only_shown, page
+from storelens.functions.keyed import By, only_shown, page
 from storelens.operators.images import first_image_per_product
 from storelens.operators.stock import DEFAULT_OPEN_DATE, with_movement, with_stock
 from storelens.sources.tables import Tables
@@ -66,11 +67,16 @@ def product_options(t: Tables) -> DataFrame:
     )
 
 
-def catalogue_list(t: Tables, search: str = "", number: int = 1, size: int | None = None) -> DataFrame:
+# Order of the listing.
+CATALOGUE_ORDER = [By("product_id")]
+
+
+def catalogue_list(t: Tables, search: str = "", number: int = 1, size: int | None = None,
+                   after: Sequence | None = None) -> DataFrame:
     """Products of known category with one picture, by product."""
     products = t.products.where(contains_text("title", search)) if search else t.products
     names = t.categories.select("categories_id", F.col("categories_name").alias("category_name"))
-    shown = page(products.join(names, "categories_id"), [F.col("product_id")], number, size)
+    shown = page(products.join(names, "categories_id"), CATALOGUE_ORDER, number, size, after)
     images = only_shown(t.images, shown, "product_id", size)
     return shown.join(first_image_per_product(images), "product_id", "left").select(
         F.col("product_id").alias("id"), F.col("title").alias("name"), F.col("category_name").alias("category"),

@@ -8,18 +8,18 @@ result row.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import order_bucket
-from storelens.functions.keyed import documents, latest, moment_of, only_shown, page, ranked, spread_join, stretch
+from storelens.functions.keyed import By, documents, latest, moment_of, only_shown, page, ranked, spread_join, stretch
 from storelens.operators.people import latest_address_per_user
 from storelens.sources.tables import Tables
 
-def _newest() -> list[Column]:
-    return [F.col("created_at").desc_nulls_first(), F.col("order_id").desc()]
+# Order of the listings.
+NEWEST = [By("created_at", falling=True), By("order_id", falling=True)]
 
 
 def _lookup(df: DataFrame, lookup: DataFrame, key: str, by: str, size: int | None) -> DataFrame:
@@ -38,11 +38,11 @@ def _quantities(items: DataFrame) -> DataFrame:
     return items.groupBy("order_id").agg(F.sum("product_qty").alias("item_count"))
 
 
-def admin_order_list(t: Tables, number: int = 1, size: int | None = None) -> DataFrame:
-    """Orders of known delivery mode with customer name and item count, newest first."""
+def admin_order_list(t: Tables, number: int = 1, size: int | None = None, after: Sequence | None = None) -> DataFrame:
+    """Orders of known delivery mode with customer name and item count, newest first. ``after``: cursor in ``NEWEST``."""
     stamp = "yyyy-MM-dd HH:mm:ss"
     orders = t.orders.join(t.delivery_modes, "delivery_id")
-    shown = page(orders, _newest(), number, size)
+    shown = page(orders, NEWEST, number, size, after)
     names = latest_address_per_user(only_shown(t.addresses, shown, "user_id", size), "name")
     counts = _quantities(only_shown(t.order_items, shown, "order_id", size))
     named = _lookup(shown, names, "user_id", "order_id", size)
@@ -54,9 +54,9 @@ def admin_order_list(t: Tables, number: int = 1, size: int | None = None) -> Dat
     )
 
 
-def customer_order_list(t: Tables, number: int = 1, size: int | None = None) -> DataFrame:
-    """Orders with customer name, review rating and item count, newest first."""
-    shown = page(t.orders, _newest(), number, size)
+def customer_order_list(t: Tables, number: int = 1, size: int | None = None, after: Sequence | None = None) -> DataFrame:
+    """Orders with customer name, review rating and item count, newest first. ``after``: cursor in ``NEWEST``."""
+    shown = page(t.orders, NEWEST, number, size, after)
     names = latest_address_per_user(
         only_shown(t.addresses, shown, "user_id", size), F.col("name").alias("customer_name")
     )
@@ -194,7 +194,7 @@ def recent_orders(t: Tables, size: int = 5) -> DataFrame:
     Every order gives at least one row, so the newest ``size`` rows are found
     among the newest ``size`` orders and all else reads only those.
     """
-    newest = t.orders.orderBy(*_newest()).limit(size)
+    newest = t.orders.orderBy(*[b.order() for b in NEWEST]).limit(size)
     names = (
         only_shown(t.addresses, newest, "user_id", size)
         .groupBy("user_id", "name").agg(F.count(F.lit(1)).alias("_same"))
@@ -205,7 +205,7 @@ def recent_orders(t: Tables, size: int = 5) -> DataFrame:
     )
     return (
         newest.join(names, "user_id", "left").join(counts, "order_id", "left")
-        .orderBy(*_newest(), F.col("name").asc_nulls_first())
+        .orderBy(*[b.order() for b in NEWEST], F.col("name").asc_nulls_first())
         .limit(size)
         .select(
             "order_id", "order_no", "total_amount", "order_status", F.col("name").alias("customer"),

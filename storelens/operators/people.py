@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import contains_text
-from storelens.functions.keyed import latest, moment_of, newest_first, only_shown, page, ranked, stretch
+from storelens.functions.keyed import By, latest, moment_of, newest_first, only_shown, page, ranked, stretch
 from storelens.sources.tables import Tables
 
 
@@ -47,11 +49,17 @@ def order_summary(orders: DataFrame) -> DataFrame:
     )
 
 
-def customer_list(t: Tables, search: str = "", number: int = 1, size: int | None = None) -> DataFrame:
+# Orders of the listings.
+CUSTOMER_ORDER = [By("user_id", falling=True)]
+DRIVER_ORDER = [By("created_at", falling=True), By("driver_id", falling=True)]
+
+
+def customer_list(t: Tables, search: str = "", number: int = 1, size: int | None = None,
+                  after: Sequence | None = None) -> DataFrame:
     """Users by their latest address, with order count and date of the last order."""
     people = latest_address_per_user(t.addresses, "name", "phone", "full_address")
     people = people.where(contains_text("name", search))
-    people = page(people, [F.col("user_id").desc()], number, size)
+    people = page(people, CUSTOMER_ORDER, number, size, after)
     orders = only_shown(t.orders, people, "user_id", size).groupBy("user_id").agg(
         F.count("order_id").alias("total_orders"), F.max("created_at").alias("last_order")
     )
@@ -120,7 +128,7 @@ def first_order_discount(t: Tables, before: Column | None = None, amount: int =
     )
 
 
-def driver_list(t: Tables, number: int = 1, size: int | None = None) -> DataFrame:
+def driver_list(t: Tables, number: int = 1, size: int | None = None, after: Sequence | None = None) -> DataFrame:
     """Delivery partners, newest first; one without a date counts as newest."""
     drivers = t.partners.select("driver_id", "full_name", "mobile", "status", "created_at")
-    return page(drivers, [F.col("created_at").desc_nulls_first(), F.col("driver_id").desc()], number, size)
+    return page(drivers, DRIVER_ORDER, number, size, after)

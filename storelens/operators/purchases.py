@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import all_of, contains_text, status_label
-from storelens.functions.keyed import documents, only_shown, page, stretch
+from storelens.functions.keyed import By, documents, only_shown, page, stretch
 from storelens.operators.stock import is_live
 from storelens.sources.tables import Tables
 
@@ -32,10 +33,14 @@ def purchase_search(t: Tables, search: str = "", from_date: dt.date | None = Non
     return t.purchases.where(purchase_filter(search, from_date, to_date))
 
 
+# Order of the listing.
+PURCHASE_ORDER = [By("purchaseid", falling=True)]
+
+
 def purchase_list(t: Tables, search: str = "", from_date: dt.date | None = None, to_date: dt.date | None = None,
-                  number: int = 1, size: int | None = None) -> DataFrame:
+                  number: int = 1, size: int | None = None, after: Sequence | None = None) -> DataFrame:
     """Purchases with the value of their live lines; NULL for one without any."""
-    shown = page(purchase_search(t, search, from_date, to_date), [F.col("purchaseid").desc()], number, size)
+    shown = page(purchase_search(t, search, from_date, to_date), PURCHASE_ORDER, number, size, after)
     keys = shown.select(F.col("purchaseid").alias("purchase_id"))
     lines = only_shown(t.ledger.where(is_live()), keys, "purchase_id", size)
     totals = lines.groupBy(F.col("purchase_id").alias("purchaseid")).agg(F.sum("value").alias("totamt"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import contains_text
-from storelens.functions.keyed import only_shown, page
+from storelens.functions.keyed import By, only_shown, page
 from storelens.operators.images import first_image_per_product
 from storelens.sources.tables import Tables
 
@@ -92,14 +93,18 @@ def stock_state_filter(stock: DataFrame, state: str) -> DataFrame:
     return active
 
 
+# Order of the listing.
+STOCK_ORDER = [By("product_id", falling=True)]
+
+
 def low_stock_list(t: Tables, state: str = "low", search: str = "", number: int = 1, size: int | None = None,
-                   default_open_date: dt.date = DEFAULT_OPEN_DATE) -> DataFrame:
+                   default_open_date: dt.date = DEFAULT_OPEN_DATE, after: Sequence | None = None) -> DataFrame:
     """Stock listing, newest product first, with the first image of each product."""
     products = t.products.select("product_id", "title", "lowstqty", "itmsts", "openbalqty")
     if search.strip():
         products = products.where(contains_text("title", search))
     found = stock_state_filter(with_stock(t, products, default_open_date, bool(search.strip())), state)
-    shown = page(found, [F.col("product_id").desc()], number, size)
+    shown = page(found, STOCK_ORDER, number, size, after)
     images = only_shown(t.images, shown, "product_id", size)
     return (
         shown.join(first_image_per_product(images), "product_id", "left")

@@ -127,6 +127,10 @@ query("today_vs_yesterday_by_store")(lambda t: sales.today_vs_yesterday(_stores(
 
 query("admin_order_list")(lambda t: orders.admin_order_list(t))
 query("paged_sort")(lambda t: orders.admin_order_list(t, 3, 20))
+# Pages far in, after a row whose values the caller has seen.
+LAST_SEEN = (dt.datetime(1994, 3, 5), 3000)
+query("paged_sort_after")(lambda t: orders.admin_order_list(t, size=20, after=LAST_SEEN))
+query("customer_order_after")(lambda t: orders.customer_order_list(t, size=20, after=LAST_SEEN))
 query("customer_order_list")(lambda t: orders.customer_order_list(t))
 query("customer_order_page")(lambda t: orders.customer_order_list(t, 1, 20))
 query("user_orders")(lambda t: orders.user_orders(t))
@@ -151,6 +155,7 @@ query("reorder_items")(lambda t: orders.reorder_items(some_gone(t)))
 query("customer_order_summary")(lambda t: people.order_summary(t.orders))
 query("customer_list")(lambda t: people.customer_list(t, "i"))
 query("customer_page")(lambda t: people.customer_list(t, "", 2, 10))
+query("customer_page_after")(lambda t: people.customer_list(t, "", size=10, after=(40,)))
 query("customer_directory")(lambda t: people.customer_directory(t))
 query("customer_details")(lambda t: people.customer_details(t))
 query("latest_address_per_user")(lambda t: people.latest_address_per_user(t.addresses))
@@ -221,6 +226,7 @@ def _invoice_document(t: Tables) -> DataFrame:
 
 query("catalogue_list")(lambda t: catalogue.catalogue_list(t))
 query("catalogue_page")(lambda t: catalogue.catalogue_list(t, "WIDGET", 2, 15))
+query("catalogue_page_after")(lambda t: catalogue.catalogue_list(t, "WIDGET", size=15, after=(60,)))
 query("category_items")(lambda t: catalogue.category_items(t, default_open_date=OPEN_DATE))
 query("search_items")(lambda t: catalogue.search_items(t, "ring", OPEN_DATE))
 query("popular_tags")(lambda t: catalogue.popular_tags(t))
