@@ -76,6 +76,13 @@ put("order_fanout_tracking", "order_id:i status:s message:s",
     "select order_id, 'pending' status, 'Order placed successfully' message from v_orders")
 put("order_fanout_coupon_usage", "coupon_id:i user_id:i order_id:i", """
     select coupon_id, user_id, order_id from v_orders join v_coupons using (coupon_code)""")
+put("order_fanout_written", "output:s n_rows:i order_ids:i", """
+    select 'orders' "output", count(*) n_rows, sum(order_id) order_ids from v_orders
+    union all select 'payments', count(*), sum(order_id) from v_orders
+    union all select 'tracking', count(*), sum(order_id) from v_orders
+    union all select 'order_items', count(*), sum(order_id) from v_order_items
+    union all select 'ledger', count(*), sum(order_id) from v_order_items
+    union all select 'coupon_usage', count(*), sum(order_id) from v_orders join v_coupons using (coupon_code)""")
 put("purchase_post_headers", "seq:i storeid:i purchase_no:s purchasedate:D", """
     select p_partkey seq, p_size % 4 storeid,
         'PUR' || (9989 + row_number() over (partition by p_size % 4 order by p_partkey)) purchase_no,

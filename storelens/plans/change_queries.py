@@ -7,7 +7,6 @@ tables they are applied to.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,12 +15,12 @@ from storelens.operators import changes, ingest, stock
 from storelens.operators.numbering import document_number
 from storelens.operators.orders import line_documents
 from storelens.plans.registered import OPEN_DATE, QUERIES, plain, star_query
-from storelens.plans.session import shared_folder
+from storelens.plans.session import scratch_folder
 from storelens.sources.binding import SCHEMAS, StarSchema
 from storelens.sources.readers import bulk_item_scan, nested_order_scan
-from storelens.sources.sinks import order_fanout
+from storelens.sources.sinks import order_fanout, read_fanout, tagged_fanout, write_fanout
 from storelens.sources.tables import Tables
-from storelens.streaming import feeds
+from storelens.streaming import carts, feeds
 
 # Lines to one submitted order document.
 DOCUMENT_ROWS = 1000
@@ -41,7 +40,7 @@ def money(column: Column) -> Column:
 @star_query("bulk_item_scan")
 def _sheet(star: StarSchema) -> DataFrame:
     """The item sheet saved as CSV files and scanned from there."""
-    path = f"{shared_folder(star.spark)}/item-sheet-{uuid.uuid4().hex}"
+    path = scratch_folder(star.spark, "item-sheet")
     star.item_sheet().drop("trnid").select(
         "title", "categoriesname", "description", "price", "mrp", "quantity", "unit"
     ).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
@@ -101,6 +100,19 @@ for _part in ("orders", "order_items", "ledger", "payments", "tracking", "coupon
         return order_fanout(order_documents(t), t.coupons, dt.date(2001, 8, 1))[part]
 
 
+@star_query("order_fanout_written")
+def _fanout_written(star: StarSchema) -> DataFrame:
+    """All six tables written by one job and read back: rows and sum of order ids of each."""
+    t = star.tables()
+    tagged = tagged_fanout(order_documents(t), t.coupons, dt.date(2001, 8, 1))
+    folder = scratch_folder(star.spark, "order-fanout")
+    write_fanout(tagged, folder, 0)
+    order = F.coalesce("orders.order_id", "order_items.order_id", "ledger.orderid", "payments.order_id", "tracking.order_id",
+                       "coupon_usage.order_id")
+    return read_fanout(star.spark, folder, tagged.schema).groupBy("output").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(order).alias("order_ids"))
+
+
 def purchase_documents(star: StarSchema) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
 
@@ -421,7 +433,7 @@ def stream_query(name: str, streamed: str):
     """
     def register(run):
         def build(spark, folder: str) -> DataFrame:
-            target = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+            target = scratch_folder(spark, name)
             return plain(run(StreamedSchema(spark, folder, streamed), target))
         QUERIES[name] = build
         return run
@@ -464,5 +476,5 @@ def _status(star: StreamedSchema, target: str) -> DataFrame:
 @stream_query("stream_cart_state", "events")
 def _cart(star: StreamedSchema, target: str) -> DataFrame:
     actions = cart_actions(star.raw("events"))
-    feeds.write_batches(actions, target).awaitTermination()
-    return feeds.read_cart(feeds.read_batches(star.spark, target, actions.schema))
+    carts.cart_stream(actions, target).awaitTermination()
+    return carts.read_cart(star.spark, target)

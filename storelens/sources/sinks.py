@@ -1,57 +1,133 @@
-"""One submitted order as rows for all the tables it touches."""
+"""One submitted order as rows for all the tables it touches, out of one reading and into one commit."""
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelens.sources.readers import nested_order_scan
+from storelens.sources.readers import ORDER_DOCUMENT
 
 # The store that sold goods leave from, and the first tracking row.
 SALES_STORE = 2
 FIRST_STATUS, FIRST_MESSAGE = "pending", "Order placed successfully"
 
+OUTPUTS = ("orders", "order_items", "ledger", "payments", "tracking", "coupon_usage")
+KEPT_IN_ORDERS = (
+    "order_id", "user_id", "address_delivery", "total_amount", "order_status", "payment_status", "delivery_id",
+    "delivery_start", "coupon_code")
 
-def order_fanout(documents: DataFrame, coupons: DataFrame, today: dt.date) -> dict[str, DataFrame]:
-    """Rows for orders, items, stock ledger, payment, tracking and coupon usage."""
-    headers, lines = nested_order_scan(documents)
-    lines = lines.where(F.col("item_no").isNotNull())
-    zero = F.lit(0).cast("decimal(12,2)")
-    items = lines.select(
-        "order_id", "product_id", "product_name", "product_unit", "product_qty", "product_rate", "product_amount",
-        F.coalesce("discount_amt", zero).alias("discount_amt"),
-        F.coalesce("discount_per", zero).alias("discount_per"),
-    )
-    ledger = lines.select(
-        F.lit(0).alias("purchase_id"), F.lit(today).alias("purchase_date"), F.col("order_id").alias("orderid"),
-        F.lit(0).alias("instoreid"), F.lit(SALES_STORE).alias("outstoreid"), F.col("product_id").alias("itmid"),
-        F.col("product_name").alias("itmname"), F.col("product_unit").alias("unitid"),
-        F.col("product_qty").alias("stockqty"), F.col("product_rate").alias("rate"),
-        F.col("product_amount").alias("value"), F.col("product_qty").alias("currentstock"),
-        F.lit(0).alias("itmcandel"), F.lit(0).alias("canordersts"),
-    )
-    payment = headers.select(
-        "order_id", F.col("payment_method").alias("method"),
-        F.when(F.col("payment_method") == "COD", "PENDING").otherwise("complete").alias("status"),
-        F.nullif("transaction_id", F.lit("")).alias("transaction_id"),
-    )
-    tracking = headers.select(
-        "order_id", F.lit(FIRST_STATUS).alias("status"), F.lit(FIRST_MESSAGE).alias("message")
-    )
-    usage = (
-        headers.where("coupon_code is not null and coupon_code <> ''")
-        .join(coupons.select("coupon_id", "coupon_code"), "coupon_code")
-        .select("coupon_id", "user_id", "order_id")
-    )
+
+def _header_rows() -> dict[str, Column]:
+    """The rows that a header makes in its tables."""
+    d = F.col("_d")
     return {
-        "orders": headers.drop("payment_method", "transaction_id"), "order_items": items, "ledger": ledger,
-        "payments": payment, "tracking": tracking, "coupon_usage": usage,
+        "orders": F.struct(*[d[c].alias(c) for c in KEPT_IN_ORDERS]),
+        "payments": F.struct(
+            d["order_id"].alias("order_id"), d["payment_method"].alias("method"),
+            F.when(d["payment_method"] == "COD", "PENDING").otherwise("complete").alias("status"),
+            F.nullif(d["transaction_id"], F.lit("")).alias("transaction_id")),
+        "tracking": F.struct(d["order_id"].alias("order_id"), F.lit(FIRST_STATUS).alias("status"), F.lit(FIRST_MESSAGE).alias("message")),
     }
 
 
-def write_fanout(outputs: dict[str, DataFrame], folder: str, batch: int) -> None:
-    """Write each output under its own batch folder; writing a batch again replaces it."""
-    for name, rows in outputs.items():
-        rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+def _line_row(name: str, line: Column, today: dt.date) -> Column:
+    """The row that a line makes in one of its tables."""
+    order, zero = F.col("_d.order_id"), F.lit(0).cast("decimal(12,2)")
+    if name == "order_items":
+        return F.struct(
+            order.alias("order_id"),
+            *[line[c].alias(c) for c in ("product_id", "product_name", "product_unit", "product_qty", "product_rate", "product_amount")],
+            *[F.coalesce(line[c], zero).alias(c) for c in ("discount_amt", "discount_per")])
+    return F.struct(
+        F.lit(0).alias("purchase_id"), F.lit(today).alias("purchase_date"), order.alias("orderid"),
+        F.lit(0).alias("instoreid"), F.lit(SALES_STORE).alias("outstoreid"), line["product_id"].alias("itmid"),
+        line["product_name"].alias("itmname"), line["product_unit"].alias("unitid"), line["product_qty"].alias("stockqty"),
+        line["product_rate"].alias("rate"), line["product_amount"].alias("value"), line["product_qty"].alias("currentstock"),
+        F.lit(0).alias("itmcandel"), F.lit(0).alias("canordersts"))
+
+
+def _line_rows(name: str, today: dt.date) -> Column:
+    return F.transform("_d.items_details", lambda line: _line_row(name, line, today))
+
+
+def tagged_fanout(documents: DataFrame, coupons: DataFrame, today: dt.date, outputs: Sequence[str] = OUTPUTS,
+                  column: str = "document") -> DataFrame:
+    """(output, and a column for each of the outputs): every row of every table, in the column of the table it is for.
+
+    Each document is read once and makes all its rows. A long order may come in several documents numbered by
+    ``part_no``; the first one (0 or no number) gives the header.
+    """
+    rows = documents.where(F.col(column).isNotNull()).select(F.from_json(column, ORDER_DOCUMENT).alias("_d"))
+    first = F.coalesce(F.col("_d.part_no"), F.lit(0)) == 0
+    if "coupon_usage" in outputs:
+        known = coupons.groupBy(F.col("coupon_code").alias("_code")).agg(F.collect_list("coupon_id").alias("_coupons"))
+        # Orders without a coupon get codes of their own, so that they don't all meet in one task.
+        none = F.concat(F.lit("\u0000"), F.xxhash64("_d").cast("string"))
+        code = F.when(first, F.nullif(F.col("_d.coupon_code"), F.lit("")))
+        rows = rows.withColumn("_code", F.coalesce(code, none)).join(known, "_code", "left")
+    made: dict[str, Column] = {name: F.when(first, F.array(row)) for name, row in _header_rows().items()}
+    for name in ("order_items", "ledger"):
+        made[name] = _line_rows(name, today)
+    if "coupon_usage" in outputs:
+        made["coupon_usage"] = F.transform("_coupons", lambda coupon: F.struct(
+            coupon.alias("coupon_id"), F.col("_d.user_id").alias("user_id"), F.col("_d.order_id").alias("order_id")))
+    kinds = {name: rows.select(made[name].alias("r")).schema["r"].dataType.elementType for name in outputs}
+
+    def tagged(name: str) -> Column:
+        parts = lambda row: [row.alias(n) if n == name else F.lit(None).cast(kinds[n]).alias(n) for n in outputs]
+        return F.coalesce(F.transform(made[name], lambda row: F.struct(F.lit(name).alias("output"), *parts(row))), F.array())
+
+    every = F.flatten(F.array(*[tagged(name) for name in outputs])) if len(outputs) > 1 else tagged(outputs[0])
+    return rows.select(F.inline(every))
+
+
+def order_fanout(documents: DataFrame, coupons: DataFrame, today: dt.date) -> dict[str, DataFrame]:
+    """Rows for orders, items, stock ledger, payment, tracking and coupon usage, each table by itself."""
+    return {name: tagged_fanout(documents, coupons, today, [name]).select(f"{name}.*") for name in OUTPUTS}
+
+
+# --- one write for all tables ---
+#
+# Rows of a batch go to one folder, parted by table, in one job. The batch counts once a file with its number and its
+# attempt stands in ``done``; until then readers see the attempt before, whole, or nothing of the batch.
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _finished(spark: SparkSession, folder: str) -> dict[int, tuple[int, str]]:
+    """(attempt, folder name) that counts, for each batch."""
+    fs, at = _files(spark, f"{folder}/done")
+    found: dict[int, tuple[int, str]] = {}
+    for f in fs.listStatus(at) if fs.exists(at) else []:
+        batch, attempt, name = f.getPath().getName().split("_")
+        found[int(batch)] = max(found.get(int(batch), (-1, "")), (int(attempt), name))
+    return found
+
+
+def write_fanout(tagged: DataFrame, folder: str, batch: int) -> None:
+    """Write the rows of all tables in one job. A batch that is written again replaces all its tables at once."""
+    spark = tagged.sparkSession
+    before = _finished(spark, folder).get(batch, (-1, ""))
+    name = uuid.uuid4().hex
+    tagged.write.partitionBy("output").parquet(f"{folder}/rows/part={name}")
+    fs, done = _files(spark, f"{folder}/done/{batch}_{before[0] + 1}_{name}")
+    fs.create(done, True).close()
+    if before[1]:
+        for old in (f"{folder}/done/{batch}_{before[0]}_{before[1]}", f"{folder}/rows/part={before[1]}"):
+            fs.delete(_files(spark, old)[1], True)
+
+
+def read_fanout(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The tagged rows of all batches written so far (``schema`` is that of ``tagged_fanout``). A condition on
+    ``output`` reads the files of that table alone."""
+    parts = sorted(f"{folder}/rows/part={name}" for _, name in _finished(spark, folder).values())
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(*parts).select(*schema.names)

@@ -6,17 +6,17 @@ from types import SimpleNamespace
 
 import pytest
 from tests.conftest import rows
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from storelens.operators.ingest import flash_sale_post, purchase_post
 from storelens.plans import session
 from storelens.sources.readers import bulk_item_scan, nested_order_scan, table_source
-from storelens.sources.sinks import order_fanout, write_fanout
-from storelens.streaming import feeds
+from storelens.sources import sinks
+from storelens.streaming import carts, feeds
 
 from test_answers import compare
-from test_folds import ACTIONS, random_case, step_by_step
 
 ORDER = {
     "order_id": 1, "user_id": 5, "address_delivery": "Lane 1", "total_amount": 30.5, "order_status": "Pending",
@@ -59,17 +59,66 @@ def test_nested_order(documents):
     assert rows(lines, "order_id", "item_no", "product_id") == [(1, 0, 7), (1, 1, 8), (2, None, None)]
 
 
+COUPONS = "coupon_id long, coupon_code string"
+
+
+def fanout(spark, documents, coupons=((3, "TEN"),)):
+    return sinks.tagged_fanout(documents, spark.createDataFrame(list(coupons), COUPONS), dt.date(2024, 1, 1))
+
+
 def test_fanout_is_written_once_per_batch(spark, documents, tmp_path):
-    coupons = spark.createDataFrame([(3, "TEN")], "coupon_id long, coupon_code string")
-    outputs = order_fanout(documents, coupons, dt.date(2024, 1, 1))
+    tagged = fanout(spark, documents)
     for _ in range(2):
-        write_fanout(outputs, str(tmp_path), 0)
-    back = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in outputs}
+        sinks.write_fanout(tagged, str(tmp_path), 0)
+    back = sinks.read_fanout(spark, str(tmp_path), tagged.schema)
+    back = {name: back.where(F.col("output") == name).select(f"{name}.*") for name in sinks.OUTPUTS}
     assert {n: df.count() for n, df in back.items()} == {
         "orders": 2, "order_items": 2, "ledger": 2, "payments": 2, "tracking": 2, "coupon_usage": 1}
     assert rows(back["payments"], "order_id", "status", "transaction_id") == [(1, "PENDING", None), (2, "complete", "t9")]
     assert rows(back["ledger"], "itmid", "instoreid", "outstoreid", "stockqty") == [(7, 0, 2, 2), (8, 0, 2, 1)]
     assert rows(back["order_items"].select(F.col("discount_amt").cast("int"))) == [(0,), (1,)]
+    apart = sinks.order_fanout(documents, spark.createDataFrame([(3, "TEN")], COUPONS), dt.date(2024, 1, 1))
+    assert all(rows(apart[n]) == rows(back[n]) and apart[n].columns == back[n].columns for n in sinks.OUTPUTS)
+
+
+def test_fanout_reads_its_documents_once(spark, documents, tmp_path):
+    seen = Observation("documents")
+    once = documents.observe(seen, F.count(F.lit(1)).alias("n"))
+    tagged = fanout(spark, once)
+    assert tagged._jdf.queryExecution().optimizedPlan().toString().lower().count("from_json") == 1
+    sinks.write_fanout(tagged, str(tmp_path), 4)
+    assert seen.get["n"] == 2
+
+
+def test_a_batch_of_the_fanout_is_replaced_whole_or_not_at_all(spark, documents, tmp_path):
+    folder = str(tmp_path)
+    tagged = fanout(spark, documents)
+    sinks.write_fanout(tagged, folder, 0)
+    sinks.write_fanout(fanout(spark, documents.limit(1)), folder, 1)
+    counts = lambda: rows(sinks.read_fanout(spark, folder, tagged.schema).groupBy("output").count())
+    whole = counts()
+    # A write of batch 0 that fails on its way, and one that is not yet said to be done.
+    broken = tagged.withColumn("output", F.when(F.col("output") == "tracking", F.raise_error(F.lit("lost"))).otherwise(F.col("output")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_fanout(broken, folder, 0)
+    tagged.write.partitionBy("output").parquet(f"{folder}/rows/part=unfinished")
+    assert counts() == whole
+    sinks.write_fanout(fanout(spark, documents.limit(0)), folder, 0)
+    assert counts() == rows(fanout(spark, documents.limit(1)).groupBy("output").count())
+    assert sinks.read_fanout(spark, str(tmp_path / "none"), tagged.schema).count() == 0
+
+
+def test_fanout_of_odd_documents(spark):
+    two = {**ORDER, "order_id": 3, "part_no": 1}
+    odd = [None, "", "no json", json.dumps({**ORDER, "items_details": None, "coupon_code": "NONE"}), json.dumps(two)]
+    tagged = fanout(spark, spark.createDataFrame([(d,) for d in odd], "document string"), [(3, "TEN"), (4, "TEN"), (5, None)])
+    made = lambda name: rows(tagged.where(F.col("output") == name).select(f"{name}.*"), "order_id")
+    # The second part of an order has lines and no header; what is no document has an order without any value.
+    assert made("order_items") == [(3,), (3,)] and (1,) in made("orders") and (3,) not in made("orders")
+    assert made("coupon_usage") == []
+    first = spark.createDataFrame([(json.dumps(ORDER),)], "document string")
+    twice = fanout(spark, first, [(3, "TEN"), (4, "TEN")]).where("output = 'coupon_usage'").select("coupon_usage.*")
+    assert rows(twice, "coupon_id") == [(3,), (4,)]
 
 
 def test_purchase_and_flash_documents(spark):
@@ -104,6 +153,7 @@ def scattered(spark, data, tmp_path_factory):
 @pytest.mark.parametrize("name", STREAMS)
 def test_streams_over_six_batches_give_the_batch_answer(spark, duck, data, scattered, monkeypatch, name, whole_every):
     monkeypatch.setattr(feeds, "WHOLE_EVERY", whole_every)
+    monkeypatch.setattr(carts, "STRETCH_BITS", whole_every)
     plain_stream = feeds.file_stream
     monkeypatch.setattr(feeds, "file_stream", lambda *a: plain_stream(*a, files_per_batch=1))
     compare(spark, duck, scattered, name)
@@ -133,15 +183,7 @@ def test_old_batches_are_removed(spark, tmp_path, monkeypatch):
         feeds.fold_stream(stream, target, feeds.order_statuses).awaitTermination()
     got = feeds.read_folded(spark, target, feeds.order_statuses, stream.schema)
     assert rows(got.select("order_id", "last.status")) == [(1, "s20"), (2, "t10")]
-    assert feeds._batches(spark, target) == [6, 7, 8, 9, 10]
-
-
-def test_cart_of_some_users(spark):
-    _, actions = random_case(11, 1)
-    whole = feeds.read_cart(spark.createDataFrame(actions, ACTIONS))
-    assert rows(whole, "user_id", "product_id", "quantity", "status") == step_by_step([], actions)
-    some = feeds.read_cart(spark.createDataFrame(actions, ACTIONS), spark.createDataFrame([(1,)], "user_id long"))
-    assert rows(some) == rows(whole.where("user_id = 1"))
+    assert feeds.batch_numbers(spark, target) == [6, 7, 8, 9, 10]
 
 
 def test_shared_folder_comes_from_the_cluster():
