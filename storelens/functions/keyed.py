@@ -15,8 +15,6 @@ from pyspark.sql import types as T
 HOT_KEY_ROWS = 2_000_000
 # Rows of one key that one task may hold as a list; ``storelens.documentRows`` overrides it.
 DOCUMENT_KEY_ROWS = 100_000
-# Hot keys that are sent to all tasks; more are joined like any table.
-MOST_MARKS = 100_000
 
 
 def _setting(df: DataFrame, name: str, default: int) -> int:
@@ -40,29 +38,19 @@ def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     return df.groupBy(*keys).agg(row).select(*keys, "_row.*")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Keys with more rows than one task should take, and in how many shares to cut them; None if there are none.
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys with more rows than one task should take, and in how many shares to cut them.
 
-    The keys are counted when the plan is built, from their own column alone,
-    so that a table without hot keys is joined and grouped without a detour.
+    Counted within the query, from the key columns alone: building a plan starts no job, and the counts are those of
+    the rows that the query reads. All tasks get the result, which has at most one row for ``storelens.hotKeyRows``
+    rows of the table. Where it is empty, adaptive execution takes the steps that depend on it out of the plan.
     """
     limit = _setting(df, "storelens.hotKeyRows", HOT_KEY_ROWS)
-    counted = (
+    return F.broadcast(
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > limit)
         .select(*keys, F.ceil(F.col("_rows") / limit).alias("_shares"))
     )
-    return _marks(counted)
-
-
-def _marks(found: DataFrame) -> DataFrame | None:
-    """Marked keys as a small table of their own while there are at most ``MOST_MARKS``, else as they are."""
-    rows = found.limit(MOST_MARKS + 1).collect()
-    if not rows:
-        return None
-    if len(rows) > MOST_MARKS:
-        return found
-    return F.broadcast(found.sparkSession.createDataFrame(rows, found.schema))
 
 
 def _with_shares(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -73,38 +61,38 @@ def _with_shares(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFram
 
 
 def spread_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], by: Sequence[str],
-                how: str = "left") -> DataFrame:
+                how: str = "left", base: DataFrame | None = None, hot_on: Sequence[str] | None = None) -> DataFrame:
     """Join where a key may hold much of ``df``: its rows are cut into shares.
 
     The shares of a hot key go to different tasks by the columns ``by``, and
     its lookup rows are repeated once per share. Other keys join as they are.
     AQE does not cut such a key where the lookup is itself grouped by it.
+    ``base`` is a table whose keys are counted in place of those of ``df``,
+    which must not have a key more often; it saves what ``df`` is made with.
+    Of several keys, those in ``hot_on`` tell what is hot.
     """
-    hot = hot_keys(df, keys)
-    if hot is None:
-        return df.join(lookup, list(keys), how)
+    hot_on = hot_on or keys
+    hot = hot_keys(df if base is None else base, hot_on)
     share = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_shares")), F.lit(0).cast("long"))
-    left = _with_shares(df, hot, keys).withColumn("_share", share).drop("_shares")
+    left = _with_shares(df, hot, hot_on).withColumn("_share", share).drop("_shares")
     copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_shares"), F.lit(1).cast("long")) - 1)
-    right = _with_shares(lookup, hot, keys).withColumn("_share", F.explode(copies)).drop("_shares")
+    right = _with_shares(lookup, hot, hot_on).withColumn("_share", F.explode(copies)).drop("_shares")
     return left.join(right, [*keys, "_share"], how).drop("_share")
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Mapping[str, Column],
-           name: str = "position") -> DataFrame:
+           name: str = "position", all_hot: bool = False) -> DataFrame:
     """Number the rows of each key from 1, without one task seeing a whole hot key.
 
     ``bucket`` cuts the order into stretches: its columns are never NULL and,
     read in turn, rise with ``order``. Rows of a hot key are numbered inside
     their stretch and the lengths of the earlier stretches are added; other
-    keys are one stretch. Without ``by`` the whole table is one key.
+    keys are one stretch. Without ``by`` the whole table is one key, and
+    with ``all_hot`` every key is taken for a hot one.
     """
     keys = [*by, *bucket]
-    if by:
-        keyed = hot_keys(df, by)
-        if keyed is None:
-            return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)).cast("long"))
-        marked = _with_shares(df, keyed, by)
+    if by and not all_hot:
+        marked = _with_shares(df, hot_keys(df, by), by)
         hot = F.col("_shares").isNotNull()
         marked = marked.withColumns({b: F.when(hot, c) for b, c in bucket.items()})
         split, marked = marked.where(hot), marked.drop("_shares")
@@ -122,41 +110,33 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Ma
     )
 
 
+# Bits of a whole-number stretch that are added up at once: a window holds at most so many stretches of a key.
+LEVEL_BITS = 24
+
+
 def _starts(lengths: DataFrame, by: list[str], bucket: list[str]) -> DataFrame:
     """Rows before each stretch of its key.
 
-    Up to ``MOST_MARKS`` stretches are counted up when the plan is built. More
-    are added up by Spark: whole-number stretches level by level, 16 bits at a time, so
-    that windows stay small however the stretches are spread: 65,536 of them,
-    and at the top, for numbers of 48 bits as ``stretch`` gives them, as many.
+    Added up level by level, whole-number stretches in two levels of ``LEVEL_BITS``, so that windows stay small however
+    the stretches are spread.
     """
-    few = lengths.limit(MOST_MARKS + 1).collect()
-    if len(few) <= MOST_MARKS:
-        totals: dict[tuple, int] = {}
-        starts = []
-        for r in sorted(few, key=lambda r: tuple(r[b] for b in bucket)):
-            key = tuple(r[k] for k in by)
-            starts.append((*key, *(r[b] for b in bucket), totals.get(key, 0)))
-            totals[key] = totals.get(key, 0) + r["_rows"]
-        schema = T.StructType([*[lengths.schema[c] for c in [*by, *bucket]], T.StructField("_start", T.LongType())])
-        return F.broadcast(lengths.sparkSession.createDataFrame(starts, schema))
-    rows, path, levels = lengths, list(by), []
+    levels = []
+    rows = lengths
     for b in bucket:
         if isinstance(lengths.schema[b].dataType, T.IntegralType):
-            for bits in (32, 16):
-                rows = rows.withColumn(f"_{bits}_{b}", F.shiftright(F.col(b).cast("long"), bits))
-                levels.append(f"_{bits}_{b}")
+            rows = rows.withColumn(f"_high_{b}", F.shiftright(F.col(b).cast("long"), LEVEL_BITS))
+            levels.append(f"_high_{b}")
         levels.append(b)
-    out = rows.withColumn("_start", F.lit(0).cast("long"))
-    for level in levels:
-        sums = rows.groupBy(*path, level).agg(F.sum("_rows").alias("_sum"))
-        earlier = W.partitionBy(*path).orderBy(level).rowsBetween(W.unboundedPreceding, -1)
-        before = sums.select(*[F.col(c).alias(f"_at_{c}") for c in [*path, level]],
-                             F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    earlier = lambda path, level: F.coalesce(F.sum("_rows").over(
+        W.partitionBy(*path).orderBy(level).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    path, out = list(by), rows.withColumn("_start", F.lit(0).cast("long"))
+    for level in levels[:-1]:
+        sums = rows.groupBy(*path, level).agg(F.sum("_rows").alias("_rows"))
+        before = sums.select(*[F.col(c).alias(f"_at_{c}") for c in [*path, level]], earlier(path, level).alias("_before"))
         path.append(level)
         out = out.join(before, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in path]).withColumn(
             "_start", F.col("_start") + F.col("_before")).drop("_before", *[f"_at_{c}" for c in path])
-    return out.select(*by, *bucket, "_start")
+    return out.withColumn("_start", F.col("_start") + earlier(path, levels[-1])).select(*by, *bucket, "_start")
 
 
 def minute_of(column: str) -> Column:
@@ -187,14 +167,15 @@ def documents(headers: DataFrame, rows: DataFrame, key: str, order: Sequence[str
     header without rows is one page with no list.
     """
     limit = _setting(rows, "storelens.documentRows", DOCUMENT_KEY_ROWS)
-    long_keys = _marks(
+    # At most one row for ``limit`` rows of the table; where it is empty, adaptive execution drops the second way.
+    long_keys = F.broadcast(
         rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
         .where((F.col("_rows") > limit) & F.col(key).isNotNull()).select(key)
     )
     columns = [*order, *[c for c in rows.columns if c != key and c not in order]]
 
     def shorter(df: DataFrame) -> DataFrame:
-        return df if long_keys is None else df.join(long_keys, key, "left_anti")
+        return df.join(long_keys, key, "left_anti")
 
     lists = (
         shorter(rows).groupBy(key)
@@ -210,10 +191,8 @@ def documents(headers: DataFrame, rows: DataFrame, key: str, order: Sequence[str
         .drop("_rows")
     )
 
-    if long_keys is None:
-        return short
     # The same full order as in the lists, so that ties stand alike on both ways.
-    numbered = ranked(rows.join(long_keys, key, "left_semi"), [key], [F.col(c) for c in columns], bucket, "_at")
+    numbered = ranked(rows.join(long_keys, key, "left_semi"), [key], [F.col(c) for c in columns], bucket, "_at", all_hot=True)
     entry = F.struct("_at", item(F.struct(*columns), F.col("_at").cast("long")).alias("_item"))
     page_no = F.floor((F.col("_at") - 1) / page_rows).cast("int").alias("page_no")
     long = (

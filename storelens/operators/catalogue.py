@@ -6,10 +6,11 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import contains_text, percent_off, status_label
-from storelens.functions.keyed import By, only_shown, page
+from storelens.functions.keyed import By, moment_of, only_shown, page
 from storelens.operators.images import first_image_per_product
 from storelens.operators.stock import DEFAULT_OPEN_DATE, with_movement, with_stock
 from storelens.sources.tables import Tables
@@ -260,32 +261,40 @@ def flash_sale_items(t: Tables, register_id: int | None, as_of: dt.datetime) ->
 
 
 def flash_sale_orders(t: Tables) -> DataFrame:
-    """Quantity ordered of each flash-sale product while its sale was on.
+    """Quantity ordered of each flash-sale product while its sale was on, both ends included.
 
-    Order lines are summed per product and day before they meet the sales that
-    cover the whole day. Only on the days on which a sale begins or ends do
-    they meet it one by one.
+    A sale's quantity is what was ordered up to its end less what was ordered before its start, so no order line meets
+    a sale. Both ends stand among the product's moments and take the running sum there: first within their day, then,
+    with one row left for each day, over the days before. Lines are summed by product and moment before they are sorted;
+    a product has as many days as the calendar and a day as many moments as the clock, however often it is ordered.
     """
-    times = t.orders.select("order_id", F.col("created_at").alias("ordered_at"))
-    lines = (
-        t.order_items.select("order_id", "product_id", "product_qty").join(times, "order_id")
-        .withColumn("_day", F.to_date("ordered_at"))
+    offers = t.flash_sales.join(t.flash_sale_lines, "flsh_trnid").where("from_datetime <= to_datetime")
+    ends = offers.select("flsh_trnid", "product_id", F.inline(F.array(
+        F.struct(F.col("to_datetime").alias("at"), F.lit(1).alias("sign")),
+        F.struct(F.expr("from_datetime - interval '0.000001' second").alias("at"), F.lit(-1).alias("sign")))))
+    times = t.orders.where("created_at is not null").select("order_id", F.col("created_at").alias("at"))
+    names = ("qty", "lines")
+    moments = (
+        t.order_items.select("order_id", "product_id", "product_qty")
+        .join(offers.select("product_id").distinct(), "product_id", "left_semi").join(times, "order_id")
+        .groupBy("product_id", "at").agg(F.sum(F.coalesce("product_qty", F.lit(0))).alias("qty"), F.count(F.lit(1)).alias("lines"))
     )
-    offers = t.flash_sales.join(t.flash_sale_lines, "flsh_trnid").select(
-        "flsh_trnid", "product_id", "from_datetime", "to_datetime")
-    midnight = F.col("_day").cast("timestamp_ntz")
-    covered = (F.col("from_datetime") <= midnight) & (F.col("to_datetime") >= midnight + F.expr("interval 1 day"))
-    daily = lines.groupBy("product_id", "_day").agg(F.sum("product_qty").alias("qty"))
-    whole = daily.join(offers, "product_id").where(covered).groupBy("flsh_trnid", "product_id").agg(F.sum("qty").alias("qty"))
-    # The days on which a sale begins or ends, unless it covers them.
-    edges = offers.withColumn("_day", F.explode(F.array_distinct(F.array(
-        F.to_date("from_datetime"), F.to_date("to_datetime"))))).where(~covered)
-    part = (
-        lines.join(edges, ["product_id", "_day"])
-        .where(F.col("ordered_at").between(F.col("from_datetime"), F.col("to_datetime")))
-        .groupBy("flsh_trnid", "product_id").agg(F.sum("product_qty").alias("qty"))
+    both = moments.unionByName(ends, allowMissingColumns=True).select(
+        "product_id", "flsh_trnid", "sign", F.struct(*names).alias("v"), F.unix_date(F.to_date("at")).alias("_day"), moment_of("at").alias("_at"))
+    day = W.partitionBy("product_id", "_day").orderBy("_at")
+    until, whole = day.rangeBetween(W.unboundedPreceding, 0), day.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    earlier = W.partitionBy("product_id").orderBy("_day").rangeBetween(W.unboundedPreceding, -1)
+    sums = {n: F.coalesce(F.sum(f"v.{n}").over(until), F.lit(0)) for n in names}
+    totals = {f"_day_{n}": F.sum(f"v.{n}").over(whole) for n in names}
+    found = (
+        both.withColumns({**sums, **totals, "_first": F.row_number().over(day) == 1})
+        .where("_first or sign is not null")
+        .withColumns({n: F.col("sign") * (F.col(n) + F.coalesce(F.sum(F.when(F.col("_first"), F.col(f"_day_{n}"))).over(earlier), F.lit(0)))
+                      for n in names})
+        .where("sign is not null")
     )
-    return whole.unionByName(part).groupBy("flsh_trnid", "product_id").agg(F.sum("qty").alias("sold_qty"))
+    return found.groupBy("flsh_trnid", "product_id").agg(*[F.sum(n).alias(n) for n in names]).where("lines > 0").select(
+        "flsh_trnid", "product_id", F.col("qty").alias("sold_qty"))
 
 
 def row_totals(t: Tables) -> DataFrame:

@@ -54,7 +54,7 @@ def apply_coupon(t: Tables, carts: DataFrame, as_of: dt.date) -> DataFrame:
     discount = F.when(F.col("discount_type") == "PERCENT", F.least(percent, F.coalesce("_cap", percent)))
     entered = carts.join(offered, F.upper("coupon_code") == F.col("_code"), "left")
     return (
-        spread_join(entered, used, ["coupon_id", "user_id"], ["cart_id"])
+        spread_join(entered, used, ["coupon_id", "user_id"], ["cart_id"], base=carts, hot_on=["user_id"])
         .withColumn("reason", reason)
         .select(
             "cart_id", "user_id", "cart_total", "reason",
@@ -77,7 +77,7 @@ def checkout_price(t: Tables, carts: DataFrame, as_of: dt.date, first_order: int
     welcome = F.when(F.col("_ordered"), zero).otherwise(F.lit(first_order).cast("decimal(18,4)"))
     granted = apply_coupon(t, carts, as_of).where(F.col("reason").isNull())
     return (
-        spread_join(granted, ordered, ["user_id"], ["cart_id"])
+        spread_join(granted, ordered, ["user_id"], ["cart_id"], base=carts)
         .withColumn("first_order_discount", F.least(welcome, total))
         .withColumn("coupon_discount",
                     F.least(F.coalesce("discount", zero), total - F.col("first_order_discount")))

@@ -18,7 +18,7 @@ from storelens.plans.registered import OPEN_DATE, QUERIES, plain, star_query
 from storelens.plans.session import scratch_folder
 from storelens.sources.binding import SCHEMAS, StarSchema
 from storelens.sources.readers import bulk_item_scan, nested_order_scan
-from storelens.sources.sinks import order_fanout, read_fanout, tagged_fanout, write_fanout
+from storelens.sources.sinks import fanout_of, read_fanout, tagged_fanout, write_fanout
 from storelens.sources.tables import Tables
 from storelens.streaming import carts, feeds
 
@@ -97,7 +97,7 @@ for _part in ("orders", "order_items", "ledger", "payments", "tracking", "coupon
     @star_query(f"order_fanout_{_part}")
     def _fanout(star: StarSchema, part=_part) -> DataFrame:
         t = star.tables()
-        return order_fanout(order_documents(t), t.coupons, dt.date(2001, 8, 1))[part]
+        return fanout_of(part, order_documents(t), t.coupons, dt.date(2001, 8, 1))
 
 
 @star_query("order_fanout_written")

@@ -76,13 +76,13 @@ def test_ranked_is_row_number(spark, hot_at_five, data, bits):
     assert rows(got, "k", "n", "position") == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("most", [100_000, 3])
-def test_ranked_splits_equal_times_missing_keys_and_wide_numbers(spark, hot_at_five, monkeypatch, most):
+@pytest.mark.parametrize("bits", [24, 40])
+def test_ranked_splits_equal_times_missing_keys_and_wide_numbers(spark, hot_at_five, monkeypatch, bits):
     """A third of the rows at one time, a third without a time, a third without a key, and numbers far apart."""
     from storelens.functions import keyed
     from storelens.functions.keyed import moment_of
 
-    monkeypatch.setattr(keyed, "MOST_MARKS", most)
+    monkeypatch.setattr(keyed, "LEVEL_BITS", bits)
 
     rng = random.Random(5)
     data = []
