@@ -282,15 +282,15 @@ def flash_sale_orders(t: Tables) -> DataFrame:
     both = moments.unionByName(ends, allowMissingColumns=True).select(
         "product_id", "flsh_trnid", "sign", F.struct(*names).alias("v"), F.unix_date(F.to_date("at")).alias("_day"), moment_of("at").alias("_at"))
     day = W.partitionBy("product_id", "_day").orderBy("_at")
-    until, whole = day.rangeBetween(W.unboundedPreceding, 0), day.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    until = day.rangeBetween(W.unboundedPreceding, 0)
     earlier = W.partitionBy("product_id").orderBy("_day").rangeBetween(W.unboundedPreceding, -1)
-    sums = {n: F.coalesce(F.sum(f"v.{n}").over(until), F.lit(0)) for n in names}
-    totals = {f"_day_{n}": F.sum(f"v.{n}").over(whole) for n in names}
+    # The running sum at the last row of a day is that of the whole day.
+    before = {n: F.coalesce(F.sum(F.when(F.col("_last"), F.col(n))).over(earlier), F.lit(0)) for n in names}
     found = (
-        both.withColumns({**sums, **totals, "_first": F.row_number().over(day) == 1})
-        .where("_first or sign is not null")
-        .withColumns({n: F.col("sign") * (F.col(n) + F.coalesce(F.sum(F.when(F.col("_first"), F.col(f"_day_{n}"))).over(earlier), F.lit(0)))
-                      for n in names})
+        both.withColumns({n: F.coalesce(F.sum(f"v.{n}").over(until), F.lit(0)) for n in names})
+        .withColumn("_last", F.lead("_at").over(day).isNull())
+        .where("_last or sign is not null")
+        .withColumns({n: F.col("sign") * (F.col(n) + before[n]) for n in names})
         .where("sign is not null")
     )
     return found.groupBy("flsh_trnid", "product_id").agg(*[F.sum(n).alias(n) for n in names]).where("lines > 0").select(
