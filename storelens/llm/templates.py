@@ -1,18 +1,22 @@
 """Benchmark decontamination by templates, in DataFrame operations only.
 
-Words are made canonical: a number, a unit of measure after a number and a capitalised name inside a sentence become typed
-placeholders, other words lose case and closing punctuation. Every run of ``WINDOW`` canonical words of a document is
-hashed and joined with the runs of the benchmark items, so a question that was asked anew with other numbers or names
-still meets its item. A capitalised word that begins a sentence may be a name or not, on both sides: a run with such words
-is hashed in every form, each of them plain or a name. What fills the slots is then compared: laid over an item at one place, each filling of the item
+Words are made canonical: a number, a unit of measure after a number and a capitalised word become typed placeholders,
+other words lose case and closing punctuation. Every run of ``WINDOW`` canonical words of a document is hashed and joined
+with the runs of the benchmark items, so a question that was asked anew with other numbers or names still meets its
+item. A capitalised word that begins a sentence may be a name or not, and a word that begins a sentence in the item may stand
+in lower case in a copy: the item's runs, a small table, are hashed in every form of such words; a document's words have
+one form, so a document sends one hash for each of its words and nothing else. For the runs that met, what
+fills the slots is then read from the documents: laid over an item at one place, each filling of the item
 must stand for one and the same filling in the document, or the place doesn't count. A document is contaminated by an
 item if the places that count hold at least ``CONTAINED`` of the item's runs.
 
+Items of fewer than ``WINDOW`` words, or without a run of at least ``PLAIN`` ordinary words, are no templates: they are looked
+for word for word, short ones whole and long ones by their runs.
+
 The benchmark's runs are broadcast while there are at most ``BROADCAST_RUNS`` of them, which is counted; beyond that
 they are joined by a shuffle.
 
-Defined results: no text counts as empty; rows and items without an id are left out; repeated rows count once; items of
-fewer than ``WINDOW`` words, or without a run of at least ``PLAIN`` ordinary words, match nothing; other columns are left out; an empty
+Defined results: no text counts as empty; rows and items without an id, and items without a word that is more than closing marks, are left out; repeated rows count once; other columns are left out; an empty
 table on either side gives an empty result. Texts of any length are read whole.
 """
 
@@ -53,102 +57,131 @@ def _capital(word: Column) -> Column:
     return (F.substring(word, 1, 1) != F.lower(F.substring(word, 1, 1))) & (low != word) & (F.upper(word) != word)
 
 
-def _inside(last: Column) -> Column:
-    """Whether a word after ``last`` stands inside a sentence."""
-    return F.coalesce(F.length(F.rtrim(last, F.lit(CLOSING))) == F.length(last), F.lit(False))
-
-
-def canonical(words: Column) -> Column:
-    """The canonical form of each word of an array."""
-
-    def form(word: Column, i: Column) -> Column:
-        last = F.get(words, i - 1)
-        low = F.lower(F.rtrim(word, F.lit(CLOSING)))
-        after_number = F.coalesce(_is_number(last), F.lit(False))
-        units = F.array(*[F.lit(u) for u in UNITS])
-        return (
-            F.when(_is_number(word), NUMBER)
-            .when(after_number & F.array_contains(units, low), UNIT)
-            .when(F.ascii(word).between(97, 122), low)
-            .when(_capital(word) & _inside(last), NAME)
-            .otherwise(low)
-        )
-
-    return F.transform(words, form)
-
-
-def runs(rows: DataFrame, key: str, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, words, forms, pos, named, run): each run's hash, ``named`` the words at sentence starts (bit k for the
-    run's word k) that it takes as names."""
-    n = F.size("forms")
-    rows = (
-        rows.where(F.col(key).isNotNull())
-        .select(F.col(key).cast("long").alias("id"), F.split(F.coalesce(F.col(text), F.lit("")), BREAKS).alias("words"))
-        .withColumn("forms", canonical(F.col("words")))
-        .withColumn("hashes", F.transform("forms", lambda f: F.xxhash64(f)))
-        # Capitalised words at sentence starts; a number or unit is one whatever its case.
-        .withColumn("starts", F.transform("words", lambda w, i: (
-            _capital(w) & ~_inside(F.get(F.col("words"), i - 1)) & (F.ascii(F.get("forms", i)) != 1)).cast("int")))
+def _opens(last: Column) -> Column:
+    """Whether a word after ``last`` begins a sentence."""
+    return last.isNull() | (F.length(F.rtrim(last, F.lit(CLOSING))) < F.length(last))
+
+
+def plain(word: Column) -> Column:
+    return F.lower(F.rtrim(word, F.lit(CLOSING)))
+
+
+def canonical(word: Column, last: Column) -> Column:
+    """The canonical form of a word after another one."""
+    low = plain(word)
+    after_number = F.coalesce(_is_number(last), F.lit(False))
+    return (
+        F.when(_is_number(word), NUMBER)
+        .when(after_number & F.array_contains(F.array(*[F.lit(u) for u in UNITS]), low), UNIT)
+        .when(F.ascii(word).between(97, 122), low)
+        .when(_capital(word), NAME)
+        .otherwise(low)
+    )
+
+
+def _words(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(id, version, words): rows with the same id and other texts differ in ``version``."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return rows.where(F.col(key).isNotNull()).select(
+        F.col(key).cast("long").alias("id"), F.xxhash64(whole).alias("version"),
+        F.filter(F.split(whole, BREAKS), lambda w: w != "").alias("words"))
+
+
+def _hashes(exact: bool) -> Column:
+    if exact:
+        return F.transform("words", lambda w: F.xxhash64(plain(w)))
+    return F.transform("words", lambda w, i: F.xxhash64(canonical(w, F.get(F.col("words"), i - 1))))
+
+
+def _places(size: Column, window: int) -> Column:
+    return F.when(size >= window, F.sequence(F.lit(0), size - window)).otherwise(F.array().cast("array<int>"))
+
+
+def document_runs(docs: DataFrame, key: str, window: int, exact: bool = False) -> DataFrame:
+    """(id, version, pos, run): one hash for each place of a document, of canonical or of plain words."""
+    at = lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(window)])
+    return (
+        _words(docs, key).select("id", "version", _hashes(exact).alias("hashes"))
+        .select("id", "version", F.posexplode(F.transform(_places(F.size("hashes"), window), at)).alias("pos", "run"))
+    )
+
+
+def item_runs(items: DataFrame, window: int) -> DataFrame:
+    """(item_id, item_pos, plain, run, slots): each run of an item in every form that a copy may have, ``slots`` the places
+    of its placeholders with what fills them."""
+    word = lambda i: F.get(F.col("words"), i)
+    # Words that may or may not be a name in a copy: those that begin a sentence, if they are no number or unit.
+    forms = (
+        items.withColumn("forms", F.transform("words", lambda w, i: canonical(w, word(i - 1))))
+        .withColumn("open", F.transform("words", lambda w, i: (
+            _opens(word(i - 1)) & ((F.ascii(F.get("forms", i)) != 1) | (F.get("forms", i) == NAME))).cast("int")))
     )
-    at = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
-    bits = lambda i: sum((F.get("starts", i + k) * F.lit(1 << k) for k in range(window)), F.lit(0))
-    masks = lambda b: F.when(b == 0, F.array(F.lit(0))).otherwise(
-        F.filter(F.array(*[F.lit(m) for m in range(1 << window)]), lambda m: m.bitwiseAND(b) == m))
-    word = lambda k: F.when(
-        F.col("named").bitwiseAND(F.lit(1 << k)) != 0, F.xxhash64(F.lit(NAME))).otherwise(F.get("hashes", F.col("pos") + k))
+    bits = lambda i: sum((F.get("open", i + k) * F.lit(1 << k) for k in range(window)), F.lit(0))
+    subsets = F.filter(F.array(*[F.lit(m) for m in range(1 << window)]), lambda m: m.bitwiseAND(F.col("bits")) == m)
+    form = lambda k: (
+        F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) == 0, F.get("forms", F.col("item_pos") + k))
+        .when(F.col("named").bitwiseAND(F.lit(1 << k)) != 0, NAME).otherwise(plain(word(F.col("item_pos") + k))))
+    slots = F.filter(F.array(*[
+        F.when(F.ascii(form(k)) == 1, F.struct((F.col("item_pos") + k).alias("at"), plain(word(F.col("item_pos") + k)).alias("filling")))
+        for k in range(window)]), lambda s: s.isNotNull())
+    ordinary = sum(((F.ascii(form(k)) != 1).cast("int") for k in range(window)), F.lit(0))
     return (
-        rows.select("id", "words", "forms", "hashes", F.posexplode(F.transform(at, bits)).alias("pos", "bits"))
-        .select("id", "words", "forms", "hashes", "pos", F.explode(masks(F.col("bits"))).alias("named"))
-        .select("id", "words", "forms", "pos", "named", F.xxhash64(*[word(k) for k in range(window)]).alias("run"))
+        forms.select("item_id", "words", "forms", "open", F.explode(_places(F.size("words"), window)).alias("item_pos"))
+        .withColumn("bits", bits(F.col("item_pos")))
+        .withColumn("named", F.explode(subsets))
+        .select("item_id", "item_pos", ordinary.alias("plain"), F.xxhash64(*[F.xxhash64(form(k)) for k in range(window)]).alias("run"),
+                slots.alias("slots"))
     )
 
 
-def _fillings(window: int) -> Column:
-    """What fills the slots of a run, in order."""
-    places = F.array(*[
-        F.when((F.ascii(F.get("forms", F.col("pos") + k)) == 1) | (F.col("named").bitwiseAND(F.lit(1 << k)) != 0),
-               F.col("pos") + k) for k in range(window)])
-    return F.transform(F.filter(places, lambda s: s.isNotNull()),
-                       lambda s: F.lower(F.rtrim(F.get("words", s), F.lit(CLOSING))))
+def _met(docs: DataFrame, key: str, wanted: DataFrame, window: int, exact: bool = False) -> DataFrame:
+    small = wanted.count() <= BROADCAST_RUNS
+    return document_runs(docs, key, window, exact).join(F.broadcast(wanted) if small else wanted, "run").drop("run")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id",
                  window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, contained, changed): documents that hold an item, the share of its runs that they hold, and
     whether slots are filled differently."""
-    plain = F.size(F.filter(F.slice("forms", F.col("pos") + 1, F.lit(window)), lambda f: F.ascii(f) != 1))
-    wanted = written(
-        runs(benchmark, item, window=window).where(plain >= PLAIN).select(
-            F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "run",
-            _fillings(window).alias("item_fillings")
-        ).distinct(), "templates")
-    count = wanted.count()
+    items = _words(benchmark, item).where(F.exists("words", lambda w: plain(w) != "")).select(F.col("id").alias("item_id"), "words").distinct()
+    wanted = written(item_runs(items, window).where(F.col("plain") >= PLAIN).drop("plain").distinct(), "templates")
     totals = wanted.groupBy("item_id").agg(F.countDistinct("item_pos").alias("total"))
-    met = (
-        runs(docs, key, window=window)
-        .join(F.broadcast(wanted) if count <= BROADCAST_RUNS else wanted, "run")
-        .select(F.col("id").alias("doc_id"), "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"),
-                F.arrays_zip("item_fillings", _fillings(window).alias("fillings")).alias("slots"))
-    )
-    met = written(met, "templates-met")
-    place = ["doc_id", "item_id", "shift"]
+    met = written(_met(docs, key, wanted, window).withColumn("shift", F.col("pos") - F.col("item_pos")).drop("pos"), "templates-met")
+    place = ["id", "version", "item_id", "shift"]
+    # What stands in the slots, read from the documents that were met.
+    asked = met.select(*place, F.explode("slots").alias("slot")).select(
+        *place, (F.col("slot.at") + F.col("shift")).alias("pos"), F.col("slot.filling").alias("filled")).distinct()
+    hit = met.select("id", "version").distinct()
+    there = _words(docs, key).join(hit, ["id", "version"], "left_semi").dropDuplicates(["id", "version"]).select(
+        "id", "version", F.posexplode("words").alias("pos", "word")).select("id", "version", "pos", plain(F.col("word")).alias("filling"))
     slots = (
-        met.where(F.size("slots") > 0).select(*place, F.explode("slots").alias("slot"))
-        .groupBy(*place, F.col("slot.item_fillings").alias("filled"))
-        .agg(F.min("slot.fillings").alias("low"), F.max("slot.fillings").alias("high"))
+        asked.join(there, ["id", "version", "pos"])
+        .groupBy(*place, "filled").agg(F.min("filling").alias("low"), F.max("filling").alias("high"))
         .groupBy(*place).agg(
             F.avg((F.col("low") == F.col("high")).cast("double")).alias("consistent"),
             F.max((F.col("low") != F.col("filled")) | (F.col("high") != F.col("filled"))).alias("changed"))
     )
-    return (
+    share = lambda met, totals: (
+        met.groupBy("id", "version", "item_id", "item_pos").agg(F.min("changed").alias("changed"))
+        .groupBy("id", "version", "item_id").agg(F.count(F.lit(1)).alias("n"), F.max("changed").alias("changed"))
+        .join(totals, "item_id").withColumn("contained", F.col("n") / F.col("total"))
+        .where(F.col("contained") >= CONTAINED).select("id", "item_id", "contained", "changed"))
+    found = share(
         met.select(*place, "item_pos").join(slots, place, "left")
         .where(F.coalesce(F.col("consistent") >= CONSISTENT, F.lit(True)))
-        .groupBy("doc_id", "item_id", "item_pos").agg(F.min(F.coalesce("changed", F.lit(False))).alias("changed"))
-        .groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.max("changed").alias("changed"))
-        .join(totals, "item_id").withColumn("contained", F.col("n") / F.col("total"))
-        .where(F.col("contained") >= CONTAINED)
-        .select("doc_id", "item_id", "contained", "changed")
-    )
+        .select("id", "version", "item_id", "item_pos", F.coalesce("changed", F.lit(False)).alias("changed")), totals)
+
+    # Items that are no templates, word for word.
+    odd = written(items.join(totals, "item_id", "left_anti"), "templates-odd")
+    for size in [r["size"] for r in odd.select(F.least(F.size("words"), F.lit(window)).alias("size")).distinct().orderBy("size").collect()]:
+        own = odd.where(F.size("words") == size if size < window else F.size("words") >= window)
+        at = lambda i, size=size: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(size)])
+        exact = own.select("item_id", _hashes(True).alias("hashes")).select("item_id", "hashes", F.explode(
+            _places(F.size("hashes"), size)).alias("item_pos")).select("item_id", "item_pos", at(F.col("item_pos")).alias("run")).distinct()
+        exact = written(exact, "templates-exact")
+        word_for_word = _met(docs, key, exact, size, True).select("id", "version", "item_id", "item_pos", F.lit(False).alias("changed"))
+        found = found.unionByName(share(word_for_word, exact.groupBy("item_id").agg(F.countDistinct("item_pos").alias("total"))))
+    return found.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.max("contained").alias("contained"), F.min("changed").alias("changed"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -69,3 +69,93 @@ def test_capitals_at_sentence_starts(spark):
     assert found.keys() == {(1, 1), (2, 1), (3, 1), (4, 2), (5, 2)}
     assert [found[d, i].changed for d, i in sorted(found)] == [False, False, False, True, True]
     assert all(r.contained == 1 for r in found.values())
+
+
+def test_items_that_are_no_templates(spark):
+    rows = [(1, "Yes indeed", 0), (2, "12 + 30 * 4 - 7 = ?", 0), (3, "Paris", 0), (4, "...", 0), (5, "", 0), (6, "1 2 3 4 5 6 7 8 9", 0)]
+    items = spark.createDataFrame(rows, ITEMS)
+    texts = {
+        1: prose(1, 20) + " Yes, INDEED! " + prose(2, 20), 2: "so 12 + 30 * 4 - 7 = ? and", 3: "12 + 31 * 4 - 7 = ?", 4: "yes",
+        5: "he went to paris.", 6: "0 1 2 3 4 5 6 7 8 9 10", 7: "1 2 3 4 9 5 6 7 8",
+    }
+    docs = spark.createDataFrame([(i, t, 9, 9) for i, t in texts.items()], DOCS)
+    found = {(r.doc_id, r.item_id, r.changed) for r in templates.contaminated(docs, items).collect()}
+    # The sum is a template: other numbers make it the same question.
+    assert found == {(1, 1, False), (2, 2, False), (3, 2, True), (5, 3, False), (6, 6, False)}
+
+
+def test_sentence_starts_in_copies(spark):
+    items = spark.createDataFrame([(1, "how many of the red apples are left? then count the green ones too.", 0)], ITEMS)
+    texts = ["How many of the red apples are left? Then count the green ones too.", "how many of the red apples are left? then count the green ones too"]
+    docs = spark.createDataFrame([(i, t, 9, 9) for i, t in enumerate(texts)], DOCS)
+    assert {(r.doc_id, r.contained, r.changed) for r in templates.contaminated(docs, items).collect()} == {(0, 1.0, False), (1, 1.0, False)}
+
+
+def plain_template(texts, items):
+    """Contaminated (document, item) pairs by trying every place, word by word; texts without repeated ids."""
+    import itertools
+    import re
+
+    def split(text):
+        return [w for w in re.split(templates.BREAKS, text or "") if w]
+
+    low = lambda w: w.rstrip(templates.CLOSING).lower()
+    number = lambda w: w.lstrip(templates.SIGNS)[:1].isdigit()
+    capital = lambda w: w[0] != w[0].lower() and low(w) != w and w.upper() != w
+
+    def form(words, i):
+        w = words[i]
+        if number(w):
+            return "#"
+        if i and number(words[i - 1]) and low(w) in templates.UNITS:
+            return "%"
+        return "@" if capital(w) else low(w)
+
+    out = set()
+    for (d, text), (i, item) in itertools.product(texts.items(), items.items()):
+        words, theirs = split(text), split(item)
+        mine = [form(words, k) for k in range(len(words))]
+        wanted = [form(theirs, k) for k in range(len(theirs))]
+        either = [(k == 0 or theirs[k - 1].rstrip(templates.CLOSING) != theirs[k - 1]) and wanted[k] not in "#%" for k in range(len(theirs))]
+        runs, held = set(), set()
+        for p in range(len(theirs) - 4):
+            if sum(w not in "#%@" or e for w, e in zip(wanted[p : p + 5], either[p : p + 5])) >= 2:
+                runs.add(p)
+        for shift in range(-len(theirs), len(words)):
+            met, fill = set(), {}
+            for p in runs:
+                if 0 <= p + shift <= len(words) - 5 and all(
+                        m == w or (e and m in ("@", low(t))) for m, w, e, t in zip(
+                            mine[p + shift : p + shift + 5], wanted[p : p + 5], either[p : p + 5], theirs[p : p + 5])):
+                    ordinary = sum(m not in ("#", "%", "@") for m in mine[p + shift : p + shift + 5])
+                    if ordinary >= 2:
+                        met.add(p)
+                        for k in range(p, p + 5):
+                            if mine[k + shift] in ("#", "%", "@"):
+                                fill.setdefault(low(theirs[k]), set()).add(low(words[k + shift]))
+            if met and (not fill or sum(len(v) == 1 for v in fill.values()) >= 0.8 * len(fill)):
+                held |= met
+        if runs and len(held) >= 0.8 * len(runs):
+            out.add((d, i))
+    return out
+
+
+def test_as_the_plain_version(spark):
+    import random
+
+    draw = random.Random(6)
+    names = ["Alice", "Bob", "Carol", "Dave"]
+    items = {k: f"{draw.choice(names)} has {draw.randrange(99)} {draw.choice(['km', 'apples', 'kg'])} of {prose(k, 5)}. {prose(k + 50, 4).capitalize()} "
+                f"and {draw.choice(names)} gives {draw.randrange(99)} to {draw.choice(names)}?" for k in range(8)}
+
+    def changed(text):
+        for a in names:
+            if draw.random() < 0.4:
+                text = text.replace(a, draw.choice(["Erin", "Finn", "Bob"]))
+        return " ".join(str(draw.randrange(99)) if w.isdigit() and draw.random() < 0.5 else w if draw.random() < 0.97 else "other" for w in text.split())
+
+    texts = {d: f"{prose(200 + d, 12)}{draw.choice(['.', ' :', ''])} {changed(items[d % 8])} {prose(300 + d, 9)}" for d in range(80)}
+    docs = spark.createDataFrame([(d, t, 9, 9) for d, t in texts.items()], DOCS)
+    found = {(r.doc_id, r.item_id) for r in templates.contaminated(docs, spark.createDataFrame([(i, t, 0) for i, t in items.items()], ITEMS)).collect()}
+    want = plain_template(texts, items)
+    assert found == want and 20 < len(want) < 80
