@@ -16,11 +16,14 @@ runs of equal ones are chained over changed words and over words put in or left
 passage if it has ``MIN_WORDS`` words and a Jaccard similarity of ``SIMILARITY``, a changed word being five changed
 shingles; it begins and ends with equal shingles.
 
-The smallest document of a key need not be the one that a passage repeats. Windows that no verified passage covers stay
-open, and every key with an open one that has a smaller document is looked at again: the windows' surroundings (``AROUND``
-shingles, which hold the shortest passage with any bridge) are laid over those of all smaller documents in turn, until one
-passes. Windows that are settled don't look for others but are looked at. Keys with more than ``BLOCK`` windows are cut
-into blocks, and each pair of blocks is a group of its own.
+The smallest document of a key need not be the one that a passage repeats: a line that many documents share leads all of
+them to the first that has it. Windows that no verified passage covers stay open, and the stretches of 50 words around them are
+looked at as a whole. Every such stretch is a key by itself, so that no repeat of fifty equal words depends on chance. For
+near copies, ``HASHES`` further hash functions each give the compact windows of all stretches of 46 shingles with the
+same smallest one, and windows of two documents meet by hash function and smallest shingle. Windows at the same distance are joined by their
+intervals: a pair of documents is a link where at least ``ENOUGH`` hash functions agree in windows that hold a common stretch, or an equal
+stretch stands on both sides. Again all windows of a key are joined to the one of the smallest document, so a common line costs a row for each of
+its windows, not one for each pair. Windows that are settled don't look for others but are looked at.
 
 Defined results: no text counts as empty; rows without an id are left out (they can't be named); of rows with the same
 id only other documents' repeats are found, not those between the rows; repeats within one document don't count; texts of
@@ -29,15 +32,16 @@ any length are taken whole; other columns are left out; an empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from storelens.llm.shared import written
-from storelens.llm.words import SPACED, Words, mixed, parts, shingles
+from storelens.llm.shared import salted_join, written
+from storelens.llm.words import FACTOR, SPACED, Words, mixed, parts, shingles
 
 MIN_WORDS = 50
 SHINGLE = 5
@@ -48,11 +52,13 @@ BRIDGE = 10
 STEPS = 5
 # Shingles on both sides of a common run that a link takes in: an end without a common run of its own, and a bridge.
 REACH = 64
-# Shingles on both sides of a common run that hold a passage, and windows of a key in one group.
+# Shingles on both sides of an agreeing place that hold a passage.
 AROUND = 80
-BLOCK = 1000
+# Hash functions for open stretches, and how many have to agree on a pair of documents.
+HASHES = 12
+ENOUGH = 2
 # Windows that a task joins to one another before it sends them.
-HELD = 500_000
+HELD = 200_000
 # Slices of a document that others refer to begin and end at multiples of this.
 GRAIN = 64
 LARGEST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -203,9 +209,10 @@ def _links(found) -> pa.RecordBatch:
 FORM = "key long, doc_id long, place int, left int, right int, other long, shift int"
 
 
-def links(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, other, shift, low, high): shingles low to high of a document that may repeat those of a smaller one,
-    ``shift`` places before."""
+def to_smallest(rows: DataFrame, windows: Callable) -> DataFrame:
+    """Windows joined to those of the smallest document of their key: rows of ``FORM`` with ``other`` and ``shift``.
+
+    ``windows`` makes (text, key, place, left, right) of a part of the rows and its texts."""
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -215,9 +222,9 @@ def links(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield _windows(first)
             yield _links(found)
 
-        for rows, texts in parts(batches):
-            text, key, place, left, right = keyed_windows(texts, min_words)
-            ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
+        for part, texts in parts(batches):
+            text, key, place, left, right = windows(part, texts)
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             held.append((key, ids[text], place, left, right))
             size += len(key)
             if size >= HELD:
@@ -245,11 +252,17 @@ def links(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield _links(found)
             last = [c[-1] for c in first]
 
-    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    met = (
-        slim.mapInArrow(within, FORM).repartition("key").sortWithinPartitions("key", "doc_id", "place")
+    return (
+        rows.mapInArrow(within, FORM).repartition("key").sortWithinPartitions("key", "doc_id", "place")
         .mapInArrow(across, FORM)
     )
+
+
+def links(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, other, shift, low, high): shingles low to high of a document that may repeat those of a smaller one,
+    ``shift`` places before."""
+    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    met = to_smallest(slim, lambda part, texts: keyed_windows(texts, min_words))
     return met.groupBy("doc_id", "other", "shift").agg(
         F.min(F.col("place") - F.col("left")).alias("low"), F.max(F.col("place") + F.col("right")).alias("high"))
 
@@ -365,7 +378,7 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
 
 
 def open_windows(docs: DataFrame, found: DataFrame, passed: DataFrame, min_words: int) -> DataFrame:
-    """(key, doc_id, place, open) of the keys that have a window in no passage, of a document that isn't their first."""
+    """(doc_id, place, open) of the windows of keys that have one in no passage, of a document that isn't their first."""
     met = found.select("doc_id").union(found.select("other")).distinct()
     spans = passed.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
     size, _ = seed(min_words)
@@ -388,107 +401,86 @@ def open_windows(docs: DataFrame, found: DataFrame, passed: DataFrame, min_words
                 ["key", "doc_id", "place", "open"])
 
     every = written(rows.mapInArrow(marked, "key long, doc_id long, place int, open boolean"), "passages-open")
-    keys = every.groupBy("key").agg(F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("most"),
-                                    F.count(F.lit(1)).alias("n")).where("most > least")
-    return every.join(keys, "key").where("doc_id <= most").select("key", "doc_id", "place", "open", "n")
-
-
-def matched(doc, still, block, around, width: int, similarity: float) -> list[tuple[int, int]]:
-    """(window, earlier window): each open window of a key with the first of smaller documents whose surroundings
-    hold a passage with it. Windows come in order of document."""
-    wide = around.shape[1]
-    padded = np.pad(around, ((0, 0), (STEPS, STEPS)))
-    here = around != 0
-    still = still.copy()
-    out = []
-    for head in range(len(doc) - 1):
-        rest = np.flatnonzero(still[head + 1 :] & (doc[head + 1 :] > doc[head])) + head + 1
-        if block is not None:
-            rest = rest[block[rest] != block[head]]
-        if not len(rest):
-            continue
-        equal = np.zeros((len(rest), wide), dtype=bool)
-        for step in range(2 * STEPS + 1):
-            equal |= around[rest] == padded[head, step : step + wide]
-        # Equal shingles that any passage has, whatever their order.
-        least = int(np.ceil(2 * similarity * width / (1 + similarity))) - STEPS
-        for w in rest[(equal & here[rest]).sum(axis=1) >= least].tolist():
-            x, y = around[w], around[head]
-            if repeated(equal_runs(np.where(x == 0, 1, x), y, 0), width, similarity):
-                still[w] = False
-                out.append((w, head))
-    return out
+    keys = every.groupBy("key").agg(F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("most")).where("most > least")
+    return salted_join(every, keys, ["key"], "doc_id").where("doc_id <= most").select("doc_id", "place", "open")
 
 
-def late_links(docs: DataFrame, windows: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """Links as those of ``links``, of open windows with the first smaller document that they share a passage with."""
-    width = min_words - SHINGLE + 1
-    size, _ = seed(min_words)
-    span = 2 * AROUND + size - SHINGLE + 1
-    asked = windows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "open", "n")).alias("asked"))
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id")
+def runs_of(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` values in a row, by doubling."""
+    whole, at, step, power = None, 0, 1, values
+    while True:
+        if width & step:
+            n = len(values) - at - step + 1
+            part = power[at : at + max(n, 0)]
+            whole = part if whole is None else mixed(whole[: len(part)] * FACTOR + part)
+            at += step
+        if step * 2 > width:
+            return whole
+        power = mixed(power[: max(len(power) - step, 0)] * FACTOR + power[step:])
+        step *= 2
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in parts(batches):
-            values, first, last = laid_out(texts, 1)
-            # Two bytes of each; 0 stands for what lies beyond the text.
-            small = np.maximum((values & np.uint64(0xFFFF)).astype(np.uint16), 2)
-            for i, (doc, wanted) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("asked").to_pylist(),
-                                                  strict=True)):
-                own = np.pad(small[first[i] : last[i]], (AROUND, span))
-                for at in range(0, len(wanted), 1000):
-                    some = wanted[at : at + 1000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([w["key"] for w in some], type=pa.int64()), pa.array([doc] * len(some), type=pa.int64()),
-                         pa.array([w["place"] for w in some], type=pa.int32()), pa.array([w["open"] for w in some]),
-                         pa.array([w["n"] for w in some], type=pa.int64()),
-                         pa.array([own[w["place"] : w["place"] + span].tobytes() for w in some], type=pa.binary())],
-                        ["key", "doc_id", "place", "open", "n", "around"])
-
-    blocks = F.ceil(F.col("n") / BLOCK)
-    pairs = (
-        rows.mapInArrow(cut, "key long, doc_id long, place int, open boolean, n long, around binary")
-        .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", "place"), "blocks"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
-        .repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id", "place")
-        .select("key", "low", "high", "block", "doc_id", "place", "open", "around")
-    )
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(group):
-            rows = pa.Table.from_batches(group)
-            column = lambda c: rows.column(c).to_numpy()
-            doc, place = column("doc_id"), column("place")
-            around = np.frombuffer(b"".join(rows.column("around").to_pylist()), dtype=np.uint16).reshape(len(doc), span)
-            apart = column("low")[0] != column("high")[0]
-            out = matched(doc, column("open"), column("block") if apart else None, around, width, similarity)
-            if out:
-                w, head = np.array(out).T
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc[w]), pa.array(doc[head]), pa.array((place[w] - place[head]).astype(np.int32)),
-                     pa.array(np.maximum(place[w] - AROUND, 0).astype(np.int32)),
-                     pa.array((place[w] + size - SHINGLE + AROUND).astype(np.int32))],
-                    ["doc_id", "other", "shift", "low", "high"])
+# Places of a part as the low bits of a hash, so that the smallest one tells where it stands.
+PLACE_BITS = 26
 
-        held, last = [], None
-        for batch in batches:
-            group = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "low", "high")]
-            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in group], axis=0)) + 1
-            for a, b in zip([0, *new.tolist()], [*new.tolist(), batch.num_rows], strict=True):
-                if b <= a:
-                    continue
-                now = tuple(int(c[a]) for c in group)
-                if now != last and held:
-                    yield from done(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = now
-        if held:
-            yield from done(held)
 
-    return pairs.mapInArrow(meet, "doc_id long, other long, shift int, low int, high int").groupBy(
-        "doc_id", "other", "shift").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+def open_stretches(part: pa.RecordBatch, texts: list[bytes], min_words: int):
+    """For the stretches around the places asked for: (text, key, place, left, right), ``left`` being -1 where no
+    open window is around, else the place from which the same stretch is the window's, ``right`` the hash function (-1: the stretch itself) and its last place."""
+    size, _ = seed(min_words)
+    run, width = size - SHINGLE + 1, min_words - SHINGLE + 1
+    values, first, last = laid_out(texts, width)
+    none = np.zeros(0, dtype=np.int64)
+    if len(values) < width:
+        return none, none, none, none, none
+    # Stretches that hold an asked place, and those that hold an open one.
+    asked, wanted = np.zeros(len(values) + 1, dtype=np.int64), np.zeros(len(values) + 1, dtype=np.int64)
+    for i, places in enumerate(part.column("asked").to_pylist()):
+        at = np.array([(p["place"], p["open"]) for p in places], dtype=np.int64).reshape(-1, 2)
+        low = np.maximum(at[:, 0] + run - width, 0) + first[i]
+        high = np.maximum(np.minimum(at[:, 0] + first[i], last[i] - width) + 1, low)
+        for edge, which in ((asked, slice(None)), (wanted, at[:, 1] == 1)):
+            np.add.at(edge, low[which], 1)
+            np.add.at(edge, high[which], -1)
+    start = np.flatnonzero(np.cumsum(asked)[: len(values) - width + 1] > 0)
+    is_open = np.cumsum(wanted)[start] > 0
+    text = np.searchsorted(first, start, side="right") - 1
+    out = [(text, mixed(runs_of(values, width)[start]), start - first[text], np.where(is_open, 0, -1), np.full(len(start), -1))]
+    place = np.arange(len(values), dtype=np.uint64)
+    for k in range(HASHES):
+        own = mixed(values ^ mixed(np.uint64(k + 1) * FACTOR))
+        own[values == LARGEST] = LARGEST
+        packed = (own >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | place & np.uint64((1 << PLACE_BITS) - 1)
+        least = (sliding(packed, width)[start] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
+        # A compact window: stretches one after the other with the same smallest shingle.
+        new = np.concatenate(([True], (least[1:] != least[:-1]) | (start[1:] != start[:-1] + 1))) if len(least) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
+        end = np.concatenate((head[1:], [len(start)])) - 1 if len(head) else head
+        at = np.add.reduceat(is_open, head) if len(head) else head
+        out.append((text[head], mixed(own[least[head]] + np.uint64(k)), least[head] - first[text[head]],
+                    np.where(at > 0, start[head] - first[text[head]], -1), (start[end] - start[head]) * HASHES + k))
+    text, key, place, left, right = (np.concatenate(c) for c in zip(*out, strict=True))
+    return text, key.view(np.int64), place, left, right
+
+
+def late_links(docs: DataFrame, windows: DataFrame, min_words: int) -> DataFrame:
+    """Links as those of ``links``, of stretches around open windows with the smallest documents that they agree with."""
+    width = min_words - SHINGLE + 1
+    asked = windows.groupBy("doc_id").agg(F.collect_list(F.struct("place", "open")).alias("asked"))
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id")
+    met = to_smallest(rows, lambda part, texts: open_stretches(part, texts, min_words)).where("left >= 0")
+    pair = ["doc_id", "other", "shift"]
+    whole = met.where("right < 0").select(*pair, "place")
+    # Windows of a pair at one distance: how many hash functions agree in windows that begin by each one's last stretch and end
+    # after it began. Each function's windows lie apart, so that counting those that cover a place counts functions.
+    agreed = met.where("right >= 0").select(
+        *pair, "place", F.col("left").alias("begin"), (F.col("left") + F.floor(F.col("right") / HASHES)).cast("int").alias("end")).distinct()
+    events = agreed.select(*pair, F.explode(F.array(
+        F.struct(F.col("begin").alias("at"), F.lit(1).alias("change")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("change")))).alias("e"))
+    open_now = F.sum("e.change").over(W.partitionBy(*pair).orderBy("e.at").rangeBetween(W.unboundedPreceding, 0))
+    enough = events.withColumn("agree", open_now).where(F.col("agree") >= ENOUGH).select(*pair, F.col("e.at").alias("place"))
+    return whole.union(enough).groupBy(*pair).agg(
+        F.min(F.greatest(F.col("place") - AROUND, F.lit(0))).alias("low"), F.max(F.col("place") + width + AROUND).alias("high"))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -498,7 +490,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     found = written(links(docs, min_words), "passages-links")
     passed = written(verified(docs, found, width, similarity), "passages-found")
     windows = open_windows(docs, found, passed, min_words)
-    late = written(late_links(docs, windows, min_words, similarity), "passages-late")
+    late = written(late_links(docs, windows, min_words), "passages-late")
     return passed.union(verified(docs, late, width, similarity)).distinct()
 
 

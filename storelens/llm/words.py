@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 PART_BYTES = 1 << 20
+# Bytes whose words are hashed at once.
+BLOCK_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -60,12 +62,30 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        n = len(self.data)
-        up, down = powers(1 << max(20, int(n).bit_length()))
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        return mixed((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        """A 64-bit hash of each word, by blocks of bytes, so that a long text needs no longer tables than a short one."""
+        out = np.empty(len(self.starts), dtype=np.uint64)
+        up, down = powers(BLOCK_BYTES)
+        at = 0
+        while at < len(out):
+            low = int(self.starts[at])
+            to = int(np.searchsorted(self.ends, low + BLOCK_BYTES, side="right"))
+            if to > at:
+                block = self.data[low : self.ends[to - 1]]
+                sums = np.zeros(len(block) + 1, dtype=np.uint64)
+                np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up[: len(block)], out=sums[1:])
+                starts = self.starts[at:to] - low
+                out[at:to] = (sums[self.ends[at:to] - low] - sums[starts]) * down[starts]
+            else:
+                # A word longer than a block, block by block.
+                to, total, power = at + 1, 0, 1
+                for b in range(low, int(self.ends[at]), BLOCK_BYTES):
+                    block = self.data[b : min(b + BLOCK_BYTES, int(self.ends[at]))]
+                    part = int(((block.astype(np.uint64) + np.uint64(1)) * up[: len(block)]).sum(dtype=np.uint64))
+                    total = (total + part * power) % 2**64
+                    power = power * pow(int(FACTOR), BLOCK_BYTES, 2**64) % 2**64
+                out[at] = total
+            at = to
+        return mixed(out)
 
 
 @lru_cache(maxsize=2)

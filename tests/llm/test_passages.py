@@ -123,9 +123,8 @@ def test_words_put_in_and_left_out(spark):
     assert all((r.kept_doc_id, r.kept_start) == (r.doc_id - 72, 20) and r.similarity >= 0.8 for r in rows)
 
 
-@pytest.mark.parametrize("parts, block", [(1, 1000), (4, 1000), (40, 3)])
-def test_the_smallest_document_of_a_key_need_not_hold_the_passage(spark, monkeypatch, parts, block):
-    monkeypatch.setattr(passages, "BLOCK", block)
+@pytest.mark.parametrize("parts", [1, 4, 40])
+def test_the_smallest_document_of_a_key_need_not_hold_the_passage(spark, parts):
     rows, need = [], set()
     for k in range(20):
         w = prose(9000 + k, 55).split()
@@ -138,3 +137,48 @@ def test_the_smallest_document_of_a_key_need_not_hold_the_passage(spark, monkeyp
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
     got = {(r.doc_id, r.start_word, r.end_word) for r in passages.repeated_passages(docs).collect()}
     assert got == need
+
+
+def test_a_common_line_costs_rows_not_pairs(spark):
+    line = prose(1, 32)
+    found = {}
+    for n in (200, 800):
+        docs = spark.createDataFrame([(d, f"{prose(10_000 + d, 60)} {line} {prose(20_000 + d, 60)}") for d in range(n)],
+                                     "doc_id long, text string").repartition(4)
+        first = passages.links(docs)
+        windows = passages.open_windows(docs, first, first.limit(0).selectExpr("doc_id", "low as start_word", "high as end_word"), 50)
+        found[n] = windows.count() + passages.late_links(docs, windows, 50).count()
+        assert passages.repeated_passages(docs).collect() == []
+    assert found[800] <= 4.5 * found[200]
+
+
+def test_near_copies_among_documents_with_a_common_line(spark):
+    """Each text of a group shares a line with all, and a changed copy of it with one other that isn't the smallest."""
+    line, rows, need = prose(1, 30), [], set()
+    for d in range(120):
+        w = f"{prose(30_000 + d % 60, 14)} {line} {prose(40_000 + d % 60, 30)}".split()
+        if d >= 60:
+            w[60] = "changed"
+            need.add((d, d - 60))
+        rows.append((d, " ".join([*prose(50_000 + d, 25).split(), *w, *prose(60_000 + d, 25).split()])))
+    got = {(r.doc_id, r.kept_doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == need
+
+
+def test_runs_of_values():
+    draw = np.random.default_rng(2)
+    values = draw.integers(0, 2**63, 300).astype(np.uint64)
+    values[100:160] = values[10:70]
+    for width in (1, 2, 3, 46, 47):
+        runs = passages.runs_of(values, width)
+        assert len(runs) == 300 - width + 1 and (runs[10 : 71 - width] == runs[100 : 161 - width]).all()
+        assert len(np.unique(runs)) == len(runs) - (61 - width)
+
+
+def test_words_hash_alike_in_blocks(monkeypatch):
+    from storelens.llm import words
+
+    texts = [prose(1, 300).encode(), b"", b"x" * 700 + b" y " + b"z" * 129, b" a b "]
+    whole = words.Words(texts).hashes()
+    monkeypatch.setattr(words, "BLOCK_BYTES", 64)
+    assert (words.Words(texts).hashes() == whole).all()
