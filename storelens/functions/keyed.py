@@ -53,7 +53,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _with_shares(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+def with_shares(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with ``_shares``, NULL unless their key is hot; a missing key is a key like any other."""
     marks = hot.withColumnsRenamed({key: f"_hot_{key}" for key in keys})
     same = [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in keys]
@@ -74,9 +74,9 @@ def spread_join(df: DataFrame, lookup: DataFrame, keys: Sequence[str], by: Seque
     hot_on = hot_on or keys
     hot = hot_keys(df if base is None else base, hot_on)
     share = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_shares")), F.lit(0).cast("long"))
-    left = _with_shares(df, hot, hot_on).withColumn("_share", share).drop("_shares")
+    left = with_shares(df, hot, hot_on).withColumn("_share", share).drop("_shares")
     copies = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_shares"), F.lit(1).cast("long")) - 1)
-    right = _with_shares(lookup, hot, hot_on).withColumn("_share", F.explode(copies)).drop("_shares")
+    right = with_shares(lookup, hot, hot_on).withColumn("_share", F.explode(copies)).drop("_shares")
     return left.join(right, [*keys, "_share"], how).drop("_share")
 
 
@@ -92,7 +92,7 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Ma
     """
     keys = [*by, *bucket]
     if by and not all_hot:
-        marked = _with_shares(df, hot_keys(df, by), by)
+        marked = with_shares(df, hot_keys(df, by), by)
         hot = F.col("_shares").isNotNull()
         marked = marked.withColumns({b: F.when(hot, c) for b, c in bucket.items()})
         split, marked = marked.where(hot), marked.drop("_shares")

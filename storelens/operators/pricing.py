@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from storelens.functions.columns import hmac_sha256, order_number
-from storelens.functions.keyed import minute_of, spread_join
+from storelens.functions.keyed import hot_keys, minute_of, moment_of, spread_join, stretch, with_shares
 from storelens.sources.tables import Tables
 
 
@@ -161,9 +161,11 @@ def otp_match(issues: DataFrame, attempts: DataFrame,
 
     Both inputs have user_id, at, seq and code. A code holds for ``valid_for``
     (None: for ever) and for one success. An attempt without a code fits none,
-    one without a user has no code. The latest code is looked up within
-    the minute of the attempt, and across minutes through one row per user and
-    minute, so a user with very many rows is spread over many tasks.
+    one without a user has no code. The latest code is looked up within the
+    minute of the attempt, and across minutes through one row per user and
+    minute. A minute that holds too many rows of a user is cut into runs, by
+    the moment and, for rows of one moment, by stretches of ``seq``; the last
+    code of each run is carried over to the next ones.
     """
     columns = ("user_id", "at", "seq", "code")
     rows = (
@@ -172,15 +174,31 @@ def otp_match(issues: DataFrame, attempts: DataFrame,
         .where(F.col("user_id").isNotNull())
         .withColumn("_minute", minute_of("at"))
     )
+    minute, run = ["user_id", "_minute"], ["_moment", "_stretch"]
+    busy = F.col("_shares").isNotNull()
+    rows = with_shares(rows, hot_keys(rows, minute), minute).withColumns({
+        "_busy": busy, "_moment": F.when(busy, moment_of("at")).otherwise(0), "_stretch": F.when(busy, stretch("seq")).otherwise(0)})
     issued = F.when(F.col("_issue"), F.struct("at", "seq", "code"))
-    by_minute = rows.groupBy("user_id", "_minute").agg(F.max(issued).alias("_last"))
-    earlier = W.partitionBy("user_id").orderBy("_minute").rowsBetween(W.unboundedPreceding, -1)
-    carried = by_minute.select("user_id", "_minute", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
-    before = W.partitionBy("user_id", "_minute").orderBy("at", "seq").rowsBetween(W.unboundedPreceding, -1)
+    runs = rows.groupBy(*minute, *run, "_busy").agg(F.max(issued).alias("_last"))
+
+    def carried(keys: list[str], level: str) -> DataFrame:
+        """The last code before each step of a level, within what the keys name."""
+        earlier = W.partitionBy(*keys).orderBy(level).rowsBetween(W.unboundedPreceding, -1)
+        steps = rows.where("_busy") if keys != ["user_id"] else rows
+        return steps.groupBy(*keys, level).agg(F.max(issued).alias("_last")).select(
+            *keys, level, F.last("_last", ignorenulls=True).over(earlier).alias(f"_before{level}"))
+
+    before_run = (
+        runs.join(carried([*minute, "_moment"], "_stretch"), [*minute, *run], "left")
+        .join(carried(minute, "_moment"), [*minute, "_moment"], "left")
+        .join(carried(["user_id"], "_minute"), minute)
+        .select(*minute, *run, F.coalesce("_before_stretch", "_before_moment", "_before_minute").alias("_carried"))
+    )
+    before = W.partitionBy(*minute, *run).orderBy("at", "seq").rowsBetween(W.unboundedPreceding, -1)
     seen = (
         rows.withColumn("_recent", F.last(issued, ignorenulls=True).over(before))
         .where(~F.col("_issue"))
-        .join(carried, ["user_id", "_minute"])
+        .join(before_run, [*minute, *run])
         .withColumn("_code", F.coalesce("_recent", "_carried"))
     )
     in_time = F.lit(True)

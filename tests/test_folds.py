@@ -109,13 +109,17 @@ def test_spread_join_keeps_every_row(spark, hot_at_five):
         assert rows(spread_join(big, small, ["k"], ["id"], how), "id", "k", "v") == rows(big.join(small, "k", how), "id", "k", "v")
 
 
-@pytest.mark.parametrize("valid", [dt.timedelta(minutes=5), dt.timedelta(hours=3), None])
-def test_codes(spark, valid):
+@pytest.mark.parametrize(("valid", "busy"), [(dt.timedelta(minutes=5), False), (dt.timedelta(hours=3), True), (None, False), (None, True)])
+def test_codes(spark, hot_at_five, valid, busy):
     rng = random.Random(7)
     start = dt.datetime(2024, 1, 1)
     events = []
     for seq in range(400):
         at = start + dt.timedelta(minutes=rng.randrange(0, 2000))
+        if busy and seq % 3:
+            # Much of the table in one minute, much of that at one moment.
+            at = start + dt.timedelta(minutes=900, microseconds=7 if seq % 3 == 1 else rng.randrange(50_000_000))
+            seq += 70_000 * rng.randrange(4)
         events.append((rng.choice([1, 1, 1, 2]), at, seq, rng.randrange(2), rng.random() < 0.3))
     schema = "user_id long, at timestamp_ntz, seq long, code long"
     frame = lambda issue: spark.createDataFrame([e[:4] for e in events if e[4] == issue], schema)
