@@ -5,8 +5,8 @@ other words lose case and closing punctuation. Every run of ``WINDOW`` canonical
 with the runs of the benchmark items, so a question that was asked anew with other numbers or names still meets its
 item. A capitalised word that begins a sentence may be a name or not, and a word that begins a sentence in the item may stand
 in lower case in a copy: the item's runs, a small table, are hashed in every form of such words; a document's words have
-one form, so a document sends one hash for each of its words and nothing else. For the runs that met, what
-fills the slots is then read from the documents: laid over an item at one place, each filling of the item
+one form, so a document has one row for each of its words, which carries the hashes of a run's words and no text. What
+fills the slots is then compared: laid over an item at one place, each filling of the item
 must stand for one and the same filling in the document, or the place doesn't count. A document is contaminated by an
 item if the places that count hold at least ``CONTAINED`` of the item's runs.
 
@@ -98,17 +98,24 @@ def _places(size: Column, window: int) -> Column:
 
 
 def document_runs(docs: DataFrame, key: str, window: int, exact: bool = False) -> DataFrame:
-    """(id, version, pos, run): one hash for each place of a document, of canonical or of plain words."""
-    at = lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(window)])
+    """(id, version, pos, run, seen): one hash for each place of a document, of canonical or of plain words, and the
+    hashes of the words that stand there (of canonical runs only)."""
+    run = lambda i: F.xxhash64(*[F.get(F.col("hashes"), i + k) for k in range(window)])
+    words = _words(docs, key)
+    if exact:
+        return words.select("id", "version", _hashes(True).alias("hashes")).select(
+            "id", "version", F.posexplode(F.transform(_places(F.size("hashes"), window), run)).alias("pos", "run"))
     return (
-        _words(docs, key).select("id", "version", _hashes(exact).alias("hashes"))
-        .select("id", "version", F.posexplode(F.transform(_places(F.size("hashes"), window), at)).alias("pos", "run"))
+        words.select("id", "version", _hashes(False).alias("hashes"), _hashes(True).alias("plain"))
+        .select("id", "version", F.posexplode(F.transform(_places(F.size("hashes"), window), lambda i: F.struct(
+            run(i).alias("run"), F.slice("plain", i + 1, F.lit(window)).alias("seen")))).alias("pos", "at"))
+        .select("id", "version", "pos", "at.run", "at.seen")
     )
 
 
 def item_runs(items: DataFrame, window: int) -> DataFrame:
     """(item_id, item_pos, plain, run, slots): each run of an item in every form that a copy may have, ``slots`` the places
-    of its placeholders with what fills them."""
+    of its placeholders in it with the hash of what fills them."""
     word = lambda i: F.get(F.col("words"), i)
     # Words that may or may not be a name in a copy: those that begin a sentence, if they are no number or unit.
     forms = (
@@ -122,7 +129,7 @@ def item_runs(items: DataFrame, window: int) -> DataFrame:
         F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) == 0, F.get("forms", F.col("item_pos") + k))
         .when(F.col("named").bitwiseAND(F.lit(1 << k)) != 0, NAME).otherwise(plain(word(F.col("item_pos") + k))))
     slots = F.filter(F.array(*[
-        F.when(F.ascii(form(k)) == 1, F.struct((F.col("item_pos") + k).alias("at"), plain(word(F.col("item_pos") + k)).alias("filling")))
+        F.when(F.ascii(form(k)) == 1, F.struct(F.lit(k).alias("at"), F.xxhash64(plain(word(F.col("item_pos") + k))).alias("filling")))
         for k in range(window)]), lambda s: s.isNotNull())
     ordinary = sum(((F.ascii(form(k)) != 1).cast("int") for k in range(window)), F.lit(0))
     return (
@@ -148,14 +155,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", ite
     totals = wanted.groupBy("item_id").agg(F.countDistinct("item_pos").alias("total"))
     met = written(_met(docs, key, wanted, window).withColumn("shift", F.col("pos") - F.col("item_pos")).drop("pos"), "templates-met")
     place = ["id", "version", "item_id", "shift"]
-    # What stands in the slots, read from the documents that were met.
-    asked = met.select(*place, F.explode("slots").alias("slot")).select(
-        *place, (F.col("slot.at") + F.col("shift")).alias("pos"), F.col("slot.filling").alias("filled")).distinct()
-    hit = met.select("id", "version").distinct()
-    there = _words(docs, key).join(hit, ["id", "version"], "left_semi").dropDuplicates(["id", "version"]).select(
-        "id", "version", F.posexplode("words").alias("pos", "word")).select("id", "version", "pos", plain(F.col("word")).alias("filling"))
+    # What stands in the slots; equal words are told by their hashes.
     slots = (
-        asked.join(there, ["id", "version", "pos"])
+        met.select(*place, "seen", F.explode("slots").alias("slot"))
+        .select(*place, F.col("slot.filling").alias("filled"), F.get("seen", F.col("slot.at")).alias("filling"))
         .groupBy(*place, "filled").agg(F.min("filling").alias("low"), F.max("filling").alias("high"))
         .groupBy(*place).agg(
             F.avg((F.col("low") == F.col("high")).cast("double")).alias("consistent"),
