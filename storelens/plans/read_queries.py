@@ -11,7 +11,9 @@ from storelens.functions.columns import hmac_sha256, order_bucket, pad_number
 from storelens.operators import catalogue, invoices, orders, people, pricing, purchases, sales, stock, validation
 from storelens.plans.dashboard import dashboard_rows
 from storelens.plans.registered import AS_OF, OPEN_DATE, query, star_query
+from storelens.plans.session import scratch_folder
 from storelens.sources.binding import StarSchema
+from storelens.sources.layout import stored_tables, write_by_store
 from storelens.sources.readers import table_source
 from storelens.sources.tables import Tables
 from storelens.sources.tenancy import store_tables
@@ -23,6 +25,17 @@ query("tenant_scan_orders")(lambda t: catalogue.tenant_scan(t, "orders", STORE_N
 query("tenant_scan_ledger")(lambda t: catalogue.tenant_scan(t, "ledger", STORE_NO).groupBy("itmid").agg(
     F.count(F.lit(1)).alias("rows"), F.sum("stockqty").alias("qty")))
 query("tenant_stock_ledger")(lambda t: stock.stock_ledger(store_tables(t, STORE_NO), OPEN_DATE))
+
+
+@star_query("stored_stock_ledger")
+def _stored_stock_ledger(star: StarSchema) -> DataFrame:
+    """The tables laid out by store, and the stock ledger of one store from its own files."""
+    names = ("tenants", "products", "purchases", "ledger")
+    folder = scratch_folder(star.spark, "by-store")
+    write_by_store(star.tables(), folder, names)
+    return stock.stock_ledger(stored_tables(star.spark, folder, STORE_NO, names), OPEN_DATE)
+
+
 query("tenant_admin_order_list")(lambda t: orders.admin_order_list(store_tables(t, STORE_NO)))
 query("tenant_customer_list")(lambda t: people.customer_list(store_tables(t, STORE_NO)))
 query("tenant_cart_bill")(lambda t: pricing.cart_bill(store_tables(t, STORE_NO), 5, 25))
