@@ -562,6 +562,7 @@ put("tenant_stock_ledger", "product_id:i title:s lowstqty:i itmsts:i openbalqty:
         and s.purchase_id in (select purchaseid from v_purchases where storeid = 7)
         and s.purchase_date >= coalesce(p.openbaldate, date '1995-01-01')), 0) stock from v_products p""")
 SQL["stored_stock_ledger"] = SQL["tenant_stock_ledger"]
+SQL["stock_ledger_snapshot"] = SQL["stock_ledger"]
 put("tenant_admin_order_list", ADMIN_SHAPE, ADMIN.replace("from v_orders r", f"from (select * from v_orders where {OWN_USERS}) r"))
 put("tenant_customer_list", CUSTOMERS_SHAPE, CUSTOMERS.format("%%").replace(
     "where a.", "where a.user_id in (select user_id from v_users where register_id = 7) and a."))

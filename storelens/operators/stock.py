@@ -31,6 +31,14 @@ def signed_quantity() -> Column:
     )
 
 
+def condensed(ledger: DataFrame) -> DataFrame:
+    """Ledger lines added up by all that the stock operators look at: item, day, directions and cancel marks."""
+    direction = lambda c: F.when(F.col(c) > 0, 1).otherwise(0).alias(c)
+    return ledger.groupBy(
+        "itmid", "purchase_date", direction("instoreid"), direction("outstoreid"), "itmcandel", "canordersts",
+    ).agg(F.sum("stockqty").alias("stockqty"))
+
+
 def daily_movements(ledger: DataFrame) -> DataFrame:
     """Net live movement per item and day: at most one row per item and day goes on."""
     return (
