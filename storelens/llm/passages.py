@@ -177,15 +177,27 @@ def keyed_windows(texts: list[bytes], min_words: int = MIN_WORDS):
 
 
 def joined(key, doc, place, left, right):
-    """Windows joined to the first of their key in order of the document: (the first ones, links of the others)."""
+    """Windows joined to those of the smallest document of their key: (its windows, links of the others).
+
+    A key may stand in a document again and again, where the document repeats itself: the first, second and next one
+    meet the first, second and next one of the smallest document, from the start again when it has no more. So texts that repeat
+    the same words as often are one link and not one for each repetition."""
     order = np.lexsort((place, doc, key))
     key, doc, place, left, right = (x[order] for x in (key, doc, place, left, right))
-    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=bool)
-    at = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, dtype=int)
-    link = ~new & (doc != doc[at])
+    if not len(key):
+        return [key, doc, place, left, right], (doc, place, left, right, doc, place)
+    index = np.arange(len(key))
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    again = new | np.concatenate(([True], doc[1:] != doc[:-1]))
+    at = np.maximum.accumulate(np.where(new, index, 0))
+    nth = index - np.maximum.accumulate(np.where(again, index, 0))
+    own = doc == doc[at]
+    times = np.bincount(at[own], minlength=len(key))
+    link = ~own
+    to = (at + nth % np.maximum(times[at], 1))[link]
     return (
-        [x[new] for x in (key, doc, place, left, right)],
-        (doc[link], place[link], left[link], right[link], doc[at][link], (place - place[at])[link]),
+        [x[own] for x in (key, doc, place, left, right)],
+        (doc[link], place[link], left[link], right[link], doc[to], place[link] - place[to]),
     )
 
 
@@ -245,12 +257,13 @@ def to_smallest(rows: DataFrame, windows: Callable) -> DataFrame:
             rows = [column(c)[~done] for c in ("key", "doc_id", "place", "left", "right")]
             if not len(rows[0]):
                 continue
-            # The first window of a key that the last batch ended with goes on.
-            if last is not None and last[0] == rows[0][0]:
-                rows = [np.concatenate(([x], c)) for x, c in zip(last, rows, strict=True)]
+            # The smallest document of a key that the last batch ended with goes on.
+            if last is not None and last[0][0] == rows[0][0]:
+                rows = [np.concatenate(c) for c in zip(last, rows, strict=True)]
             first, found = joined(*rows)
             yield _links(found)
-            last = [c[-1] for c in first]
+            ending = first[0] == first[0][-1]
+            last = [c[ending] for c in first]
 
     return (
         rows.mapInArrow(within, FORM).repartition("key").sortWithinPartitions("key", "doc_id", "place")
@@ -392,10 +405,11 @@ def open_windows(docs: DataFrame, found: DataFrame, passed: DataFrame, min_words
             text, key, place, _, _ = keyed_windows(texts, min_words)
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             still = np.ones(len(key), dtype=bool)
+            edges = np.searchsorted(text, np.arange(part.num_rows + 1))
             for i, spans in enumerate(part.column("spans").to_pylist()):
-                own = text == i if spans else None
+                own = slice(edges[i], edges[i + 1])
                 for s in spans or []:
-                    still &= ~(own & (place >= s["start_word"]) & (place + size <= s["end_word"]))
+                    still[own] &= ~((place[own] >= s["start_word"]) & (place[own] + size <= s["end_word"]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key), pa.array(ids[text]), pa.array(place.astype(np.int32)), pa.array(still)],
                 ["key", "doc_id", "place", "open"])

@@ -182,3 +182,18 @@ def test_words_hash_alike_in_blocks(monkeypatch):
     whole = words.Words(texts).hashes()
     monkeypatch.setattr(words, "BLOCK_BYTES", 64)
     assert (words.Words(texts).hashes() == whole).all()
+
+
+def test_texts_that_repeat_themselves_are_one_link(spark):
+    line = prose(1, 12)
+    docs = spark.createDataFrame([(d, f"{prose(100 + d, 30)} {(line + ' ') * n} {prose(200 + d, 30)}") for d, n in enumerate([40, 40, 40, 90])],
+                                 "doc_id long, text string").repartition(3)
+    found = {}
+    for r in passages.links(docs).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert {d: len(rows) for d, rows in found.items()}.keys() == {1, 2, 3} and sum(map(len, found.values())) <= 12
+    covered = {}
+    for r in passages.repeated_passages(docs).collect():
+        covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    # Every word of the repeated lines.
+    assert all(set(range(30, 30 + 12 * n)) <= covered[d] for d, n in ((1, 40), (2, 40), (3, 90)))
