@@ -34,7 +34,7 @@ def kept(spark, target):
     return actions, actions + state.lines
 
 
-@pytest.mark.parametrize(("seed", "reach", "share"), [(1, 400, 8), (2, 20, 8), (3, 60, 1), (4, 0, 1000)])
+@pytest.mark.parametrize(("seed", "reach", "share"), [(1, 400, 8), (3, 60, 1)])
 def test_six_batches_in_no_order(spark, tmp_path, seed, reach, share):
     _, actions = random_case(seed, 1)
     target = str(tmp_path / "out")
@@ -48,17 +48,17 @@ def test_six_batches_in_no_order(spark, tmp_path, seed, reach, share):
 
 def test_history_does_not_grow(spark, tmp_path):
     draw = random.Random(3)
-    actions = [(i, draw.randrange(3), draw.randrange(4), "add", 1) for i in range(900)]
+    actions = [(i, draw.randrange(3), draw.randrange(4), "add", 1) for i in range(600)]
     target, folder = str(tmp_path / "out"), str(tmp_path / "in")
     seen = []
-    for batch in dealt(actions, 3, 9, 25):
+    for batch in dealt(actions, 3, 6, 25):
         feed(spark, folder, target, [batch], bits=3)
         seen.append(kept(spark, target)[1])
         # What lies in the folder is that of the last two states and of the batches after the older one.
         states = [s.batch for s in carts._states(spark, target)]
         assert len(states) <= 2 and all(b > states[0] or len(states) == 1 for b in feeds.batch_numbers(spark, target))
     assert max(seen) <= 12 + 25 + 8 + 100 and seen[-1] <= 12 + 8
-    assert sum(r[2] for r in rows(carts.read_cart(spark, target), *COLUMNS)) == 900
+    assert sum(r[2] for r in rows(carts.read_cart(spark, target), *COLUMNS)) == 600
 
 
 def test_a_gap_keeps_what_follows_waiting(spark, tmp_path):
