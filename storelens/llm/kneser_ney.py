@@ -19,10 +19,12 @@ word as one more word of the vocabulary. Texts begin after a start mark and end
 Defined results: no text counts as empty and has the end alone; rows without an id are learnt from and not held out;
 repeated rows are texts of their own; with nothing to learn from, every token has the base probability 1 and so has the model (scores
 0); other columns are left out; an empty table gives an empty result. Words count as equal if their 64-bit hashes are.
+Counts are whole numbers of 64 bits. More than ``MOST_WORDS`` distinct words raise an error.
 """
 
 from __future__ import annotations
 
+import mmap
 import os
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -38,6 +40,8 @@ from storelens.llm.words import SPACED, Words, mixed, parts
 # Entries that a task sums up before it sends them.
 HELD = 2_000_000
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
+# A word's number, and that of the start mark, takes half of a pair's 64 bits.
+MOST_WORDS = 2**32 - 2
 STATS = ["total", "one", "two", "more", "before"]
 BLOB = "bucket int, a binary, b binary, c binary"
 
@@ -60,10 +64,26 @@ def _save(folder: str, name: str, values: np.ndarray) -> None:
 
 
 def _load(folder: str, name: str, kind: type) -> np.ndarray:
-    path = f"{folder}/{name}"
-    if not os.path.getsize(path):
-        return np.zeros(0, dtype=kind)
-    return np.memmap(path, dtype=kind, mode="r")
+    """The file mapped; the mapping holds no descriptor open."""
+    with open(f"{folder}/{name}", "rb") as file:
+        if not os.fstat(file.fileno()).st_size:
+            return np.zeros(0, dtype=kind)
+        return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), dtype=kind)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits each where all of them fit, otherwise in 64."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 2**32 else np.uint64)
+
+
+def width(size: int, n: int) -> type:
+    """The type of ``n`` narrowed counts that take ``size`` bytes."""
+    return np.uint64 if n and size == 8 * n else np.uint32
+
+
+def widened(data: bytes, n: int) -> np.ndarray:
+    """``n`` narrowed counts as whole numbers of 64 bits."""
+    return np.frombuffer(data, dtype=width(len(data), n)).astype(np.int64)
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +237,10 @@ def count_words(texts: DataFrame, folder: str, bits: int) -> Layout:
     for b in set(range(1 << bits)) - {r["bucket"] for r in done}:
         for name in (f"words-{b}", f"words-{b}-counts"):
             _save(folder, name, np.zeros(0, dtype=np.uint64))
-    return Layout(folder, bits, np.cumsum(sizes), sum(r["total"] for r in done), int(sizes.sum()))
+    distinct = int(sizes.sum())
+    if distinct > MOST_WORDS:
+        raise ValueError(f"{distinct} distinct words; numbers of pairs hold {MOST_WORDS}")
+    return Layout(folder, bits, np.cumsum(sizes), sum(r["total"] for r in done), distinct)
 
 
 def dealt(blobs: DataFrame, number: int) -> DataFrame:
@@ -258,7 +281,7 @@ def count_pairs(texts: DataFrame, layout: Layout) -> Layout:
                 order = np.lexsort((w, u))
                 u, w, c = u[order], w[order], counts[s][order]
                 rows.append((b, np.diff(u, prepend=0).astype(np.uint32).tobytes(), w.astype(np.uint32).tobytes(),
-                             c.astype(np.uint32).tobytes()))
+                             narrow(c).tobytes()))
             return _blobs(rows)
 
         for _, x in parts(batches):
@@ -278,17 +301,18 @@ def count_pairs(texts: DataFrame, layout: Layout) -> Layout:
             keys = np.concatenate([
                 pair_keys(np.cumsum(np.frombuffer(u, dtype=np.uint32), dtype=np.int64), np.frombuffer(w, dtype=np.uint32))
                 for u, w, _ in blobs])
-            keys, counts = summed(keys, np.concatenate([np.frombuffer(c, dtype=np.uint32) for *_, c in blobs])
-                                  .astype(np.int64))
+            keys, counts = summed(keys, np.concatenate([widened(c, len(w) // 4) for _, w, c in blobs]))
             _save(folder, f"pairs-{b}", keys)
-            _save(folder, f"pairs-{b}-counts", counts.astype(np.uint32))
+            _save(folder, f"pairs-{b}-counts", narrow(counts))
             # Bucket -1 takes how many pairs stand once, twice, three and four times, and all of them.
             yield _blobs([(-1, np.array([*(np.count_nonzero(counts == k) for k in range(1, 5)), len(keys)],
                                         dtype=np.int64).tobytes(), b"", b"")])
             u, w = unpaired(keys)
             stats = [counts, counts == 1, counts == 2, counts > 2]
             ids, back = np.unique(u, return_inverse=True)
-            sums = np.stack([np.bincount(back, s, len(ids)) for s in stats], axis=1).astype(np.int64)
+            sums = np.zeros((len(ids), len(stats)), dtype=np.int64)
+            for k, s in enumerate(stats):
+                np.add.at(sums[:, k], back, s.astype(np.int64))
             yield from _stretches(ids, sums, range_size, number, b"u")
             ids, before = np.unique(w, return_counts=True)
             yield from _stretches(ids, before[:, None].astype(np.int64), range_size, number, b"w")
@@ -303,7 +327,8 @@ def count_pairs(texts: DataFrame, layout: Layout) -> Layout:
             for ids, sums, kind in blobs:
                 at = np.cumsum(np.frombuffer(ids, dtype=np.uint32), dtype=np.int64)
                 columns = slice(0, 4) if kind == b"u" else slice(4, 5)
-                whole[at, columns] += np.frombuffer(sums, dtype=np.uint32).reshape(len(at), -1)
+                n = len(at) * (columns.stop - columns.start)
+                whole[at, columns] += widened(sums, n).reshape(len(at), -1)
             for k, name in enumerate(STATS):
                 _save(folder, f"{name}-{b}", whole[:, k])
             before = whole[:, 4]
@@ -331,7 +356,7 @@ def count_pairs(texts: DataFrame, layout: Layout) -> Layout:
 def _stretches(ids: np.ndarray, sums: np.ndarray, range_size: int, number: int, kind: bytes):
     rows = [
         (b, np.diff(ids[s] - b * range_size, prepend=0).astype(np.uint32).tobytes(),
-         np.minimum(sums[s], 0xFFFFFFFF).astype(np.uint32).tobytes(), kind)
+         narrow(sums[s]).tobytes(), kind)
         for b, s in _cut(ids, ids // range_size, number)
     ]
     if rows:
@@ -360,7 +385,9 @@ class Model:
         self.words = Dictionary(layout)
         number = range(1 << layout.bits)
         self.pairs = [_load(layout.folder, f"pairs-{b}", np.uint64) for b in number]
-        self.counts = [_load(layout.folder, f"pairs-{b}-counts", np.uint32) for b in number]
+        self.counts = [
+            _load(layout.folder, name, width(os.path.getsize(f"{layout.folder}/{name}"), len(keys)))
+            for name, keys in zip([f"pairs-{b}-counts" for b in number], self.pairs, strict=True)]
         self.stats = {name: [_load(layout.folder, f"{name}-{b}", np.int64) for b in number] for name in STATS}
 
     def stat(self, name: str, ids: np.ndarray) -> np.ndarray:

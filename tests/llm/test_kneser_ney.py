@@ -1,8 +1,10 @@
 import collections
 import math
+import os
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,70 @@ def test_hashes_of_pairs_are_undone():
     u, w = draw.integers(0, 2**31, 1000), draw.integers(0, 2**32, 1000)
     a, b = kneser_ney.unpaired(kneser_ney.pair_keys(u, w))
     assert (a == u).all() and (b == w).all()
+
+
+def test_counts_beyond_32_bits():
+    large = np.array([5_000_000_000, 1, 6_000_000_000], dtype=np.int64)
+    for counts in (large, large[1:2], large[:0], np.array([2**32 - 1, 0], dtype=np.int64), np.array([2**32], dtype=np.int64)):
+        packed = kneser_ney.narrow(counts).tobytes()
+        assert (kneser_ney.widened(packed, len(counts)) == counts).all()
+    # The totals of a word meet from several buckets.
+    ids = np.array([0, 3, 9])
+    sums = np.stack([large, large * 0, large * 0, large], axis=1)
+    found = {}
+    for blob in kneser_ney._stretches(ids, sums, 4, 4, b"u"):
+        for r in blob.to_pylist():
+            at = np.cumsum(np.frombuffer(r["a"], dtype=np.uint32), dtype=np.int64) + 4 * r["bucket"]
+            found |= dict(zip(at.tolist(), kneser_ney.widened(r["b"], 4 * len(at)).reshape(-1, 4)[:, 0].tolist()))
+    assert found == dict(zip(ids.tolist(), large.tolist()))
+
+
+def test_large_counts_in_the_arrays(spark, tmp_path, monkeypatch):
+    """Every occurrence stands for 3 * 10^9 of them: sums, files and lookups hold such counts."""
+    many = 3_000_000_000
+    plain_sum = kneser_ney.summed
+    # Only counts of single occurrences, which come as ones, are multiplied.
+    monkeypatch.setattr(kneser_ney, "summed", lambda k, c: plain_sum(k, np.where(c == 1, many, c)))
+    monkeypatch.setattr(kneser_ney, "mounted", lambda spark: str(tmp_path))
+    texts = ["a b a b", "a b", "c"]
+
+    class Rows:
+        """A table of one task, run here so that the replaced sum is seen."""
+
+        def __init__(self, batches):
+            self.batches = list(batches)
+
+        def mapInArrow(self, f, _):
+            return Rows(f(iter(self.batches)))
+
+        def repartition(self, *_):
+            return self
+
+        def sortWithinPartitions(self, key):
+            rows = [r for b in self.batches for r in b.to_pylist()]
+            return Rows([pa.RecordBatch.from_pylist(sorted(rows, key=lambda r: r[key]), schema=self.batches[0].schema)])
+
+        def select(self, *_):
+            return self
+
+        def collect(self):
+            return [r for b in self.batches for r in b.to_pylist()]
+
+    rows = Rows([pa.RecordBatch.from_pydict({"text": texts})])
+    layout = kneser_ney.count_pairs(rows, kneser_ney.count_words(rows, str(tmp_path), 1))
+    before = len(os.listdir("/proc/self/fd"))
+    model = kneser_ney.Model(layout)
+    assert len(os.listdir("/proc/self/fd")) == before  # however many arrays there are
+    hashes, _ = kneser_ney.tokens([b"a b c"])
+    ids, counts = model.words.find(hashes)
+    assert counts.tolist() == [3 * many, 3 * many, many, 3 * many]
+    assert model.pair_counts(ids[:1], ids[1:2]).tolist() == [3 * many]
+    assert model.stat("total", ids[:3]).tolist() == [3 * many, 3 * many, many]
+    assert layout.n == 10 * many
+
+
+def test_more_words_than_numbers_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "MOST_WORDS", 3)
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="distinct words"):
+        kneser_ney.language_model(docs, F.lit(False))
