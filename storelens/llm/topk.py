@@ -11,8 +11,9 @@ Queries meet all rows in blocks: candidates are packed into matrices where they
 each group of candidate blocks, and a task multiplies one pair of matrices at a time. Every block returns at most
 ``k`` entries for each query and list, so a vector that stands in a third of the rows sends no more than others.
 
-Defined results: vectors that are null or hold null or non-finite components, and rows without an id, take no part; of
-rows with the same id the one with the largest vector counts; vectors of different lengths are compared as if the
+Defined results: vectors that are null or hold null or non-finite components, and rows without an id, take no part;
+every row is a candidate, those of a repeated id too, but for rows of the query's own id; a query id that stands on
+several rows has one list, of the best pairs of any of them; vectors of different lengths are compared as if the
 shorter one went on with zeros; other columns are left out; an empty table, or one without queries, gives an empty
 result. Scores beyond a long raise an error.
 """
@@ -33,17 +34,18 @@ K = 10
 SLICES = 2
 ROWS = 4096
 QUERIES = 512
+# Blocks of candidates that a block of queries meets in one group.
+BLOCKS = 64
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def whole_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 1024) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of each component, one row for each id."""
+    """(vec_id, v): floor(scale * x) of each component."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return (
         rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite)
         .select(F.col(key).cast("long").alias("vec_id"),
                 F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
-        .groupBy("vec_id").agg(F.max("v").alias("v"))
     )
 
 
@@ -89,7 +91,8 @@ def pairs(candidates: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
     right = queries.select(
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"),
         *[F.col(c).alias(f"q_{c}") for c in [*names, "cuts"]])
-    return left.join(right, "group").drop("group")
+    # The right side of a join is held for a key: the group's candidates, of which there is a fixed number.
+    return right.repartition(groups, "group").join(left.repartition(groups, "group"), "group").drop("group")
 
 
 def _matrix(row: dict, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +182,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, slices: int = SLICES
     queries = vectors.where(is_query)
     rows, asked = vectors.count(), queries.count()
     width = max(1, -(-asked // QUERIES))
-    groups = max(1, min(-(-rows // ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # As many as tasks while there are few rows; beyond that a group stays as large as it is.
+    blocks = -(-rows // ROWS)
+    groups = max(1, -(-blocks // BLOCKS), min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     candidates = matrices(vectors, ROWS)
     dealt = lambda df: df.repartition(width, "vec_id")
     form = "query_id long, vec_id long, score long"

@@ -1,26 +1,22 @@
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from storelens.llm import topk
+from storelens.llm.registered import SQL
 
 FORM = "vec_id long, embedding array<float>, score int"
 
 
 def plain(rows, k=10):
-    vectors = {}
-    for i, v, *_ in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
-            continue
-        whole = [math.floor(1024 * x) for x in v]
-        vectors[i] = max(vectors.get(i, whole), whole)
+    vectors = [(i, [math.floor(1024 * x) for x in v]) for i, v, *_ in rows
+               if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in vectors:
-        if q % 100:
-            continue
-        scores = sorted(((-sum(a * b for a, b in zip(vectors[q], vectors[c])), c) for c in vectors if c != q))[:k]
+    for q in {i for i, _ in vectors if i % 100 == 0}:
+        scores = sorted((-sum(a * b for a, b in zip(v, w)), c) for i, v in vectors if i == q for c, w in vectors if c != q)[:k]
         out += [(q, rank, c, -s) for rank, (s, c) in enumerate(scores, 1)]
     return sorted(out)
 
@@ -47,3 +43,19 @@ def test_few_rows_and_none(spark):
     assert found(spark.createDataFrame(data, FORM)) == plain(data) == [(0, 1, 1, 1536 * 1024)]
     assert found(spark.createDataFrame([], FORM)) == []
     assert found(spark.createDataFrame([(1, [1.0], 1)], FORM)) == []
+
+
+@pytest.mark.parametrize("blocks", [64, 1])
+def test_repeated_ids_as_in_the_registered_sql(spark, tmp_path, monkeypatch, blocks):
+    """Rows of one id are candidates each; in groups of one block, more groups than shuffle partitions."""
+    monkeypatch.setattr(topk, "ROWS", 4)
+    monkeypatch.setattr(topk, "BLOCKS", blocks)
+    draw = random.Random(4)
+    data = [(i % 150, [round(draw.gauss(0, 0.2), 2) for _ in range(4)], 0) for i in range(300)]
+    data += [(7, [0.9] * 4, 0)] * 12 + [(100, [0.9] * 4, 0)] * 2
+    df = spark.createDataFrame(data, FORM)
+    df.write.parquet(str(tmp_path / "embeddings"))
+    with duckdb.connect() as con:
+        con.sql(f"create view embeddings as from read_parquet('{tmp_path}/embeddings/*.parquet')")
+        want = sorted(con.sql(SQL["op5_uniform_threshold_top_k"]).fetchall())
+    assert found(df) == plain(data) == want
