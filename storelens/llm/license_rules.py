@@ -1,6 +1,6 @@
 """License signatures: hand-written patterns in order of priority.
 
-Patterns run over lower-cased bytes. A space in a pattern stands for any gap between two words. Each signature has
+Patterns run over lower-cased bytes. A space in a pattern stands for any gap between two words, however long. Each signature has
 one or more keywords, of which every match holds one, so a text without them never meets the pattern.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-GAP = rb"[^0-9a-z\x80-\xff]{1,12}"
+GAP = rb"[^0-9a-z\x80-\xff]++"
 EDGE = rb"(?![0-9a-z\x80-\xff])"
 START = rb"(?<![0-9a-z\x80-\xff])"
 

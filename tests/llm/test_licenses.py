@@ -65,3 +65,13 @@ def test_containment_suppression():
 
 def test_empty_table(nothing):
     assert licenses.summary(licenses.scan_licenses(nothing)).collect() == []
+
+
+def test_gaps_of_any_length():
+    found = license_rules.rules()
+    wrapped = (b"redistribution and use in source and binary forms, with or\n" + b" " * 40 + b" *" + b" " * 40
+               + b"without modification, are permitted")
+    far = b"released under the" + b"\n" * 100_000 + b"mit license"
+    for text, label in ((wrapped, "bsd"), (far, "mit")):
+        hits = [(*m.span(), r.priority, i) for i, r in enumerate(found) for m in r.pattern.finditer(text)]
+        assert [found[h[3]].label for h in licenses.surviving(hits)] == [label]
