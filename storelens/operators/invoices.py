@@ -12,11 +12,19 @@ from storelens.sources.tables import Tables
 
 TRACKING_LINK = "https://orders.example.com/order/"
 
+# The texts of an invoice.
+MISSING = "N/A"
+NUMBER_MARK = ". "
+QUANTITY_MARK = "  x"
+AMOUNT_MARK = "  ₹"
+TOTAL_MARK = "Total Amount: ₹"
+MAP_LINK = "https://www.google.com/maps/search/?api=1&query="
+
 
 def invoice_header(t: Tables) -> DataFrame:
     """Order with the customer of its latest address, ``N/A`` where something is missing."""
     customer = latest_address_per_user(t.addresses, "name", "phone", "full_address")
-    missing = F.lit("N/A")
+    missing = F.lit(MISSING)
     return spread_join(t.orders, customer, ["user_id"], ["order_id"]).select(
         "order_id", "order_no", "total_amount", "created_at",
         F.coalesce("name", missing).alias("customer_name"),
@@ -50,16 +58,16 @@ def invoice_text(t: Tables, page_rows: int = 1000, tracking_link: str = TRACKING
     """Lines of each invoice page, and the link for delivery or pickup."""
     def line(row: Column, position: Column) -> Column:
         return F.concat(
-            position.cast("string"), F.lit(". "), row["product_name"],
-            F.lit("  x"), row["product_qty"].cast("string"), F.lit("  ₹"), row["product_amount"].cast("string"),
+            position.cast("string"), F.lit(NUMBER_MARK), row["product_name"],
+            F.lit(QUANTITY_MARK), row["product_qty"].cast("string"), F.lit(AMOUNT_MARK), row["product_amount"].cast("string"),
         )
 
-    delivery = F.col("full_address") != "N/A"
-    map_link = F.concat(F.lit("https://www.google.com/maps/search/?api=1&query="), _link_text(F.col("full_address")))
+    delivery = F.col("full_address") != MISSING
+    map_link = F.concat(F.lit(MAP_LINK), _link_text(F.col("full_address")))
     return line_documents(invoice_header(t), _invoice_lines(t), line, page_rows, "lines").select(
         "order_id", "page_no",
         F.when(delivery, "delivery").otherwise("pickup").alias("kind"),
         F.array_join("lines", "\n").alias("items_text"),
         F.when(delivery, map_link).otherwise(F.concat(F.lit(tracking_link), F.col("order_no"))).alias("link"),
-        F.concat(F.lit("Total Amount: ₹"), F.col("total_amount").cast("string")).alias("total_text"),
+        F.concat(F.lit(TOTAL_MARK), F.col("total_amount").cast("string")).alias("total_text"),
     )

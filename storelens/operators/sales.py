@@ -41,11 +41,24 @@ def _sales() -> Column:
     return F.sum("total_amount").cast("decimal(18,2)").alias("sales")
 
 
+def chart_window(mode: str, as_of: dt.date) -> tuple[dt.date, dt.date, Column] | None:
+    """First day, day after the last and label of a mode's chart; None for an unknown mode."""
+    if mode == "Week":
+        return as_of - dt.timedelta(days=6), as_of + dt.timedelta(days=1), F.date_format("created_at", "E")
+    if mode == "Month":
+        first = as_of.replace(day=1)
+        week = F.floor((F.dayofmonth("created_at") - 1) / 7).cast("int") + 1
+        return first, (first + dt.timedelta(days=31)).replace(day=1), F.concat(F.lit("Week "), week.cast("string"))
+    if mode == "Year":
+        return dt.date(as_of.year, 1, 1), dt.date(as_of.year + 1, 1, 1), F.date_format("created_at", "MMM")
+    return None
+
+
 def sales_week(t: Tables, as_of: dt.date, paid_status: str = "complete", by: Sequence[str] = ()) -> DataFrame:
     """Sales of the seven days up to ``as_of``, by weekday."""
-    days = _between(as_of - dt.timedelta(days=6), as_of + dt.timedelta(days=1))
+    start, end, _ = chart_window("Week", as_of)
     return (
-        t.orders.where(days & _paid(paid_status))
+        t.orders.where(_between(start, end) & _paid(paid_status))
         .groupBy(*by, F.to_date("created_at").alias("day"))
         .agg(_sales())
         .select(*by, F.date_format("day", "E").alias("name"), "sales", "day")
@@ -54,21 +67,15 @@ def sales_week(t: Tables, as_of: dt.date, paid_status: str = "complete", by: Seq
 
 def sales_month(t: Tables, as_of: dt.date, paid_status: str = "complete", by: Sequence[str] = ()) -> DataFrame:
     """Sales of the month of ``as_of``, by week of the month."""
-    first = as_of.replace(day=1)
-    following = (first + dt.timedelta(days=31)).replace(day=1)
-    week = F.floor((F.dayofmonth("created_at") - 1) / 7).cast("int") + 1
-    return (
-        t.orders.where(_between(first, following) & _paid(paid_status))
-        .groupBy(*by, F.concat(F.lit("Week "), week.cast("string")).alias("name"))
-        .agg(_sales())
-    )
+    start, end, label = chart_window("Month", as_of)
+    return t.orders.where(_between(start, end) & _paid(paid_status)).groupBy(*by, label.alias("name")).agg(_sales())
 
 
 def sales_year(t: Tables, as_of: dt.date, paid_status: str = "complete", by: Sequence[str] = ()) -> DataFrame:
     """Sales of the year of ``as_of``, by month."""
-    year = _between(dt.date(as_of.year, 1, 1), dt.date(as_of.year + 1, 1, 1))
+    start, end, _ = chart_window("Year", as_of)
     return (
-        t.orders.where(year & _paid(paid_status))
+        t.orders.where(_between(start, end) & _paid(paid_status))
         .groupBy(*by, F.trunc(F.to_date("created_at"), "month").alias("month"))
         .agg(_sales())
         .select(*by, F.date_format("month", "MMM").alias("name"), "sales", "month")
@@ -128,6 +135,13 @@ def dashboard_totals(t: Tables, paid_status: str = "SUCCESS", pending: Sequence[
 def today_vs_yesterday(t: Tables, day: dt.date, paid_status: str = "complete", pending: str = "Pending",
                        by: Sequence[str] = ()) -> DataFrame:
     """Orders, revenue and pending orders of a day and of the day before it."""
+    start, end = day - dt.timedelta(days=1), day + dt.timedelta(days=1)
+    return _every_store(
+        t, t.orders.where(_between(start, end)).groupBy(*by).agg(*_day_figures(day, paid_status, pending)), by)
+
+
+def _day_figures(day: dt.date, paid_status: str, pending: str) -> list[Column]:
+    """The aggregates of a day and of the day before it."""
     tomorrow, yesterday = day + dt.timedelta(days=1), day - dt.timedelta(days=1)
     kept = F.col("order_status") != "cancelled"
 
@@ -139,6 +153,38 @@ def today_vs_yesterday(t: Tables, day: dt.date, paid_status: str = "complete", p
             F.count_if(within & (F.col("order_status") == pending)).alias(f"{name}_pending"),
         ]
 
-    return _every_store(t, t.orders.where(_between(yesterday, tomorrow)).groupBy(*by).agg(
-        *figures("today", day, tomorrow), *figures("yesterday", yesterday, day)
-    ), by)
+    return [*figures("today", day, tomorrow), *figures("yesterday", yesterday, day)]
+
+
+def chart_and_summary(t: Tables, mode: str, as_of: dt.date, paid_status: str = "complete",
+                      pending: str = "Pending") -> DataFrame:
+    """``sales_chart`` and ``today_vs_yesterday`` as (part, name, value), from one scan of the orders of their days.
+
+    Tasks sum by label of the chart; the few rows that this leaves (one for each label, and one for orders
+    outside of the chart) give both the chart's rows and, added up, the figures of the two days.
+    """
+    value = "decimal(18,2)"
+    days = [(as_of - dt.timedelta(days=1), as_of + dt.timedelta(days=1))]
+    window = chart_window(mode, as_of)
+    charted, label = F.lit(False), F.lit(None).cast("string")
+    if window:
+        start, end, name = window
+        days.append((start, end))
+        charted = _between(start, end) & _paid(paid_status)
+        label = F.when(charted, name)
+    # One range where the two meet, so that the condition on the stored column stays simple.
+    first, last = min(a for a, _ in days), max(b for _, b in days)
+    wanted = _between(first, last)
+    if len(days) == 2 and max(a for a, _ in days) > min(b for _, b in days):
+        wanted = wanted & (_between(*days[0]) | _between(*days[1]))
+    figures = _day_figures(as_of, paid_status, pending)
+    sums = t.orders.where(wanted).groupBy(label.alias("name")).agg(
+        F.sum(F.when(charted, F.col("total_amount"))).alias("sales"), *figures)
+    names = [c for c in sums.columns if c not in ("name", "sales")]
+    row = lambda part, name, amount: F.struct(
+        F.lit(part).alias("part"), name.alias("name"), amount.cast(value).alias("value"))
+    totals = [F.coalesce(F.sum(c), F.lit(0)) if not c.endswith("revenue") else F.sum(c) for c in names]
+    # A row for each label: at most twelve.
+    bars = F.collect_list(F.when(F.col("name").isNotNull(), row("chart", F.col("name"), F.col("sales"))))
+    summary = F.array(*[row("summary", F.lit(c), total) for c, total in zip(names, totals, strict=True)])
+    return sums.agg(F.concat(summary, bars).alias("rows")).select(F.inline("rows"))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelens.operators.sales import sales_chart, today_vs_yesterday
+from storelens.operators.sales import chart_and_summary, sales_chart, today_vs_yesterday
 from storelens.operators.stock import DEFAULT_OPEN_DATE, dashboard_low_stock
 from storelens.sources.tables import Tables
 
@@ -24,21 +24,9 @@ def dashboard_bundle(t: Tables, mode: str, as_of: dt.date,
 
 def dashboard_rows(t: Tables, mode: str, as_of: dt.date,
                    default_open_date: dt.date = DEFAULT_OPEN_DATE) -> DataFrame:
-    """The bundle as one relation of (part, name, value)."""
-    bundle = dashboard_bundle(t, mode, as_of, default_open_date)
-    summary = bundle["summary"]
-    value = "decimal(18,2)"
-    figures = summary.select(*[F.col(c).cast(value).alias(c) for c in summary.columns]).unpivot(
-        [], summary.columns, "name", "value"
-    )
-    rows = figures.select(F.lit("summary").alias("part"), "name", "value").unionByName(
-        bundle["low_stock"].select(
-            F.lit("low_stock").alias("part"), F.col("id").cast("string").alias("name"),
-            F.col("stock").cast(value).alias("value"),
-        )
-    )
-    if bundle["chart"] is not None:
-        rows = rows.unionByName(
-            bundle["chart"].select(F.lit("chart").alias("part"), "name", F.col("sales").cast(value).alias("value"))
-        )
-    return rows
+    """The bundle as one relation of (part, name, value); the orders are read once."""
+    low_stock = dashboard_low_stock(t, default_open_date=default_open_date)
+    return chart_and_summary(t, mode, as_of).unionByName(low_stock.select(
+        F.lit("low_stock").alias("part"), F.col("id").cast("string").alias("name"),
+        F.col("stock").cast("decimal(18,2)").alias("value"),
+    ))
