@@ -23,7 +23,11 @@ near copies, ``HASHES`` further hash functions each give the compact windows of
 same smallest one, and windows of two documents meet by hash function and smallest shingle. Windows at the same distance are joined by their
 intervals: a pair of documents is a link where at least ``ENOUGH`` hash functions agree in windows that hold a common stretch, or an equal
 stretch stands on both sides. Again all windows of a key are joined to the one of the smallest document, so a common line costs a row for each of
-its windows, not one for each pair. Windows that are settled don't look for others but are looked at.
+its windows, not one for each pair. Windows that are settled don't look for others but are looked at, unless every stretch around them
+is word for word in a passage of a smaller document, which is looked at in their place.
+
+The texts of documents that have a link are laid out by id once; later steps bring their questions to them, so that no text moves
+again.
 
 Defined results: no text counts as empty; rows without an id are left out (they can't be named); of rows with the same
 id only other documents' repeats are found, not those between the rows; repeats within one document don't count; texts of
@@ -39,8 +43,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from storelens.llm.shared import salted_join, written
+from storelens.llm.shared import dropped, laid_by, salted_join, written
 from storelens.llm.words import FACTOR, SPACED, Words, mixed, parts, shingles
 
 MIN_WORDS = 50
@@ -281,25 +286,26 @@ def links(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def slices(docs: DataFrame, regions: DataFrame) -> DataFrame:
-    """(doc_id, low, high, hashes): shingle hashes (four bytes each) of the regions asked for, cut at the text's end."""
-    asked = regions.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("asked"))
+    """The regions asked for (doc_id, low, high and what else they have) with ``hashes``: their shingle hashes (four bytes
+    each), cut at the text's end."""
+    names = [c for c in regions.columns if c != "doc_id"]
+    asked = regions.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("asked"))
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").join(asked, "doc_id")
+    low, high = names.index("low"), names.index("high")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in parts(batches):
             values, first, last = laid_out(texts, 1)
             small = (values & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            out = []
-            for i, (doc, wanted) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("asked").to_pylist(),
-                                                  strict=True)):
-                own = small[first[i] : last[i]]
-                out += [(doc, w["low"], w["high"], own[w["low"] : w["high"] + 1].tobytes()) for w in wanted]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
-                ["doc_id", "low", "high", "hashes"])
+            asked = part.column("asked")
+            of = asked.value_parent_indices()
+            columns = asked.flatten().flatten()
+            begin, end = first[of], last[of]
+            begin, end = (np.minimum(begin + columns[c].to_numpy() + more, end) for c, more in ((low, 0), (high, 1)))
+            hashes = pa.array([small[i:j].tobytes() for i, j in zip(begin, end, strict=True)], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), *columns, hashes], ["doc_id", *names, "hashes"])
 
-    return rows.mapInArrow(cut, "doc_id long, low int, high int, hashes binary")
+    return rows.mapInArrow(cut, T.StructType([regions.schema[c] for c in ["doc_id", *names]]).add("hashes", "binary"))
 
 
 def equal_runs(x: np.ndarray, y: np.ndarray, at: int) -> list[tuple[int, int, int]]:
@@ -362,13 +368,10 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
     grain = lambda c: F.floor(c / GRAIN) * GRAIN
     found = found.withColumn("other_low", F.greatest(grain(F.col("low") - F.col("shift") - STEPS), F.lit(0)).cast("int")).withColumn(
         "other_high", (grain(F.col("high") - F.col("shift") + STEPS) + GRAIN - 1).cast("int"))
-    regions = found.select("doc_id", "low", "high").union(
-        found.select(F.col("other").alias("doc_id"), F.col("other_low").alias("low"), F.col("other_high").alias("high")))
-    cut = written(slices(docs, regions.distinct()), "passages-slices").dropDuplicates(["doc_id", "low", "high"])
-    mine = cut.withColumnRenamed("hashes", "mine")
-    theirs = cut.select(F.col("doc_id").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"),
-                        F.col("hashes").alias("theirs"))
-    both = found.join(mine, ["doc_id", "low", "high"]).join(theirs, ["other", "other_low", "other_high"])
+    mine = slices(docs, found).withColumnRenamed("hashes", "mine")
+    regions = found.select(F.col("other").alias("doc_id"), F.col("other_low").alias("low"), F.col("other_high").alias("high"))
+    theirs = slices(docs, regions.distinct()).toDF("other", "other_low", "other_high", "theirs")
+    both = mine.hint("merge").join(theirs, ["other", "other_low", "other_high"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "other", "shift", "low", "other_low", "mine", "theirs"]
@@ -391,10 +394,15 @@ def verified(docs: DataFrame, found: DataFrame, width: int, similarity: float) -
 
 
 def open_windows(docs: DataFrame, found: DataFrame, passed: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, place, open) of the windows of keys that have one in no passage, of a document that isn't their first."""
+    """(doc_id, place, open) of the windows of keys that have one in no passage, of a document that isn't their first.
+
+    A window all of whose stretches lie in a passage with similarity 1 is left out: the smaller document has the same
+    stretches around the same window."""
     met = found.select("doc_id").union(found.select("other")).distinct()
-    spans = passed.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
+    equal = F.col("similarity") == 1 if "similarity" in passed.columns else F.lit(False)
+    spans = passed.groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word", equal.alias("equal"))).alias("spans"))
     size, _ = seed(min_words)
+    run, width = size - SHINGLE + 1, min_words - SHINGLE + 1
     rows = (
         docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
         .join(met, "doc_id", "left_semi").join(spans, "doc_id", "left")
@@ -402,17 +410,22 @@ def open_windows(docs: DataFrame, found: DataFrame, passed: DataFrame, min_words
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in parts(batches):
-            text, key, place, _, _ = keyed_windows(texts, min_words)
+            text, key, place, left, right = keyed_windows(texts, min_words)
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            still = np.ones(len(key), dtype=bool)
+            still, copied = np.ones(len(key), dtype=bool), np.zeros(len(key), dtype=bool)
+            # Words of the stretches that hold a window, as far as the text goes.
+            low, high = place - np.minimum(left, width - run), place + np.minimum(right, width - 1) + SHINGLE
             edges = np.searchsorted(text, np.arange(part.num_rows + 1))
             for i, spans in enumerate(part.column("spans").to_pylist()):
                 own = slice(edges[i], edges[i + 1])
                 for s in spans or []:
                     still[own] &= ~((place[own] >= s["start_word"]) & (place[own] + size <= s["end_word"]))
+                    if s["equal"]:
+                        # The place before tells whether the window is the first of equal ones in the other text too.
+                        copied[own] |= (place[own] > 0) & (low[own] >= s["start_word"]) & (high[own] <= s["end_word"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key), pa.array(ids[text]), pa.array(place.astype(np.int32)), pa.array(still)],
-                ["key", "doc_id", "place", "open"])
+                ["key", "doc_id", "place", "open"]).filter(pa.array(~copied))
 
     every = written(rows.mapInArrow(marked, "key long, doc_id long, place int, open boolean"), "passages-open")
     keys = every.groupBy("key").agg(F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("most")).where("most > least")
@@ -502,10 +515,16 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: f
     one with a smaller id. Words are counted from 0, the end is not included."""
     width = min_words - SHINGLE + 1
     found = written(links(docs, min_words), "passages-links")
-    passed = written(verified(docs, found, width, similarity), "passages-found")
-    windows = open_windows(docs, found, passed, min_words)
-    late = written(late_links(docs, windows, min_words), "passages-late")
-    return passed.union(verified(docs, late, width, similarity)).distinct()
+    met = found.select("doc_id").union(found.select("other")).distinct()
+    slim = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    with laid_by(slim, "doc_id", met, "passages-texts") as texts:
+        passed = written(verified(texts, found, width, similarity), "passages-found")
+        windows = open_windows(texts, found, passed, min_words)
+        late = written(late_links(texts, windows, min_words), "passages-late")
+        more = written(verified(texts, late, width, similarity), "passages-late-found")
+    dropped(found)
+    dropped(late)
+    return passed.union(more).distinct()
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -524,6 +543,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: flo
                 base, first = int(words.at[i]), int(words.first[i])
                 kept, at = [], 0
                 for s in sorted(spans or [], key=lambda s: (s["start_word"], s["end_word"])):
+                    if first + s["start_word"] >= words.first[i + 1]:
+                        break  # a passage of a longer text with the same id
                     low = int(words.starts[first + s["start_word"]]) - base
                     last = first + s["end_word"]
                     high = int(words.starts[last]) - base if last < words.first[i + 1] else len(text)

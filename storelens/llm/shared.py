@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,27 @@ def dropped(df: DataFrame) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def laid_by(df: DataFrame, key: str, only: DataFrame, name: str) -> Iterator[DataFrame]:
+    """The rows whose ``key`` is in ``only`` (each key once), written to buckets of the key: joins by it don't move them.
+
+    They are a table of the session's catalog with its files in the shared folder, removed when the block ends."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    # Rows are dealt by the key before the join, so that one task writes the one file of a bucket.
+    rows = df.repartition(buckets, key).join(only, key)
+    rows.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(table)
+    try:
+        out = spark.table(table)
+        out.written_to = path
+        yield out
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        dropped(out)
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread: str, how: str = "inner",
                 shares: int = 8) -> DataFrame:
     """Join rows with a table that has one row for each key, each key's rows dealt to ``shares`` tasks by ``spread``."""

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storelens.llm import passages
+from storelens.llm.shared import laid_by
 from tests.llm.conftest import plain_words, prose
 
 
@@ -197,3 +198,57 @@ def test_texts_that_repeat_themselves_are_one_link(spark):
         covered.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
     # Every word of the repeated lines.
     assert all(set(range(30, 30 + 12 * n)) <= covered[d] for d, n in ((1, 40), (2, 40), (3, 90)))
+
+
+def test_copies_are_looked_at_once(spark):
+    base = prose(1, 200)
+    part = " ".join(base.split()[80:120])
+    found = {}
+    for n in (5, 40):
+        # Whole copies, and a larger document with forty words of them, whose windows stay open.
+        texts = [base] * n + [f"{prose(2, 60)} {part} {prose(3, 60)}"]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+        first = passages.links(docs)
+        rows = passages.open_windows(docs, first, passages.verified(docs, first, 46, 0.8), 50).collect()
+        assert {r.doc_id for r in rows} == {0, n} and any(r.open for r in rows)
+        found[n] = len(rows)
+    assert found[5] == found[40]
+
+
+def test_changed_copies_of_copies(spark):
+    """Copies are found through the first of them, and text beside a copied passage through its own document."""
+    base, own = prose(1, 160).split(), prose(2, 100).split()
+    texts = [" ".join(base), " ".join(base), " ".join([*base[60:], *own])]
+    within, across = base[90:145], [*base[-30:], *own[:30]]
+    for w, to in ((within, {0, 1, 2}), (across, {2})):
+        texts.append(" ".join([*prose(10 + len(texts), 30).split(), *w[:27], "changed", *w[28:], *prose(20 + len(texts), 30).split()]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = passages.repeated_passages(docs).collect()
+    got = {d: {(r.start_word, r.end_word) for r in rows if r.doc_id == d} for d in range(5)}
+    assert got == {0: set(), 1: {(0, 160)}, 2: {(0, 100)}, 3: {(30, 85)}, 4: {(30, 90)}}
+    assert {r.kept_doc_id for r in rows if r.doc_id == 3} <= {0, 1, 2} and {r.kept_doc_id for r in rows if r.doc_id == 4} == {2}
+
+
+def test_texts_move_once(spark):
+    docs = spark.createDataFrame([(d, prose(d, 60)) for d in range(50)] + [(3, "again")], "doc_id long, text string")
+    only = spark.createDataFrame([(d,) for d in range(0, 50, 2)] + [(3,)], "doc_id long")
+    regions = spark.createDataFrame([(d, 4, 9, "x") for d in (2, 3)] + [(2, 50, 80, "y")], "doc_id long, low int, high int, more string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with laid_by(docs, "doc_id", only, "test-texts") as texts:
+            assert sorted(texts.collect()) == sorted(r for r in docs.collect() if r.doc_id % 2 == 0 or r.doc_id == 3)
+            cut = passages.slices(texts, regions)
+            plan = cut._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+            got = sorted((r.doc_id, r.low, r.more, len(r.hashes)) for r in cut.collect())
+        assert got == [(2, 4, "x", 24), (2, 50, "y", 24), (3, 4, "x", 0), (3, 4, "x", 24)]
+        assert spark.catalog.listTables() == []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_longer_text_with_the_same_id(spark):
+    rows = [(0, prose(1, 80)), (1, f"{prose(2, 90)} {prose(1, 80)}"), (1, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = {len((r.text or "").split()): r.text for r in passages.without_repeats(docs).collect()}
+    assert out.keys() == {80, 90, 1} and out[1] == "short" and out[90].strip() == prose(2, 90)
