@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelens.llm.shared import written
-from storelens.llm.tokens import encoder
+from storelens.llm.tokens import texts_encoder
+from storelens.llm.words import parts
 
 WINDOW = 4096
 END = 2
@@ -134,13 +135,13 @@ def packed(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     """One row for each piece of a document in a sequence."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = texts_encoder(tokenizer)
         last = end.to_bytes(4, "little")
 
         def documents():
-            for batch in batches:
-                for number, x in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    yield number, encode(x or "") + last
+            for batch, texts in parts(batches):
+                for number, ids in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+                    yield number, ids + last
 
         ready: list[tuple] = []
         for is_open, pieces in pack(documents(), window, slots, TaskContext.get().partitionId() << 33):

@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import pytest
@@ -57,6 +58,43 @@ def test_ids_of_the_tokenizer(tokenizer, awkward):
         assert encode(text) == raw(tokenizer.encode(text, add_special_tokens=False).ids), text[:40]
 
 
+def calls(work):
+    """Calls of Python and C functions."""
+    count = 0
+
+    def one(frame, event, arg):
+        nonlocal count
+        count += event in ("call", "c_call")
+
+    sys.setprofile(one)
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return count
+
+
+def test_new_words_of_known_pieces(tokenizer):
+    """Words never met cost nothing of their own where their pieces were met; before, each was split and looked up."""
+    some = [a + b for a in "bcdfglmnpr" for b in "aeiou"]
+    text = " ".join(f"{a}{i % 10}{b}{c}" for a in some for i, b in enumerate(some) for c in ",.!-")
+    assert len(set(text.split())) == 10_000
+    encode = tokens.encoder(PATH)
+    encode("first")  # Arrow imports what it needs.
+    assert calls(lambda: encode(text)) < 5000
+    assert encode(text) == raw(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_texts_together(tokenizer):
+    draw = random.Random(3)
+    odd = ["<|", "<|endoftext|>", "<|STARTOFTEXT|>", "'s", "DON'T", "×", "a÷b", "İ", "É", "e\u0301", "\x85", "\xa0", "\x1c", "\u2028",
+           "ΣΑΣ", "ª", "ǅ", "Ⱥ", "中", "\U0001f600", " ", "\n", "\t", "1", "22", ".", "--", "the", "The", "x"]
+    texts = ["".join(draw.choices(odd, k=draw.randrange(12))) for _ in range(3000)]
+    assert "" in texts
+    for text, ids in zip(texts, tokens.texts_encoder(PATH)([t.encode() for t in texts]), strict=True):
+        assert ids == raw(tokenizer.encode(text, add_special_tokens=False).ids), text
+
+
 def test_pieces(spark, tokenizer):
     draw = random.Random(1)
     texts = [prose(i, draw.choice([5, 50, 300, 900, 2500])) for i in range(120)] + [None, ""]
